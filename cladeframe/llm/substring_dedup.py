@@ -4,7 +4,7 @@ Plan.  Rows are dealt once to chunks of some megabytes of text by a hash of
 the row.  Each chunk hashes all its windows and reduces them to one entry for
 each distinct hash, with the least id that starts it (the pre-aggregation, so
 a passage in a third of all rows is one entry a chunk).  Entries travel as
-packed arrays, about ten bytes a window, to buckets by hash range, where
+packed arrays, about eight bytes a window, to buckets by hash range, where
 occurrences are counted over all chunks.  A bucket answers a chunk only with
 those hashes that start in a smaller id elsewhere.  The chunk, read from the
 same shuffle files as before, marks the windows and merges overlapping ones
@@ -43,6 +43,23 @@ def chunk_count(total_bytes: int, least: int) -> int:
     return max(1, least, -(-total_bytes // size))
 
 
+def _pack(h: np.ndarray) -> bytes:
+    """Sorted hashes as their differences, in six bytes each if all fit, else in eight."""
+    gaps = np.diff(h, prepend=np.uint64(0))
+    gaps[0] = 0
+    width = 6 if len(h) < 2 or int(gaps.max()) < 1 << 48 else 8
+    return h[:1].tobytes() + gaps[1:].view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpack(b: pa.Buffer, n: int) -> np.ndarray:
+    gaps = np.zeros((n, 8), np.uint8)
+    gaps[:1] = np.frombuffer(b, np.uint8, 8)
+    if n > 1:
+        rest = np.frombuffer(b, np.uint8, offset=8).reshape(n - 1, -1)
+        gaps[1:, : rest.shape[1]] = rest
+    return np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _ids(column) -> np.ndarray:
     return column.fill_null(LAST).to_numpy().astype(np.int64)
 
@@ -77,17 +94,18 @@ def _reduce_chunk(width: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
         edges = np.array([(k << 64) // buckets for k in range(1, buckets)], dtype=np.uint64)
         cuts = [0, *np.searchsorted(h, edges), len(h)]
         chunk = t.column("chunk")[0].as_py()
-        rows = {"bucket": [], "chunk": [], "hashes": [], "owners": [], "ids": []}
+        rows = {"bucket": [], "chunk": [], "n": [], "hashes": [], "owners": [], "ids": []}
         for k in range(buckets):
             a, b = cuts[k], cuts[k + 1]
             if a < b:
                 own, back = np.unique(d[a:b], return_inverse=True)
                 rows["bucket"].append(k)
                 rows["chunk"].append(chunk)
-                rows["hashes"].append(h[a:b].tobytes())
+                rows["n"].append(int(b - a))
+                rows["hashes"].append(_pack(h[a:b]))
                 rows["owners"].append(back.astype(small).tobytes())
                 rows["ids"].append(ids[own].tobytes())
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array(v, k) for v, k in zip(rows.values(), kinds)], names=list(rows))
 
     return run
@@ -97,8 +115,8 @@ def _count_bucket(t: pa.Table) -> pa.Table:
     """For each chunk, the hashes that start in a smaller id of another chunk."""
     chunks = t.column("chunk").to_pylist()
     hs, ds, cs = [], [], []
-    for i, (h, o, ids) in enumerate(zip(t.column("hashes"), t.column("owners"), t.column("ids"))):
-        h = np.frombuffer(h.as_buffer(), np.uint64)
+    for i, (n, h, o, ids) in enumerate(zip(t.column("n"), t.column("hashes"), t.column("owners"), t.column("ids"))):
+        h = _unpack(h.as_buffer(), n.as_py())
         o = o.as_buffer()
         ids = np.frombuffer(ids.as_buffer(), np.int64)
         hs.append(h)
@@ -206,7 +224,7 @@ def substring_dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", te
     n = chunk_count(total, shuffle_partitions(spark))
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "chunk")
     parts = dealt.groupBy("chunk").applyInArrow(
-        _reduce_chunk(width, n), "bucket int, chunk int, hashes binary, owners binary, ids binary"
+        _reduce_chunk(width, n), "bucket int, chunk int, n int, hashes binary, owners binary, ids binary"
     )
     told = parts.repartition(n, "bucket").groupBy("bucket").applyInArrow(_count_bucket, "chunk int, hashes binary")
     return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_cut_chunk(width), OUT)
