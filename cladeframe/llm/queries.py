@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.llm.decontamination import contamination
+from cladeframe.llm.mixing import Mixture
 from cladeframe.llm.quality import BASE, quality
+from cladeframe.llm.secret_scan import digest, secret_spans
 from cladeframe.llm.simhash import hex_fingerprint, near_duplicates
 from cladeframe.llm.substring_dedup import substring_dedup
 
@@ -27,6 +29,15 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_spans(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *(c.alias(n) for n, c in digest(F.col("spans")).items()))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Mixture(_table(spark, sf_dir, "documents")).taken()
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", *BASE, "base_failed", "kept")
@@ -39,6 +50,8 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op4_secret_scans": op4_secret_scans,
+    "op5_source_mixing": op5_source_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }

@@ -1,7 +1,11 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from cladeframe.llm.secret_scan import duckdb_sql
+
 SQL = {}
 
+SQL["op4_secret_scans"] = duckdb_sql()
+
 SQL["op1_substring_dedup"] = r"""
 WITH w AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
