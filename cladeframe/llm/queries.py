@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.llm.decontamination import contamination
+from cladeframe.llm.html_extract import extract
 from cladeframe.llm.mixing import Mixture
 from cladeframe.llm.quality import BASE, quality
 from cladeframe.llm.secret_scan import digest, secret_spans
 from cladeframe.llm.simhash import hex_fingerprint, near_duplicates
 from cladeframe.llm.substring_dedup import substring_dedup
+from cladeframe.llm.url_filter import url_verdicts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +45,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *BASE, "base_failed", "kept")
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -53,5 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scans": op4_secret_scans,
     "op5_source_mixing": op5_source_mixing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_url_filters": op7_url_filters,
+    "op9_html_extraction": op9_html_extraction,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
