@@ -73,7 +73,7 @@ class Index:
             place.append(np.arange(len(c), dtype=np.int32))
             codes.append(c)
             w = min(len(b), window)
-            step = max(1, window // 2)
+            step = max(1, window // 4)
             starts = sorted({*range(0, len(b) - w + 1, step), len(b) - w})
             k = min(int(rate * w), max(0, (w - Q) // Q))
             self.items.append((item_id, b.tobytes(), w, k, starts))

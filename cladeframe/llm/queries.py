@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladeframe.llm.chat_format import mask_text, perspectives
 from cladeframe.llm.decontamination import contamination
 from cladeframe.llm.html_extract import extract
 from cladeframe.llm.mixing import Mixture
@@ -14,6 +15,7 @@ from cladeframe.llm.quality import BASE, quality
 from cladeframe.llm.secret_scan import digest, secret_spans
 from cladeframe.llm.simhash import hex_fingerprint, near_duplicates
 from cladeframe.llm.substring_dedup import substring_dedup
+from cladeframe.llm.token_counts import EDITS, apply_edits, with_trees
 from cladeframe.llm.url_filter import url_verdicts
 
 
@@ -31,6 +33,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = perspectives(_table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "perspective", "block", "n_turns", "rendered", mask_text(F.col("masks")).alias("masks"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_spans(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", *(c.alias(n) for n, c in digest(F.col("spans")).items()))
@@ -49,6 +56,17 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after three edits of every text: a deletion, an insertion and a replacement."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.length(F.coalesce("text", F.lit("")))
+    edit = lambda at, removed, inserted: F.struct(F.floor(at).cast("int").alias("at"), F.lit(removed).alias("removed"), F.lit(inserted).alias("inserted"))
+    edits = F.array(edit(n / 5, 7, ""), edit(n / 2, 0, " amended, 42 "), edit(n * 9 / 10, 11, "x")).cast(EDITS)
+    before = with_trees(docs).withColumn("n_tokens", F.col("tree.sums")[1].cast("long")).withColumn("edits", edits)
+    after = apply_edits(before)
+    return after.select("doc_id", "n_tokens", F.col("tree.sums")[1].cast("long").alias("n_tokens_edited"), "n_encoded", F.length("text").cast("long").alias("n_chars_edited"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
@@ -60,10 +78,12 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_chat_formatting": op3_chat_formatting,
     "op4_secret_scans": op4_secret_scans,
     "op5_source_mixing": op5_source_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op7_url_filters": op7_url_filters,
+    "op8_token_counts": op8_token_counts,
     "op9_html_extraction": op9_html_extraction,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }

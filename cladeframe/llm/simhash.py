@@ -74,15 +74,15 @@ def _fingerprints(texts: list, width: int, seed: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long): the 64-bit SimHash of each row's word shingles."""
+    """(doc_id, fp, row): the 64-bit SimHash of each row's word shingles, and a hash of id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = _fingerprints(as_bytes(b.column(1)), width, seed)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(2)], names=["doc_id", "fp", "row"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.withColumn("row", F.xxhash64("doc_id", "text")).mapInArrow(run, "doc_id long, fp long, row long")
 
 
 def _signed(x: int) -> int:
@@ -150,18 +150,35 @@ def near_links(fps: DataFrame, distance: int = 2, dense: int = 64) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for each row: the least id reachable over links."""
-    rows = materialize(fingerprints(docs, width, seed, id_col, text_col), "simhash")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    classes = connected_components(near_links(nodes, distance))
-    named = nodes.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select(
+def _classes(rows: DataFrame, distance: int, name: Column) -> tuple[DataFrame, DataFrame]:
+    """(fp, component) of each fingerprint, and (component, least) with the least ``name`` of its rows."""
+    nodes = materialize(rows.groupBy("fp").agg(F.min(name).alias("least")), "simhash-nodes")
+    found = connected_components(near_links(nodes, distance))
+    named = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", F.coalesce("component", "fp").alias("component"), "least"
     )
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    whole = named.join(names, "component").select("fp", "component_id")
+    return named.select("fp", "component"), named.groupBy("component").agg(F.min("least").alias("least"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id) for each row: the least id reachable over links."""
+    rows = materialize(fingerprints(docs, width, seed, id_col, text_col).drop("row"), "simhash")
+    classes, least = _classes(rows, distance, F.col("doc_id"))
+    whole = classes.join(least, "component").select("fp", F.col("least").alias("component_id"))
     return rows.join(whole, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, width: int = 3, distance: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of least id of each component, with all its columns; one of rows that are repeated.
+
+    Rows are told apart by a hash of id and text; a null id counts as the largest.
+    """
+    rows = materialize(fingerprints(docs, width, seed, id_col, text_col), "simhash")
+    _, least = _classes(rows, distance, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    stay = least.select(F.col("least.row").alias("__row"))
+    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    return docs.withColumn("__row", key).join(stay, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
