@@ -194,7 +194,8 @@ class Mixture:
         slots = [0 if not s else (w // s) * -(-s // block_words) + -(-(w % s) // block_words) for w, s in zip(wanted, sizes)]
         self.block_words = block_words
         self.pieces = self._pack(sum(r["n"] for r in found))
-        self.slots = place_slots(draw_shards(spark, slots, shard_slots, seed), sizes, wanted, block_words, shard_slots, seed)
+        # Written, so that the planner knows its size: it grows with the words, and must not be broadcast unless small.
+        self.slots = materialize(place_slots(draw_shards(spark, slots, shard_slots, seed), sizes, wanted, block_words, shard_slots, seed), "mix-slots")
 
     def _named(self) -> DataFrame:
         return self.sources.withColumnRenamed("source", "named")
