@@ -87,16 +87,22 @@ def _features(texts: list) -> dict[str, np.ndarray]:
     return out
 
 
-def _with_features(rows: DataFrame, text_col: str) -> DataFrame:
-    """``rows`` and the base features of its text column, in one narrow pass."""
+def _with_features(rows: DataFrame, text_at: tuple[str, ...]) -> DataFrame:
+    """``rows`` and the base features of a text, in one narrow pass.
+
+    ``text_at`` names the text column, which goes, or a column and its field, which stay.
+    """
     names = [*BASE, "n_lines"]
-    schema = T.StructType([*rows.drop(text_col).schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
+    stays = len(text_at) > 1
+    fields = [f for f in rows.schema.fields if stays or f.name != text_at[0]]
+    schema = T.StructType([*fields, *(T.StructField(n, T.LongType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.get_field_index(text_col)
-            f = _features(as_bytes(b.column(at)))
-            keep = [i for i in range(b.num_columns) if i != at]
+            at = b.schema.get_field_index(text_at[0])
+            texts = b.column(at).field(text_at[1]) if stays else b.column(at)
+            f = _features(as_bytes(texts))
+            keep = [i for i in range(b.num_columns) if stays or i != at]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(i) for i in keep), *(pa.array(f[n]) for n in names)],
                 names=[*(b.schema.names[i] for i in keep), *names],
@@ -113,7 +119,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
             F.col(stratum_col).cast("string").alias("stratum"),
             F.col(text_col).cast("string").alias("text"),
         ),
-        "text",
+        ("text",),
     )
 
 
@@ -214,9 +220,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: fl
     """
     feats = materialize(features(docs, id_col, text_col, stratum_col), "quality")
     cuts = materialize(cutoffs(feats, labels, alpha, delta), "quality-cuts")
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    named = docs.select(
-        row, F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).cast("string").alias("text")
-    )
-    judged = judge(_with_features(named, "text"), cuts)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # a struct, so that no name clashes
+    named = docs.select(row, F.col(stratum_col).cast("string").alias("stratum"))
+    judged = judge(_with_features(named, ("row", text_col)), cuts)
     return judged.where("kept").select("row.*")
