@@ -60,3 +60,11 @@ def alignments(hits: DataFrame, protein: DataFrame, max_gap: float = 0.7) -> Dat
         return pd.DataFrame({"query": pd.Series([query] * len(names), dtype="int64"), "target": pd.Series(names, dtype="int64"), "row": pd.Series(cut, dtype=object)})
 
     return rows.groupBy("query").applyInPandas(run, ALIGNMENT)
+
+
+def column_gaps(aligned: DataFrame, max_gap: float = 0.7) -> DataFrame:
+    """(query, position, gaps, rows, good): gaps of each column of an alignment, counted in Spark."""
+    rows = aligned.groupBy("query").agg(F.count("*").alias("rows"))
+    cells = aligned.select("query", F.posexplode(F.split("row", "")).alias("position", "cell"))
+    per = cells.groupBy("query", "position").agg(F.count_if(F.col("cell") == "-").alias("gaps"))
+    return per.join(rows, "query").withColumn("good", F.col("gaps") / F.col("rows") < max_gap)
