@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.words import as_bytes, slices
+from cladeframe.llm.words import as_bytes, bound_batches, slices
 
 Q = 10
 _SPACES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -199,6 +199,7 @@ def banded(needle: bytes, text: bytes, low: int, high: int, budget: int) -> tupl
 
 def indexes(bench: DataFrame, window: int, rate: float, group_bytes: int, id_col: str, text_col: str) -> Iterator[Index]:
     """Indexes over groups of items of about ``group_bytes`` each."""
+    bound_batches(bench.sparkSession)
     items = bench.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > 0)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeframe.llm.words import bound_batches
+
 # Element kinds of HTML.
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -265,5 +267,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 names=["page_id", "url", "text", "n_chars"],
             )
 
+    bound_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cladeframe.functions.storage import materialize
-from cladeframe.llm.words import WordHashes, as_bytes, rolling, slices, starts_within
+from cladeframe.llm.words import WordHashes, as_bytes, bound_batches, rolling, slices, starts_within
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SYMBOLS = b"#*$%&|<>"
@@ -108,6 +108,7 @@ def _with_features(rows: DataFrame, text_at: tuple[str, ...]) -> DataFrame:
                 names=[*(b.schema.names[i] for i in keep), *names],
             )
 
+    bound_batches(rows.sparkSession)
     return rows.mapInArrow(run, schema)
 
 

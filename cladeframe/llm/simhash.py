@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.functions.storage import materialize
-from cladeframe.llm.words import as_bytes, slices
+from cladeframe.llm.words import as_bytes, bound_batches, slices
 from cladeframe.operators.components import connected_components
 
 BITS = 64
@@ -81,6 +81,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str =
             fp = _fingerprints(as_bytes(b.column(1)), width, seed)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(2)], names=["doc_id", "fp", "row"])
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.withColumn("row", F.xxhash64("doc_id", "text")).mapInArrow(run, "doc_id long, fp long, row long")
 

@@ -30,6 +30,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from cladeframe.llm.words import bound_batches
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -41,7 +43,7 @@ EDITS = "array<struct<at:int,removed:int,inserted:string>>"
 class Counter(dict):
     """Tokens of a pre-token; remembers the frequent ones, within a fixed bound."""
 
-    LIMIT = 1 << 18
+    LIMIT = 1 << 16
 
     def __init__(self, vocabulary: bytes):
         super().__init__()
@@ -170,6 +172,7 @@ def _vocabulary(df: DataFrame, path: str):
 
 def with_trees(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``docs`` with the column ``tree``; ``tree.sums[1]`` is the number of tokens."""
+    bound_batches(docs.sparkSession)
     known = _vocabulary(docs, vocabulary)
     schema = T.StructType([*docs.schema.fields, T.StructField("tree", TREE)])
     kind = pa.struct([("starts", pa.list_(pa.int32())), ("sums", pa.list_(pa.int32()))])
@@ -190,6 +193,7 @@ def apply_edits(docs: DataFrame, text_col: str = "text", edits_col: str = "edits
     Returns the columns of ``docs`` but the edits, text and tree brought up to
     date, and ``n_encoded``, the number of pre-tokens encoded again.
     """
+    bound_batches(docs.sparkSession)
     known = _vocabulary(docs, vocabulary)
     schema = T.StructType([*(f for f in docs.schema.fields if f.name != edits_col), T.StructField("n_encoded", T.LongType())])
     kind = pa.struct([("starts", pa.list_(pa.int32())), ("sums", pa.list_(pa.int32()))])

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -23,10 +23,21 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Rows of an Arrow batch. Texts of some kilobytes make batches of some megabytes, in Python and in the JVM.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of rows a batch, unless it is as low already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class WordHashes(dict):
     """64-bit hash of a word; remembers the frequent ones, within a fixed bound."""
 
-    LIMIT = 1 << 18
+    LIMIT = 1 << 16
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
