@@ -1,0 +1,80 @@
+import numpy as np
+import pytest
+from fixtures import documents, frame, words
+from pyspark.sql import functions as F
+
+from cladeframe.llm.mixing import Mixture, _split, permute, targets
+
+
+def test_targets():
+    assert targets([100, 100, 100]) == pytest.approx([200, 250 / 3, 500 / 3])
+    got = targets([10, 1000, 10, 10])
+    assert got[0] == 20 and got[2] == 20 and got[3] == 20 and sum(got) == pytest.approx(1545)
+    assert targets([]) == [] and targets([0, 0]) == [0, 0] and targets([7]) == pytest.approx([10.5])
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 100, 1000, 4097])
+def test_permutations(n):
+    a, b = permute(np.arange(n), n, [1, 2]), permute(np.arange(n), n, [1, 3])
+    assert sorted(a) == list(range(n)) == sorted(b)
+    if n > 50:
+        assert (a != b).any() and abs(np.corrcoef(a, np.arange(n))[0, 1]) < 0.5
+
+
+def test_draws_are_exact_and_repeatable():
+    c = np.array([5, 0, 1000, 37])
+    a = _split((1, 0, 9), c, 500)
+    assert a.sum() == 500 and (a <= c).all() and (a == _split((1, 0, 9), c, 500)).all()
+    big = np.array([4 * 10**11, 10**11, 3])
+    a = _split((1, 0, 9), big, 10**11)
+    assert a.sum() == 10**11 and (a <= big).all()
+
+
+def test_mixture(spark):
+    docs = [d for d in documents(n=200)]
+    df = frame(spark, docs).withColumn("row", F.lit(1)).withColumn("size", F.lit(2)).withColumn("block", F.lit(3))
+    m = Mixture(df, block_words=16, shard_slots=8)
+    rows = m.taken().collect()
+    size = {}
+    for d in docs:
+        size.setdefault(d[3], 0)
+        size[d[3]] += len(words(d[1]))
+    order = sorted((s for s in size if s is not None)) + [None]
+    goal = dict(zip(order, targets([size[s] for s in order])))
+    assert sorted(((r.doc_id, r["size"]) for r in rows), key=str) == sorted(((d[0], len(words(d[1]))) for d in docs), key=str)
+    assert all(0 <= r.taken <= 2 * r["size"] for r in rows)
+    by_target = {}
+    for r in rows:
+        by_target.setdefault((r.source_size, round(r.target, 6)), 0)
+        by_target[r.source_size, round(r.target, 6)] += r.taken
+    for s in order:
+        assert abs(by_target[size[s], round(goal[s], 6)] - goal[s]) <= 1
+    again = Mixture(frame(spark, docs[::-1], partitions=3), block_words=16, shard_slots=8).taken().collect()
+    key = lambda rs: sorted(map(str, rs))
+    assert key(rows) == key(again)
+
+
+def test_slots_are_whole_and_texts_hold_their_words(spark):
+    docs = [(i, " ".join(f"d{i}w{j}" for j in range(7 + i)), "en", f"s{i % 3}", 1) for i in range(30)]
+    df = frame(spark, docs)
+    m = Mixture(df, block_words=10, shard_slots=4)
+    slots = m.slots.collect()
+    assert len({(s.shard, s.slot) for s in slots}) == len(slots)
+    per = {}
+    for s in slots:
+        per.setdefault(s.shard, []).append(s.slot)
+    assert all(sorted(v) == list(range(len(v))) and len(v) <= 4 for v in per.values())
+    taken = {r.doc_id: r.taken for r in m.taken().collect()}
+    seen: dict[int, int] = {}
+    for t in m.texts(df).collect():
+        for w in t.text.split():
+            i = int(w[1:].split("w")[0])
+            seen[i] = seen.get(i, 0) + 1
+            assert i in t.doc_ids
+    assert seen == {k: v for k, v in taken.items() if v}
+
+
+def test_empty_and_wordless(spark):
+    assert Mixture(frame(spark, [])).taken().count() == 0
+    rows = Mixture(frame(spark, [(1, None, "en", None, 1), (2, " ", "en", "a", 1)])).taken().collect()
+    assert [(r["size"], r.target, r.taken) for r in rows] == [(0, 0.0, 0)] * 2

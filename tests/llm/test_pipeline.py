@@ -1,0 +1,36 @@
+from fixtures import words
+
+import corpus_pipeline
+from cladeframe.llm.decontamination import contamination
+from cladeframe.llm.quality import quality
+from cladeframe.llm.secret_scan import RULES, pattern_matches
+
+D = "/root/testdata/sf0.001"
+
+
+def test_stages_take_effect_one_after_the_other(spark, tmp_path):
+    read = lambda n: spark.read.parquet(f"{D}/{n}.parquet")
+    docs = first = read("documents")
+    out = []
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, D).write.parquet(str(tmp_path / str(i)))
+        docs = spark.read.parquet(str(tmp_path / str(i)))
+        out.append(docs)
+        if i < 4:
+            assert docs.columns == first.columns, name
+    ids = [{r[0] for r in x.select("doc_id").collect()} for x in [first, *out]]
+    assert all(b <= a for a, b in zip(ids, ids[1:]))
+    kept = {r.doc_id for r in quality(first, read("labels")).where("kept").collect()}
+    assert ids[1] == kept
+    hits = {r.doc_id for r in contamination(out[1], read("benchmark")).collect()}
+    assert hits and ids[3] == ids[2] - hits
+    before = {r.doc_id: r.text for r in out[2].collect()}
+    after = {r.doc_id: r.text for r in out[3].collect()}
+    found = {i for i, t in before.items() if any(pattern_matches(r, t) for r in RULES)}
+    assert {i for i in before if before[i] != after[i]} == found
+    assert not any(pattern_matches(r, t) for t in after.values() for r in RULES[1:])
+    sizes = {r.doc_id: r["size"] for r in out[4].collect()}
+    assert sizes == {i: len(words(t)) for i, t in after.items()}
+    run = corpus_pipeline.run(spark, D)
+    assert sorted(map(str, run.collect())) == sorted(map(str, out[4].collect()))
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "benchmark_decontamination", "secret_scans", "source_mixing"]

@@ -1,0 +1,77 @@
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from fixtures import documents, frame, words
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from cladeframe.llm.substring_dedup import _pack, _unpack, chunk_count, substring_dedup
+
+
+def brute(docs, width):
+    top = 1 << 70
+    key = lambda i: top if i is None else i
+    least = {}
+    split = [(key(d[0]), words(d[1])) for d in docs]
+    for i, w in split:
+        for j in range(len(w) - width + 1):
+            s = tuple(w[j : j + width])
+            least[s] = min(least.get(s, top), i)
+    out = []
+    for i, w in split:
+        gone = set()
+        for j in range(len(w) - width + 1):
+            if least[tuple(w[j : j + width])] < i:
+                gone.update(range(j, j + width))
+        out.append((None if i == top else i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    return sorted(out, key=str)
+
+
+def got(df):
+    return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in df.collect()), key=str)
+
+
+def test_against_brute_force(spark):
+    docs = documents()
+    for width in (13, 5, 1):
+        out = substring_dedup(frame(spark, docs), width)
+        assert got(out) == brute(docs, width)
+
+
+def test_intervals_are_maximal_and_disjoint(spark):
+    for r in substring_dedup(frame(spark, documents()), 5).collect():
+        spans = [(s.start, s.end) for s in r.removed]
+        assert sum(b - a for a, b in spans) == r.n_removed
+        assert all(a2 > b1 for (_, b1), (a2, _) in zip(spans, spans[1:]))
+
+
+def test_query_digest_and_clashing_columns(spark, tmp_path):
+    from cladeframe.llm.queries import op1_substring_dedup
+
+    docs = documents()
+    frame(spark, docs).withColumn("chunk", F.lit(1)).withColumn("hashes", F.lit("x")).write.parquet(str(tmp_path / "documents.parquet"))
+    have = sorted(map(str, ((r.doc_id, r.kept_sha256) for r in op1_substring_dedup(spark, str(tmp_path)).collect())))
+    want = sorted(str((i, hashlib.sha256(t.encode()).hexdigest())) for i, _, _, t in brute(docs, 13))
+    assert have == want
+
+
+def test_copies_in_bulk_and_empty_table(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = [(i, text, "en", "s", 1) for i in range(400)]
+    out = got(substring_dedup(frame(spark, docs)))
+    assert [r[2] for r in sorted(out)] == [0] + [40] * 399
+    assert got(substring_dedup(frame(spark, []))) == []
+
+
+@given(st.lists(st.integers(0, 2**64 - 1), unique=True, max_size=50))
+def test_packing_round_trip(values):
+    h = np.sort(np.array(values, np.uint64))
+    if len(h):
+        assert (_unpack(pa.py_buffer(_pack(h)), len(h)) == h).all()
+
+
+def test_chunks_grow_with_the_input():
+    assert chunk_count(0, 8) == 8 and chunk_count(10**9, 8) == 159
+    assert 10**14 / chunk_count(10**14, 8) <= 256 << 20
