@@ -1,0 +1,64 @@
+import builtins
+import importlib
+import sys
+
+import pytest
+
+
+def test_names_of_queries_and_sql():
+    import __spark_entry__ as e
+
+    assert set(e.oracle_sql()) <= set(e.queries())
+    assert len(e.queries()) >= 40
+
+
+def test_the_rest_works_without_the_llm_folder(monkeypatch):
+    real = builtins.__import__
+
+    def without(name, *args, **kwargs):
+        if name.startswith("cladeframe.llm") or name == "corpus_pipeline" or (name == "cladeframe.llm" or "llm" in (args[2] or ()) if len(args) > 2 else False):
+            raise ImportError(name)
+        return real(name, *args, **kwargs)
+
+    saved = {k: sys.modules.pop(k) for k in list(sys.modules) if k.startswith("cladeframe.llm") or k in ("corpus_pipeline", "__spark_entry__")}
+    monkeypatch.setattr(builtins, "__import__", without)
+    try:
+        e = importlib.import_module("__spark_entry__")
+        assert "pair_count" in e.queries() and not any(n.startswith("op") and n[2].isdigit() for n in e.queries())
+    finally:
+        sys.modules.pop("__spark_entry__", None)
+        sys.modules.update(saved)
+
+
+def test_nothing_outside_llm_imports_it():
+    import pathlib
+
+    root = pathlib.Path(__file__).resolve().parent.parent / "cladeframe"
+    for p in root.rglob("*.py"):
+        if "llm" not in p.relative_to(root).parts:
+            assert "llm" not in p.read_text(), p
+
+
+@pytest.mark.parametrize("name", ["kmer_cluster_rep", "label_propagation"])
+def test_queries_without_sql_run(spark, name):
+    import __spark_entry__ as e
+
+    assert e.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_every_sql_query_matches_duckdb(spark):
+    import duckdb
+
+    from cladeframe.plans.queries import QUERIES
+    from cladeframe.plans.sql import SQL
+
+    c = duckdb.connect()
+    d = "/root/testdata/sf0.001"
+    for t in "region nation customer supplier part orders lineitem events documents benchmark".split():
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    for name, sql in SQL.items():
+        got, want = QUERIES[name](spark, d).toPandas(), c.execute(sql).df()
+        cols = sorted(got.columns)
+        assert cols == sorted(want.columns), name
+        flat = lambda df: sorted(map(str, df[cols].itertuples(index=False, name=None)))  # noqa: E731,B023
+        assert flat(got) == flat(want), name
