@@ -43,9 +43,14 @@ class Rule:
     least: int = 1
 
 
+def either_case(words: str) -> str:
+    """A pattern for ASCII letters in either case; a case-insensitive flag folds further letters in some engines."""
+    return re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", words)
+
+
 #: The fixed base rules. ``{24,}`` finds the runs of ``+`` that are long enough.
 BASE = (
-    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    Rule("assign", f"({either_case('password|passwd|secret|token|api_?key')})" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
