@@ -6,6 +6,7 @@ setting is absent (tests, a laptop) is a folder of our own used.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -48,3 +49,21 @@ def discard(df: DataFrame) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Plan nodes that neither shuffle nor compute much.
+_NARROW = frozenset(("Project", "Filter", "Relation", "LocalRelation"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it is read in fewer partitions than there are.
+
+    For narrow stages over one small file.  A table of many files stays where it
+    is, without a shuffle, and so does the output of a shuffle.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {m[1] for line in plan.splitlines() if (m := re.match(r"[\s:+|-]*(\w+)", line))}
+    if not nodes <= _NARROW:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

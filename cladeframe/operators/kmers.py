@@ -1,9 +1,12 @@
 """Near-duplicates within a group by shared k-mers.
 
-K-mers are hashed where the sequences are read (two 64-bit rolling hashes), so
-16 bytes a k-mer are shuffled and not its characters.  A k-mer links its
-sequences as a star to the least of them: linear in its postings and of the same
-components as linking all pairs.
+Sequences are hashed where they are read (two 64-bit rolling hashes a k-mer).
+A task reduces its k-mers to one entry each, with the least sequence that has
+it and the number of sequences, and links its own repeats as stars.  Entries
+travel as packed arrays to buckets by hash range, where the least sequences of
+different tasks meet.  So a k-mer that a third of all sequences share is one
+entry a task, and stars keep links linear: they give the components that all
+pairs would.
 """
 
 from __future__ import annotations
@@ -16,9 +19,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cladeframe.functions.storage import materialize
+from cladeframe.functions.storage import materialize, shuffle_partitions, spread
 from cladeframe.operators.components import connected_components
 
+BASES = ((1, 0xD6E8FEB86659FD93), (2, 0xA0761D6478BD642F))
+#: K-mers that a task holds before it reduces them.
+HELD = 2_000_000
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    known = _powers.get(base)
+    if known is None or len(known) < n:
+        p = np.full(max(n, 4096), np.uint64(base))
+        p[0] = 1
+        known = _powers[base] = np.cumprod(p, dtype=np.uint64)
+    return known[:n]
+
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     x = (x + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
@@ -27,95 +44,167 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
+def _runs(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal hash pairs are adjacent, and where each run begins in it."""
+    order = np.argsort(h1)
+    a, b = h1[order], h2[order]
+    same = a[1:] == a[:-1]
+    if (same & (b[1:] != b[:-1])).any():
+        order = np.lexsort((h2, h1))
+        a, b = h1[order], h2[order]
+        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    begin = np.flatnonzero(np.r_[True, ~same]) if len(order) else np.empty(0, np.int64)
+    return order, begin
+
+
 def rolling_kmers(seq: str, k: int, min_distinct: int, forbidden: str) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each distinct valid k-mer of a sequence."""
-    none = np.empty(0, np.int64)
+    none = np.empty(0, np.uint64)
     if len(seq) < k:
         return none, none
-    code = np.frombuffer(seq.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    code = np.frombuffer(seq.encode("utf-32-le"), np.uint32)
     n = len(code)
     starts = n - k + 1
     # A character counts in the windows from after its last occurrence, or k - 1 back, up to itself.
-    by = np.argsort(code, kind="stable")
+    by = np.argsort(code.astype(np.uint16) if code.max() < 65536 else code, kind="stable")
     last = np.full(n, -1, np.int64)
     same = code[by[1:]] == code[by[:-1]]
     last[by[1:][same]] = by[:-1][same]
     at = np.arange(n)
     first = np.maximum(last + 1, at - k + 1)
-    step = np.zeros(n + 1, np.int64)
-    np.add.at(step, first, 1)
-    np.add.at(step, at + 1, -1)
+    step = np.bincount(first, minlength=n + 1)
+    step[1:] -= 1
     ok = np.cumsum(step)[:starts] >= min_distinct
-    bad = np.isin(code, [ord(c) for c in forbidden])
+    bad = np.zeros(n, bool)
+    for c in forbidden:
+        bad |= code == ord(c)
     if bad.any():
         upto = np.r_[0, np.cumsum(bad)]
         ok &= upto[k:] == upto[:-k]
     if not ok.any():
         return none, none
     out = []
-    for salt, base in ((1, 0xD6E8FEB86659FD93), (2, 0xA0761D6478BD642F)):
+    for salt, base in BASES:
         # prefix sums of mix(c_j) b**j modulo 2**64; b is odd, so b**-i brings a window to its own power
-        def powers(x: int) -> np.ndarray:
-            p = np.full(n, np.uint64(x))
-            p[:1] = 1
-            return np.cumprod(p, dtype=np.uint64)
-
-        sums = np.r_[np.uint64(0), np.cumsum(_mix(code, salt) * powers(base), dtype=np.uint64)]
-        out.append(((sums[k:] - sums[:-k]) * powers(pow(base, -1, 1 << 64))[:starts])[ok].view(np.int64))
-    pairs = np.unique(np.stack(out, axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def kmer_postings(seqs: DataFrame, k: int = 100, min_distinct: int = 15, id_col: str = "protein_id", group_col: str = "species_id", seq_col: str = "seq", forbidden: str = "X*") -> DataFrame:
-    """(grp, h1, h2, id): the distinct valid k-mers of each sequence."""
-    rows = seqs.select(F.col(group_col).alias("grp"), F.col(id_col).cast("long").alias("id"), F.col(seq_col).cast("string").alias("seq"))
-    schema = T.StructType([rows.schema["grp"], T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("id", T.LongType())])
+        sums = np.r_[np.uint64(0), np.cumsum(_mix(code.astype(np.uint64), salt) * _power(base, n), dtype=np.uint64)]
+        out.append(((sums[k:] - sums[:-k]) * _power(pow(base, -1, 1 << 64), n)[:starts])[ok])
+    order, begin = _runs(*out)
+    return out[0][order[begin]], out[1][order[begin]]
+
+
+def _stars(ids: np.ndarray, order: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Least id and length of each run, and the distinct links from least ids to the others."""
+    ids = ids[order]
+    size = np.diff(np.r_[begin, len(ids)])
+    least = np.minimum.reduceat(ids, begin) if len(begin) else np.empty(0, np.int64)
+    src = np.repeat(least, size)
+    other = ids != src
+    src, dst = src[other], ids[other]
+    by = np.lexsort((dst, src))
+    src, dst = src[by], dst[by]
+    new = np.r_[True, (src[1:] != src[:-1]) | (dst[1:] != dst[:-1])] if len(src) else np.zeros(0, bool)
+    return least, size, src[new], dst[new]
+
+
+PACKED = ("h1", "h2", "least", "n", "src", "dst")
+
+
+def _reduced(seqs: DataFrame, k: int, min_distinct: int, forbidden: str, buckets: int) -> DataFrame:
+    """(grp, bucket, packed arrays) for each task, group and bucket."""
+    kind = seqs.schema["grp"]
+    schema = T.StructType([kind, T.StructField("bucket", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in PACKED)])
+    edges = np.array([(j << 64) // buckets for j in range(1, buckets)], dtype=np.uint64)
+
+    def flush(groups: dict, arrow: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for g, held in groups.items():
+            h1, h2, ids = (np.concatenate(x) for x in zip(*held))
+            order, begin = _runs(h1, h2)
+            least, size, src, dst = _stars(ids, order, begin)
+            h1, h2 = h1[order[begin]], h2[order[begin]]
+            cuts = [0, *np.searchsorted(h1, edges), len(h1)]
+            rows: list[list] = [[] for _ in range(7)]
+            for j in range(buckets):
+                a, b = cuts[j], cuts[j + 1]
+                if a < b:
+                    links = (src, dst) if not rows[0] else (src[:0], dst[:0])  # links go with the first row
+                    for r, v in zip(rows, (j, h1[a:b], h2[a:b], least[a:b], size[a:b], *links)):
+                        r.append(v if isinstance(v, int) else v.tobytes())
+            if rows[0]:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([g] * len(rows[0]), arrow), pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["grp", "bucket", *PACKED]
+                )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict = {}
+        held, arrow = 0, None
         for b in batches:
-            held: list[tuple] = []
-            size = 0
-            for i, s in enumerate(b.column(2).to_pylist()):
+            arrow = b.column(0).type
+            for g, i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 h1, h2 = rolling_kmers(s or "", k, min_distinct, forbidden)
                 if len(h1):
-                    held.append((np.full(len(h1), i), h1, h2))
-                    size += len(h1)
-                if size > 200_000 or (held and i == b.num_rows - 1):
-                    at = pa.array(np.concatenate([x[0] for x in held]))
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(at), pa.array(np.concatenate([x[1] for x in held])), pa.array(np.concatenate([x[2] for x in held])), b.column(1).take(at)],
-                        names=["grp", "h1", "h2", "id"],
-                    )
-                    held, size = [], 0
-
-    return rows.mapInArrow(run, schema)
-
-
-def shared_kmers(postings: DataFrame) -> DataFrame:
-    """(grp, h1, h2, least, n) of the k-mers that more than one sequence of a group has."""
-    found = postings.groupBy("grp", "h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"))
-    return found.where("least < most").drop("most")
-
-
-def kmer_links(postings: DataFrame) -> DataFrame:
-    """(grp, src, dst): a star over the sequences of each shared k-mer."""
-    shared = shared_kmers(postings).select(F.col("grp").alias("g"), F.col("h1").alias("x1"), F.col("h2").alias("x2"), "least")
-    return (
-        postings.join(shared, F.col("grp").eqNullSafe(F.col("g")) & (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2")))
-        .where(F.col("id") > F.col("least"))
-        .select("grp", F.col("least").alias("src"), F.col("id").alias("dst"))
-        .distinct()
+                    groups.setdefault(g, []).append((h1, h2, np.full(len(h1), i, np.int64)))
+                    held += len(h1)
+                if held >= HELD:
+                    yield from flush(groups, arrow)
+                    groups, held = {}, 0
+        if groups:
+            yield from flush(groups, arrow)
+
+    return seqs.mapInArrow(run, schema)
+
+
+def _meet(t: pa.Table) -> pa.Table:
+    """Links between the least sequences of one bucket's k-mers, those made before, and its counts."""
+    flat = lambda c, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t.column(c)])
+    h1, h2, ids, n = flat("h1", np.uint64), flat("h2", np.uint64), flat("least", np.int64), flat("n", np.int64)
+    order, begin = _runs(h1, h2)
+    _, size, src, dst = _stars(ids, order, begin)
+    total = np.add.reduceat(n[order], begin)
+    shared = total > 1
+    src, dst = np.r_[flat("src", np.int64), src], np.r_[flat("dst", np.int64), dst]
+    links = [None] * len(src)
+    return pa.table(
+        [
+            pa.array([t.column("grp")[0].as_py()] * (len(src) + 1), t.column("grp").type),
+            pa.array([None, *src.tolist()], pa.int64()),
+            pa.array([None, *dst.tolist()], pa.int64()),
+            pa.array([int(shared.sum()), *links], pa.int64()),
+            pa.array([int(total[shared].sum()), *links], pa.int64()),
+        ],
+        names=["grp", "src", "dst", "n_shared", "n_postings"],
     )
 
 
+def kmer_meetings(seqs: DataFrame, k: int = 100, min_distinct: int = 15, id_col: str = "protein_id", group_col: str = "species_id", seq_col: str = "seq", forbidden: str = "X*") -> DataFrame:
+    """(grp, src, dst, n_shared, n_postings): links, and rows of counts without a link.
+
+    Ids must be unique.  Sequences shorter than ``k``, null ones among them, have none.
+    """
+    rows = seqs.select(F.col(group_col).alias("grp"), F.col(id_col).cast("long").alias("id"), F.col(seq_col).cast("string").alias("seq"))
+    total = rows.agg(F.sum(F.length("seq"))).first()[0] or 0
+    buckets = max(shuffle_partitions(seqs.sparkSession), min(4096, total * 32 // (16 << 20)))
+    packed = _reduced(spread(rows), k, min_distinct, forbidden, buckets)
+    schema = T.StructType([rows.schema["grp"], *(T.StructField(c, T.LongType()) for c in ("src", "dst", "n_shared", "n_postings"))])
+    return packed.groupBy("grp", "bucket").applyInArrow(_meet, schema)
+
+
+def kmer_links(seqs: DataFrame, k: int = 100, min_distinct: int = 15, id_col: str = "protein_id", group_col: str = "species_id", seq_col: str = "seq") -> DataFrame:
+    """(grp, src, dst): stars over the sequences that share a k-mer."""
+    return kmer_meetings(seqs, k, min_distinct, id_col, group_col, seq_col).where("src IS NOT NULL").select("grp", "src", "dst")
+
+
+def shared_kmers(seqs: DataFrame, k: int = 100, min_distinct: int = 15, id_col: str = "protein_id", group_col: str = "species_id", seq_col: str = "seq") -> DataFrame:
+    """(grp, n_shared, n_postings): k-mers of a group that several sequences have, and how many have them."""
+    out = kmer_meetings(seqs, k, min_distinct, id_col, group_col, seq_col).where("n_shared IS NOT NULL")
+    return out.groupBy("grp").agg(F.sum("n_shared").alias("n_shared"), F.sum("n_postings").alias("n_postings"))
+
+
 def kmer_clusters(seqs: DataFrame, k: int = 100, min_distinct: int = 15, id_col: str = "protein_id", group_col: str = "species_id", seq_col: str = "seq") -> DataFrame:
     """(rep_id, member_id, grp) for every sequence; the longest of a cluster represents it, ties by id.
 
-    Ids must be unique.  Sequences without a shared k-mer, shorter ones among
-    them, represent themselves.
+    Ids must be unique.  Sequences without a shared k-mer represent themselves.
     """
-    links = kmer_links(kmer_postings(seqs, k, min_distinct, id_col, group_col, seq_col))
-    comps = connected_components(links)
+    comps = connected_components(kmer_links(seqs, k, min_distinct, id_col, group_col, seq_col))
     rows = seqs.select(F.col(id_col).cast("long").alias("member_id"), F.col(group_col).alias("grp"), F.coalesce(F.length(seq_col), F.lit(0)).alias("size"))
     named = materialize(
         rows.join(comps, rows["member_id"] == comps["node"], "left").select("member_id", "grp", "size", F.coalesce("component", "member_id").alias("component")),

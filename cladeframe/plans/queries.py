@@ -16,7 +16,7 @@ from cladeframe.functions.storage import materialize
 from cladeframe.functions.strings import expand_hsp, kmers, valid_kmer
 from cladeframe.operators import align, census, chimera, communities, events, network, reports
 from cladeframe.operators.components import connected_components
-from cladeframe.operators.kmers import kmer_clusters, kmer_postings, shared_kmers
+from cladeframe.operators.kmers import kmer_clusters, shared_kmers
 from cladeframe.sources import fasta
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,8 +120,7 @@ def kmer_valid(spark, d):
 
 @query
 def kmer_shared(spark, d):
-    posts = kmer_postings(_table(spark, d, "documents"), id_col="doc_id", group_col="lang", seq_col="text")
-    return shared_kmers(posts).groupBy(F.col("grp").alias("lang")).agg(F.count("*").alias("n_shared"), F.sum("n").alias("n_postings"))
+    return shared_kmers(_table(spark, d, "documents"), id_col="doc_id", group_col="lang", seq_col="text").withColumnRenamed("grp", "lang")
 
 
 @query

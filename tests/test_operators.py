@@ -95,6 +95,22 @@ def test_kmer_clusters_against_brute_force(spark):
     assert rows(kmer_clusters(df, 8, 5)) == brute_clusters(seqs, 8, 5)
 
 
+def test_shared_kmers_against_brute_force(spark):
+    from collections import Counter
+
+    from cladeframe.operators import kmers as module
+
+    rng = random.Random(6)
+    base = ["".join(rng.choice("ACDEFGHIKLM") for _ in range(60)) for _ in range(4)]
+    seqs = [(i, rng.choice([0, 1, None]), base[rng.randrange(4)][rng.randrange(20) :]) for i in range(80)]
+    want: dict = {}
+    for _, g, s in seqs:
+        want.setdefault(g, Counter()).update({s[j : j + 12] for j in range(len(s) - 11) if len(set(s[j : j + 12])) >= 6})
+    df = spark.createDataFrame(seqs, "protein_id long, species_id int, seq string").repartition(5)
+    got = {r.grp: (r.n_shared, r.n_postings) for r in module.shared_kmers(df, 12, 6).collect()}
+    assert got == {g: (sum(v > 1 for v in c.values()), sum(v for v in c.values() if v > 1)) for g, c in want.items()}
+
+
 def test_a_chain_of_kmers_and_a_tie(spark):
     a, b, c = "ABCDEFGH", "EFGHIJKL", "IJKLMNOP"
     df = spark.createDataFrame([(3, 0, a), (2, 0, b), (1, 0, c), (0, 0, "AAAAAAAA"), (4, 1, a), (5, 0, None)], "protein_id long, species_id int, seq string")
