@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeframe.functions.storage import spread
 from cladeframe.llm.words import as_bytes, bound_batches, slices
 
 Q = 10
@@ -209,13 +210,13 @@ def indexes(bench: DataFrame, window: int, rate: float, group_bytes: int, id_col
         yield Index(got, window, rate)
 
 
-def contamination(docs: DataFrame, bench: DataFrame, window: int = 100, rate: float = 0.08, group_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, bench: DataFrame, window: int = 64, rate: float = 0.08, group_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, start, end, edits, shared): the best hit of each item in each row.
 
     start and end are byte places in the lower-cased text, end exclusive.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     out = None
     for index in indexes(bench, window, rate, group_bytes, "item_id", "text"):
         known = spark.sparkContext.broadcast(index)
@@ -234,9 +235,9 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = 100, rate: fl
     return out
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 100, rate: float = 0.08, group_bytes: int = 4 << 20, text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 64, rate: float = 0.08, group_bytes: int = 4 << 20, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without a hit, with all their columns."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, spread(docs)
     for index in indexes(bench, window, rate, group_bytes, "item_id", "text"):
         known = spark.sparkContext.broadcast(index)
 

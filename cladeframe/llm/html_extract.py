@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeframe.functions.storage import spread
 from cladeframe.llm.words import bound_batches
 
 # Element kinds of HTML.
@@ -269,4 +270,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     bound_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return spread(rows).mapInArrow(run, "page_id long, url string, text string, n_chars long")

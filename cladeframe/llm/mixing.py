@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cladeframe.functions.storage import materialize, shuffle_partitions
+from cladeframe.functions.storage import materialize, shuffle_partitions, spread
 from cladeframe.llm.words import word_count
 
 WEIGHTS = (3, 1, 2)
@@ -173,7 +173,7 @@ class Mixture:
 
     def __init__(self, docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
         spark = docs.sparkSession
-        sized = docs.select(
+        sized = spread(docs).select(
             F.col(id_col).cast("long").alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             word_count(F.col(text_col).cast("string")).alias("size"),

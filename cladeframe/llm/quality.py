@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cladeframe.functions.storage import materialize
+from cladeframe.functions.storage import materialize, spread
 from cladeframe.llm.words import WordHashes, as_bytes, bound_batches, rolling, slices, starts_within
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -109,7 +109,7 @@ def _with_features(rows: DataFrame, text_at: tuple[str, ...]) -> DataFrame:
             )
 
     bound_batches(rows.sparkSession)
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:

@@ -25,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladeframe.functions.storage import spread
+
 try:  # the parser's place since Python 3.11
     from re import _constants as sre
     from re import _parser as parser
@@ -206,7 +208,7 @@ def _spans(rule: Rule, order: int) -> Column:
 
 def _scanned(docs: DataFrame, rules: tuple[Rule, ...], text_col: str, key: Column) -> DataFrame:
     """``docs`` with an array of spans (at, order, end, kind), ordered by start and then by rule."""
-    rows = docs.withColumn("__key", key)
+    rows = spread(docs).withColumn("__key", key)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     index = _candidates(rows.select(F.col("__key").alias("key"), text.alias("text")), rules)
     queried = [c[4:] for c in index.columns if c.startswith("may_")]

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.functions.storage import materialize
+from cladeframe.functions.storage import materialize, spread
 from cladeframe.llm.words import as_bytes, bound_batches, slices
 from cladeframe.operators.components import connected_components
 
@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str =
 
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.withColumn("row", F.xxhash64("doc_id", "text")).mapInArrow(run, "doc_id long, fp long, row long")
+    return spread(rows).withColumn("row", F.xxhash64("doc_id", "text")).mapInArrow(run, "doc_id long, fp long, row long")
 
 
 def _signed(x: int) -> int:

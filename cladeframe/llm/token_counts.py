@@ -30,6 +30,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from cladeframe.functions.storage import spread
 from cladeframe.llm.words import bound_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -184,7 +185,7 @@ def with_trees(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABU
             trees = pa.array([{"starts": s, "sums": t} for s, t in trees], kind)
             yield pa.RecordBatch.from_arrays([*b.columns, trees], names=[*b.schema.names, "tree"])
 
-    return docs.mapInArrow(run, schema)
+    return spread(docs).mapInArrow(run, schema)
 
 
 def apply_edits(docs: DataFrame, text_col: str = "text", edits_col: str = "edits", vocabulary: str = VOCABULARY) -> DataFrame:
