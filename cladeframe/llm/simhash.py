@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -108,14 +109,23 @@ def grid_masks(blocks: int = BLOCKS, distance: int = 2) -> list[int]:
     return [_signed(sum(c)) for c in combinations(own, blocks - distance)]
 
 
-def near_links(fps: DataFrame, distance: int = 2, dense: int = 64) -> DataFrame:
+def grid_blocks(n: int, distance: int = 2) -> int:
+    """Blocks for ``n`` fingerprints: of least expected rows, cells to emit and chance candidates together.
+
+    Two random segments have equal counts with a chance of 3/8.
+    """
+    cost = lambda b: comb(b, distance) * (1 + n * 0.375 ** (32 * (b - distance) / b))
+    return min(range(BLOCKS, 17), key=cost)
+
+
+def near_links(fps: DataFrame, distance: int = 2, dense: int = 64, blocks: int | None = None) -> DataFrame:
     """Links (src, dst) that connect all distinct ``fp`` within the distance of each other.
 
     Only ``distance`` 2 or less.  Within dense cells the links are stars, of
     the same connectivity and each within the distance.
     """
     assert 0 <= distance <= 2
-    masks = grid_masks(distance=2)
+    masks = grid_masks(blocks or grid_blocks(fps.count()))
     code = counts_code(F.col("fp"))
     cells = fps.select("fp", code.alias("code")).select(
         "fp",

@@ -1,10 +1,12 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 from cladeframe.llm.secret_scan import duckdb_sql
+from cladeframe.llm.url_filter import duckdb_sql as url_sql
 
 SQL = {}
 
 SQL["op4_secret_scans"] = duckdb_sql()
+SQL["op7_url_filters"] = url_sql()
 
 SQL["op1_substring_dedup"] = r"""
 WITH w AS (

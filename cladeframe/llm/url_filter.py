@@ -123,3 +123,34 @@ def url_verdicts(pages: DataFrame, rules=RULES, redirects: DataFrame | None = No
         F.col("best.rule").alias("rule"),
         F.coalesce(F.col("best.verdict"), F.when(F.col("alias_blocked"), "block").otherwise("allow")).alias("verdict"),
     )
+
+
+def duckdb_sql(rules=RULES) -> str:
+    """Verdicts of ``pages`` as SQL for DuckDB, links of the pages included."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    table = ", ".join(f"({quote(v)}, {quote(h)}, {quote(p)})" for v, h, p in rules)
+    host = lambda u: f"translate(regexp_extract(coalesce({u}, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    path = lambda u: f"regexp_extract(coalesce({u}, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1)"
+    node = lambda u: f"regexp_replace({u}, '(?s)#.*$', '')"
+    folder = "regexp_extract(url, '^(?s:.*?)://[^/?#]*(?:[^?#]*/)?', 0)"
+    return f"""
+WITH RECURSIVE rules AS (SELECT * FROM (VALUES {table}) t(verdict, h, p)),
+tags AS (SELECT url, unnest(regexp_extract_all(html, {quote(_TAGS)})) AS tag FROM pages WHERE contains(url, '://')),
+goes AS (SELECT url, regexp_extract(tag, {quote(_HREF)}, 1) AS dest FROM tags WHERE regexp_matches(tag, {quote(_KIND)})),
+links AS (SELECT {node("url")} AS s, {node("full_url")} AS d FROM (
+  SELECT url, CASE WHEN contains(dest, '://') THEN dest WHEN starts_with(dest, '//') THEN regexp_extract(url, '^(?s:(.*?))://', 1) || ':' || dest
+    WHEN starts_with(dest, '/') THEN regexp_extract(url, '^(?s:.*?)://[^/?#]*', 0) || dest
+    ELSE CASE WHEN ends_with({folder}, '/') THEN {folder} ELSE {folder} || '/' END || dest END AS full_url
+  FROM goes WHERE dest <> '')),
+e AS (SELECT s AS u, d AS v FROM links WHERE s <> d UNION SELECT d, s FROM links WHERE s <> d),
+reach AS (SELECT u AS node, u AS r FROM e UNION SELECT e.v, r FROM reach JOIN e ON e.u = node WHERE r < e.v),
+classes AS (SELECT node, min(r) AS component FROM reach GROUP BY node),
+judged AS (SELECT component, arg_max(verdict, length(h || p)) AS verdict FROM classes
+  LEFT JOIN rules ON ({host("node")} = h OR ends_with({host("node")}, '.' || h)) AND starts_with({path("node")}, p) GROUP BY component, node),
+agreed AS (SELECT component, bool_or(verdict = 'block') AND NOT coalesce(bool_or(verdict = 'allow'), false) AS b FROM judged GROUP BY component),
+q AS (SELECT row_number() OVER () AS k, page_id, url, {host("url")} AS host, {path("url")} AS path FROM pages),
+own AS (SELECT k, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+  FROM q JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY k)
+SELECT page_id, host, path, rule, coalesce(own.verdict, CASE WHEN b THEN 'block' ELSE 'allow' END) AS verdict
+FROM q LEFT JOIN own USING (k) LEFT JOIN classes ON classes.node = {node("url")} LEFT JOIN agreed USING (component)
+"""

@@ -5,7 +5,7 @@ import xxhash
 from fixtures import LOWER, documents, frame, words
 from pyspark.sql import functions as F
 
-from cladeframe.llm.simhash import counts_code, fingerprints, grid_masks, hex_fingerprint, keep_one, near_duplicates, near_links
+from cladeframe.llm.simhash import counts_code, fingerprints, grid_masks, hex_fingerprint, keep_one, near_duplicates, near_links, grid_blocks
 from cladeframe.operators.components import connected_components
 
 M = (1 << 64) - 1
@@ -68,12 +68,17 @@ def test_dense_cells_link_as_pairs_do(spark):
     df = spark.createDataFrame([(v,) for v in values], "fp long")
     part = classes(values)
     want = {(values[i], values[p]) for i, p in enumerate(part) if part.count(p) > 1}
-    for dense in (0, 5, 10_000):
-        links = near_links(df, 2, dense)
+    for dense, blocks in ((0, None), (5, None), (10_000, None), (10_000, 8)):
+        links = near_links(df, 2, dense, blocks)
         assert all((r.src ^ r.dst).bit_count() <= 2 for r in links.collect())
         assert {tuple(r) for r in connected_components(links).collect()} == want
 
 
+def test_blocks_grow_with_the_fingerprints():
+    got = [grid_blocks(10**k) for k in range(4, 13)]
+    assert got[0] == 5 and got == sorted(got) and got[-1] >= 9
+
+
 def test_long_texts_and_many_shingles():
     t = " ".join(f"w{i % 977}x{i}" for i in range(3000))
     from cladeframe.llm.simhash import _fingerprints

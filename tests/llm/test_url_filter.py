@@ -64,3 +64,23 @@ def test_blocks_pass_to_aliases(spark):
     redirects = spark.createDataFrame([("http://d.com/1", "http://bad.net/9"), (None, "x")], "src string, dst string")
     assert {r.page_id: r.verdict for r in url_verdicts(df, RULES, redirects).collect()}[4] == "block"
     assert url_verdicts(frame(spark, [], SCHEMA), RULES).count() == 0
+
+
+def test_sql_matches(spark):
+    import duckdb
+    import pandas as pd
+
+    from cladeframe.llm.url_filter import duckdb_sql
+
+    pages = [(i, u, None) for i, u in enumerate(URLS)] + [
+        (50, "http://a.com/1", link("canonical", "http://bad.net/1")),
+        (51, "http://b.com/1#top", link("refresh", "http://a.com/1")),
+        (52, "http://c.com/1", link("og", "//b.com/1")),
+        (53, "http://g.com/dir/page", link("canonical", "other")),
+        (54, "http://g.com/dir/other", link("canonical", "http://good.net/ok")),
+        (55, "http://h.com", link("canonical", "x")),
+    ]
+    c = duckdb.connect()
+    c.register("pages", pd.DataFrame(pages, columns=["page_id", "url", "html"]))
+    have = sorted(map(str, url_verdicts(frame(spark, pages, SCHEMA), RULES).select("page_id", "host", "path", "rule", "verdict").toPandas().itertuples(index=False, name=None)))
+    assert have == sorted(map(str, c.execute(duckdb_sql(RULES)).df().itertuples(index=False, name=None)))
