@@ -158,22 +158,32 @@ def certified(n: int, exceed: list[int], alpha: float, level: float) -> int:
     return good
 
 
+def best_level(good: list[int], bad: list[int], allowed: int, worth: int = 10) -> int:
+    """How many steps to go down a ladder of which ``allowed`` hold: where rejected bad rows, less
+    ``worth`` times the rejected good ones, are most; the most lenient of equals, 0 if none gains."""
+    gains = [0, *(b - worth * g for g, b in zip(good[:allowed], bad[:allowed]))]
+    return gains.index(max(gains))
+
+
 def cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """(stratum, n_good, a cutoff or null for each ratio): a row for each labelled stratum."""
-    good = (
+    """(stratum, n_good, a cutoff or null for each ratio): a row for each labelled stratum.
+
+    Of the certified cutoffs of a ratio, which hold together, the one that serves best is taken.
+    """
+    known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-        .agg(F.min("quality").alias("quality"))
-        .where("quality = 1")
-        .select("doc_id")
+        .groupBy(F.col("doc_id").cast("long").alias("__id"))
+        .agg(F.min("quality").alias("__quality"))
     )
-    held = feats.where(~base_failed()).join(good, "doc_id", "left_semi")
+    held = feats.where(~base_failed()).join(known, F.col("doc_id") == F.col("__id"))
+    good = F.col("__quality") == 1
     sums = [
-        F.sum((r > c).cast("long")).alias(f"{name}_{i}")
+        F.count_if((r > c) & (good if kind == "good" else ~good)).alias(f"{kind}_{name}_{i}")
         for name, r in ratios().items()
         for i, c in enumerate(LADDERS[name])
+        for kind in ("good", "bad")
     ]
-    counts = materialize(held.groupBy("stratum").agg(F.count("*").alias("n"), *sums), "quality-counts")
+    counts = materialize(held.groupBy("stratum").agg(F.count_if(good).alias("n"), *sums), "quality-counts")
     strata = max(1, counts.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +192,8 @@ def cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: flo
             cols: dict[str, list] = {name: [] for name in LADDERS}
             for r in rows:
                 for name, ladder in LADDERS.items():
-                    k = certified(r["n"], [r[f"{name}_{i}"] for i in range(len(ladder))], alpha / len(LADDERS), delta / strata / len(LADDERS))
+                    lost, caught = ([r[f"{kind}_{name}_{i}"] for i in range(len(ladder))] for kind in ("good", "bad"))
+                    k = best_level(lost, caught, certified(r["n"], lost, alpha / len(LADDERS), delta / strata / len(LADDERS)))
                     cols[name].append(ladder[k - 1] if k else None)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r["stratum"] for r in rows], pa.string()), pa.array([r["n"] for r in rows], pa.int64()), *(pa.array(v, pa.float64()) for v in cols.values())],

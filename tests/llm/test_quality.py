@@ -4,7 +4,7 @@ from collections import Counter
 from fixtures import documents, frame, words
 from pyspark.sql import functions as F
 
-from cladeframe.llm.quality import BASE, LADDERS, binomial_tail, certified, cutoffs, features, keep_good, quality, ratios
+from cladeframe.llm.quality import BASE, LADDERS, best_level, binomial_tail, certified, cutoffs, features, keep_good, quality, ratios
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -46,6 +46,12 @@ def test_binomial_tail_and_certificates():
     assert certified(0, [0], 0.02, 0.01) == 0
 
 
+def test_best_level():
+    assert best_level([0, 0, 1], [3, 9, 15], 3) == 2  # the last step catches six and loses one
+    assert best_level([0, 0, 0], [0, 0, 0], 3) == 0 and best_level([0, 0], [5, 5], 2) == 1 and best_level([], [], 0) == 0
+    assert best_level([0, 0], [5, 9], 1) == 1
+
+
 def big(seed, n, bad_every):
     rng = random.Random(seed)
     docs, labels = [], []
@@ -65,7 +71,7 @@ def test_cutoffs_reject_bad_rows_and_keep_good_ones(spark):
     labels += [(None, 1, 0), (1, None, 0), (2, 1, 0)]
     f = features(frame(spark, docs))
     cuts = {r.stratum: r for r in cutoffs(f, frame(spark, labels, LABELS)).collect()}
-    assert cuts["en"].symbol_ratio_cut == LADDERS["symbol_ratio"][-1]
+    assert cuts["en"].symbol_ratio_cut in LADDERS["symbol_ratio"] and cuts["en"].n_good == sum(1 for i in range(3000) if i % 10 and i % 7)
     assert cuts["xx"].symbol_ratio_cut is None  # 300 labels are too few for this level
     got = {r.doc_id: r.kept for r in quality(frame(spark, docs), frame(spark, labels, LABELS)).collect()}
     good = {i for i, q, _ in labels if q and i is not None}
