@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.functions.storage import spread
 
+
 @dataclass(frozen=True)
 class Rule:
     """Leftmost matches, one after another; kept if group ``group`` has ``least`` characters."""
@@ -200,10 +201,11 @@ def _spans(rule: Rule, order: int) -> Column:
     return F.when(F.size(whole) > 0, found).otherwise(F.array().cast(f"array<{span}>"))
 
 
-def _scanned(docs: DataFrame, rules: tuple[Rule, ...], text_col: str, key: Column) -> DataFrame:
-    """``docs`` with an array of spans (at, order, end, kind), ordered by start and then by rule."""
-    rows = spread(docs).withColumn("__key", key)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` as the struct __docs, and their __spans (at, order, end, kind) by start and then by rule."""
+    own = [F.col(f"`{c}`").alias(c) for c in docs.columns]
+    rows = spread(docs).select(F.struct(*own).alias("__docs"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("__key"))
+    text = F.coalesce(F.col("__docs")[text_col].cast("string"), F.lit(""))
     index = _candidates(rows.select(F.col("__key").alias("key"), text.alias("text")), rules)
     queried = [c[4:] for c in index.columns if c.startswith("may_")]
     out = rows.join(index.withColumnRenamed("key", "__key"), "__key", "left").withColumn("__text", text)
@@ -226,14 +228,10 @@ def _scanned(docs: DataFrame, rules: tuple[Rule, ...], text_col: str, key: Colum
     return out.withColumns(finds).withColumns(cuts).withColumn("__spans", spans)
 
 
-def _key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col))
-
-
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans array<struct<at,order,end,kind>>) of each row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return _scanned(rows, rules, "text", _key("doc_id", "text")).select("doc_id", F.col("__spans").alias("spans"))
+    return _scanned(rows, rules, "doc_id", "text").select("__docs.doc_id", F.col("__spans").alias("spans"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,9 +256,10 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_
         ),
         lambda acc: F.concat(acc["out"], F.substring(F.col("__text"), acc["at"] + 1, F.length("__text"))),
     )
-    out = _scanned(docs, rules, text_col, _key(id_col, text_col))
-    new = F.when(F.size("__spans") > 0, clean).otherwise(F.col(text_col))
-    return out.select(*((new.alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns))
+    out = _scanned(docs, rules, id_col, text_col)
+    old = F.col("__docs")[text_col]
+    new = F.when(F.size("__spans") > 0, clean).otherwise(old)
+    return out.select(*((new if c == text_col else F.col("__docs")[c]).alias(c) for c in docs.columns))
 
 
 def span_text(spans: Column) -> Column:

@@ -186,9 +186,12 @@ def keep_one(docs: DataFrame, width: int = 3, distance: int = 2, seed: int = 42,
     """
     rows = materialize(fingerprints(docs, width, seed, id_col, text_col), "simhash")
     _, least = _classes(rows, distance, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-    stay = least.select(F.col("least.row").alias("__row"))
+    name = "__row"
+    while name in docs.columns:
+        name += "_"
     key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return docs.withColumn("__row", key).join(stay, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    stay = least.select(F.col("least.row").alias(name))
+    return docs.withColumn(name, key).join(stay, name, "left_semi").dropDuplicates([name]).drop(name)
 
 
 def hex_fingerprint(fp: Column) -> Column:

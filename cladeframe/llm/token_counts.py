@@ -12,7 +12,7 @@ are narrow passes.  The vocabulary is read once by the driver and broadcast; its
 size is fixed by the tokenizer.
 
 Rows: a null text has no tokens, and edits insert into an empty one; null edits
-are none; edits refer to the text before any of them, are applied in order of
+are none; columns named tree and n_encoded are replaced; edits refer to the text before any of them, are applied in order of
 place, are clipped to the text and to the next edit's place; extra columns are
 passed on.
 """
@@ -174,6 +174,7 @@ def _vocabulary(df: DataFrame, path: str):
 def with_trees(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``docs`` with the column ``tree``; ``tree.sums[1]`` is the number of tokens."""
     bound_batches(docs.sparkSession)
+    docs = docs.drop("tree")
     known = _vocabulary(docs, vocabulary)
     schema = T.StructType([*docs.schema.fields, T.StructField("tree", TREE)])
     kind = pa.struct([("starts", pa.list_(pa.int32())), ("sums", pa.list_(pa.int32()))])
@@ -195,6 +196,7 @@ def apply_edits(docs: DataFrame, text_col: str = "text", edits_col: str = "edits
     date, and ``n_encoded``, the number of pre-tokens encoded again.
     """
     bound_batches(docs.sparkSession)
+    docs = docs.drop("n_encoded")
     known = _vocabulary(docs, vocabulary)
     schema = T.StructType([*(f for f in docs.schema.fields if f.name != edits_col), T.StructField("n_encoded", T.LongType())])
     kind = pa.struct([("starts", pa.list_(pa.int32())), ("sums", pa.list_(pa.int32()))])

@@ -90,8 +90,8 @@ def test_long_texts_and_many_shingles():
 def test_keep_one(spark):
     docs = documents()
     part = classes([fingerprint(d[1]) for d in docs])
-    kept = keep_one(frame(spark, docs).withColumn("row", F.lit(1)).withColumn("fp", F.lit(2)))
-    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "row", "fp"]
+    kept = keep_one(frame(spark, docs).withColumn("row", F.lit(1)).withColumn("__row", F.lit(2)))
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "row", "__row"]
     rows = kept.collect()
     assert len(rows) == len(set(part))
     want = sorted((min((d[0] is None, d[0] or 0) for d, q in zip(docs, part) if q == p) for p in set(part)))

@@ -39,7 +39,7 @@ def test_small_edits_encode_little(counter):
 def test_operators(spark, counter):
     docs = documents()
     edits = F.when(F.col("doc_id") % 2 == 0, F.expr("array(struct(2 as at, 3 as removed, 'new ' as inserted), struct(0 as at, 9 as removed, '' as inserted), struct(999999 as at, 5 as removed, ' end' as inserted))").cast(EDITS))
-    df = with_trees(frame(spark, docs).withColumn("n", F.lit(1))).withColumn("edits", edits)
+    df = with_trees(frame(spark, docs).withColumn("n", F.lit(1)).withColumn("tree", F.lit(3)).withColumn("n_encoded", F.lit("x"))).withColumn("edits", edits)
     before = {str(r.text): r.tree.sums[1] for r in df.collect()}
     for t, n in before.items():
         assert n == len(counter.encoding.encode_ordinary("" if t == "None" else t))
