@@ -91,13 +91,17 @@ def read_proteomes(spark: SparkSession, directory: str, ext: str = ".fasta") ->
 
 
 def duplicate_names(records: DataFrame, name_col: str = "name", file_col: str = "file_name", order: tuple[str, ...] = ("file_name",)) -> DataFrame:
-    """(protein_name, file1, file2): each repeat of a name, with the file of its first occurrence."""
-    w = Window.partitionBy(name_col).orderBy(*order)
+    """(protein_name, file1, file2): each repeat of a name, with the file of its first occurrence.
+
+    ``order`` must tell rows apart.  First occurrences are aggregated on the map
+    side and joined back, so a name of very many rows isn't one task's work.
+    """
+    place = F.struct(*order)
+    first = records.groupBy(F.col(name_col).alias("protein_name")).agg(F.min(place).alias("first"), F.min_by(file_col, place).alias("file1"))
     return (
-        records.withColumn("rn", F.row_number().over(w))
-        .withColumn("file1", F.first(file_col).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .where("rn > 1")
-        .select(F.col(name_col).alias("protein_name"), "file1", F.col(file_col).alias("file2"))
+        records.join(first, F.col(name_col) == F.col("protein_name"))
+        .where(place > F.col("first"))
+        .select("protein_name", "file1", F.col(file_col).alias("file2"))
     )
 
 
