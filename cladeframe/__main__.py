@@ -10,8 +10,10 @@ from cladeframe.plans.pipeline import run
 
 def main(argv: list[str] | None = None) -> None:
     config = parse_args(argv)
-    spark = SparkSession.builder.appName("cladeframe").getOrCreate() if SparkSession.getActiveSession() is None else SparkSession.getActiveSession()
-    run(spark, config)
+    builder = SparkSession.builder.appName("cladeframe")
+    if config.threads > 1:  # as on one machine; on a cluster the master is spark-submit's
+        builder = builder.master(f"local[{config.threads}]")
+    run(SparkSession.getActiveSession() or builder.getOrCreate(), config)
 
 
 if __name__ == "__main__":

@@ -59,4 +59,7 @@ def parse_args(argv: list[str] | None = None) -> OrthologyConfig:
             continue
         kind = type(f.default) if f.default is not None else str
         parser.add_argument(f"-{f.name}", type=kind, default=f.default, help=f"default: {f.default}")
-    return OrthologyConfig(**vars(parser.parse_args(argv))).validate()
+    for name in ("path_diamond", "path_fasttree"):
+        parser.add_argument(f"-{name}", help="accepted and not used: search and trees are built in, or read by -hits and -trees")
+    given = vars(parser.parse_args(argv))
+    return OrthologyConfig(**{f.name: given[f.name] for f in fields(OrthologyConfig)}).validate()

@@ -95,6 +95,7 @@ def test_load_needs_a_complete_step(spark, tmp_path):
 def test_config():
     c = parse_args(["-dir", "x", "-kmer_size", "50", "-steps", "1,2", "-not_same_sp"])
     assert (c.dir, c.kmer_size, c.step_list(), c.not_same_sp) == ("x", 50, [1, 2], True)
+    assert parse_args(["-dir", "x", "-path_diamond", "/bin/x", "-threads", "4"]).threads == 4
     assert OrthologyConfig().kmer_min_aa == 15 and OrthologyConfig().max_gap == 0.7
     for bad in ({"steps": "1,3"}, {"steps": "0,1"}, {"steps": "a"}, {}, {"dir": "x", "phylogenies": "ml"}):
         with pytest.raises(ValueError):
