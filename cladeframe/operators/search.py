@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeframe.functions.storage import shuffle_partitions
 from cladeframe.functions.strings import kmers
 
 #: Classes of amino acids that replace each other often: the scoring's rule.
@@ -37,76 +38,119 @@ def scores() -> np.ndarray:
     return m
 
 
-def local_alignment(query: str, target: str, matrix: np.ndarray) -> tuple[int, int, int, int, str] | None:
-    """(score, qstart, qend, sstart, cigar), 1-based and inclusive: the best local alignment, or None."""
-    a = np.frombuffer(query.upper().encode("ascii", "replace"), np.uint8) & 127
-    b = np.frombuffer(target.upper().encode("ascii", "replace"), np.uint8) & 127
-    n, m = len(a), len(b)
-    if not n or not m:
-        return None
-    low = -(10**9)
-    h = np.zeros((n + 1, m + 1), np.int64)
-    up = np.full(m + 1, low, np.int64)
-    from_up = np.zeros((n + 1, m + 1), bool)
-    from_left = np.zeros((n + 1, m + 1), bool)
-    ups = np.full((n + 1, m + 1), low, np.int64)
-    lefts = np.full((n + 1, m + 1), low, np.int64)
-    col = np.arange(m + 1) * GAP_EXTEND
+#: Cells of a batch of alignments; a byte each is kept for the way back.
+CELLS = 16_000_000
+STOP, DIAGONAL, UP, LEFT, UP_OPENS, LEFT_OPENS = 0, 1, 2, 3, 4, 8
+
+
+def _codes(seq: str) -> np.ndarray:
+    return np.frombuffer(seq.upper().encode("ascii", "replace"), np.uint8) & 127
+
+
+def _fill(a: list[np.ndarray], b: list[np.ndarray], matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best scores, their cells and the ways back of a batch of local alignments, a row of all at a time."""
+    n, m, size = max(map(len, a)), max(map(len, b)), len(a)
+    pad = matrix.copy()
+    pad[0, :] = pad[:, 0] = -1000  # beyond a sequence's end
+    q, t = np.zeros((size, n), np.uint8), np.zeros((size, m), np.uint8)
+    for i, (x, y) in enumerate(zip(a, b)):
+        q[i, : len(x)], t[i, : len(y)] = x, y
+    h = np.zeros((size, m + 1), np.int32)
+    up = np.full((size, m + 1), -(10**6), np.int32)
+    left = np.full((size, m + 1), -(10**6), np.int32)
+    col = np.arange(m + 1, dtype=np.int32) * GAP_EXTEND
+    back = np.zeros((size, n + 1, m + 1), np.uint8)
+    best, at = np.zeros(size, np.int64), np.zeros((size, 2), np.int64)
+    every = np.arange(size)
     for i in range(1, n + 1):
-        up = np.maximum(h[i - 1] - GAP_OPEN - GAP_EXTEND, up - GAP_EXTEND)
-        row = np.zeros(m + 1, np.int64)
-        row[1:] = np.maximum(h[i - 1, :-1] + matrix[a[i - 1], b], 0)
+        opened, further = h - (GAP_OPEN + GAP_EXTEND), up - GAP_EXTEND
+        up = np.maximum(opened, further)
+        row = np.zeros((size, m + 1), np.int32)
+        row[:, 1:] = h[:, :-1] + pad[q[:, i - 1, None], t]
+        code = np.where(row >= up, DIAGONAL, UP).astype(np.uint8)
         row = np.maximum(row, up)
-        left = np.full(m + 1, low, np.int64)
-        left[1:] = np.maximum.accumulate(row + col)[:-1] - GAP_OPEN - col[1:]
-        h[i] = np.maximum(row, left)
-        h[i, 0] = 0
-        ups[i], lefts[i] = up, left
-    best = int(h.argmax())
-    i, j = divmod(best, m + 1)
-    score = int(h[i, j])
-    if score <= 0:
-        return None
-    qend, ops = i, []
+        np.maximum(row, 0, out=row)
+        left[:, 1:] = np.maximum.accumulate(row + col, axis=1)[:, :-1] - (GAP_OPEN + col[1:])
+        code[left > row] = LEFT
+        h = np.maximum(row, left)
+        code[h <= 0] = STOP
+        code[opened >= further] |= UP_OPENS
+        code[:, 1:][left[:, 1:] == row[:, :-1] - (GAP_OPEN + GAP_EXTEND)] |= LEFT_OPENS
+        h[:, 0] = 0
+        back[:, i] = code
+        j = h.argmax(axis=1)
+        top = h[every, j]
+        new = top > best
+        best[new] = top[new]
+        at[new, 0], at[new, 1] = i, j[new]
+    return best, at, back
+
+
+def _walk(i: int, j: int, back: np.ndarray) -> tuple[int, int, list[list]]:
+    """Where an alignment that ends at a cell begins, and its runs of operations."""
+    runs: list[list] = []
     state = "M"
     while True:
+        code = int(back[i, j])
         if state == "M":
-            if h[i, j] == 0:
+            step = code & 3
+            if step == STOP:
                 break
-            if j and i and h[i, j] == h[i - 1, j - 1] + matrix[a[i - 1], b[j - 1]]:
-                ops.append("M")
-                i, j = i - 1, j - 1
-            elif h[i, j] == ups[i, j]:
-                state = "I"
-            else:
-                state = "D"
+            if step != DIAGONAL:
+                state = "I" if step == UP else "D"
+                continue
+            op, i, j = "M", i - 1, j - 1
         elif state == "I":  # a query column without a target character
-            ops.append("I")
-            if ups[i, j] == h[i - 1, j] - GAP_OPEN - GAP_EXTEND:
-                state = "M"
-            i -= 1
+            op, i = "I", i - 1
+            state = "M" if code & UP_OPENS else "I"
+        else:
+            op, j = "D", j - 1
+            state = "M" if code & LEFT_OPENS else "D"
+        if runs and runs[-1][1] == op:
+            runs[-1][0] += 1
         else:
-            ops.append("D")
-            if lefts[i, j] == h[i, j - 1] - GAP_OPEN - GAP_EXTEND:
-                state = "M"
-            j -= 1
-    ops.reverse()
-    cigar, run = [], 0
-    for k, op in enumerate(ops):
-        run += 1
-        if k + 1 == len(ops) or ops[k + 1] != op:
-            cigar.append(f"{run}{op}")
-            run = 0
-    del from_up, from_left
-    return score, i + 1, qend, j + 1, "".join(cigar)
+            runs.append([1, op])
+    return i, j, runs[::-1]
+
+
+def align_all(pairs: list[tuple[str, str]], matrix: np.ndarray) -> list[tuple[int, int, int, int, int, str] | None]:
+    """(score, qstart, qend, sstart, send, cigar) of each pair, 1-based and inclusive: its best local alignment, or None."""
+    out: list = [None] * len(pairs)
+    codes = [(_codes(x), _codes(y)) for x, y in pairs]
+    order = sorted((k for k, (x, y) in enumerate(codes) if len(x) and len(y)), key=lambda k: (len(codes[k][0]), len(codes[k][1])))
+    while order:
+        n = m = 0
+        take = 0
+        for k in order:
+            n, m = max(n, len(codes[k][0]) + 1), max(m, len(codes[k][1]) + 1)
+            if take and (take + 1) * n * m > CELLS:
+                break
+            take += 1
+        some, order = order[:take], order[take:]
+        best, at, back = _fill([codes[k][0] for k in some], [codes[k][1] for k in some], matrix)
+        for x, k in enumerate(some):
+            if best[x] > 0:
+                i, j = map(int, at[x])
+                qs, ss, runs = _walk(i, j, back[x])
+                out[k] = (int(best[x]), qs + 1, i, ss + 1, j, "".join(f"{r}{op}" for r, op in runs))
+    return out
+
+
+def local_alignment(query: str, target: str, matrix: np.ndarray) -> tuple[int, int, int, int, str] | None:
+    """(score, qstart, qend, sstart, cigar) of one pair."""
+    got = align_all([(query, target)], matrix)[0]
+    return None if got is None else (*got[:4], got[5])
+
+
+_SWAP = str.maketrans("ID", "DI")
 
 
 def candidates(protein: DataFrame, seed: int = 5, min_seeds: int = 2) -> DataFrame:
-    """(query, target): ordered pairs of sequences that share ``min_seeds`` distinct seeds, and each with itself."""
+    """(query, target), query <= target: sequences that share ``min_seeds`` distinct seeds, and each with itself."""
     posts = protein.select("protein_id", F.explode(F.array_distinct(kmers(F.col("seq"), seed))).alias("seed"))
     x, y = posts.toDF("query", "seed"), posts.toDF("target", "seed")
-    pairs = x.join(y, "seed").groupBy("query", "target").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds).select("query", "target")
-    return pairs.unionByName(protein.select(F.col("protein_id").alias("query"), F.col("protein_id").alias("target"))).distinct()
+    pairs = x.join(y, "seed").where("query < target").groupBy("query", "target").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds)
+    return pairs.select("query", "target").unionByName(protein.select(F.col("protein_id").alias("query"), F.col("protein_id").alias("target")))
 
 
 def search(protein: DataFrame, e_value: float = 0.001, nb_hits: int = 6, seed: int = 5, min_seeds: int = 2) -> DataFrame:
@@ -115,25 +159,34 @@ def search(protein: DataFrame, e_value: float = 0.001, nb_hits: int = 6, seed: i
     The query itself takes a place in its own species.  Ranked by score, ties by
     target; a hit's e-value is against its target's species.
     """
-    pairs = candidates(protein, seed, min_seeds)
     sizes = protein.groupBy("species_id").agg(F.sum(F.length("seq")).alias("db"))
+    known = protein.select("protein_id", "seq", "species_id").join(sizes, "species_id")
     full = (
-        pairs.join(protein.select(F.col("protein_id").alias("query"), F.col("seq").alias("qseq")), "query")
-        .join(protein.select(F.col("protein_id").alias("target"), F.col("seq").alias("tseq"), "species_id"), "target")
-        .join(sizes, "species_id")
-        .select("query", "target", "species_id", "qseq", "tseq", "db")
+        candidates(protein, seed, min_seeds)
+        .join(known.toDF("qsp", "query", "qseq", "qdb"), "query")
+        .join(known.toDF("tsp", "target", "tseq", "tdb"), "target")
+        .select("query", "target", "qsp", "tsp", "qseq", "tseq", "qdb", "tdb")
+        .repartition(shuffle_partitions(protein.sparkSession), "query", "target")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = scores()
         for b in batches:
             out: list[list] = [[] for _ in range(8)]
-            for q, t, sp, qs, ts, db in zip(*(b.column(i).to_pylist() for i in range(6))):
-                got = local_alignment(qs or "", ts or "", matrix)
-                if got is None or K * len(qs) * db * math.exp(-LAMBDA * got[0]) > e_value:
+            rows = list(zip(*(b.column(i).to_pylist() for i in range(8))))
+            made = align_all([(r[4] or "", r[5] or "") for r in rows], matrix)
+            for (q, t, qsp, tsp, qs, ts, qdb, tdb), got in zip(rows, made):
+                if got is None:
                     continue
-                for o, v in zip(out, (q, t, sp, got[0], got[1], got[2], got[3], got[4])):
-                    o.append(v)
+                score, a, z, c, d, cigar = got
+                # one alignment serves both directions; each has its own e-value
+                ways = [(q, t, tsp, len(qs) * tdb, a, z, c, cigar)]
+                if q != t:
+                    ways.append((t, q, qsp, len(ts) * qdb, c, d, a, cigar.translate(_SWAP)))
+                for query, target, sp, space, start, end, other, path in ways:
+                    if K * space * math.exp(-LAMBDA * score) <= e_value:
+                        for o, v in zip(out, (query, target, sp, score, start, end, other, path)):
+                            o.append(v)
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=["query", "target", "species_id", "score", "qstart", "qend", "sstart", "cigar"])
 

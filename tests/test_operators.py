@@ -249,6 +249,20 @@ def test_local_alignment_against_dynamic_programming():
         assert score == best == score_of(a, b, m, qs, ss, cigar, qe)
 
 
+def test_batches_of_alignments_are_as_single_ones():
+    m = search.scores()
+    rng = random.Random(9)
+    say = lambda: "".join(rng.choice("ACDWKX*") for _ in range(rng.randrange(0, 25)))
+    pairs = [(say(), say()) for _ in range(60)]
+    old, search.CELLS = search.CELLS, 2000
+    try:
+        many = search.align_all(pairs, m)
+    finally:
+        search.CELLS = old
+    assert many == search.align_all(pairs, m) == [search.align_all([p], m)[0] for p in pairs]
+    assert [x[0] if x else 0 for x in many] == [brute_local(a, b, m) for a, b in pairs]
+
+
 def brute_local(a, b, m):
     low = -(10**9)
     h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
