@@ -1,9 +1,9 @@
 """Benchmark decontamination by the q-gram lemma over diagonal bands.
 
 Texts and benchmark items are normalised (lower case, runs of ASCII
-punctuation and white space to one space).  An item of length up to ``window``
-is one needle; a longer one also has overlapping needles of that length, so a
-copied part is found.  A region within k edits of a needle of length w shares
+punctuation and white space to one space).  For each length in ``windows`` an
+item has overlapping needles of it, or is one itself if shorter, so a copied
+part is found.  A region within k edits of a needle of length w shares
 at least w - q + 1 - k q of its q-grams with it, all on diagonals within k of
 each other, so they fall in one of the overlapping bands that are 2 k + 1 wide
 and k + 1 apart.  Bands that reach the bound are retained and verified by an
@@ -33,6 +33,9 @@ from cladeframe.functions.storage import spread
 from cladeframe.llm.words import as_bytes, bound_batches, slices
 
 Q = 10
+#: Lengths of needles and the share of them that edits may change: short ones find parts of an
+#: item, long ones bear a changed word.
+WINDOWS = ((100, 0.08), (64, 0.0625))
 _SPACES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 SLOTS = 22
@@ -61,8 +64,8 @@ def _codes(b: np.ndarray) -> np.ndarray:
 class Index:
     """Needles of a group of items, and the postings of their q-grams."""
 
-    def __init__(self, items: list[tuple[int, bytes]], window: int, rate: float):
-        self.items = []
+    def __init__(self, items: list[tuple[int, bytes]], windows: tuple[tuple[int, float], ...] = WINDOWS):
+        self.items = []  # id, text, needles: (start, length, edits, q-grams that must be shared)
         codes, owner, place = [], [], []
         for item_id, text in items:
             b, _ = normalise(text or b"")
@@ -73,19 +76,22 @@ class Index:
             owner.append(np.full(len(c), len(self.items), np.int32))
             place.append(np.arange(len(c), dtype=np.int32))
             codes.append(c)
-            w = min(len(b), window)
-            step = max(1, window // 4)
-            starts = sorted({*range(0, len(b) - w + 1, step), len(b) - w})
-            k = min(int(rate * w), max(0, (w - Q) // Q))
-            self.items.append((item_id, b.tobytes(), w, k, starts))
+            needles = {}
+            for window, rate in windows:
+                w = min(len(b), window)
+                k = min(int(rate * w), max(0, (w - Q) // Q))
+                for start in {*range(0, len(b) - w + 1, max(1, window // 4)), len(b) - w}:
+                    needles[start, w] = max(k, needles.get((start, w), 0))
+            self.items.append((item_id, b.tobytes(), [(start, w, k, w - Q + 1 - k * Q) for (start, w), k in sorted(needles.items())]))
         cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
         codes, owner, place = cat(codes, np.uint64), cat(owner, np.int32), cat(place, np.int32)
         order = np.argsort(codes, kind="stable")
         codes, self.owner, self.place = codes[order], owner[order], place[order]
         self.codes, self.first = np.unique(codes, return_index=True)
         self.count = np.diff(np.r_[self.first, len(codes)])
-        self.bound = np.array([w - Q + 1 - k * Q for _, _, w, k, _ in self.items], np.int64)
-        self.budget = np.array([k for _, _, _, k, _ in self.items], np.int64)
+        # of an item: the least bound of its needles, and the largest budget, which sets the bands
+        self.bound = np.array([min(n[3] for n in needles) for _, _, needles in self.items], np.int64)
+        self.budget = np.array([max(n[2] for n in needles) for _, _, needles in self.items], np.int64)
         self.filter = np.zeros(1 << SLOTS, bool)
         self.filter[self.slot(self.codes)] = True
 
@@ -141,10 +147,9 @@ class Index:
         best: dict[tuple[int, int], tuple] = {}
         for a, b in zip(cuts[:-1], cuts[1:]):
             i = int(key[a] % len(self.items))
-            item_id, text, w, budget, starts = self.items[i]
+            item_id, text, needles = self.items[i]
             js, ps = j2[a:b], p2[a:b]
-            need = int(self.bound[i])
-            for s in starts:
+            for s, w, budget, need in needles:
                 x, y = np.searchsorted(js, s), np.searchsorted(js, s + w - Q, side="right")
                 if y - x < need or len(np.unique(js[x:y])) < need:
                     continue
@@ -198,7 +203,7 @@ def banded(needle: bytes, text: bytes, low: int, high: int, budget: int) -> tupl
     return (start[c], min(end, len(text)), cost[c]) if cost[c] <= budget and end > start[c] else None
 
 
-def indexes(bench: DataFrame, window: int, rate: float, group_bytes: int, id_col: str, text_col: str) -> Iterator[Index]:
+def indexes(bench: DataFrame, windows: tuple[tuple[int, float], ...], group_bytes: int, id_col: str, text_col: str) -> Iterator[Index]:
     """Indexes over groups of items of about ``group_bytes`` each."""
     bound_batches(bench.sparkSession)
     items = bench.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > 0)
@@ -207,10 +212,10 @@ def indexes(bench: DataFrame, window: int, rate: float, group_bytes: int, id_col
     for g in range(groups):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g) if groups > 1 else items
         got = sorted(((r[0], r[1].encode()) for r in rows.collect()), key=lambda x: (x[0] is None, x))
-        yield Index(got, window, rate)
+        yield Index(got, windows)
 
 
-def contamination(docs: DataFrame, bench: DataFrame, window: int = 64, rate: float = 0.08, group_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, bench: DataFrame, windows: tuple[tuple[int, float], ...] = WINDOWS, group_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, start, end, edits, shared): the best hit of each item in each row.
 
     start and end are byte places in the lower-cased text, end exclusive.
@@ -218,7 +223,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = 64, rate: flo
     spark = docs.sparkSession
     rows = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     out = None
-    for index in indexes(bench, window, rate, group_bytes, "item_id", "text"):
+    for index in indexes(bench, windows, group_bytes, "item_id", "text"):
         known = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
@@ -235,10 +240,10 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = 64, rate: flo
     return out
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 64, rate: float = 0.08, group_bytes: int = 4 << 20, text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, windows: tuple[tuple[int, float], ...] = WINDOWS, group_bytes: int = 4 << 20, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without a hit, with all their columns."""
     spark, docs = docs.sparkSession, spread(docs)
-    for index in indexes(bench, window, rate, group_bytes, "item_id", "text"):
+    for index in indexes(bench, windows, group_bytes, "item_id", "text"):
         known = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:

@@ -87,11 +87,25 @@ def test_groups_of_items_give_the_same(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d[0]) for d in docs if d[0] not in bad)
 
 
+def test_a_changed_word_and_a_copied_part():
+    rng = random.Random(12)
+    say = lambda k: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(5)) for _ in range(k))
+    for n in (14, 20, 40):
+        t = say(n).split()
+        index = Index([(1, " ".join(t).encode())])
+        t[n // 2] = "zzzzz"
+        assert index.search([f"{say(9)} {' '.join(t)} {say(9)}".encode()])
+    t = say(40)
+    index = Index([(1, t.encode())])
+    assert index.search([(say(20) + " " + t[40:125] + " " + say(20)).encode()])
+    assert not index.search([(say(20) + " " + t[40:80] + " " + say(20)).encode()])
+
+
 def test_bounds_and_empty_tables(spark):
     docs, items, _ = setting()
     assert contamination(frame(spark, docs), frame(spark, [], BENCH)).count() == 0
     assert contamination(frame(spark, []), frame(spark, items, BENCH)).count() == 0
-    index = Index([(i, t.encode()) for i, t in items if t], 100, 0.08)
+    index = Index([(i, t.encode()) for i, t in items if t])
     assert (index.bound > 0).all() and len(index.items) == 13
     assert np.all(index.budget >= 0)
 
@@ -100,9 +114,10 @@ def test_filter_never_loses_a_region_within_budget():
     rng = random.Random(5)
     for _ in range(60):
         t = "".join(rng.choice("abcdefghijklmnop ") for _ in range(100)).strip().encode()
-        index = Index([(1, t)], 100, 0.08)
+        index = Index([(1, t)], ((100, 0.08),))
         item = index.items[0]
-        text = changed(t.decode(), item[3], rng)
-        if edit_distance_inside(item[1], normalise(text.encode())[0].tobytes()) <= item[3]:
+        budget = item[2][0][2]
+        text = changed(t.decode(), budget, rng)
+        if edit_distance_inside(item[1], normalise(text.encode())[0].tobytes()) <= budget:
             pad = "".join(rng.choice("rstuvwxyz") for _ in range(50))
             assert index.search([f"{pad} {text} {pad}".encode()])
