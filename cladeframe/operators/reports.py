@@ -52,7 +52,7 @@ def group_statistics(og: DataFrame, full: DataFrame, edges: DataFrame, species:
 
 def species_columns(species: DataFrame) -> list[str]:
     """File names of the species in order: the columns of the tables of groups."""
-    return [r[0] for r in species.orderBy("species_id").select("file_name").limit(10_000).collect()]
+    return [r[0] for r in species.orderBy("species_id").select("file_name").collect()]
 
 
 def group_table(full: DataFrame, species: DataFrame, names: bool = False) -> DataFrame:

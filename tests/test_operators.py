@@ -497,3 +497,13 @@ def test_with_index_counts_across_partitions(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
     got = with_index(df.repartition(7), [F.col("x")], "n").collect()
     assert all(r.n == r.x + 1 for r in got) and len(got) == 1000
+
+
+def test_group_tables_have_a_column_for_every_species(spark):
+    n = 10_002
+    species = spark.range(n).select(F.col("id").alias("species_id"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("file_name"))
+    full = spark.createDataFrame([("OG_1", 0, "a"), ("OG_1", n - 1, "b")], "og_name string, species_id long, name string")
+    table = reports.group_table(full, species, names=True)
+    assert len(table.columns) == n + 1
+    row = table.first()
+    assert (row["s0"], row["s5000"], row[f"s{n - 1}"]) == ("a", "", "b")
