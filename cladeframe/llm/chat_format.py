@@ -4,47 +4,70 @@ For every participant of a dialogue the whole dialogue is rendered with that
 speaker as the assistant and the others as named users; the masks are the
 spans of the text to train on: the speaker's own words and their end marks.
 
-A dialogue is rendered in blocks of ``block_turns`` consecutive turn numbers, a
-row each, so a dialogue of any length is never gathered in one task: blocks of
-a dialogue read in order are the dialogue, and spans are within the block.
-Dialogues of up to that many turns are one row a participant.
+A dialogue is one row a participant.  Only where ``part_turns`` is set is a
+longer one cut: into parts of that many turns, a row each, by the place of a
+turn in the dialogue and not by its number.  ``part`` counts them from 0 and
+``offset`` is the number of characters in earlier parts, so parts read in order
+are the dialogue, and spans, which count from its first character, hold over it.
+
+Turns are numbered in two levels: within ranges of ``SPAN`` turn numbers, then
+over the ranges of a dialogue, so a long dialogue is not sorted in one task.  A
+row of output holds a part; what is gathered for it is bounded by ``part_turns``,
+and by the dialogue itself where that is not set.
 
 Rows: a null or empty role speaks as ``unknown``; system turns are context and
 no participant, and a dialogue of them alone has no rendering; a null text is
-empty; turns with equal numbers are ordered by role and text; a null number
-comes last, in the last block; a null dialogue id is a dialogue; template marks
-within a text are broken up by a space, so a text can't forge a turn; extra
-columns are ignored.
+empty; turns with equal numbers (ties, repeated rows) are ordered by role and
+text and all stay; null numbers come last; a null dialogue id is a dialogue;
+characters other than ASCII letters, digits, ``_`` and ``-`` in a name become
+``_``, and speakers whose names become equal stay apart as participants; template
+marks within a text are broken up by a space, so a text can't forge a turn; a
+very long text stays whole; extra columns are ignored; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 SYSTEM = "system"
+#: Turn numbers of a range that one task sorts.
+SPAN = 4096
+_TURN = ("last", "turn", "role", "body")
 
 
 def _name(role: Column) -> Column:
     return F.regexp_replace(role, "[^A-Za-z0-9_-]", "_")
 
 
-def perspectives(turns: DataFrame, block_turns: int = 64, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, perspective, block, n_turns, rendered, masks array<struct<start,end>>)."""
+def _parted(rows: DataFrame, part_turns: int) -> DataFrame:
+    """``rows`` with the part that each turn falls in, by its place in the dialogue."""
+    ranged = rows.withColumn("range", F.when(F.col("last"), F.lit(2**62)).otherwise(F.floor(F.col("turn") / SPAN)).cast("long"))
+    sizes = ranged.groupBy("conv_id", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("conv_id").alias("c"), F.col("range").alias("r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    own = F.row_number().over(Window.partitionBy("conv_id", "range").orderBy(*_TURN)) - 1
+    placed = ranged.withColumn("inner", own).join(starts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("range") == F.col("r")))
+    return placed.select("conv_id", *_TURN, F.floor((F.col("base") + F.col("inner")) / part_turns).cast("long").alias("part"))
+
+
+def perspectives(turns: DataFrame, part_turns: int | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """(conv_id, perspective, part, offset, n_turns, rendered, masks array<struct<start,end>>)."""
     role = F.coalesce(F.nullif(F.col(role_col).cast("string"), F.lit("")), F.lit("unknown"))
     rows = turns.select(
         F.col(conv_col).alias("conv_id"),
-        F.coalesce(F.floor(F.col(turn_col) / block_turns), F.lit(2**62)).cast("long").alias("block"),
         F.col(turn_col).isNull().alias("last"),
         F.col(turn_col).cast("long").alias("turn"),
         role.alias("role"),
         F.replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit("<|"), F.lit("< |")).alias("body"),
     )
     speakers = rows.where(F.col("role") != SYSTEM).select("conv_id", F.col("role").alias("perspective")).distinct()
-    parts = rows.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("last", "turn", "role", "body"))).alias("turns"))
+    placed = rows.withColumn("part", F.lit(0).cast("long")) if part_turns is None else _parted(rows, part_turns)
+    parts = placed.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct(*_TURN))).alias("turns"))
     both = parts.alias("p").join(speakers.alias("s"), F.col("p.conv_id").eqNullSafe(F.col("s.conv_id"))).select(
-        F.col("p.conv_id").alias("conv_id"), "perspective", "block", "turns"
+        F.col("p.conv_id").alias("conv_id"), "perspective", "part", "turns"
     )
 
     def segment(t: Column) -> Column:
@@ -56,18 +79,27 @@ def perspectives(turns: DataFrame, block_turns: int = 64, conv_col: str = "conv_
         return F.struct(head.alias("head"), F.concat(t["body"], F.lit(END)).alias("body"), (t["role"] == F.col("perspective")).alias("own"))
 
     cut = both.withColumn("segments", F.transform("turns", segment))
-    spans = "array<struct<start:int,end:int>>"
+    text = F.array_join(F.transform("segments", lambda s: F.concat(s["head"], s["body"], F.lit("\n"))), "")
+    cut = cut.withColumn("rendered", text)
+    if part_turns is None:
+        cut = cut.withColumn("offset", F.lit(0).cast("long"))
+    else:
+        earlier = Window.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        cut = cut.withColumn("offset", F.coalesce(F.sum(F.length("rendered")).over(earlier), F.lit(0)).cast("long"))
+
+    # Where each segment begins: the masks of a speaker are cut out of the lengths alone.
+    sizes = F.transform("segments", lambda s: F.struct(F.length(s["head"]).alias("head"), F.length(s["body"]).alias("body"), s["own"].alias("own")))
+    spans = "array<struct<start:long,end:long>>"
 
     def step(acc: Column, s: Column) -> Column:
-        start = acc["at"] + F.length(s["head"])
-        end = start + F.length(s["body"])
+        start = acc["at"] + s["head"]
+        end = start + s["body"]
         one = F.array(F.struct(start.alias("start"), end.alias("end")))
         return F.struct((end + 1).alias("at"), F.when(s["own"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    masks = F.aggregate("segments", F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("out")), step, lambda a: a["out"])
-    text = F.array_join(F.transform("segments", lambda s: F.concat(s["head"], s["body"], F.lit("\n"))), "")
+    masks = F.aggregate(sizes, F.struct(F.col("offset").alias("at"), F.array().cast(spans).alias("out")), step, lambda a: a["out"])
     return cut.select(
-        "conv_id", "perspective", "block", F.size("segments").cast("long").alias("n_turns"), text.alias("rendered"), masks.alias("masks")
+        "conv_id", "perspective", "part", "offset", F.size("segments").cast("long").alias("n_turns"), "rendered", masks.alias("masks")
     )
 
 

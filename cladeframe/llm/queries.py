@@ -35,7 +35,7 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = perspectives(_table(spark, sf_dir, "conversations"))
-    return out.select("conv_id", "perspective", "block", "n_turns", "rendered", mask_text(F.col("masks")).alias("masks"))
+    return out.select("conv_id", "perspective", "n_turns", "rendered", mask_text(F.col("masks")).alias("masks"))
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ FROM w LEFT JOIN lost USING (doc_id)
 
 SQL["op3_chat_formatting"] = r"""
 WITH t AS (
-  SELECT row_number() OVER () AS k, conv_id, coalesce(floor(turn / 64)::BIGINT, 4611686018427387904) AS block, turn IS NULL AS last, turn,
+  SELECT row_number() OVER () AS k, conv_id, turn IS NULL AS last, turn,
          coalesce(nullif(role, ''), 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' AS body
   FROM conversations
 ), s AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'
@@ -38,10 +38,10 @@ WITH t AS (
          ELSE '<|im_start|>user name=' || regexp_replace(role, '[^A-Za-z0-9_-]', '_', 'g') || chr(10) END AS head
   FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
 ), p AS (
-  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, block ORDER BY last, turn, role, body, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS a
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY last, turn, role, body, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS a
   FROM v
 )
-SELECT conv_id, perspective, block, count(*)::BIGINT AS n_turns, string_agg(head || body || chr(10), '' ORDER BY last, turn, role, body, k) AS rendered,
+SELECT conv_id, perspective, count(*)::BIGINT AS n_turns, string_agg(head || body || chr(10), '' ORDER BY last, turn, role, body, k) AS rendered,
        coalesce(string_agg(a || ':' || (a + length(body)), ',' ORDER BY last, turn, role, body, k) FILTER (role = perspective), '') AS masks
-FROM p GROUP BY conv_id, perspective, block
+FROM p GROUP BY conv_id, perspective
 """
