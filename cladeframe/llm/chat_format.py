@@ -31,6 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeframe.llm.scans import sums_before
+
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 SYSTEM = "system"
 #: Turn numbers of a range that one task sorts.
@@ -87,17 +89,15 @@ def perspectives(turns: DataFrame, part_turns: int | None = None, conv_col: str
         earlier = Window.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         cut = cut.withColumn("offset", F.coalesce(F.sum(F.length("rendered")).over(earlier), F.lit(0)).cast("long"))
 
-    # Where each segment begins: the masks of a speaker are cut out of the lengths alone.
-    sizes = F.transform("segments", lambda s: F.struct(F.length(s["head"]).alias("head"), F.length(s["body"]).alias("body"), s["own"].alias("own")))
-    spans = "array<struct<start:long,end:long>>"
+    sizes = F.transform("segments", lambda s: (F.length(s["head"]) + F.length(s["body"]) + 1).cast("long"))
+    cut = cut.withColumn("sizes", sizes).withColumn("starts", sums_before(F.col("sizes")))
 
-    def step(acc: Column, s: Column) -> Column:
-        start = acc["at"] + s["head"]
-        end = start + s["body"]
-        one = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct((end + 1).alias("at"), F.when(s["own"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def span(z: Column) -> Column:
+        start = F.col("offset") + z["at"] + F.length(z["s"]["head"])
+        return F.struct(start.alias("start"), (start + F.length(z["s"]["body"])).alias("end"))
 
-    masks = F.aggregate(sizes, F.struct(F.col("offset").alias("at"), F.array().cast(spans).alias("out")), step, lambda a: a["out"])
+    own = F.filter(F.arrays_zip(F.col("segments").alias("s"), F.col("starts").alias("at")), lambda z: z["s"]["own"])
+    masks = F.transform(own, span)
     return cut.select(
         "conv_id", "perspective", "part", "offset", F.size("segments").cast("long").alias("n_turns"), "rendered", masks.alias("masks")
     )

@@ -2,24 +2,37 @@
 
 Each rule is a regular expression.  Its Boolean trigram query is derived from
 the parsed expression: wherever a run of it can only be one of a few strings,
-the trigrams of one of those strings must all be in the text.  Postings
-(trigram, row) of the trigrams that some query needs are built over lower-cased
-texts, intersected and united row by row as bits, which pre-aggregates before
-the shuffle, and turned into the rules that a row may match.  Only those rules
-are run on its text.  A rule without mandatory trigrams (long runs of
-hexadecimal digits) scans every text.
-
-Rows meet their postings by a hash of id and text, so null and repeated ids do
-no harm and a hash collision can only add a candidate.
-
-Rows: a null text is empty and has no spans; a null id is kept; rules don't
-suppress each other, so spans of different kinds may overlap; extra columns are
-passed on by :func:`redact`; positions are code points, end exclusive.
+the trigrams of one of those strings must all be in the text.
+
+The index holds, for each trigram that some query needs and each chunk of
+rows, the sorted list of the rows whose lower-cased text has it.  It is written
+to the shared folder; it has no texts, and a list is bounded by the rows of a
+chunk.  A query intersects the lists of a string's trigrams, the shortest
+first, unites strings and intersects clauses, chunk by chunk.  What comes out,
+the rules that each candidate row may match, meets the texts in a join by its
+size: texts stay where they are as long as the candidates fit a broadcast.
+Only those rules are run on a candidate.  A rule without mandatory trigrams
+(long runs of hexadecimal digits) scans every text.
+
+Rows are named by a hash of id and text, so null and repeated ids do no harm and
+a hash collision can only add a candidate.
+
+Places come from the lengths of matches and of the pieces between them by
+running sums, and a text is cut by byte, so work grows with a text and its
+spans and not with their product.
+
+Rows: a null text is empty and has no spans; a null id is kept; repeated rows
+are each judged; rules don't suppress each other, so spans of different kinds
+may overlap, and of spans that start together (ties) the kind listed first comes
+first; a very long text is scanned whole; an empty table gives an empty one;
+extra columns are passed on by :func:`redact`; positions are code points, end
+exclusive.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from re import _constants as sre
 from re import _parser as parser
@@ -27,7 +40,8 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.functions.storage import spread
+from cladeframe.functions.storage import materialize, shuffle_partitions, spread
+from cladeframe.llm.scans import most_before, sums_before
 
 
 @dataclass(frozen=True)
@@ -61,6 +75,9 @@ MORE = (
     Rule("pay", r"sk_live_[A-Za-z0-9]{16,}"),
 )
 RULES = BASE + MORE
+#: Rows of a chunk of the index, so the longest list of postings.
+CHUNK_ROWS = 1 << 16
+UNITS = {"char": F.length, "byte": F.octet_length}
 MOST = 64  # strings that a run of an expression may stand for
 
 
@@ -144,73 +161,66 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
     return clauses
 
 
-def _candidates(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(key, one boolean column a rule with trigrams): rows that may match, from the postings."""
-    queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
-    grams = sorted({g for q in queries.values() for clause in q for s in clause for g in s})
+def trigram_index(rows: DataFrame, grams: list[str]) -> DataFrame:
+    """(chunk, gram, rows): the sorted postings of (key, text) for each of ``grams``."""
+    chunks = max(shuffle_partitions(rows.sparkSession), -(-rows.count() // CHUNK_ROWS))
     low = rows.select("key", F.lower("text").alias("low"))
-    has = [F.when(F.contains("low", F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]
-    postings = low.select("key", F.explode(F.array_compact(F.array(*has))).alias("gram"))
-    words = range(-(-len(grams) // 63))
-    bits = [
-        F.bit_or(F.when(F.floor(F.col("gram") / 63) == w, F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("gram") % 63).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"bits{w}")
-        for w in words
-    ]
-    met = postings.groupBy("key").agg(*bits)
-    place = {g: divmod(i, 63) for i, g in enumerate(grams)}
-
-    def holds(s: frozenset[str]) -> Column:
-        out = F.lit(True)
-        for w in words:
-            mask = sum(1 << place[g][1] for g in s if place[g][0] == w)
-            if mask:
-                out = out & (F.col(f"bits{w}").bitwiseAND(F.lit(mask).cast("long")) == F.lit(mask).cast("long"))
-        return out
-
-    def query(q: list[list[frozenset[str]]]) -> Column:
-        out = F.lit(True)
-        for clause in q:
-            some = F.lit(False)
-            for s in clause:
-                some = some | holds(s)
-            out = out & some
-        return out
-
-    any_rule = F.lit(False)
-    cols = []
-    for kind, q in queries.items():
-        any_rule = any_rule | query(q)
-        cols.append(query(q).alias(f"may_{kind}"))
-    return met.where(any_rule).select("key", *cols)
+    has = [F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]
+    posted = low.select("key", F.explode(F.array_compact(F.array(*has))).alias("gram"))
+    chunked = posted.withColumn("chunk", F.pmod("key", F.lit(chunks)).cast("int"))
+    return chunked.groupBy("chunk", "gram").agg(F.sort_array(F.collect_set("key")).alias("rows"))
+
+
+def _found(lists: dict[str, Column], query: list[list[frozenset[str]]]) -> Column:
+    """The rows of a chunk that satisfy a query, from the lists of its trigrams."""
+
+    def all_of(grams: frozenset[str]) -> Column:
+        ordered = F.array_sort(F.array(*(F.struct(F.size(lists[g]).alias("n"), F.lit(g).alias("gram"), lists[g].alias("rows")) for g in sorted(grams))))
+        first = F.element_at(ordered, 1)["rows"]
+        return F.aggregate(F.slice(ordered, 2, max(1, len(grams))), first, lambda acc, x: F.array_intersect(acc, x["rows"]))
+
+    out = None
+    for clause in query:
+        some = all_of(clause[0])
+        for s in clause[1:]:
+            some = F.array_union(some, all_of(s))
+        out = some if out is None else F.array_intersect(out, some)
+    return out
 
 
-def _spans(rule: Rule, order: int) -> Column:
-    """Spans of a rule from its matches and the pieces of text between them."""
-    whole, parts, kept = F.col(f"all_{rule.kind}"), F.col(f"cut_{rule.kind}"), F.col(f"own_{rule.kind}")
-    span = "struct<at:int,order:int,end:int,kind:string>"
+def _candidates(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(key, a boolean column a rule with trigrams): rows that may match, from the index."""
+    queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
+    grams = sorted({g for q in queries.values() for clause in q for s in clause for g in s})
+    index = materialize(trigram_index(rows, grams), "secret-index")
+    none = F.array().cast("array<long>")
+    lists = [F.coalesce(F.first(F.when(F.col("gram") == g, F.col("rows")), ignorenulls=True), none).alias(f"g{i}") for i, g in enumerate(grams)]
+    by_chunk = index.groupBy("chunk").agg(*lists)
+    named = {g: F.col(f"g{i}") for i, g in enumerate(grams)}
+    kinds = list(queries)
+    met = by_chunk.select(F.array(*(F.struct(F.lit(i).alias("rule"), _found(named, queries[k]).alias("rows")) for i, k in enumerate(kinds))).alias("met"))
+    hits = met.select(F.explode("met").alias("m")).select(F.col("m.rule").alias("rule"), F.explode("m.rows").alias("key"))
+    return hits.groupBy("key").agg(*(F.bool_or(F.col("rule") == i).alias(f"may_{k}") for i, k in enumerate(kinds)))
 
-    def step(acc: Column, i: Column) -> Column:
-        at = acc["at"] + F.length(parts[i])
-        end = at + F.length(whole[i])
-        one = F.struct(at.alias("at"), F.lit(order).alias("order"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        more = F.when(F.length(kept[i]) >= rule.least, F.array(one)).otherwise(F.array().cast(f"array<{span}>"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], more).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("out"))
-    found = F.aggregate(F.sequence(F.lit(0), F.size(whole) - 1), zero, step, lambda acc: acc["out"])
-    return F.when(F.size(whole) > 0, found).otherwise(F.array().cast(f"array<{span}>"))
+def _both(length: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:
+    return lambda a, b: (length(a) + length(b)).cast("long")
 
 
 def _scanned(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` as the struct __docs, and their __spans (at, order, end, kind) by start and then by rule."""
+    """The rows of ``docs`` as the struct __docs, their __text, and __spans by start and then by rule.
+
+    A span is (at, order, end, kind, byte, stop); the last two are its places in bytes.
+    """
     own = [F.col(f"`{c}`").alias(c) for c in docs.columns]
-    rows = spread(docs).select(F.struct(*own).alias("__docs"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("__key"))
+    key = F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string"))
+    rows = spread(docs).select(F.struct(*own).alias("__docs"), key.alias("__key"))
     text = F.coalesce(F.col("__docs")[text_col].cast("string"), F.lit(""))
-    index = _candidates(rows.select(F.col("__key").alias("key"), text.alias("text")), rules)
+    index = materialize(_candidates(rows.select(F.col("__key").alias("key"), text.alias("text")), rules), "secret-candidates")
     queried = [c[4:] for c in index.columns if c.startswith("may_")]
     out = rows.join(index.withColumnRenamed("key", "__key"), "__key", "left").withColumn("__text", text)
     none = F.array().cast("array<string>")
-    finds, cuts = {}, {}
+    finds, cuts, sizes, starts = {}, {}, {}, {}
     for r in rules:
         pattern = F.lit(r.pattern)
         got = F.regexp_extract_all("__text", pattern, F.lit(0))
@@ -219,44 +229,54 @@ def _scanned(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: st
             may = F.coalesce(F.col(f"may_{r.kind}"), F.lit(False))
             got, own = F.when(may, got).otherwise(none), F.when(may, own).otherwise(none)
         finds[f"all_{r.kind}"] = got
-        finds[f"own_{r.kind}"] = own if r.group else F.lit(None).cast("array<string>")
+        if r.group:
+            finds[f"own_{r.kind}"] = own
     for r in rules:
-        cuts[f"cut_{r.kind}"] = F.when(F.size(f"all_{r.kind}") > 0, F.split("__text", r.pattern, -1))
-        if not r.group:
-            cuts[f"own_{r.kind}"] = F.col(f"all_{r.kind}")
-    spans = F.array_sort(F.concat(*(_spans(r, i) for i, r in enumerate(rules))))
-    return out.withColumns(finds).withColumns(cuts).withColumn("__spans", spans)
+        cuts[f"cut_{r.kind}"] = F.when(F.size(f"all_{r.kind}") > 0, F.slice(F.split("__text", r.pattern, -1), 1, F.size(f"all_{r.kind}"))).otherwise(none)
+        for unit, length in UNITS.items():  # of each match, the piece before it and itself
+            sizes[f"{unit}_{r.kind}"] = F.zip_with(f"cut_{r.kind}", f"all_{r.kind}", _both(length))
+            starts[f"{unit}_at_{r.kind}"] = F.when(F.size(f"all_{r.kind}") > 0, sums_before(F.col(f"{unit}_{r.kind}"))).otherwise(F.array().cast("array<long>"))
+
+    def spans(rule: Rule, order: int) -> Column:
+        kept = f"own_{rule.kind}" if rule.group else f"all_{rule.kind}"
+        columns = {"size": f"char_{rule.kind}", "bytes": f"byte_{rule.kind}", "at": f"char_at_{rule.kind}", "byte": f"byte_at_{rule.kind}", "whole": f"all_{rule.kind}", "kept": kept}
+        zipped = F.arrays_zip(*(F.col(c).alias(n) for n, c in columns.items()))
+        fit = F.filter(zipped, lambda z: F.length(z["kept"]) >= rule.least)
+
+        def span(z: Column) -> Column:
+            end, stop = z["at"] + z["size"], z["byte"] + z["bytes"]
+            return F.struct(
+                (end - F.length(z["whole"])).cast("int").alias("at"),
+                F.lit(order).alias("order"),
+                end.cast("int").alias("end"),
+                F.lit(rule.kind).alias("kind"),
+                (stop - F.octet_length(z["whole"])).cast("int").alias("byte"),
+                stop.cast("int").alias("stop"),
+            )
+
+        return F.transform(fit, span)
+
+    found = out.withColumns(finds).withColumns(cuts).withColumns(sizes).withColumns(starts)
+    return found.select("__docs", "__text", F.array_sort(F.concat(*(spans(r, i) for i, r in enumerate(rules)))).alias("__spans"))
 
 
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, spans array<struct<at,order,end,kind>>) of each row."""
+    """(doc_id, spans array<struct<at,order,end,kind,byte,stop>>) of each row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return _scanned(rows, rules, "doc_id", "text").select("__docs.doc_id", F.col("__spans").alias("spans"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each secret replaced by ``[kind]``; overlapping spans become one, named by the first."""
-    merged = F.aggregate(
-        "__spans",
-        F.array().cast("array<struct<at:int,end:int,kind:string>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > s["at"]),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(F.element_at(acc, -1)["at"].alias("at"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"), F.element_at(acc, -1)["kind"].alias("kind"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(s["at"].alias("at"), s["end"].alias("end"), s["kind"].alias("kind"))))),
-    )
-    clean = F.aggregate(
-        merged,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            s["end"].alias("at"),
-            F.concat(acc["out"], F.substring(F.col("__text"), acc["at"] + 1, s["at"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("__text"), acc["at"] + 1, F.length("__text"))),
-    )
-    out = _scanned(docs, rules, id_col, text_col)
+    ends = F.transform("__spans", lambda s: s["stop"].cast("long"))
+    out = _scanned(docs, rules, id_col, text_col).withColumn("__ends", ends)
+    out = out.withColumn("__done", most_before(F.col("__ends"))).withColumn("__bytes", F.col("__text").cast("binary"))
+    # A span that begins where all before it have ended opens a gap of clean text, up to it.
+    zipped = F.arrays_zip(F.col("__spans").alias("span"), F.col("__done").alias("done"))
+    firsts = F.filter(zipped, lambda z: z["span"]["byte"] >= z["done"])
+    piece = lambda a, b: F.substring(F.col("__bytes"), (a + 1).cast("int"), (b - a).cast("int")).cast("string")
+    gaps = F.transform(firsts, lambda z: F.concat(piece(z["done"], z["span"]["byte"]), F.lit("["), z["span"]["kind"], F.lit("]")))
+    clean = F.concat(F.array_join(gaps, ""), piece(F.array_max("__ends"), F.octet_length("__text").cast("long")))
     old = F.col("__docs")[text_col]
     new = F.when(F.size("__spans") > 0, clean).otherwise(old)
     return out.select(*((new if c == text_col else F.col("__docs")[c]).alias(c) for c in docs.columns))
