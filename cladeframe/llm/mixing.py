@@ -10,15 +10,18 @@
    ``shard_slots`` slots draw their source counts multinomially, given those
    totals (unconditioned draws would miss small targets and break the cap).  The
    draws split shard ranges in halves, seeded by range, so any part of the tree
-   can be drawn anywhere and gives the same counts and offsets.
+   can be drawn anywhere and gives the same counts and offsets: a task walks
+   from the root to its own ranges, and the driver holds two numbers a source.
 4. Slot k of a source maps to a block through the source's pseudorandom
    permutation of its pass (a keyed Feistel network, walked into the range), so a
    block is used once a pass, and slots meet blocks in an equi-join on
    (source, block), where no key has more rows than a block has words.
 
 Rows: a null text has no words, gets no block and takes 0; null sources are one
-source, last in order; rows with equal ids are separate; an empty table gives
-an empty result; extra columns are ignored.
+source, last in order; rows with equal ids are separate; repeated rows are
+counted before they are laid out, and each is taken from by its own place; a very long
+text is as many pieces as it has blocks; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from cladeframe.functions.storage import materialize, shuffle_partitions, spread
 from cladeframe.llm.words import word_count
 
 WEIGHTS = (3, 1, 2)
-#: More sources than this are refused: their targets are computed on the driver.
+#: More sources than this are refused: their names and sizes pass through the driver, two numbers each to the tasks.
 MOST_SOURCES = 1_000_000
 BLOCK_WORDS, SHARD_SLOTS, SEED = 256, 512, 20240229
 
@@ -83,16 +86,35 @@ def permute(index: np.ndarray, n: int, key: list[int]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _draw(rng: np.random.Generator, counts: np.ndarray, take: int) -> np.ndarray:
+    """How many of each kind are among ``take`` drawn without replacement, at any size.
+
+    Each item is first drawn on its own with the chance take / all.  Given how many
+    that gives, they are a uniform subset; a uniform subset of the surplus is put
+    back, or one of what is missing is drawn from the rest.  Surplus and
+    missing are about the square root of ``take``, so this ends after some rounds.
+    """
+    total = int(counts.sum())
+    if take <= 0 or total == 0:
+        return np.zeros_like(counts)
+    if take >= total:
+        return counts.copy()
+    if take <= 8:
+        out, left = np.zeros_like(counts), counts.copy()
+        for _ in range(take):
+            ends = np.cumsum(left)
+            k = int(np.searchsorted(ends, rng.integers(int(ends[-1])), side="right"))
+            out[k] += 1
+            left[k] -= 1
+        return out
+    out = rng.binomial(counts, take / total)
+    more = take - int(out.sum())
+    return out + _draw(rng, counts - out, more) if more >= 0 else out - _draw(rng, out, -more)
+
+
 def _split(seed: tuple[int, ...], counts: np.ndarray, take: int) -> np.ndarray:
     """How many of each source fall in the first ``take`` slots: multinomial given the totals."""
-    total = int(counts.sum())
-    if total < 500_000_000:
-        return np.random.default_rng(seed).multivariate_hypergeometric(counts, take, method="marginals")
-    exact = counts * (take / total)  # the relative deviation of a draw is below 1e-4 here
-    out = np.floor(exact).astype(np.int64)
-    rest = take - int(out.sum())
-    out[np.argsort(out - exact, kind="stable")[:rest]] += 1
-    return out
+    return _draw(np.random.default_rng(seed), counts, take)
 
 
 def _halve(seed: int, node: tuple, slots: int) -> tuple[tuple, tuple]:
@@ -102,21 +124,33 @@ def _halve(seed: int, node: tuple, slots: int) -> tuple[tuple, tuple]:
     return (a, m, left, first), (m, b, counts - left, first + left)
 
 
+def _ranges(shards: int, most: int = 4096, least: int = 16) -> list[tuple[int, int]]:
+    """Ranges of the halving tree, for tasks."""
+    out = [(0, shards)] if shards else []
+    while len(out) < most and any(b - a > least for a, b in out):
+        out = [x for a, b in out for x in (((a, (a + b) // 2), ((a + b) // 2, b)) if b - a > least else ((a, b),))]
+    return out
+
+
 def draw_shards(spark: SparkSession, slots: list[int], shard_slots: int, seed: int) -> DataFrame:
     """(shard, source_no, first, n): the slots that each shard takes of each source."""
-    counts = np.array(slots, np.int64)
-    shards = -(-int(counts.sum()) // shard_slots)
-    nodes = [(0, shards, counts, np.zeros_like(counts))] if shards else []
-    while nodes and len(nodes) < 256 and any(n[1] - n[0] > 16 for n in nodes):
-        nodes = [x for n in nodes for x in (_halve(seed, n, shard_slots) if n[1] - n[0] > 16 else (n,))]
-    rows = [(int(a), int(b), c.tolist(), f.tolist()) for a, b, c, f in nodes]
-    tree = spark.createDataFrame(rows, "a long, b long, counts array<long>, first array<long>")
+    all_slots = np.array(slots, np.int64)
+    shards = -(-int(all_slots.sum()) // shard_slots)
+    ranges = _ranges(shards)
+    known = spark.sparkContext.broadcast(all_slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = known.value
+        # Ranges come in order, so the path to the next shares its beginning with the path to this one.
+        path = [(0, shards, counts, np.zeros_like(counts))]
         for batch in batches:
-            for r in batch.to_pylist():
-                todo = [(r["a"], r["b"], np.array(r["counts"], np.int64), np.array(r["first"], np.int64))]
-                out: list[tuple] = []
+            for r in sorted(batch.to_pylist(), key=lambda r: r["a"]):
+                while not path[-1][0] <= r["a"] < path[-1][1]:
+                    path.pop()
+                while (path[-1][0], path[-1][1]) != (r["a"], r["b"]):
+                    left, right = _halve(seed, path[-1], shard_slots)
+                    path.append(left if r["a"] < left[1] else right)
+                todo, out = [path[-1]], []
                 while todo:
                     node = todo.pop()
                     if node[1] - node[0] > 1:
@@ -128,7 +162,8 @@ def draw_shards(spark: SparkSession, slots: list[int], shard_slots: int, seed: i
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], names=["shard", "source_no", "first", "n"])
                         out = []
 
-    return tree.repartition(max(1, min(len(rows), shuffle_partitions(spark)))).mapInArrow(run, "shard long, source_no long, first long, n long")
+    tree = spark.createDataFrame(ranges, "a long, b long").repartition(max(1, min(len(ranges), shuffle_partitions(spark))))
+    return tree.mapInArrow(run, "shard long, source_no long, first long, n long")
 
 
 def place_slots(shards: DataFrame, sizes: list[int], wanted: list[int], block_words: int, shard_slots: int, seed: int) -> DataFrame:
@@ -177,7 +212,7 @@ class Mixture:
             F.col(id_col).cast("long").alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             word_count(F.col(text_col).cast("string")).alias("size"),
-            F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"),
+            F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("row"),
         )
         self.sized = sized = materialize(sized, "mix-sizes")
         per = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
@@ -204,18 +239,20 @@ class Mixture:
         """Lay each source's rows end to end and cut them at block ends."""
         spark = self.sized.sparkSession
         buckets = max(shuffle_partitions(spark), -(-n_rows // 20_000))
-        keyed = (
-            self.sized.where("size > 0")
-            .join(self._named(), F.col("source").eqNullSafe(F.col("named")))
-            .select("doc_id", "row", "size", "source_no", F.pmod(F.xxhash64("row", "doc_id"), F.lit(buckets)).alias("bucket"))
+        counted = self.sized.where("size > 0").groupBy("source", "doc_id", "row", "size").agg(F.count("*").alias("copies"))
+        keyed = counted.join(self._named(), F.col("source").eqNullSafe(F.col("named"))).select(
+            "doc_id", "row", "size", "copies", "source_no", F.pmod(F.xxhash64("row", "doc_id"), F.lit(buckets)).alias("bucket")
         )
-        totals = keyed.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
+        words = F.col("size") * F.col("copies")
+        totals = keyed.groupBy("source_no", "bucket").agg(F.sum(words).alias("words"))
         before = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         starts = totals.select("source_no", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
         own = Window.partitionBy("source_no", "bucket").orderBy("row", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-        laid = keyed.withColumn("inner", F.coalesce(F.sum("size").over(own), F.lit(0))).join(starts, ["source_no", "bucket"])
+        laid = keyed.withColumn("inner", F.coalesce(F.sum(words).over(own), F.lit(0))).join(starts, ["source_no", "bucket"])
+        copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")
+        laid = laid.select("doc_id", "row", "size", "source_no", (F.col("base") + F.col("inner")).alias("at"), copy)
+        laid = laid.withColumn("at", F.col("at") + F.col("copy") * F.col("size"))
         b = F.lit(self.block_words)
-        laid = laid.select("doc_id", "row", "size", "source_no", (F.col("base") + F.col("inner")).alias("at"))
         low, high = F.floor(F.col("at") / b), F.floor((F.col("at") + F.col("size") - 1) / b)
         cut = laid.withColumn("block", F.explode(F.sequence(low, high)))
         start = F.greatest(F.col("at"), F.col("block") * b)
@@ -251,7 +288,7 @@ class Mixture:
         from cladeframe.llm.words import SPACE
 
         words = docs.select(
-            F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"),
+            F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("row"),
             F.filter(F.split(F.col(text_col), SPACE + "+"), lambda w: w != "").alias("ws"),
         ).dropDuplicates(["row"])
         parts = self.pieces.join(words, "row").select(

@@ -30,6 +30,70 @@ def test_draws_are_exact_and_repeatable():
     assert a.sum() == 10**11 and (a <= big).all()
 
 
+def test_draws_have_the_right_distribution():
+    """Against numpy's own draws where those are defined, and by moments beyond."""
+    counts, take, n = np.array([30, 1, 500, 69]), 100, 4000
+    ours = np.array([_split((2, i), counts, take) for i in range(n)])
+    numpys = np.random.default_rng(5).multivariate_hypergeometric(counts, take, size=n)
+    assert (ours.sum(axis=1) == take).all() and (ours <= counts).all()
+    assert np.abs(ours.mean(axis=0) - counts * take / 600).max() < 0.3
+    assert np.abs(ours.std(axis=0) / numpys.std(axis=0) - 1).max() < 0.06
+    big = np.array([3 * 10**8, 2 * 10**8, 10**8])  # 6e8 slots
+    ours = np.array([_split((3, i), big, 2 * 10**8) for i in range(600)])
+    p = big / big.sum()
+    sigma = np.sqrt(2e8 * p * (1 - p) * (1 - 1 / 3))
+    assert (ours.sum(axis=1) == 2 * 10**8).all() and len({tuple(x) for x in ours}) == 600
+    assert np.abs((ours.mean(axis=0) - 2e8 * p) / sigma).max() < 0.2 and np.abs(ours.std(axis=0) / sigma - 1).max() < 0.1
+
+
+def brute_targets(sizes, weights=(3, 1, 2)):
+    """Water filling by bisection: the share that a unit of weight gets, or what the cap leaves."""
+    w = [weights[i % 3] for i in range(len(sizes))]
+    low, high = 0.0, 4.0 * sum(sizes) + 1
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(mid * a, 2 * s) for a, s in zip(w, sizes)) < 1.5 * sum(sizes) else (low, mid)
+    return [min(low * a, 2 * s) for a, s in zip(w, sizes)]
+
+
+def test_targets_against_bisection():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        sizes = [int(x) for x in rng.integers(0, 1000, rng.integers(1, 9))]
+        assert targets(sizes) == pytest.approx(brute_targets(sizes), abs=1e-6)
+
+
+def test_taken_against_laying_out_the_slots_by_hand(spark):
+    """Every slot's words, looked up one by one in the source's rows laid end to end."""
+    docs = documents(n=150) + [(7, "a b c d e f g", "en", "s1", 1)] * 40
+    m = Mixture(frame(spark, docs), block_words=16, shard_slots=8)
+    pieces, slots = m.pieces.collect(), m.slots.collect()
+    place = {}
+    for p in pieces:
+        for j in range(p.n):
+            key = (p.source_no, p.block * 16 + p.place + j)
+            assert key not in place  # no two rows share a place
+            place[key] = (p.doc_id, p.at)
+    sizes = {s.source_no: s.source_size for s in m.sources.collect()}
+    assert len(place) == sum(sizes.values()) == sum(len(words(d[1])) for d in docs)
+    taken, passes = {}, {}
+    for s in slots:
+        passes.setdefault((s.source_no, s.block), []).append(s.words)
+        for j in range(s.words):
+            doc, at = place[s.source_no, s.block * 16 + j]
+            taken[s.source_no, doc, at] = taken.get((s.source_no, doc, at), 0) + 1
+    assert all(len(v) <= 2 for v in passes.values())
+    rows = sorted((r.doc_id is None, r.doc_id or 0, r["size"], r.taken) for r in m.taken().where("size > 0").collect())
+    size = {(p.source_no, p.doc_id, p.at): p["size"] for p in pieces}
+    assert rows == sorted((k[1] is None, k[1] or 0, size[k], taken.get(k, 0)) for k in size)
+
+
+def test_many_repeated_rows(spark):
+    df = spark.range(100_000).selectExpr("1L AS doc_id", "'a b c' AS text", "'x' AS source").unionByName(spark.range(10).selectExpr("id AS doc_id", "'q r s t' AS text", "'y' AS source"))
+    got = Mixture(df).taken().groupBy("source_size").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("taken").alias("most")).collect()
+    assert sorted(map(tuple, got)) == [(40, 10, 80, 8), (300_000, 100_000, 449_980, 6)]
+
+
 def test_mixture(spark):
     docs = [d for d in documents(n=200)]
     df = frame(spark, docs).withColumn("row", F.lit(1)).withColumn("size", F.lit(2)).withColumn("block", F.lit(3))
