@@ -16,7 +16,7 @@ from cladeframe.llm.secret_scan import digest, secret_spans
 from cladeframe.llm.simhash import hex_fingerprint, near_duplicates
 from cladeframe.llm.substring_dedup import substring_dedup
 from cladeframe.llm.token_counts import EDITS, apply_edits, with_trees
-from cladeframe.llm.url_filter import url_verdicts
+from cladeframe.llm.url_filter import language_redirects, url_verdicts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,12 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def url_redirect_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of the pages with a table of redirects, so that classes decide."""
+    pages = _table(spark, sf_dir, "pages")
+    return url_verdicts(pages, redirects=language_redirects(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts before and after three edits of every text: a deletion, an insertion and a replacement."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mixing": op5_source_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op7_url_filters": op7_url_filters,
+    "url_redirect_classes": url_redirect_classes,
     "op8_token_counts": op8_token_counts,
     "op9_html_extraction": op9_html_extraction,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,

@@ -7,6 +7,9 @@ SQL = {}
 
 SQL["op4_secret_scans"] = duckdb_sql()
 SQL["op7_url_filters"] = url_sql()
+SQL["url_redirect_classes"] = url_sql(
+    redirects="SELECT url AS src, regexp_replace(regexp_replace(url, '^([^:]*://[^/]*)/en/', '\\1/de/'), '^([^:]*://[^/]*)/es/', '\\1/fr/') AS dst FROM pages"
+)
 
 SQL["op1_substring_dedup"] = r"""
 WITH w AS (

@@ -1,15 +1,15 @@
 from fixtures import frame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.url_filter import url_verdicts
+from cladeframe.llm.url_filter import links_of, url_verdicts
 
 SCHEMA = "page_id long, url string, html string"
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "bad.net", "/"), ("allow", "good.net", "/ok"))
 
 
 def brute_rule(host, path, rules):
-    fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
-    return max(fits)[1:] if fits else (None, None)
+    fits = [(len(h + p), v == "allow", h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits)[2:] if fits else (None, None)
 
 
 def parse(url):
@@ -84,3 +84,69 @@ def test_sql_matches(spark):
     c.register("pages", pd.DataFrame(pages, columns=["page_id", "url", "html"]))
     have = sorted(map(str, url_verdicts(frame(spark, pages, SCHEMA), RULES).select("page_id", "host", "path", "rule", "verdict").toPandas().itertuples(index=False, name=None)))
     assert have == sorted(map(str, c.execute(duckdb_sql(RULES)).df().itertuples(index=False, name=None)))
+
+
+def test_forms_of_links():
+    page = "http://A.com/x/y?q#f"
+    forms = {
+        '<link rel=canonical href="http://bad.net/a?b=1&amp;c=2">': ["http://bad.net/a?b=1&c=2"],
+        '<LINK REL="alternate Canonical" HREF=" ../z ">': ["http://A.com/z"],
+        '<link rel=canonical href="?p=2">': ["http://A.com/x/y?p=2"],
+        '<link rel=canonical href="./../../w">': ["http://A.com/w"],
+        "<base href='http://b.org/d/'><meta property=og:url content=e>": ["http://b.org/d/e"],
+        '<meta http-equiv="Refresh" content="5;URL=&#39;//c.net/&#39;">': ["http://c.net/"],
+        '<meta http-equiv="refresh" content="5">': [],
+        '<!-- <link rel=canonical href="http://no/"> -->': [],
+        '<script>"<link rel=canonical href=http://no/>"</script><style><link rel=canonical href=http://no/></style>': [],
+        '<noscript><meta http-equiv=refresh content="0;url=http://no/"></noscript><template><link rel=canonical href=http://no/></template>': [],
+        '<link rel=canonical href="http://[oops/">': [],
+        '<link rel=canonical href="">': [],
+        '<link rel=canonical href="mailto:a@b">': [],
+        '<link rel=canonical href="http://cut/': [],
+        '<link rel=stylesheet href="http://no/"><a rel=canonical href="http://no/">': [],
+        "": [],
+    }
+    for html, want in forms.items():
+        assert links_of(page, html) == want, html
+
+
+def test_classes_meet_whatever_the_form(spark):
+    pages = [
+        (1, "http://a.com/1", '<link rel=canonical href="HTTP://BAD.net/1?x=1&amp;y=2#top">'),
+        (2, "HTTPS://B.com/2", '<link rel=canonical href="../2/./c">'),
+        (3, "https://b.COM/2/c#x", '<link rel=canonical href="http://a.com/1">'),
+        (4, None, None),
+        (5, "http://a.com/1", None),
+    ]
+    rows = url_verdicts(frame(spark, pages, SCHEMA), RULES).collect()
+    assert sorted((r.page_id, r.verdict) for r in rows) == [(1, "block"), (2, "block"), (3, "block"), (4, "allow"), (5, "block")]
+
+
+def test_allow_comes_before_block_in_ties(spark):
+    for rules in ([("block", "t.net", "/a"), ("allow", "t.net", "/a")], [("allow", "t.net", "/a"), ("block", "t.net", "/a"), ("block", None, "/"), (None, "t.net", "/a/b")]):
+        got = url_verdicts(frame(spark, [(1, "http://t.net/a/b", None)], SCHEMA), rules).first()
+        assert (got.rule, got.verdict) == ("t.net/a", "allow")
+
+
+def test_many_rules(spark):
+    """20,000 rules as a table, one host with a third of them."""
+    rules = [("block" if i % 2 else "allow", "hot.net" if i % 3 == 0 else f"h{i}.net", f"/{i}") for i in range(20_000)]
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    pages = [(i, f"http://x.{h}{p}/y", None) for i, (_, h, p) in enumerate(rules[::97])]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_verdicts(frame(spark, pages, SCHEMA), table).collect()}
+    for i, (_, h, p) in enumerate(rules[::97]):
+        assert got[i] == brute_rule("x." + h, p + "/y", rules)
+
+
+def test_hostile_page():
+    html = "<link rel=canonical href=http://x/>" + "<link " * 20_000 + "<!-- " * 20_000
+    assert links_of("http://a/", html) == ["http://x/"]
+
+
+def test_redirect_query_is_at_work(spark):
+    from cladeframe.llm.queries import op7_url_filters, url_redirect_classes
+
+    d = "/root/testdata/sf0.01"
+    plain = {r.page_id: r.verdict for r in op7_url_filters(spark, d).collect()}
+    classed = {r.page_id: r.verdict for r in url_redirect_classes(spark, d).collect()}
+    assert plain.keys() == classed.keys() and sum(plain[k] != classed[k] for k in plain) > 20
