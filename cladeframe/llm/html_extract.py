@@ -1,22 +1,30 @@
 """Main text of HTML pages by minimum-cut labelling.
 
-A page is cut into text blocks at block-level tags.  A linear classifier over
-each block's context (kinds and names of its ancestors, share of link text,
-length, punctuation) gives the cost of calling it content and of calling it
-boilerplate; these are its capacities to the two terminals.  Neighbouring blocks
-are joined by smoothness edges, stronger the more of their ancestors they share,
-and so are the next but one under the same parent.  The minimum cut between the
-terminals, found by maximum flow, is the labelling of least total cost.
+A page is cut into text blocks at block-level tags in one scan from left to
+right.  A linear classifier over each block (length, punctuation, share of link
+text, kinds and names of its ancestors) gives its log-odds of being content,
+``WEIGHTS``; these are its capacities to the two terminals.  Smoothness edges are
+on the same scale: between neighbours, the stronger the nearer their containers
+are in the tree; between next but one of a container; and between a block of a list, table,
+quotation or figure and the last one that the container's parent (or its next ancestor with a block) holds, so a list
+hangs on the paragraph before it.  The minimum cut between the terminals, found by maximum flow, is the
+labelling of least total cost: a block that the classifier gets wrong (a word
+alone in a paragraph, a line of links in the text) goes with its surroundings
+unless the evidence against it outweighs its edges.
 
 Each page is labelled alone, in a narrow pass.
 
 Rows: a null page is empty and has an empty text; broken markup is read as far
 as it goes: unclosed elements end with their container, an unfinished tag or
-comment at the end is dropped; extra columns are ignored.
+comment at the end is dropped; of two labellings of equal cost (ties) the one
+with less content is taken; repeated rows are each a row; a very long page is
+read whole, in time that grows with its length and its blocks; an empty table
+gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import deque
 from collections.abc import Iterator
@@ -35,129 +43,228 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table "
     "tbody td tfoot th thead title tr ul".split()
 )
-CONTAINERS = frozenset(
-    "article aside blockquote body details dialog div dl fieldset figure footer form head header main menu nav ol search section "
-    "table tbody thead tfoot tr td th ul li p a title span".split()
+#: Elements whose content is text of another kind, up to their end tag or the end of the page.
+RAW = frozenset("script style textarea iframe noscript noembed noframes xmp".split())
+#: Elements that show no text of the page.
+SILENT = frozenset("template svg math select button object canvas audio video datalist".split())
+CONTAINERS = SILENT | frozenset(
+    "article aside blockquote body details dialog dd div dl dt fieldset figure footer form head header main menu nav ol search section "
+    "table tbody thead tfoot tr td th ul li p a span title".split()
 )
+HANGING = frozenset("ul ol dl table thead tbody tfoot tr blockquote figure".split())
+INLINE = frozenset("a span".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|button|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)")
-TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=[a-zA-Z/!?])[^>]*\Z")
-NAME = re.compile(r"""(?i)\b(?:class|id|role|aria-label|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-# Words in names of elements that hold no main text.
+#: An open element of the left kind ends where one of the right kinds begins.
+ENDS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th", "tr"), "th": ("td", "th", "tr"), "tr": ("tr",)}
+# Words in names of elements.
 BAD = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar "
     "breadcrumb breadcrumbs header masthead footer sidebar aside complementary contentinfo cookie cookies consent gdpr notice notices "
     "alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended "
     "comment comments disqus replies reply respond widget toolbar pagination pager copyright legal disclaimer form skip".split()
 )
+#: Those that stay what they are at the end of a longer name, as in ``post-comments``.
+BAD_HEADS = frozenset("ad ads advert adverts nav navbar menu breadcrumbs footer sidebar cookies newsletter comments replies pagination".split())
 GOOD = frozenset("article content main post entry story body text".split())
-BAD_TAGS = frozenset("nav footer aside form head menu dialog search fieldset".split())
+PLAIN = frozenset("site page box block wrap wrapper container section area inner outer list item items top bottom left right primary secondary global the my".split())
+BAD_TAGS = frozenset("nav footer aside form menu dialog search fieldset".split())
+
+#: Log-odds of content, in nats.  Derivation: text that is an article's runs to hundreds of characters in
+#: sentences, so a block without marks breaks even at about 100 characters with a full stop, each doubling
+#: of the length counts as much as four to one, and a text of links as twenty to one against.  An element that
+#: HTML defines as no main content (nav, aside, footer, form, dialog), or a name of such words only, counts
+#: 10: more than the longest block can weigh up.  ``article`` and ``main`` count 3, twenty to one, and where a
+#: page has them, being outside counts 8.  A name that holds such a word among others says little.
+WEIGHTS = {
+    "bias": -3.2,
+    "length": 1.3,  # a doubling of 1 + n / 25, of four at most
+    "stop": 0.5,
+    "comma": 0.3,  # each, of four at most
+    "links": -3.0,
+    "main": 3.0,
+    "outside": -8.0,
+    "bad": -10.0,
+    "maybe bad": -0.5,
+    "good": 0.5,
+    "hidden": -20.0,
+}
+#: Smoothness: neighbours in one container; it falls with the square of the steps between two containers.
+NEAR, NEXT_BUT_ONE, HANGS = 2.0, 1.0, 0.75
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_END = re.compile(r"=\s*[\"']|>")
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
+
+
+class Element:
+    __slots__ = ("tag", "up", "depth", "mark", "main", "silent")
+
+    def __init__(self, tag: str, up: Element | None, mark: float, main: bool, silent: bool):
+        self.tag, self.up, self.mark, self.main, self.silent = tag, up, mark, main, silent
+        self.depth = up.depth + 1 if up else 0
 
 
 class Block:
-    __slots__ = ("text", "links", "path", "bad", "good")
-
-    def __init__(self, text: str, links: int, path: tuple, bad: bool, good: bool):
-        self.text, self.links, self.path, self.bad, self.good = text, links, path, bad, good
-
-
-def _marks(tag: str, attrs: str, inside_good: bool) -> tuple[bool, bool]:
-    """Whether an element's kind and names speak against main text, or for it."""
-    bad = tag in BAD_TAGS or (tag == "header" and not inside_good)
-    good = tag in ("article", "main")
-    if attrs and "=" in attrs:
-        for m in NAME.finditer(attrs):
-            words = set(re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
-            if words & BAD:
-                bad = True
-            elif words & GOOD:
-                good = True
-    if attrs and tag not in ("body", "html") and re.search(r"(?i)(?<![\w-])hidden(?![\w-])|display\s*:\s*none", attrs):
-        bad = True
-    if tag in ("body", "html"):
-        bad = False
-    return bad, good and not bad
+    __slots__ = ("text", "links", "inside", "mark", "main")
+
+    def __init__(self, text: str, links: int, own: Element):
+        self.text, self.links, self.mark, self.main = text, links, own.mark, own.main
+        while own.up and own.tag in ("p", "a", "span", "li", "td", "th", "dd", "dt"):  # the container of a block is what holds its own element
+            own = own.up
+        self.inside = own
+
+
+def _name_mark(value: str, main: bool) -> float:
+    """What the names in an attribute say: the strongest of them."""
+    found = [0.0]
+    for name in value.split():
+        words = [w.lower() for w in _CAMEL.split(name) if w]
+        bad = [w for w in words if w in BAD]
+        if main and words == ["header"]:
+            continue
+        if bad and (all(w in BAD or w in PLAIN for w in words) or words[-1] in BAD_HEADS):
+            found.append(WEIGHTS["bad"])
+        elif bad:
+            found.append(WEIGHTS["maybe bad"])
+        elif any(w in GOOD for w in words) and all(w in GOOD or w in PLAIN for w in words):
+            found.append(WEIGHTS["good"])
+    return min(found) if min(found) < 0 else max(found)
+
+
+def _element(tag: str, attrs: str, up: Element) -> Element:
+    """An element with the evidence of its kind and names added to that of its ancestors."""
+    main = up.main or tag in ("article", "main")
+    mark = up.mark
+    if tag in BAD_TAGS or (tag == "header" and not up.main):
+        mark += WEIGHTS["bad"]
+    elif main and not up.main:
+        mark += WEIGHTS["main"]
+    if tag == "head":
+        mark += WEIGHTS["hidden"]
+    names = 0.0
+    if attrs and tag not in ("body", "html"):
+        for m in _ATTR.finditer(attrs):
+            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if key in ("class", "id", "role", "aria-label"):
+                own = _name_mark(value, up.main)
+                names = min(names, own) if own < 0 or names < 0 else max(names, own)
+            elif key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
+                mark += WEIGHTS["hidden"]
+    return Element(tag, up, max(mark + names, -30.0), main, up.silent or tag in SILENT)
+
+
+def _tag_end(html: str, at: int) -> int:
+    """Where the tag ends whose name ends at ``at``: after its ``>``; -1 if it doesn't."""
+    while m := _END.search(html, at):
+        if m[0] == ">":
+            return m.end()
+        at = html.find(m[0][-1], m.end()) + 1
+        if not at:
+            return -1
+    return -1
 
 
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page, in order."""
-    html = SILENT.sub(" ", html)
     out: list[Block] = []
-    # open containers: (tag, number, bad so far, good so far)
-    stack: list[tuple[str, int, bool, bool]] = []
+    root = Element("", None, 0.0, False, False)
+    here = root
     piece: list[str] = []
-    links = serial = in_link = 0
-    at = 0
+    links = in_link = 0
+    low: str | None = None
 
     def close() -> None:
         nonlocal links
         if piece:
             text = " ".join(unescape("".join(piece)).split())
             if text:
-                top = stack[-1] if stack else ("", 0, False, False)
-                out.append(Block(text, links, tuple(s[1] for s in stack if s[0] not in ("a", "span")), top[2], top[3]))
+                out.append(Block(text, links, here))
             piece.clear()
         links = 0
 
-    for m in TAG.finditer(html):
-        if m.start() > at:
-            s = html[at : m.start()]
-            piece.append(s)
+    def say(text: str) -> None:
+        nonlocal links
+        if text and not here.silent:
+            piece.append(text)
             if in_link:
-                links += len(s)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+                links += len(text)
+
+    at, size = 0, len(html)
+    while at < size:
+        lt = html.find("<", at)
+        if lt < 0:
+            say(html[at:])
+            break
+        say(html[at:lt])
+        if html.startswith("<!--", lt):
+            end = html.find("-->", lt + 2)
+            at = end + 3 if end >= 0 else size
+            continue
+        m = _TAG.match(html, lt)
+        if not m:
+            if html.startswith(("<!", "<?", "</"), lt):  # a declaration, or an end tag of nothing
+                end = html.find(">", lt)
+                at = end + 1 if end >= 0 else size
+            else:
+                say("<")
+                at = lt + 1
+            continue
+        at = _tag_end(html, m.end())
+        if at < 0:
+            break
+        tag, ends, attrs = m[2].lower(), bool(m[1]), html[m.end() : at - 1]
+        if tag in RAW and not ends:
+            if low is None:
+                low = html.lower() if len(html.lower()) == size else re.sub("[A-Z]", lambda c: c[0].lower(), html)
+            end = low.find("</" + tag, at)
+            at = size if end < 0 else end
+            say(" ")
             continue
-        tag = tag.lower()
         if tag in BLOCKS:
             close()
         elif tag == "br":
-            piece.append(" ")
-        if tag in VOID:
+            say(" ")
+        if tag in VOID or tag not in CONTAINERS:
             continue
         if tag == "a":
-            in_link = 0 if m[1] else 1
-        if tag not in CONTAINERS:
-            continue
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if tag in ("a", "span") and any(s[0] not in ("a", "span") for s in stack[i:]):
-                        break
-                    del stack[i:]
-                    break
-                if tag in ("p", "li", "a", "span") and stack[i][0] not in ("p", "li", "a", "span"):
+            in_link = 0 if ends else 1
+        if ends:
+            top = here
+            while top.up and top.tag != tag:
+                if tag in ("p", "li", "a", "span", "dd", "dt") and top.tag not in ("p", "li", "a", "span", "dd", "dt"):
+                    break  # the end of something inside doesn't end what holds it
+                if tag in INLINE and top.tag not in INLINE:
                     break
-        else:
+                top = top.up
+            if top.up and top.tag == tag:
+                here = top.up
+        elif not (tag in SILENT and attrs.endswith("/")):  # one that ends itself is complete
             if tag in BLOCKS:  # an open paragraph ends where a block begins
-                while stack and stack[-1][0] in ("p", "a", "span"):
-                    stack.pop()
-                if tag == "li" and stack and stack[-1][0] == "li":
-                    stack.pop()
-            serial += 1
-            up = stack[-1] if stack else ("", 0, False, False)
-            bad, good = _marks(tag, m[3] or "", up[3])
-            stack.append((tag, serial, up[2] or bad, up[3] or good))
-    if at < len(html):
-        piece.append(html[at:])
+                while here.tag in ("p", "a", "span"):
+                    here = here.up
+                if tag in ("li", "dd", "dt", "td", "th", "tr"):
+                    top = here
+                    while top.tag in ENDS:
+                        if tag in ENDS[top.tag]:
+                            here = top.up
+                            break
+                        top = top.up
+            here = _element(tag, attrs, here)
     close()
     return out
 
 
-def costs(b: Block, has_good: bool) -> tuple[float, float]:
-    """Costs of calling a block boilerplate and of calling it content."""
-    n = len(b.text)
-    score = -0.5 + min(n, 400) / 100.0 - 4.0 * min(1.0, b.links / n)
+def log_odds(b: Block, has_main: bool) -> float:
+    """The classifier: the log-odds that a block is content."""
+    w, n = WEIGHTS, len(b.text)
+    out = w["bias"] + w["length"] * min(4.0, math.log2(1 + n / 25)) + w["comma"] * min(4, b.text.count(","))
+    out += w["links"] * min(1.0, b.links / n) + b.mark
     if b.text[-1] in ".!?:;…\"”)":
-        score += 0.5
-    if b.bad:
-        score -= 30.0
-    elif b.good:
-        score += 15.0
-    elif has_good:
-        score -= 8.0
-    return (score, 0.0) if score > 0 else (0.0, -score)
+        out += w["stop"]
+    if has_main and not b.main:
+        out += w["outside"]
+    return out
 
 
 def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -226,35 +333,51 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
                 turn[u] += 1
 
 
-def _shared(a: tuple, b: tuple) -> int:
+def _steps(a: Element, b: Element) -> int:
+    """Steps in the tree from one element to another, of which more than 8 are not told apart."""
     n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
+    while a is not b and n < 8:
+        if a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
         n += 1
     return n
 
 
+def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
+    """Edges from adjacency and from nearness in the tree."""
+    edges = []
+    last: dict[Element, int] = {}
+    for i, b in enumerate(found):
+        if i:
+            edges.append((i - 1, i, NEAR / (1 + _steps(found[i - 1].inside, b.inside)) ** 2))
+        if i > 1 and found[i - 2].inside is b.inside:
+            edges.append((i - 2, i, NEXT_BUT_ONE))
+        up = b.inside
+        while up.tag in HANGING:
+            up = up.up
+            if up in last:
+                edges.append((last[up], i, HANGS))
+                break
+        last[b.inside] = i
+    return edges
+
+
+def label(html: str | None) -> list[tuple[str, bool, bool]]:
+    """(text, whether the classifier alone calls it content, whether the cut does) of each block of a page."""
+    found = blocks(html) if html else []
+    if not found:
+        return []
+    has_main = any(b.main and b.mark > WEIGHTS["bad"] / 2 for b in found)
+    score = [log_odds(b, has_main) for b in found]
+    side = minimum_cut([max(x, 0.0) for x in score], [max(-x, 0.0) for x in score], smoothness(found))
+    return [(b.text, x > 0, on) for b, x, on in zip(found, score, side)]
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page, a line a block."""
-    if not html:
-        return ""
-    found = blocks(html)
-    if not found:
-        return ""
-    has_good = any(b.good and not b.bad for b in found)
-    terminal = [costs(b, has_good) for b in found]
-    edges = []
-    for i in range(len(found) - 1):
-        a, b = found[i], found[i + 1]
-        near = _shared(a.path, b.path) / max(len(a.path), len(b.path), 1)
-        edges.append((i, i + 1, 0.2 + 2.0 * near * near))
-        if i + 2 < len(found) and found[i + 2].path[:-1] == a.path[:-1]:
-            edges.append((i, i + 2, 0.5))
-    # no smoothness across the border of what is marked as boilerplate and what is marked as content
-    edges = [e for e in edges if found[e[0]].bad == found[e[1]].bad]
-    side = minimum_cut([c[0] for c in terminal], [c[1] for c in terminal], edges)
-    return "\n".join(b.text for b, on in zip(found, side) if on)
+    return "\n".join(text for text, _, on in label(html) if on)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
