@@ -11,12 +11,20 @@ same shuffle files as before, marks the windows and merges overlapping ones
 into maximal removal intervals.  Nothing is gathered by key: the largest group
 anywhere is a chunk or a bucket.
 
+At 100 TB a chunk has 128 MB of text and a bucket as much, so a piece that goes
+from one to the other is some hundreds of bytes; a task takes many of them, one
+after the other.  A worker works through a chunk or a bucket by ranges of hashes
+and holds some 20 bytes a window.
+
 Windows are compared by a 64-bit hash; two different windows among n collide
 with a chance of about n / 2**64 each.
 
 Rows: a null text has no words; a null id counts as the largest of all, so it
-never makes another row lose words; rows with equal ids don't affect each
-other; texts shorter than a window lose nothing; extra columns are ignored.
+never makes another row lose words; rows with equal ids (repeated rows among
+them, ties) don't affect each other, and each loses what it would lose alone;
+repeated rows are dealt apart by the partition they are read in; texts shorter
+than a window lose nothing; a very long text is hashed whole; an empty table
+gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,12 +42,14 @@ from cladeframe.llm.words import WordHashes, as_bytes, rolling, slices, starts_w
 
 LAST = np.iinfo(np.int64).max
 OUT = "doc_id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string"
+#: Windows that a worker sorts at a time, and partitions of an exchange.
+RANGE, MOST_TASKS = 1 << 21, 20_000
 
 
 def chunk_count(total_bytes: int, least: int) -> int:
-    """Chunks of 6 MB of text or, for very large inputs, larger ones up to 256 MB, so that
-    the parts exchanged between chunks and buckets stay above a kilobyte."""
-    size = min(max(6 << 20, int((total_bytes * 1024) ** 0.5)), 256 << 20)
+    """Chunks of 6 MB of text or, for very large inputs, larger ones up to 128 MB, so that
+    the pieces exchanged between chunks and buckets stay above some hundred bytes."""
+    size = min(max(6 << 20, int((total_bytes * 256) ** 0.5)), 128 << 20)
     return max(1, least, -(-total_bytes // size))
 
 
@@ -60,8 +70,32 @@ def _unpack(b: pa.Buffer, n: int) -> np.ndarray:
     return np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def _ids(column) -> np.ndarray:
-    return column.fill_null(LAST).to_numpy().astype(np.int64)
+class _Rows:
+    """A chunk's rows by id, nulls last; ``rank`` tells ids apart and keeps their order."""
+
+    def __init__(self, t: pa.Table):
+        ids = t.column("doc_id")
+        null = np.asarray(ids.is_null())
+        ids = ids.fill_null(LAST).to_numpy().astype(np.int64)
+        order = np.lexsort((ids, null))
+        texts = as_bytes(t.column("text"))
+        self.texts = [texts[i] for i in order]
+        self.ids, self.null = ids[order], null[order]
+        new = (self.ids[1:] != self.ids[:-1]) | (self.null[1:] != self.null[:-1])
+        self.rank = np.r_[0, np.cumsum(new)].astype(np.uint32)[: len(ids)]
+
+    def parts(self) -> int:
+        """Into how many ranges of hashes to cut the work: a power of two."""
+        return 1 << max(0, (sum(len(x or b"") for x in self.texts) // (4 * RANGE)).bit_length())
+
+
+def _by_range(hashes: np.ndarray, parts: int) -> list[np.ndarray]:
+    """Places of the hashes of each range, in order."""
+    if parts == 1:
+        return [np.arange(len(hashes))]
+    which = (hashes >> np.uint64(64 - (parts - 1).bit_length())).astype(np.uint16)
+    order = np.argsort(which, kind="stable")
+    return np.split(order, np.searchsorted(which[order], np.arange(1, parts)))
 
 
 def _windows(texts: list, width: int, table: WordHashes):
@@ -74,38 +108,46 @@ def _windows(texts: list, width: int, table: WordHashes):
         yield lo, words, counts, hashes, ok
 
 
+def _owners(lo: int, counts: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """The row of each window that lies within one."""
+    return np.repeat(np.arange(lo, lo + len(counts), dtype=np.uint32), counts)[: len(ok)][ok]
+
+
 def _reduce_chunk(width: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
-        ids = _ids(t.column("doc_id"))
-        texts = as_bytes(t.column("text"))
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        texts = [texts[i] for i in order]
-        table, found, owner = WordHashes(), [], []
-        for lo, _, counts, hashes, ok in _windows(texts, width, table):
-            doc = np.repeat(np.arange(lo, lo + len(counts), dtype=np.uint32), counts)[: len(ok)]
-            found.append(hashes[ok])
-            owner.append(doc[ok])
-        h = np.concatenate(found) if found else np.empty(0, np.uint64)
-        d = np.concatenate(owner) if owner else np.empty(0, np.uint32)
-        h, first = np.unique(h, return_index=True)  # the first has the least id
-        d = d[first]
-        small = np.uint16 if len(ids) < 65536 else np.uint32
-        edges = np.array([(k << 64) // buckets for k in range(1, buckets)], dtype=np.uint64)
-        cuts = [0, *np.searchsorted(h, edges), len(h)]
+        docs, table = _Rows(t), WordHashes()
+        parts = docs.parts()
+        held: list[list] = [[] for _ in range(parts)]
+        for lo, _, counts, hashes, ok in _windows(docs.texts, width, table):
+            h, d = hashes[ok], _owners(lo, counts, ok)
+            for r, at in enumerate(_by_range(h, parts)):
+                held[r].append((h[at], d[at]))
+        small = np.uint16 if len(docs.ids) < 65536 else np.uint32
         chunk = t.column("chunk")[0].as_py()
-        rows = {"bucket": [], "chunk": [], "n": [], "hashes": [], "owners": [], "ids": []}
-        for k in range(buckets):
-            a, b = cuts[k], cuts[k + 1]
-            if a < b:
-                own, back = np.unique(d[a:b], return_inverse=True)
-                rows["bucket"].append(k)
-                rows["chunk"].append(chunk)
-                rows["n"].append(int(b - a))
-                rows["hashes"].append(_pack(h[a:b]))
-                rows["owners"].append(back.astype(small).tobytes())
-                rows["ids"].append(ids[own].tobytes())
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        rows = {"bucket": [], "chunk": [], "n": [], "hashes": [], "owners": [], "ids": [], "nulls": []}
+        for r in range(parts):
+            if not held[r]:
+                continue
+            h, d = (np.concatenate(x) for x in zip(*held[r]))
+            held[r] = []
+            h, first = np.unique(h, return_index=True)  # the first has the least id
+            d = d[first]
+            if not len(h):
+                continue
+            low, high = int(h[0]) * buckets >> 64, int(h[-1]) * buckets >> 64
+            edges = np.array([-(-(k << 64) // buckets) for k in range(low + 1, high + 1)], dtype=np.uint64)
+            cuts = [0, *np.searchsorted(h, edges), len(h)]
+            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]), low):
+                if a < b:
+                    own, back = np.unique(d[a:b], return_inverse=True)
+                    rows["bucket"].append(k)
+                    rows["chunk"].append(chunk)
+                    rows["n"].append(int(b - a))
+                    rows["hashes"].append(_pack(h[a:b]))
+                    rows["owners"].append(back.astype(small).tobytes())
+                    rows["ids"].append(docs.ids[own].tobytes())
+                    rows["nulls"].append(docs.null[own].tobytes() if docs.null[own[-1]] else b"")
+        kinds = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
         return pa.table([pa.array(v, k) for v, k in zip(rows.values(), kinds)], names=list(rows))
 
     return run
@@ -113,56 +155,69 @@ def _reduce_chunk(width: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
 
 def _count_bucket(t: pa.Table) -> pa.Table:
     """For each chunk, the hashes that start in a smaller id of another chunk."""
-    chunks = t.column("chunk").to_pylist()
-    hs, ds, cs = [], [], []
-    for i, (n, h, o, ids) in enumerate(zip(t.column("n"), t.column("hashes"), t.column("owners"), t.column("ids"))):
-        h = _unpack(h.as_buffer(), n.as_py())
-        o = o.as_buffer()
-        ids = np.frombuffer(ids.as_buffer(), np.int64)
-        hs.append(h)
-        ds.append(ids[np.frombuffer(o, np.uint16 if o.size == 2 * len(h) else np.uint32)])
-        cs.append(np.full(len(h), i, np.int32))
-    h, d, c = np.concatenate(hs), np.concatenate(ds), np.concatenate(cs)
-    order = np.argsort(h)
-    h = h[order]
-    again = h[1:] == h[:-1]
-    shared = np.r_[False, again] | np.r_[again, False]
-    h, d, c = h[shared], d[order[shared]], c[order[shared]]
-    out_chunk, out_hash = [], []
-    if len(h):
+    chunks, sizes = t.column("chunk").to_pylist(), t.column("n").to_pylist()
+    packed, owners, ids, nulls = (t.column(c) for c in ("hashes", "owners", "ids", "nulls"))
+    hashes = [_unpack(packed[i].as_buffer(), n) for i, n in enumerate(sizes)]
+    low, high = min(int(h[0]) for h in hashes), max(int(h[-1]) for h in hashes)
+    parts = -(-sum(sizes) // RANGE)
+    edges = np.array([low + (high - low + 1) * r // parts for r in range(1, parts)], dtype=np.uint64)
+    cuts = [np.r_[0, np.searchsorted(h, edges), len(h)] for h in hashes]
+    lost_of: dict[int, list] = {}
+    for r in range(parts):
+        at = [(i, int(c[r]), int(c[r + 1])) for i, c in enumerate(cuts) if c[r] < c[r + 1]]
+        if not at:
+            continue
+        h = np.concatenate([hashes[i][a:b] for i, a, b in at])
+        row = np.repeat(np.array([i for i, _, _ in at], np.int32), [b - a for _, a, b in at])
+        place = np.concatenate([np.arange(a, b, dtype=np.int32) for _, a, b in at])
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        again = h[1:] == h[:-1]
+        shared = np.r_[False, again] | np.r_[again, False]
+        h, row, place = h[shared], row[order[shared]], place[order[shared]]
+        if not len(h):
+            continue
+        d, null = np.empty(len(h), np.int64), np.zeros(len(h), bool)
+        for i in np.unique(row):
+            mine = row == i
+            o = owners[int(i)].as_buffer()
+            own = np.frombuffer(o, np.uint16 if o.size == 2 * sizes[i] else np.uint32)[place[mine]]
+            d[mine] = np.frombuffer(ids[int(i)].as_buffer(), np.int64)[own]
+            flags = nulls[int(i)].as_buffer()
+            if flags.size:
+                null[mine] = np.frombuffer(flags, bool)[own]
         begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        least = np.repeat(np.minimum.reduceat(d, begin), np.diff(np.r_[begin, len(h)]))
-        lost = d > least
-        h, c = h[lost], c[lost]
-        for i in np.unique(c):
-            out_chunk.append(chunks[i])
-            out_hash.append(h[c == i].tobytes())
-    return pa.table([pa.array(out_chunk, pa.int32()), pa.array(out_hash, pa.binary())], names=["chunk", "hashes"])
+        size = np.diff(np.r_[begin, len(h)])
+        least = np.repeat(np.minimum.reduceat(d, begin), size)  # a null is LAST, so it makes nothing smaller
+        real = np.repeat(np.logical_or.reduceat(~null, begin), size)
+        lost = np.where(null, real, d > least)
+        h, row = h[lost], row[lost]
+        for i in np.unique(row):
+            lost_of.setdefault(chunks[i], []).append(h[row == i])
+    told = {c: np.concatenate(v) for c, v in lost_of.items()}
+    return pa.table([pa.array(list(told), pa.int32()), pa.array([v.tobytes() for v in told.values()], pa.binary())], names=["chunk", "hashes"])
 
 
-def _cut_chunk(width: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        elsewhere = [np.frombuffer(x.as_buffer(), np.uint64) for x in told.column("hashes")]
-        lost = np.sort(np.concatenate(elsewhere)) if elsewhere else np.empty(0, np.uint64)
-        ids = _ids(docs.column("doc_id"))
-        texts = as_bytes(docs.column("text"))
-        table = WordHashes()
-        # The least id of each hash that occurs more than once in the chunk.
-        order = np.argsort(ids, kind="stable")
-        texts = [texts[i] for i in order]
-        ids = ids[order]
-        own, per = [], []
-        for lo, _, counts, hashes, ok in _windows(texts, width, table):
-            own.append(hashes[ok])
-            per.append(np.repeat(np.arange(lo, lo + len(counts), dtype=np.uint32), counts)[: len(ok)][ok])
-        h = np.concatenate(own) if own else np.empty(0, np.uint64)
-        d = np.concatenate(per) if per else np.empty(0, np.uint32)
-        del own, per
-        bad = np.zeros(len(h), bool)
-        if len(lost):
+def _bad_windows(docs: _Rows, lost: np.ndarray, width: int) -> np.ndarray:
+    """Which windows of a chunk, row after row, also start in a smaller id."""
+    table, parts = WordHashes(), docs.parts()
+    held: list[list] = [[] for _ in range(parts)]
+    total = 0
+    for lo, _, counts, hashes, ok in _windows(docs.texts, width, table):
+        h, d = hashes[ok], _owners(lo, counts, ok)
+        for r, at in enumerate(_by_range(h, parts)):
+            held[r].append((h[at], docs.rank[d[at]], (total + at).astype(np.uint32)))
+        total += len(h)
+    bad = np.zeros(total, bool)
+    for r in range(parts):
+        if not held[r]:
+            continue
+        h, rank, place = (np.concatenate(x) for x in zip(*held[r]))
+        held[r] = []
+        if len(lost) and len(h):
             at = np.minimum(np.searchsorted(lost, h), len(lost) - 1)
-            bad = lost[at] == h
-        by = np.argsort(h)
+            bad[place[lost[at] == h]] = True
+        by = np.argsort(h, kind="stable")
         s = h[by]
         again = s[1:] == s[:-1]
         shared = np.r_[False, again] | np.r_[again, False] if len(s) else np.zeros(0, bool)
@@ -170,11 +225,20 @@ def _cut_chunk(width: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         if len(k):
             s = s[shared]
             begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-            mine = ids[d[k]]
-            bad[k] |= mine > np.repeat(np.minimum.reduceat(mine, begin), np.diff(np.r_[begin, len(s)]))
+            mine = rank[k]
+            bad[place[k]] |= mine > np.repeat(np.minimum.reduceat(mine, begin), np.diff(np.r_[begin, len(s)]))
+    return bad
+
+
+def _cut_chunk(width: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        elsewhere = [np.frombuffer(x.as_buffer(), np.uint64) for x in told.column("hashes")]
+        lost = np.sort(np.concatenate(elsewhere)) if elsewhere else np.empty(0, np.uint64)
+        docs = _Rows(rows)
+        bad = _bad_windows(docs, lost, width)
         out = {"doc_id": [], "n_words": [], "n_removed": [], "removed": [], "kept_text": []}
         done = 0
-        for i, t in enumerate(texts):
+        for i, t in enumerate(docs.texts):
             words = t.split() if t else []
             n = max(0, len(words) - width + 1)
             hit = np.flatnonzero(bad[done : done + n])
@@ -191,7 +255,7 @@ def _cut_chunk(width: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 words_kept = compress(words, keep.tolist())
             else:
                 words_kept = words
-            out["doc_id"].append(None if ids[i] == LAST else int(ids[i]))
+            out["doc_id"].append(None if docs.null[i] else int(docs.ids[i]))
             out["n_words"].append(len(words))
             out["n_removed"].append(gone)
             out["removed"].append(spans)
@@ -222,9 +286,11 @@ def substring_dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = chunk_count(total, shuffle_partitions(spark))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "chunk")
+    tasks = min(n, MOST_TASKS)
+    key = F.xxhash64("doc_id", "text", F.spark_partition_id())
+    dealt = rows.withColumn("chunk", F.pmod(key, F.lit(n)).cast("int")).repartition(tasks, "chunk")
     parts = dealt.groupBy("chunk").applyInArrow(
-        _reduce_chunk(width, n), "bucket int, chunk int, n int, hashes binary, owners binary, ids binary"
+        _reduce_chunk(width, n), "bucket int, chunk int, n int, hashes binary, owners binary, ids binary, nulls binary"
     )
-    told = parts.repartition(n, "bucket").groupBy("bucket").applyInArrow(_count_bucket, "chunk int, hashes binary")
+    told = parts.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_count_bucket, "chunk int, hashes binary")
     return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_cut_chunk(width), OUT)

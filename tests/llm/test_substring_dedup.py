@@ -2,11 +2,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from fixtures import documents, frame, words
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from cladeframe.llm import substring_dedup as sd
 from cladeframe.llm.substring_dedup import _pack, _unpack, chunk_count, substring_dedup
 
 
@@ -72,6 +74,41 @@ def test_packing_round_trip(values):
         assert (_unpack(pa.py_buffer(_pack(h)), len(h)) == h).all()
 
 
+def test_in_small_ranges(monkeypatch):
+    """The three steps of a worker, cut into many ranges of hashes, with the extremes of ids."""
+    monkeypatch.setattr(sd, "RANGE", 32)
+    top, low = 2**63 - 1, -(2**63)
+    docs = [(d[0], d[1]) for d in documents()] + [(i, documents()[0][1]) for i in (top, top, low, None)]
+    docs += [(None, "a b c d e f g"), (top, "a b c d e f g"), (None, "h i j k l"), (None, "h i j k l")]
+    for width in (13, 3):
+        dealt = [docs[i::7] for i in range(7)]
+        table = lambda rows, c: pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows], "chunk": pa.array([c] * len(rows), pa.int32())})
+        chunks = [table(rows, c) for c, rows in enumerate(dealt)]
+        sent = pa.concat_tables([sd._reduce_chunk(width, 5)(t) for t in chunks])
+        told = [sd._count_bucket(sent.filter(pa.compute.equal(sent["bucket"], b))) for b in sorted(set(sent["bucket"].to_pylist()))]
+        told = pa.concat_tables(told)
+        out = []
+        for c, t in enumerate(chunks):
+            cut = sd._cut_chunk(width)(t, told.filter(pa.compute.equal(told["chunk"], c))).to_pylist()
+            out += [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in cut]
+        assert sorted(out, key=str) == brute(docs, width)
+
+
+def test_many_repeated_rows(spark):
+    """A row repeated 100,000 times, read in many partitions, is dealt to many chunks."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = spark.range(100_000, numPartitions=16).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    rows = rows.unionByName(spark.createDataFrame([(3, text), (None, text), (9, None)], "doc_id long, text string"))
+    got = substring_dedup(rows).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(7, 30, 30, 100_000), (3, 30, 0, 1), (None, 30, 30, 1), (9, 0, 0, 1)], key=str)
+
+
+def test_very_long_text(spark):
+    long = " ".join(str(i % 5000) for i in range(300_000))
+    out = got(substring_dedup(frame(spark, [(2, long, "", "", 1), (1, " ".join(str(i) for i in range(5000)), "", "", 1)]), 13))
+    assert out == brute([(2, long), (1, " ".join(str(i) for i in range(5000)))], 13)
+
+
 def test_chunks_grow_with_the_input():
     assert chunk_count(0, 8) == 8 and chunk_count(10**9, 8) == 159
-    assert 10**14 / chunk_count(10**14, 8) <= 256 << 20
+    assert 10**14 / chunk_count(10**14, 8) <= 128 << 20
