@@ -8,14 +8,22 @@ they share a unit cell of the grid over some three blocks.  Pairs within a
 cell pass the Manhattan bound first and the exact Hamming test after it.
 
 Equal fingerprints are one node from the start.  A cell with more than
-``dense`` distinct fingerprints isn't joined with itself: its members meet at
-the centres of radius-1 balls (two fingerprints are within 2 bits of each other
-exactly when those balls share a centre), each centre linking to its least
-member.  That is linear in the members and loses no link.
+``dense`` distinct fingerprints isn't joined with itself: its members go to a
+grid of twice as many blocks, whose cells are smaller, and so on up to a block a
+segment.  Every pair within the distance shares a cell of every grid, so none
+is lost.  Cells that are crowded even there (thousands of fingerprints that
+agree in 30 segments) are the rest: their members meet at the centres of
+radius-1 balls (two fingerprints are within 2 bits of each other exactly when
+those balls share a centre), each centre linking to its least member.  Those
+links pass the same bound and test; they are linear in the members and connect
+all that the pairs would.
 
 Rows: a null text or one without words has fingerprint zero, linked like any
 other; a null id is kept, is never a component's name unless the component has
-no other id; extra columns are ignored; an empty table gives an empty one.
+no other id; rows with equal ids and repeated rows are each a row; a very long
+text is hashed whole, its bits counted a block of shingles at a time; of equal
+least ids (ties) in ``keep_one`` the row with the least hash stays; extra columns
+are ignored or, in ``keep_one``, passed on; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -31,12 +39,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.functions.storage import materialize, spread
+from cladeframe.llm.rows import NAMES, keep_rows, row_names
 from cladeframe.llm.words import as_bytes, bound_batches, slices
 from cladeframe.operators.components import connected_components
 
 BITS = 64
 LOW = 0x5555555555555555
-BLOCKS = 5
+BLOCKS, SEGMENTS = 5, 32
+#: Runs of shingles whose bits are counted at a time.
+PIECES = 512
 
 
 def _fingerprints(texts: list, width: int, seed: int) -> np.ndarray:
@@ -62,8 +73,12 @@ def _fingerprints(texts: list, width: int, seed: int) -> np.ndarray:
         ends = np.cumsum(counts)
         begins = ends - counts
         pieces = np.concatenate([np.arange(a, b, 255) for a, b in zip(begins, ends)])
-        lanes = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
-        sums = np.add.reduceat(lanes, pieces, axis=0).view(np.uint8).astype(np.int32)
+        stops = np.r_[pieces[1:], len(h)]
+        sums = np.empty((len(pieces), 64), np.int32)
+        for i in range(0, len(pieces), PIECES):
+            first, last = pieces[i], stops[min(i + PIECES, len(pieces)) - 1]
+            lanes = np.unpackbits(h[first:last].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
+            sums[i : i + PIECES] = np.add.reduceat(lanes, pieces[i : i + PIECES] - first, axis=0).view(np.uint8)
         some = counts > 0
         first = np.searchsorted(pieces, begins[some])
         ones = np.add.reduceat(sums, first, axis=0)
@@ -75,16 +90,16 @@ def _fingerprints(texts: list, width: int, seed: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, row): the 64-bit SimHash of each row's word shingles, and a hash of id and text."""
+    """(doc_id, fp, row, row2): the 64-bit SimHash of each row's word shingles, and two hashes of id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = _fingerprints(as_bytes(b.column(1)), width, seed)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(2)], names=["doc_id", "fp", "row"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(2), b.column(3)], names=["doc_id", "fp", "row", "row2"])
 
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return spread(rows).withColumn("row", F.xxhash64("doc_id", "text")).mapInArrow(run, "doc_id long, fp long, row long")
+    return spread(rows).select("doc_id", "text", *row_names("doc_id", "text")).mapInArrow(run, "doc_id long, fp long, row long, row2 long")
 
 
 def _signed(x: int) -> int:
@@ -118,47 +133,51 @@ def grid_blocks(n: int, distance: int = 2) -> int:
     return min(range(BLOCKS, 17), key=cost)
 
 
+def _near(distance: int) -> Column:
+    """Whether a and b are near: the Manhattan bound on their counts first, then the exact test."""
+    bound = F.bit_count(counts_code(F.col("a")).bitwiseXOR(counts_code(F.col("b")))) <= distance
+    return bound & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
+
+
+def _grid(fps: DataFrame, distance: int, dense: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Near pairs (a, b) of the cells of a grid, and the fingerprints of its crowded cells."""
+    at = F.explode(F.array(*(F.struct(F.lit(i).alias("grid"), F.col("code").bitwiseAND(F.lit(m)).alias("at")) for i, m in enumerate(grid_masks(blocks, distance)))))
+    cells = fps.select("fp", counts_code(F.col("fp")).alias("code")).select("fp", at.alias("cell")).select("fp", "cell.grid", "cell.at")
+    sizes = cells.groupBy("grid", "at").agg(F.count("*").alias("n")).where("n > 1")
+    filled = materialize(cells.join(sizes, ["grid", "at"]), "simhash-cells")
+    thin = filled.where(F.col("n") <= dense).select("grid", "at", "fp")
+    pairs = thin.withColumnRenamed("fp", "a").join(thin.withColumnRenamed("fp", "b"), ["grid", "at"]).where("a < b")
+    crowd = materialize(filled.where(F.col("n") > dense).select("fp").distinct(), "simhash-crowd")
+    return pairs.where(_near(distance)).select("a", "b"), crowd
+
+
+def _balls(fps: DataFrame, distance: int) -> DataFrame:
+    """Links (a, b) that connect all of ``fps`` within the distance, linear in their number."""
+    flips = [F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(BITS)]
+    if distance < 2:
+        near = fps.select(F.col("fp").alias("a"), F.explode(F.array(*flips)).alias("b")).join(fps.withColumnRenamed("fp", "b"), "b", "left_semi")
+        return near.where(_near(distance)).select("a", "b")
+    balls = fps.select("fp", F.explode(F.array(F.col("fp"), *flips)).alias("centre"))
+    least = balls.groupBy("centre").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("centre", "a")
+    return balls.join(least, "centre").select("a", F.col("fp").alias("b")).where("a <> b").where(_near(distance))
+
+
 def near_links(fps: DataFrame, distance: int = 2, dense: int = 64, blocks: int | None = None) -> DataFrame:
     """Links (src, dst) that connect all distinct ``fp`` within the distance of each other.
 
-    Only ``distance`` 2 or less.  Within dense cells the links are stars, of
-    the same connectivity and each within the distance.
+    Only ``distance`` 2 or less.  All links of thin cells; in the rest, stars of
+    the same connectivity.  Each link is within the distance.
     """
     assert 0 <= distance <= 2
-    masks = grid_masks(blocks or grid_blocks(fps.count()))
-    code = counts_code(F.col("fp"))
-    cells = fps.select("fp", code.alias("code")).select(
-        "fp",
-        "code",
-        F.explode(F.array(*(F.struct(F.lit(i).alias("grid"), F.col("code").bitwiseAND(F.lit(m)).alias("at")) for i, m in enumerate(masks)))).alias("cell"),
-    ).select("fp", "code", F.col("cell.grid").alias("grid"), F.col("cell.at").alias("at"))
-    sizes = cells.groupBy("grid", "at").agg(F.count("*").alias("n")).where("n > 1")
-    filled = materialize(cells.join(sizes, ["grid", "at"]), "simhash-cells")
-    thin = filled.where(F.col("n") <= dense)
-    a, b = thin.alias("a"), thin.alias("b")
-    pairs = (
-        a.join(b, (F.col("a.grid") == F.col("b.grid")) & (F.col("a.at") == F.col("b.at")) & (F.col("a.fp") < F.col("b.fp")))
-        .where(F.bit_count(F.col("a.code").bitwiseXOR(F.col("b.code"))) <= distance)
-        .where(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance)
-        .select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
-    )
-    crowd = filled.where(F.col("n") > dense).select("fp").distinct()
-    if distance < 2:
-        balls = crowd.select("fp", F.explode(F.array(F.col("fp"))).alias("centre")).where(F.lit(distance) == 0)
-        if distance == 1:  # a ball of radius 1 around one end holds the other
-            flips = crowd.select(
-                F.col("fp").alias("src"),
-                F.explode(F.array(*(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(BITS)))).alias("dst"),
-            )
-            return pairs.unionByName(flips.join(crowd.select(F.col("fp").alias("dst")), "dst", "left_semi").select("src", "dst")).distinct()
-        return pairs.distinct()
-    balls = crowd.select(
-        "fp",
-        F.explode(F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(BITS)))).alias("centre"),
-    )
-    least = balls.groupBy("centre").agg(F.min("fp").alias("src"), F.count("*").alias("n")).where("n > 1").select("centre", "src")
-    stars = balls.join(least, "centre").where("fp <> src").select("src", F.col("fp").alias("dst"))
-    return pairs.unionByName(stars).distinct()
+    blocks = blocks or grid_blocks(fps.count())
+    links, crowd = _grid(fps, distance, dense, blocks)
+    while blocks < SEGMENTS and not crowd.isEmpty():
+        blocks = min(2 * blocks, SEGMENTS)
+        more, crowd = _grid(crowd, distance, dense, blocks)
+        links = links.unionByName(more)
+    if not crowd.isEmpty():
+        links = links.unionByName(_balls(crowd, distance))
+    return links.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
 def _classes(rows: DataFrame, distance: int, name: Column) -> tuple[DataFrame, DataFrame]:
@@ -173,7 +192,7 @@ def _classes(rows: DataFrame, distance: int, name: Column) -> tuple[DataFrame, D
 
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for each row: the least id reachable over links."""
-    rows = materialize(fingerprints(docs, width, seed, id_col, text_col).drop("row"), "simhash")
+    rows = materialize(fingerprints(docs, width, seed, id_col, text_col).drop(*NAMES), "simhash")
     classes, least = _classes(rows, distance, F.col("doc_id"))
     whole = classes.join(least, "component").select("fp", F.col("least").alias("component_id"))
     return rows.join(whole, "fp", "left").select("doc_id", "fp", "component_id")
@@ -182,16 +201,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, seed: in
 def keep_one(docs: DataFrame, width: int = 3, distance: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row of least id of each component, with all its columns; one of rows that are repeated.
 
-    Rows are told apart by a hash of id and text; a null id counts as the largest.
+    Rows are told apart by 128 bits of hashes of id and text; a null id counts as
+    the largest.
     """
     rows = materialize(fingerprints(docs, width, seed, id_col, text_col), "simhash")
-    _, least = _classes(rows, distance, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-    name = "__row"
-    while name in docs.columns:
-        name += "_"
-    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    stay = least.select(F.col("least.row").alias(name))
-    return docs.withColumn(name, key).join(stay, name, "left_semi").dropDuplicates([name]).drop(name)
+    _, least = _classes(rows, distance, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *NAMES))
+    times = rows.groupBy(*NAMES).agg(F.count("*").alias("times"))
+    return keep_rows(docs, times.join(least.select("least.row", "least.row2"), list(NAMES)), id_col, text_col)
 
 
 def hex_fingerprint(fp: Column) -> Column:

@@ -5,7 +5,7 @@ import xxhash
 from fixtures import LOWER, documents, frame, words
 from pyspark.sql import functions as F
 
-from cladeframe.llm.simhash import counts_code, fingerprints, grid_masks, hex_fingerprint, keep_one, near_duplicates, near_links, grid_blocks
+from cladeframe.llm.simhash import _grid, counts_code, fingerprints, grid_blocks, grid_masks, hex_fingerprint, keep_one, near_duplicates, near_links
 from cladeframe.operators.components import connected_components
 
 M = (1 << 64) - 1
@@ -74,13 +74,35 @@ def test_dense_cells_link_as_pairs_do(spark):
         assert {tuple(r) for r in connected_components(links).collect()} == want
 
 
+def test_crowded_cells_are_refined(spark):
+    """A cell of 500 fingerprints and more: all links that are pairs come from the grid, and components are as by brute force."""
+    rng = random.Random(4)
+    centre = rng.getrandbits(63)
+    high = ((1 << 63) - 1) >> 26 << 26  # the cell: equal in three blocks of the coarsest grid
+    values = sorted({centre & high | rng.getrandbits(26) for _ in range(700)} | {centre & high | (centre ^ (1 << a) ^ (1 << b)) & ~high & (1 << 63) - 1 for a in range(12) for b in range(12)})
+    assert len(values) > 700
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    part = classes(values)
+    want = {(values[i], values[p]) for i, p in enumerate(part) if part.count(p) > 1}
+    for dense in (64, 2):
+        links = near_links(df, 2, dense, 5)
+        assert {tuple(r) for r in connected_components(links).collect()} == want
+    pairs = {(a, b) for i, b in enumerate(values) for a in values[:i] if (a ^ b).bit_count() <= 2}
+    assert {tuple(sorted(r)) for r in near_links(df, 2, 64, 5).collect()} == pairs  # nothing was left to the balls
+    near, crowd = _grid(df, 2, 64, 5)
+    assert crowd.count() > 500 and near.count() < len(pairs)
+    for d in (0, 1):
+        got = {tuple(sorted(r)) for r in near_links(df, d, 2, 5).collect()}
+        assert got == {p for p in pairs if (p[0] ^ p[1]).bit_count() <= d}
+
+
 def test_blocks_grow_with_the_fingerprints():
     got = [grid_blocks(10**k) for k in range(4, 13)]
     assert got[0] == 5 and got == sorted(got) and got[-1] >= 9
 
 
 def test_long_texts_and_many_shingles():
-    t = " ".join(f"w{i % 977}x{i}" for i in range(3000))
+    t = " ".join(f"w{i % 977}x{i}" for i in range(150_000))
     from cladeframe.llm.simhash import _fingerprints
 
     assert [int(x) for x in _fingerprints([t.encode(), None, b"", b"a b", t.encode()], 3, 42)] == [fingerprint(t), 0, 0, fingerprint("a b"), fingerprint(t)]
@@ -99,6 +121,13 @@ def test_keep_one(spark):
     assert keep_one(frame(spark, [])).count() == 0 and near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_repeated_rows(spark):
+    docs = [(1, "a b c d", "en", f"s{i % 3}", i) for i in range(200)] + [(2, "A b c d", "en", "s", 1), (None, None, "", "", 0), (None, "", "", "", 0)]
+    runs = [sorted(map(str, keep_one(frame(spark, docs, partitions=p)).collect())) for p in (1, 6)]
+    assert runs[0] == runs[1] and len(runs[0]) == 2
+    assert near_duplicates(frame(spark, docs)).count() == len(docs)
+
+
 def test_fingerprints_keep_every_row(spark):
     docs = documents()
     assert fingerprints(frame(spark, docs)).count() == len(docs)
