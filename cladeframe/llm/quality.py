@@ -16,8 +16,12 @@ are computed in that small table and joined back.
 
 Rows: a null text has no words and fails the base rules; a null language is a
 stratum of its own; labels with a null id or quality are ignored, and of several
-labels for an id the worst counts; extra columns are ignored or, in
-``keep_good``, passed on; an empty labels table certifies nothing.
+labels for an id the worst counts; labelled rows of one stratum and equal text
+are one draw, labelled as the worst of them, since copies are not independent;
+each repeated row is a row of the result; of cutoffs that serve equally well
+(ties) the most lenient is taken; a very long text is read whole, alone; extra
+columns are ignored or, in ``keep_good``, passed on; an empty labels table
+certifies nothing; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -113,12 +117,14 @@ def _with_features(rows: DataFrame, text_at: tuple[str, ...]) -> DataFrame:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """(doc_id, stratum, base features, n_lines) of each row."""
+    """(doc_id, stratum, text_hash, base features, n_lines) of each row."""
+    text = F.col(text_col).cast("string")
     return _with_features(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             F.col(stratum_col).cast("string").alias("stratum"),
-            F.col(text_col).cast("string").alias("text"),
+            F.xxhash64(text).alias("text_hash"),
+            text.alias("text"),
         ),
         ("text",),
     )
@@ -176,6 +182,7 @@ def cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: flo
         .agg(F.min("quality").alias("__quality"))
     )
     held = feats.where(~base_failed()).join(known, F.col("doc_id") == F.col("__id"))
+    held = held.groupBy("stratum", "text_hash").agg(F.min("__quality").alias("__quality"), *(F.first(n).alias(n) for n in (*BASE, "n_lines")))
     good = F.col("__quality") == 1
     sums = [
         F.count_if((r > c) & (good if kind == "good" else ~good)).alias(f"{kind}_{name}_{i}")
@@ -227,12 +234,11 @@ def quality(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: floa
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns.
 
-    The features are computed twice, for the cutoffs and for the rows; this
-    moves no text between tasks.
+    They are written once with their features, from which the cutoffs come, so
+    the texts are read and measured in one pass.
     """
-    feats = materialize(features(docs, id_col, text_col, stratum_col), "quality")
-    cuts = materialize(cutoffs(feats, labels, alpha, delta), "quality-cuts")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # a struct, so that no name clashes
-    named = docs.select(row, F.col(stratum_col).cast("string").alias("stratum"))
-    judged = judge(_with_features(named, ("row", text_col)), cuts)
-    return judged.where("kept").select("row.*")
+    own = [F.col(id_col).cast("long").alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")]
+    feats = materialize(_with_features(docs.select(row, *own), ("row", text_col)), "quality")
+    cuts = materialize(cutoffs(feats.drop("row"), labels, alpha, delta), "quality-cuts")
+    return judge(feats, cuts).where("kept").select("row.*")
