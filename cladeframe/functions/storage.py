@@ -1,7 +1,8 @@
 """Cutting lineage with tables in the folder that all executors share.
 
-The cluster names that folder in ``spark.checkpoint.dir``.  Only where the
-setting is absent (tests, a laptop) is a folder of our own used.
+The cluster names that folder in ``spark.checkpoint.dir``.  Only with a local
+master (tests, a laptop) is a folder of our own used where the setting is
+absent; elsewhere that is an error, as each executor would write to its own disk.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,12 +21,29 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not getattr(spark, "_cladeframe_dir", None):
         spark._cladeframe_dir = "file://" + tempfile.mkdtemp(prefix="cladeframe-")
     return spark._cladeframe_dir
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized inside, but for those told to stay, are deleted at the end."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _delete(spark, path)
+
+
+def materialize(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     The result survives the loss of any executor, has no lineage, and its size
@@ -32,19 +52,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cladeframe/{name}-{uuid.uuid4().hex}"
+    if _scratch and not stays:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cladeframe_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what :func:`materialize` wrote; the DataFrame can't be read after that."""
     path = getattr(df, "_cladeframe_path", None)
     if path:
-        jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
