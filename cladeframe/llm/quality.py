@@ -171,16 +171,18 @@ def best_level(good: list[int], bad: list[int], allowed: int, worth: int = 10) -
     return gains.index(max(gains))
 
 
-def cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(__id, __quality): the worst label of each id, written so that the planner knows its size."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+    return materialize(known.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min("quality").alias("__quality")), "quality-labels")
+
+
+def cutoffs(feats: DataFrame, known: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """(stratum, n_good, a cutoff or null for each ratio): a row for each labelled stratum.
 
-    Of the certified cutoffs of a ratio, which hold together, the one that serves best is taken.
+    ``known`` is from :func:`known_labels`.  Of the certified cutoffs of a ratio,
+    which hold together, the one that serves best is taken.
     """
-    known = (
-        labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-        .groupBy(F.col("doc_id").cast("long").alias("__id"))
-        .agg(F.min("quality").alias("__quality"))
-    )
     held = feats.where(~base_failed()).join(known, F.col("doc_id") == F.col("__id"))
     held = held.groupBy("stratum", "text_hash").agg(F.min("__quality").alias("__quality"), *(F.first(n).alias(n) for n in (*BASE, "n_lines")))
     good = F.col("__quality") == 1
@@ -227,18 +229,22 @@ def judge(feats: DataFrame, cuts: DataFrame) -> DataFrame:
 def quality(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """Base features, base_failed and kept for each row of ``docs``."""
     feats = materialize(features(docs, id_col, text_col, stratum_col), "quality")
-    cuts = materialize(cutoffs(feats, labels, alpha, delta), "quality-cuts")
-    return judge(feats, cuts)
+    return judge(feats, materialize(cutoffs(feats, known_labels(labels), alpha, delta), "quality-cuts"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns.
 
-    They are written once with their features, from which the cutoffs come, so
-    the texts are read and measured in one pass.
+    The cutoffs come from a pass over the labelled rows alone, the verdicts from
+    a pass over all, which moves no texts and writes none.
     """
+    known = known_labels(labels)
+    name = "__id"
+    while name in docs.columns:
+        name += "_"
+    held = docs.join(known.select(F.col("__id").alias(name)), F.col(id_col).cast("long") == F.col(name), "left_semi")
+    feats = materialize(features(held, id_col, text_col, stratum_col), "quality")
+    cuts = materialize(cutoffs(feats, known, alpha, delta), "quality-cuts")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # a struct, so that no name clashes
-    own = [F.col(id_col).cast("long").alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")]
-    feats = materialize(_with_features(docs.select(row, *own), ("row", text_col)), "quality")
-    cuts = materialize(cutoffs(feats.drop("row"), labels, alpha, delta), "quality-cuts")
-    return judge(feats, cuts).where("kept").select("row.*")
+    named = docs.select(row, F.col(stratum_col).cast("string").alias("stratum"))
+    return judge(_with_features(named, ("row", text_col)), cuts).where("kept").select("row.*")

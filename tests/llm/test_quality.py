@@ -6,7 +6,7 @@ from fractions import Fraction
 from fixtures import documents, frame, words
 from pyspark.sql import functions as F
 
-from cladeframe.llm.quality import BASE, LADDERS, best_level, binomial_tail, certified, cutoffs, features, keep_good, quality, ratios
+from cladeframe.llm.quality import BASE, LADDERS, best_level, binomial_tail, certified, cutoffs, features, keep_good, known_labels, quality, ratios
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -72,7 +72,7 @@ def test_cutoffs_reject_bad_rows_and_keep_good_ones(spark):
     docs, labels = big(1, 3000, 7)
     labels += [(None, 1, 0), (1, None, 0), (2, 1, 0)]
     f = features(frame(spark, docs))
-    cuts = {r.stratum: r for r in cutoffs(f, frame(spark, labels, LABELS)).collect()}
+    cuts = {r.stratum: r for r in cutoffs(f, known_labels(frame(spark, labels, LABELS))).collect()}
     assert cuts["en"].symbol_ratio_cut in LADDERS["symbol_ratio"] and cuts["en"].n_good == sum(1 for i in range(3000) if i % 10 and i % 7)
     assert cuts["xx"].symbol_ratio_cut is None  # 300 labels are too few for this level
     got = {r.doc_id: r.kept for r in quality(frame(spark, docs), frame(spark, labels, LABELS)).collect()}
@@ -133,7 +133,7 @@ def test_copies_are_one_draw(spark):
     """Ten texts, a hundred copies of each, certify no more than ten rows do."""
     docs = [(i, " ".join(f"w{i % 10}x{j}" for j in range(40)), "en", "s", 1) for i in range(1000)]
     labels = [(i, 1, 0) for i in range(1000)]
-    got = cutoffs(features(frame(spark, docs)), frame(spark, labels, LABELS)).collect()
+    got = cutoffs(features(frame(spark, docs)), known_labels(frame(spark, labels, LABELS))).collect()
     assert [r.n_good for r in got] == [10]
 
 
