@@ -54,10 +54,10 @@ def chunk_count(total_bytes: int, least: int) -> int:
 
 
 def _pack(h: np.ndarray) -> bytes:
-    """Sorted hashes as their differences, in six bytes each if all fit, else in eight."""
+    """Sorted hashes as their differences, in as many bytes each as the largest needs."""
     gaps = np.diff(h, prepend=np.uint64(0))
     gaps[0] = 0
-    width = 6 if len(h) < 2 or int(gaps.max()) < 1 << 48 else 8
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
     return h[:1].tobytes() + gaps[1:].view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
