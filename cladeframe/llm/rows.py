@@ -17,24 +17,30 @@ def row_names(id_col: str, text_col: str) -> list[Column]:
     return [F.xxhash64(i, t).alias(NAMES[0]), F.xxhash64(t, F.lit("second"), i).alias(NAMES[1])]
 
 
-def keep_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` that ``chosen`` (row, row2, times) names, with all their columns, once each.
+def keep_rows(docs: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``names`` (row, row2, times, kept) keeps, with all their columns, once each.
 
-    ``times`` is the number of rows of a name.  Only rows that are repeated are
+    ``names`` has each name once and the number of its rows.  Only names that go
+    or are repeated are joined with the texts.  Repeated rows are
     brought together, to keep one; of those that differ in other columns the one
     with the least hash of all columns, so reruns agree.
     """
-    chosen = materialize(chosen, "kept-rows")
-    names = []
+    special = materialize(names.where("NOT kept OR times > 1"), "row-names")
+    own = []
     for n in NAMES:
         n = "__" + n
         while n in docs.columns:
             n += "_"
-        names.append(n)
-    named = docs.withColumns(dict(zip(names, row_names(id_col, text_col))))
-    some = chosen.withColumnsRenamed(dict(zip(NAMES, names)))
-    once = named.join(some.where("times = 1").select(*names), names, "left_semi").drop(*names)
-    again = named.join(some.where("times > 1").select(*names), names, "left_semi")
+        own.append(n)
+    named = docs.withColumns(dict(zip(own, row_names(id_col, text_col))))
+    special = special.withColumnsRenamed(dict(zip(NAMES, own)))
+    once = named.join(special.select(*own), own, "left_anti").drop(*own)
+    again = named.join(special.where("kept").select(*own), own, "left_semi")
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    one = again.groupBy(*names).agg(F.min_by(whole, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("__one"))
+    one = again.groupBy(*own).agg(F.min_by(whole, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("__one"))
     return once.unionByName(one.select("__one.*"))
+
+
+def with_kept(times: DataFrame, stay: DataFrame) -> DataFrame:
+    """``times`` (row, row2, times) and whether ``stay`` (row, row2) has the name."""
+    return times.join(stay.withColumn("kept", F.lit(True)), list(NAMES), "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
