@@ -1,8 +1,8 @@
-"""Naming rows by two hashes, and keeping one row of each name, without moving texts of the others."""
+"""Naming rows by two hashes, and keeping one row of each name but those that go."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions.storage import materialize
@@ -17,30 +17,22 @@ def row_names(id_col: str, text_col: str) -> list[Column]:
     return [F.xxhash64(i, t).alias(NAMES[0]), F.xxhash64(t, F.lit("second"), i).alias(NAMES[1])]
 
 
-def keep_rows(docs: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` that ``names`` (row, row2, times, kept) keeps, with all their columns, once each.
+def keep_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows that ``gone`` (row, row2) names, one of each name, with all their columns.
 
-    ``names`` has each name once and the number of its rows.  Only names that go
-    or are repeated are joined with the texts.  Repeated rows are
-    brought together, to keep one; of those that differ in other columns the one
-    with the least hash of all columns, so reruns agree.
+    Texts are shuffled once, by name, at every size: neither table is bounded.
+    Of repeated rows each task sends one on; of those that differ in other
+    columns the one with the least hash of all columns stays, so reruns agree.
     """
-    special = materialize(names.where("NOT kept OR times > 1"), "row-names")
     own = []
-    for n in NAMES:
+    for n in (*NAMES, "turn"):
         n = "__" + n
         while n in docs.columns:
             n += "_"
         own.append(n)
-    named = docs.withColumns(dict(zip(own, row_names(id_col, text_col))))
-    special = special.withColumnsRenamed(dict(zip(NAMES, own)))
-    once = named.join(special.select(*own), own, "left_anti").drop(*own)
-    again = named.join(special.where("kept").select(*own), own, "left_semi")
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    one = again.groupBy(*own).agg(F.min_by(whole, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("__one"))
-    return once.unionByName(one.select("__one.*"))
-
-
-def with_kept(times: DataFrame, stay: DataFrame) -> DataFrame:
-    """``times`` (row, row2, times) and whether ``stay`` (row, row2) has the name."""
-    return times.join(stay.withColumn("kept", F.lit(True)), list(NAMES), "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    *names, turn = own
+    named = docs.withColumns(dict(zip(names, row_names(id_col, text_col))))
+    order = Window.partitionBy(*names).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    one = named.withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1)
+    gone = materialize(gone.select(*NAMES), "gone-rows").withColumnsRenamed(dict(zip(NAMES, names)))
+    return one.join(gone.hint("merge"), names, "left_anti").drop(*own)

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.functions.storage import materialize, spread
-from cladeframe.llm.rows import NAMES, keep_rows, row_names, with_kept
+from cladeframe.llm.rows import NAMES, keep_rows, row_names
 from cladeframe.llm.words import as_bytes, bound_batches, slices
 from cladeframe.operators.components import connected_components
 
@@ -206,8 +206,8 @@ def keep_one(docs: DataFrame, width: int = 3, distance: int = 2, seed: int = 42,
     """
     rows = materialize(fingerprints(docs, width, seed, id_col, text_col), "simhash")
     _, least = _classes(rows, distance, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *NAMES))
-    times = rows.groupBy(*NAMES).agg(F.count("*").alias("times"))
-    return keep_rows(docs, with_kept(times, least.select("least.row", "least.row2")), id_col, text_col)
+    gone = rows.select(*NAMES).distinct().join(least.select("least.row", "least.row2"), list(NAMES), "left_anti")
+    return keep_rows(docs, gone, id_col, text_col)
 
 
 def hex_fingerprint(fp: Column) -> Column:
