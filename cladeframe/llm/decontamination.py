@@ -14,10 +14,15 @@ benchmark is dealt into groups of ``group_bytes`` of text; each group's index is
 broadcast, so what is broadcast is bounded however large the benchmark is, and a
 further group is a further pass.
 
-Rows: a null or empty text has no hits; null or empty items, and items too
-short for the bound to be positive, match nothing unless they are equal as a
-whole run of words of at least ``q`` characters; repeated items count for each
-of their ids; extra columns are passed on by :func:`decontaminate`.
+Needles start every quarter of their length, so an exact copy of 79 characters of
+an item always holds a whole one; shorter parts are found by where they begin.
+
+Rows: a null or empty text has no hits; a null or empty item, or one of fewer than
+``q`` normalised characters, matches nothing; items too short for an edit must
+match whole; repeated items and rows count each; of several hits (ties) all are
+rows, merged where they overlap; a very long text is searched whole, alone; an
+empty table, of documents or of items, gives no hits; extra columns are passed on
+by :func:`decontaminate`.
 """
 
 from __future__ import annotations
@@ -128,47 +133,57 @@ class Index:
         pos = np.repeat(hit, n)
         post = np.repeat(self.first[k] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
         item, j = self.owner[post].astype(np.int64), self.place[post].astype(np.int64)
+        docs = len(begin)
+        doc = np.repeat(np.searchsorted(begin, hit, side="right") - 1, n)
         diag = pos - j
         step = self.budget[item] + 1
         band = diag // step
-        # A band holds two steps of diagonals; each diagonal lies in two bands.
-        key = np.concatenate([band, band - 1]) * len(self.items) + np.concatenate([item, item])
+        # A band holds two steps of diagonals; each diagonal lies in two bands.  Those of a document are its own.
+        key = (np.concatenate([band, band - 1]) * len(self.items) + np.concatenate([item, item])) * docs + np.concatenate([doc, doc])
         j2, p2 = np.concatenate([j, j]), np.concatenate([pos, pos])
         if not len(key):
             return []
         _, inv, total = np.unique(key, return_inverse=True, return_counts=True)
-        enough = (total[inv] >= self.bound[np.concatenate([item, item])])
+        enough = total[inv] >= self.bound[np.concatenate([item, item])]
         if not enough.any():
             return []
         key, j2, p2 = key[enough], j2[enough], p2[enough]
         order = np.lexsort((j2, key))
         key, j2, p2 = key[order], j2[order], p2[order]
         cuts = np.r_[0, np.flatnonzero(np.diff(key)) + 1, len(key)]
-        best: dict[tuple[int, int], tuple] = {}
+        found: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
         for a, b in zip(cuts[:-1], cuts[1:]):
-            i = int(key[a] % len(self.items))
-            item_id, text, needles = self.items[i]
+            at, i = int(key[a] % docs), int(key[a] // docs % len(self.items))
+            _, text, needles = self.items[i]
             js, ps = j2[a:b], p2[a:b]
+            left, right = int(begin[at]), int(begin[at + 1]) - Q
             for s, w, budget, need in needles:
                 x, y = np.searchsorted(js, s), np.searchsorted(js, s + w - Q, side="right")
                 if y - x < need or len(np.unique(js[x:y])) < need:
                     continue
                 d = ps[x:y] - js[x:y]
-                doc = int(np.searchsorted(begin, ps[x], side="right")) - 1
-                left, right = int(begin[doc]), int(begin[doc + 1]) - Q
                 got = banded(text[s : s + w], flat[left:right].tobytes(), int(d.min()) + s - left, int(d.max()) + s - left, budget)
-                if got is None:
-                    continue
-                start, end, edits = got
-                old = best.get((doc, i))
-                if old is None or (edits, start) < (old[2], old[0]):
-                    best[doc, i] = (start, end, edits, int(y - x), item_id)
+                if got is not None:
+                    found.setdefault((at, i), []).append((*got, int(y - x)))
         return [
-            (lo + doc, item_id, int(maps[doc][start]), int(maps[doc][end - 1]) + 1, edits, shared)
-            for (doc, i), (start, end, edits, shared, item_id) in best.items()
+            (lo + at, self.items[i][0], int(maps[at][start]), int(maps[at][end - 1]) + 1, edits, shared)
+            for (at, i), regions in found.items()
+            for start, end, edits, shared in merged(regions)
         ]
 
 
+def merged(regions: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Regions (start, end, edits, shared) with those that overlap made one: the fewest edits, the most shared."""
+    out: list[list[int]] = []
+    for start, end, edits, shared in sorted(regions):
+        if out and start < out[-1][1]:
+            last = out[-1]
+            last[1:] = max(last[1], end), min(last[2], edits), max(last[3], shared)
+        else:
+            out.append([start, end, edits, shared])
+    return [tuple(r) for r in out]
+
+
 def banded(needle: bytes, text: bytes, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
     """Best place of ``needle`` in ``text`` within ``budget`` edits, its start on diagonals low..high
     widened by the budget: (start, end, edits), or None."""
@@ -216,9 +231,10 @@ def indexes(bench: DataFrame, windows: tuple[tuple[int, float], ...], group_byte
 
 
 def contamination(docs: DataFrame, bench: DataFrame, windows: tuple[tuple[int, float], ...] = WINDOWS, group_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, start, end, edits, shared): the best hit of each item in each row.
+    """(doc_id, item_id, start, end, edits, shared): every region of each row that is near a needle of an item.
 
-    start and end are byte places in the lower-cased text, end exclusive.
+    Regions of an item that overlap are one row, with the fewest edits and the most shared
+    q-grams of its needles.  start and end are byte places in the lower-cased text, end exclusive.
     """
     spark = docs.sparkSession
     rows = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))

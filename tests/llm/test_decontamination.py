@@ -121,3 +121,70 @@ def test_filter_never_loses_a_region_within_budget():
         if edit_distance_inside(item[1], normalise(text.encode())[0].tobytes()) <= budget:
             pad = "".join(rng.choice("rstuvwxyz") for _ in range(50))
             assert index.search([f"{pad} {text} {pad}".encode()])
+
+
+def ends_within(needles, text, budget):
+    """(end, edits) of each place where one of ``needles`` ends within ``budget`` edits: Sellers' algorithm over the whole text."""
+    n = np.array([np.frombuffer(x, np.uint8) for x in needles])
+    step = np.arange(n.shape[1] + 1)
+    row, out = np.tile(step, (len(n), 1)), []
+    for e, c in enumerate(text, 1):
+        new = np.minimum(row[:, 1:] + 1, row[:, :-1] + (n != c))
+        new = np.hstack([np.zeros((len(n), 1), new.dtype), new])
+        row = np.minimum.accumulate(new - step, axis=1) + step
+        out += [(e, int(d)) for d in row[row[:, -1] <= budget, -1]]
+    return out
+
+
+def brute_regions(item, text):
+    """(end, edits, budget) of each near place of each needle, needles and budgets written out."""
+    out = []
+    for window, rate in ((100, 0.08), (64, 0.0625)):
+        w = min(len(item), window)
+        k = min(int(rate * w), max(0, (w - 10) // 10))
+        starts = {*range(0, len(item) - w + 1, window // 4), len(item) - w}
+        out += [(e, d, k) for e, d in ends_within([item[s : s + w] for s in starts], text, k)]
+    return out
+
+
+def test_all_regions_against_brute_force(spark):
+    rng = random.Random(8)
+    say = lambda k: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(rng.randrange(2, 8))) for _ in range(k))
+    items = [(i, say(n)) for i, n in enumerate((14, 30, 60, 9))] + [(4, say(30))]
+    items[4] = (4, items[1][1][:90] + " " + items[4][1])  # shares a passage with another
+    docs = []
+    for i, t in items:
+        docs.append((10 * i, f"{say(20)} {t} {say(30)} {changed(t, 3, rng)} {say(25)}", "en", "s", 1))  # two regions of one item
+        docs.append((10 * i + 1, f"{t}! {t}", "en", "s", 1))
+        docs.append((10 * i + 2, say(150) + f" {t[: len(t) // 2]} {say(40)} {t[len(t) // 2:]} " + say(150), "en", "s", 1))
+        docs.append((10 * i + 3, t[: len(t) // 2], "en", "s", 1))  # texts laid end to end: no region of two rows
+        docs.append((10 * i + 4, t[len(t) // 2 :], "en", "s", 1))
+    docs.append((999, " ".join([items[0][1], say(6)] * 12), "en", "s", 1))
+    got: dict = {}
+    for r in contamination(frame(spark, docs), frame(spark, items, BENCH)).collect():
+        got.setdefault((r.doc_id, r.item_id), []).append((r.start, r.end, r.edits))
+    for doc, text, *_ in docs:
+        flat, at = normalise(text.encode())
+        for i, t in items:
+            item = normalise(t.encode())[0].tobytes().strip()
+            want = brute_regions(item, flat.tobytes())
+            regions = got.get((doc, i), [])
+            assert bool(want) == bool(regions), (doc, i)
+            for e, _, k in want:  # every near place is in a region, but for the ends that edits move
+                assert any(s - 2 * k <= at[e - 1] <= z + 2 * k for s, z, _ in regions), (doc, i, e)
+            for s, z, edits in regions:  # every region holds a near place with its edits
+                assert min(d for e, d, _ in want if s < at[e - 1] + 1 <= z) == edits, (doc, i, s, z)
+            assert all(a[1] <= b[0] for a, b in zip(sorted(regions), sorted(regions)[1:]))
+    assert all(len(got[10 * i, i]) == 2 for i in range(4)) and all(len(got[10 * i + 1, i]) == 2 for i in range(4))
+    assert len(got[999, 0]) == 12
+
+
+def test_very_long_text_and_repeated_rows(spark):
+    rng = random.Random(9)
+    say = lambda k: " ".join("".join(rng.choice("abcdefghijk") for _ in range(5)) for _ in range(k))
+    item = say(30)
+    docs = [(1, say(60_000) + " " + item + " " + say(60_000), "en", "s", 1)] + [(2, "x " + item, "en", "s", 1)] * 3 + [(None, item, "en", "s", 1), (3, None, None, None, None)]
+    bench = frame(spark, [(1, item), (1, item), (2, item)], BENCH)
+    rows = [(r.doc_id, r.item_id) for r in contamination(frame(spark, docs), bench).collect()]
+    assert sorted(rows, key=str) == sorted([(d, i) for d in (1, 2, 2, 2, None) for i in (1, 1, 2)], key=str)
+    assert [r.doc_id for r in decontaminate(frame(spark, docs), bench).collect()] == [3]
