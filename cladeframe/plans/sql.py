@@ -44,10 +44,11 @@ pe AS (SELECT og_name, x.leaf AS a, y.leaf AS b, sum(o::INT)::BIGINT AS n_ortho,
   FROM gl x JOIN gl y USING (og_name, query) JOIN ev USING (og_name, query) WHERE y.leaf::VARCHAR < x.leaf::VARCHAR AND x.step <> y.step AND ev.step = greatest(x.step, y.step) GROUP BY og_name, x.leaf, y.leaf)"""
 _SEG = """sc AS (SELECT * FROM (VALUES (0, 'AUTOMOBILE'), (1, 'BUILDING'), (2, 'FURNITURE'), (3, 'HOUSEHOLD'), (4, 'MACHINERY')) t(species_id, file_name)),
 pr AS (SELECT c_custkey AS protein_id, species_id, c_name AS name FROM customer JOIN sc ON c_mktsegment = file_name),
-gr AS (SELECT c_custkey AS id, c_nationkey AS og FROM customer WHERE c_custkey % 2 = 0),
+cl AS (SELECT c_custkey AS id, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment, floor(c_acctbal::DOUBLE / 500)) AS rep FROM customer),
+gr AS (SELECT c_custkey AS id, c_nationkey AS og FROM customer WHERE c_custkey IN (SELECT rep FROM cl)),
 gn AS (SELECT og, row_number() OVER (ORDER BY min(id), count(*), og) AS number FROM gr JOIN pr ON id = protein_id GROUP BY og HAVING count(DISTINCT species_id) > 1),
 og AS (SELECT 'OG_' || number AS og_name, id AS protein_id FROM gr JOIN gn USING (og)),
-fu AS (SELECT og_name, og.protein_id AS rep_id, p.protein_id, species_id, name FROM og JOIN pr p ON p.protein_id - p.protein_id % 2 = og.protein_id)"""
+fu AS (SELECT og_name, og.protein_id AS rep_id, p.protein_id, species_id, name FROM og JOIN cl ON rep = og.protein_id JOIN pr p ON p.protein_id = cl.id)"""
 
 SQL = {
     "fasta_parse": r"""
@@ -62,7 +63,8 @@ WHERE len(list_distinct(string_split(kmer, ''))) >= 15 AND NOT contains(kmer, 'X
     "topk_per_group": f"WITH {_BEST} SELECT * FROM best",
     "hit_census": f"WITH {_BEST}, hits AS (SELECT * FROM best), {_MEMBERS} SELECT *, n_present > 1 AND n_dupli > 0 AS has_tree FROM cs",
     "route_no_tree": f"WITH {_BEST}, hits AS (SELECT * FROM best WHERE n > 1), {_MEMBERS} SELECT query, member FROM mb JOIN cs USING (query) WHERE NOT (n_present > 1 AND n_dupli > 0)",
-    "cigar_expand": "SELECT doc_id, substr(text, 3, 2) || '---' || substr(text, 5, 4) || substr(text, 14, 6) || substr(text, 20, 1) AS hsp FROM documents",
+    "cigar_expand": """
+SELECT doc_id, array_to_string(list_transform(range(length(text) // 50), lambda i: substr(text, 50 * i + 1, 40) || '--'), '') || substr(text, 50 * (length(text) // 50) + 1) AS hsp FROM documents""",
     "gap_columns": """
 WITH a AS (SELECT p_brand AS query, translate(rpad(p_name, 16, '-'), ' e', '--') AS r FROM part),
 c AS (SELECT query, unnest(range(16))::INT AS position, r FROM a)
@@ -124,5 +126,5 @@ SELECT file_name AS species, round_even(100.0::DOUBLE * coalesce(n, 0) / total,
 SELECT i AS nb_species, coalesce(n, 0) AS nb_OGs FROM range(6) t(i) LEFT JOIN h ON k = i""",
     "chimera_report": f"""WITH {_SEG}, l AS (SELECT protein_id, count(*)::INT AS n, string_agg(og_name, ' ' ORDER BY og_name) AS ogs FROM og GROUP BY protein_id)
 SELECT file_name AS species_file, name AS protein_name, coalesce(n, 0)::INT AS nb_OG_fused, coalesce(ogs, '') AS list_fused_OGs
-FROM pr JOIN sc USING (species_id) LEFT JOIN l USING (protein_id) WHERE pr.protein_id % 7 = 0""",
+FROM pr JOIN sc USING (species_id) LEFT JOIN l USING (protein_id)""",
 }

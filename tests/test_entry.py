@@ -12,24 +12,37 @@ def test_names_of_queries_and_sql():
     assert len(e.queries()) >= 40
 
 
-def test_the_rest_works_without_the_llm_folder(monkeypatch):
+def reimported(monkeypatch, absent):
+    """The entry module, imported anew while the modules that ``absent`` names can't be found."""
     real = builtins.__import__
 
     def without(name, *args, **kwargs):
-        if name.startswith("cladeframe.llm") or name == "corpus_pipeline" or (name == "cladeframe.llm" or "llm" in (args[2] or ()) if len(args) > 2 else False):
-            raise ImportError(name)
+        if absent(name):
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
         return real(name, *args, **kwargs)
 
     saved = {k: sys.modules.pop(k) for k in list(sys.modules) if k.startswith("cladeframe.llm") or k in ("corpus_pipeline", "__spark_entry__")}
     monkeypatch.setattr(builtins, "__import__", without)
     try:
-        e = importlib.import_module("__spark_entry__")
-        assert "pair_count" in e.queries() and not any(n.startswith("op") and n[2].isdigit() for n in e.queries())
+        return importlib.import_module("__spark_entry__")
     finally:
-        sys.modules.pop("__spark_entry__", None)
+        for k in list(sys.modules):
+            if k.startswith("cladeframe.llm") or k in ("corpus_pipeline", "__spark_entry__"):
+                del sys.modules[k]
         sys.modules.update(saved)
 
 
+def test_the_rest_works_without_the_llm_folder(monkeypatch):
+    e = reimported(monkeypatch, lambda name: name.startswith("cladeframe.llm") or name == "corpus_pipeline")
+    assert "pair_count" in e.queries() and not any(n.startswith("op") and n[2].isdigit() for n in e.queries())
+
+
+def test_other_missing_modules_are_told(monkeypatch):
+    pytest.importorskip("corpus_pipeline")
+    with pytest.raises(ModuleNotFoundError, match="xxhash"):
+        reimported(monkeypatch, lambda name: name == "xxhash")
+
+
 def test_nothing_outside_llm_imports_it():
     import pathlib
 
