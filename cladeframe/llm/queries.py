@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladeframe.llm.bpe_automaton import bpe_decode, bpe_encode
 from cladeframe.llm.chat_format import mask_text, perspectives
 from cladeframe.llm.decontamination import contamination
 from cladeframe.llm.html_extract import extract
 from cladeframe.llm.mixing import Mixture
+from cladeframe.llm.prefix_trie import numbered_turns, prefix_trie, share_heads
 from cladeframe.llm.quality import BASE, quality
 from cladeframe.llm.secret_scan import digest, secret_spans
 from cladeframe.llm.simhash import hex_fingerprint, near_duplicates
 from cladeframe.llm.substring_dedup import substring_dedup
+from cladeframe.llm.token_alignment import align
 from cladeframe.llm.token_counts import EDITS, apply_edits, with_trees
 from cladeframe.llm.url_filter import language_redirects, url_verdicts
 
@@ -81,6 +84,26 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*share_heads(numbered_turns(_table(spark, sf_dir, "conversations"))))
+
+
+def op13_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded, its ids decoded again."""
+    ids = bpe_encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    joined = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return bpe_decode(ids).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -93,4 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_html_extraction": op9_html_extraction,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_bpe_automaton": op13_bpe_automaton,
 }
