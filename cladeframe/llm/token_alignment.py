@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,7 +117,7 @@ class _Numbers(dict):
         return n
 
 
-def _chunks(docs: DataFrame, known_b, id_type: T.DataType) -> DataFrame:
+def _chunks(docs: DataFrame, known_b, id_type: T.DataType, most: int) -> DataFrame:
     """Rows of texts (chunk, id, places) and of segments (chunk, base, words, counts), in one table.
 
     places are the numbers of a text's segments in the chunk's list, null without tokens.
@@ -169,7 +169,7 @@ def _chunks(docs: DataFrame, known_b, id_type: T.DataType) -> DataFrame:
                 counts.append(own)
                 total += len(own)
                 n_bytes += len(t) if len(numbers) > before else 0
-                if total >= PLACES or len(numbers) >= SEGMENTS or n_bytes >= BYTES and len(numbers) >= SEGMENTS // 4:
+                if total >= most or len(numbers) >= SEGMENTS or n_bytes >= BYTES and len(numbers) >= SEGMENTS // 4:
                     yield rows(ids.slice(first, i + 1 - first), places)
                     yield from listed(kind)
                     first, places, turn = i + 1, [], turn + 1
@@ -182,7 +182,7 @@ def _chunks(docs: DataFrame, known_b, id_type: T.DataType) -> DataFrame:
     return materialize(spread(docs).mapInArrow(run, schema), "alignment-chunks")
 
 
-def _names(word) -> list:
+def _names(word: Column) -> list[Column]:
     """Two hashes of a segment, 128 bits together, so that no two segments of any corpus meet."""
     return [F.xxhash64(word).alias("k1"), F.xxhash64(F.lit("second"), word).alias("k2")]
 
@@ -228,7 +228,7 @@ def links(tokens: DataFrame, key: list[str], keep: list[str]) -> DataFrame:
     )
 
 
-def _groups(rows) -> "F.Column":
+def _groups(rows: Column) -> Column:
     """`a1,a2|b1;a3|b2,b3` of an array of (end, own_a, own_b) in order."""
     comma = lambda acc, x: F.when(x.isNull(), acc).when(acc == "", x.cast("string")).otherwise(F.concat(acc, F.lit(","), x.cast("string")))
 
@@ -244,20 +244,21 @@ def _groups(rows) -> "F.Column":
     return F.aggregate(rows, start, step, lambda acc: F.array_join(acc["out"], ";"))
 
 
-def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_a: str | None = None, vocabulary_b: str | None = None) -> DataFrame:
+def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_a: str | None = None, vocabulary_b: str | None = None, places: int = PLACES) -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each text.
 
     vocabulary_a is a byte-level BPE file, vocabulary_b a sentence-piece model that
     adds a space; both see a space and the text.  An id pair's count is the number
     of links of the corpus that hold it; n_best: links whose count is the highest of
-    their b id; count_sum: over links; groups_sha256: of the groups' ids, '' without tokens.
+    their b id; count_sum: over links; groups_sha256: of the groups' ids, '' without tokens.  A chunk ends
+    at ``places`` segments.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     known_a = broadcast_vocabulary(spark, vocabulary_a or vocabulary_path("byte_bpe_50k.json"))
     known_b = broadcast_vocabulary(spark, vocabulary_b or vocabulary_path("piece_bpe_32k.model"))
     id_type = docs.schema[id_col].dataType
-    chunks = _chunks(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")), known_b, id_type)
+    chunks = _chunks(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")), known_b, id_type, places)
 
     lists = chunks.where("words IS NOT NULL").select("chunk", "base", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "x"))
     lists = lists.select(*_names(F.col("x.words")), "chunk", (F.col("base") + F.col("i")).alias("place"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
