@@ -1,70 +1,127 @@
-"""Query-anchored alignments from search hits, with gap trimming."""
+"""Query-anchored alignments from search hits, with gap trimming.
+
+A target's row is never laid out cell by cell for counting.  Its letters are
+intervals of the query's columns, from the runs of its segments; where segments of
+one target overlap the last one holds.  How many rows have a letter in a column is
+a running sum over the ends of intervals, so a query's columns fall into few
+intervals of equal gaps; those with few enough gaps, up to the first 4,988 columns,
+cut the rows.  Rows of a query are never gathered: a row is made from its own
+letters and the query's good intervals.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeframe.functions.strings import expand_hsp
-from cladeframe.schemas import ALIGNMENT
+from cladeframe.functions.storage import materialize
+from cladeframe.functions.strings import cigar_parts
 
 MOST_COLUMNS = 4988
+PAIR = ["query", "target"]
+
+
+def runs(qstart: Column, sstart: Column, cigar: Column) -> Column:
+    """array<struct<c,e,t>>: the query columns [c, e) of a segment's matches, and where in the target they begin, all from 1."""
+    start = F.struct(qstart.cast("int").alias("c"), sstart.cast("int").alias("t"), F.array().cast("array<struct<c:int,e:int,t:int>>").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        n, op = p["n"], p["op"]
+        found = F.array(F.struct(acc["c"].alias("c"), (acc["c"] + n).alias("e"), acc["t"].alias("t")))
+        return F.struct(
+            F.when(op.isin("M", "I"), acc["c"] + n).otherwise(acc["c"]).alias("c"),
+            F.when(op.isin("M", "D"), acc["t"] + n).otherwise(acc["t"]).alias("t"),
+            F.when(op == "M", F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"),
+        )
+
+    return F.aggregate(cigar_parts(cigar), start, step, lambda acc: acc["out"])
+
+
+def visible(hits: DataFrame) -> DataFrame:
+    """``hits`` with [begin, stop): the columns of each segment that no later one of its target covers, a row for each piece.
+
+    Only pairs of several segments are cut: at all their ends, and each piece is
+    the last segment's that covers it.
+    """
+    hits = hits.select(*PAIR, F.col("qstart").alias("begin"), (F.col("qend") + 1).alias("stop"), "qstart", "sstart", "cigar", "ord")
+    many = hits.groupBy(*PAIR).agg(F.count("*").alias("n")).where("n > 1").select(*PAIR)
+    alone = hits.join(many, PAIR, "left_anti")
+    several = hits.join(many, PAIR, "left_semi")
+    ends = several.select(*PAIR, F.explode(F.array("begin", "stop")).alias("at")).distinct()
+    pieces = ends.withColumn("to", F.lead("at").over(Window.partitionBy(*PAIR).orderBy("at"))).where("to IS NOT NULL")
+    over = pieces.join(several, PAIR).where((F.col("begin") <= F.col("at")) & (F.col("stop") >= F.col("to")))
+    last = over.groupBy(*PAIR, "at", "to").agg(F.max_by(F.struct("qstart", "sstart", "cigar", "ord"), "ord").alias("s"))
+    return alone.unionByName(last.select(*PAIR, F.col("at").alias("begin"), F.col("to").alias("stop"), "s.*"))
+
 
+def letters(hits: DataFrame) -> DataFrame:
+    """(query, target, c, e, t): columns [c, e) of the query in which the target's row has letters, the first of them at t.
 
-def splice(length: int, segments: list[tuple[int, int, str]]) -> str:
-    """A target's row: gaps, overwritten by each segment (1-based start, end, characters) in turn."""
-    row = "-" * length
-    for start, end, piece in segments:
-        row = row[: start - 1] + piece + row[end:]
-    return row
+    ``hits`` are segments (query, target, qstart, qend, sstart, cigar, ord); what a
+    path has beyond its segment's end isn't seen.
+    """
+    found = visible(hits).select(*PAIR, "begin", "stop", F.explode(runs(F.col("qstart"), F.col("sstart"), F.col("cigar"))).alias("r"))
+    c, e = F.greatest("r.c", "begin"), F.least("r.e", "stop")
+    return found.select(*PAIR, c.alias("c"), e.alias("e"), (F.col("r.t") + c - F.col("r.c")).alias("t")).where("c < e")
+
+
+def gap_intervals(intervals: DataFrame, sizes: DataFrame, max_gap: float = 0.7) -> DataFrame:
+    """(query, begin, stop, gaps, rows, good): columns [begin, stop) with equal numbers of gaps.
+
+    ``intervals`` is (query, c, e), letters of any row; ``sizes`` is (query, width,
+    rows).  Ends are summed where they are read.
+    """
+    ends = intervals.select("query", F.explode(F.array(F.struct(F.col("c").alias("at"), F.lit(1).alias("d")), F.struct(F.col("e").alias("at"), F.lit(-1).alias("d")))).alias("x")).select("query", "x.*")
+    edges = sizes.select("query", F.explode(F.array(F.lit(1), F.col("width") + 1)).alias("at"), F.lit(0).alias("d"))
+    steps = ends.unionByName(edges).groupBy("query", "at").agg(F.sum("d").alias("d"))
+    so_far = Window.partitionBy("query").orderBy("at")
+    spans = steps.select("query", F.col("at").alias("begin"), F.lead("at").over(so_far).alias("stop"), F.sum("d").over(so_far).alias("filled"))
+    spans = spans.join(sizes, "query").select("query", F.greatest("begin", F.lit(1)).alias("begin"), F.least("stop", F.col("width") + 1).alias("stop"), (F.col("rows") - F.col("filled")).alias("gaps"), "rows")
+    return spans.where("begin < stop").withColumn("good", F.col("gaps") / F.col("rows") < max_gap)
 
 
-def trim(rows: list[str], max_gap: float, most: int = MOST_COLUMNS) -> list[str]:
-    """Columns with a share of gaps below ``max_gap``, the first ``most`` of them."""
-    width = len(rows[0])
-    cells = np.array([list(r.ljust(width, "-")[:width]) for r in rows], dtype="U1").reshape(len(rows), width)
-    good = np.flatnonzero((cells == "-").sum(axis=0) / len(rows) < max_gap)[:most]
-    return ["".join(r) for r in cells[:, good]]
+def first_columns(spans: DataFrame, most: int = MOST_COLUMNS) -> DataFrame:
+    """(query, good): the good intervals of each query in order, as array<struct<begin,size>>, cut to ``most`` columns together."""
+    size = F.col("stop") - F.col("begin")
+    before = Window.partitionBy("query").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
+    good = spans.where("good").select("query", "begin", size.alias("size")).withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    kept = good.where(F.col("before") < most).select("query", "begin", F.least("size", F.lit(most) - F.col("before")).cast("int").alias("size"))
+    return kept.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("begin", "size"))).alias("good"))
 
 
-def alignments(hits: DataFrame, protein: DataFrame, max_gap: float = 0.7) -> DataFrame:
-    """(query, target, row) for each query with a good column.
+def row_text(seq: Column, parts: Column, width: Column) -> Column:
+    """A row as text: the target's letters in their columns, gaps elsewhere; ``parts`` are (c, e, t) in order."""
+    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        piece = F.rpad(F.substring(seq, p["t"], p["e"] - p["c"]), p["e"] - p["c"], F.lit("-"))
+        return F.struct(p["e"].alias("at"), F.concat(acc["out"], F.repeat(F.lit("-"), p["c"] - acc["at"]), piece).alias("out"))
+
+    return F.aggregate(parts, start, step, lambda acc: F.rpad(acc["out"], width, F.lit("-")))
+
+
+def alignments(hits: DataFrame, protein: DataFrame, max_gap: float = 0.7, most: int = MOST_COLUMNS) -> DataFrame:
+    """(query, target, row) for each query with a good column, in its first ``most`` good columns.
 
     ``hits`` are segments (query, target, qstart, qend, sstart, cigar, ord).  A
-    query without a hit on itself stands with its whole sequence.  A group is a
-    query's targets, bounded by the hits kept a species.
+    query without a hit on itself stands with its whole sequence; a hit without a
+    letter is a row of gaps; queries and targets that aren't in ``protein`` go.
     """
     seqs = protein.select("protein_id", "seq")
-    rows = (
-        hits.join(seqs.toDF("target", "tseq"), "target")
-        .join(seqs.toDF("query", "qseq"), "query")
-        .select("query", "qseq", "target", "qstart", "qend", "ord", expand_hsp(F.col("tseq"), F.col("sstart"), F.col("cigar")).alias("piece"))
-    )
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        query, qseq = int(pdf["query"].iloc[0]), pdf["qseq"].iloc[0]
-        pdf = pdf.sort_values(["target", "ord"], kind="stable")
-        own: dict[int, list] = {}
-        for t, a, b, piece in zip(pdf["target"], pdf["qstart"], pdf["qend"], pdf["piece"]):
-            own.setdefault(int(t), []).append((int(a), int(b), piece))
-        made = {t: splice(len(qseq), s) for t, s in own.items()}
-        made.setdefault(query, qseq)
-        names = sorted(made)
-        names.remove(query)
-        names.insert(0, query)
-        cut = trim([made[n] for n in names], max_gap)
-        if not cut[0]:
-            names, cut = [], []
-        return pd.DataFrame({"query": pd.Series([query] * len(names), dtype="int64"), "target": pd.Series(names, dtype="int64"), "row": pd.Series(cut, dtype=object)})
-
-    return rows.groupBy("query").applyInPandas(run, ALIGNMENT)
-
-
-def column_gaps(aligned: DataFrame, max_gap: float = 0.7) -> DataFrame:
-    """(query, position, gaps, rows, good): gaps of each column of an alignment, counted in Spark."""
-    rows = aligned.groupBy("query").agg(F.count("*").alias("rows"))
-    cells = aligned.select("query", F.posexplode(F.split("row", "")).alias("position", "cell"))
-    per = cells.groupBy("query", "position").agg(F.count_if(F.col("cell") == "-").alias("gaps"))
-    return per.join(rows, "query").withColumn("good", F.col("gaps") / F.col("rows") < max_gap)
+    width = protein.select(F.col("protein_id").alias("query"), F.length("seq").cast("int").alias("width"))
+    known = hits.join(seqs.select(F.col("protein_id").alias("target")), "target", "left_semi").join(width.select("query"), "query", "left_semi")
+    known = materialize(known.select(*PAIR, "qstart", "qend", "sstart", "cigar", "ord"), "segments")
+    queries = known.select("query").distinct().join(width, "query")
+    whole = queries.join(known.where("query = target").select("query").distinct(), "query", "left_anti")
+    whole = whole.select("query", F.col("query").alias("target"), F.lit(1).alias("c"), (F.col("width") + 1).alias("e"), F.lit(1).alias("t")).where("c < e")
+    found = letters(known).join(width, "query").select(*PAIR, "c", F.least("e", F.col("width") + 1).alias("e"), "t").where("c < e AND c > 0")
+    filled = materialize(found.unionByName(whole), "letters")
+
+    pairs = known.select(*PAIR).union(queries.select("query", "query")).distinct()
+    sizes = pairs.groupBy("query").agg(F.count("*").alias("rows")).join(width, "query")
+    good = first_columns(gap_intervals(filled, sizes, max_gap), most).join(width, "query")
+    parts = filled.groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct("c", "e", "t"))).alias("parts"))
+    rows = pairs.join(parts, PAIR, "left").join(seqs.toDF("target", "seq"), "target").join(good, "query")
+    none = F.array().cast("array<struct<c:int,e:int,t:int>>")
+    text = rows.select(*PAIR, "good", row_text(F.col("seq"), F.coalesce("parts", none), F.col("width")).alias("text"))
+    return text.select(*PAIR, F.array_join(F.transform("good", lambda g: F.substring(F.col("text"), g["begin"], g["size"])), "").alias("row"))

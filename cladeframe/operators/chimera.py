@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeframe.functions.medians import exact_medians
+from cladeframe.functions.storage import materialize
+
 
 def chimeras(found: DataFrame, edges: DataFrame, species: DataFrame, min_species: int = 3, min_share: float = 0.5) -> DataFrame:
     """(id, og): further communities that a fused sequence belongs to.
@@ -20,13 +23,11 @@ def chimeras(found: DataFrame, edges: DataFrame, species: DataFrame, min_species
     own = part.select(F.col("id").alias("src"), F.col("og").alias("own"), F.col("component").alias("c1"))
     near = part.select(F.col("id").alias("dst"), "og", F.col("component").alias("c2"))
     links = edges.where(F.col("qend").isNotNull()).join(own, "src").join(near, "dst").where("c1 = c2").join(species.toDF("dst", "species"), "dst")
-    per = links.groupBy("src", "own", "og").agg(
-        F.countDistinct("species").alias("n_species"),
-        F.count("*").alias("n"),
-        F.expr("percentile(qstart, 0.5)").alias("start"),
-        F.expr("percentile(qend, 0.5)").alias("end"),
-    )
-    able = per.join(size, "og").where((F.col("n_species") >= min_species) & (F.col("n") >= F.col("size") * F.lit(float(min_share))))
+    links = materialize(links.select("src", "own", "og", "species", "qstart", "qend"), "community-links")
+    per = links.groupBy("src", "own", "og").agg(F.countDistinct("species").alias("n_species"), F.count("*").alias("n"))
+    able = per.join(size, "og").where((F.col("n_species") >= min_species) & (F.col("n") >= F.col("size") * F.lit(float(min_share)))).select("src", "own", "og")
+    able = exact_medians(links.join(able, ["src", "own", "og"], "left_semi"), ["src", "own", "og"], ["qstart", "qend"])
+    able = materialize(able.withColumnsRenamed({"qstart": "start", "qend": "end"}), "community-intervals")
     ref = able.where("own = og").select("src", F.col("start").alias("rs"), F.col("end").alias("re"))
     gap = F.when(F.col("start") > F.col("rs"), F.col("re") - F.col("start")).otherwise(F.col("end") - F.col("rs"))
     return able.where("own <> og").join(ref, "src").where(gap <= 0).select(F.col("src").alias("id"), "og")

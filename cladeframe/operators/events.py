@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeframe.functions.storage import materialize
 from cladeframe.functions.strings import string_less
 
 
@@ -44,11 +45,50 @@ def label_leaves(ladder: DataFrame, sp_overlap: float = 0.5) -> DataFrame:
     return ladder.join(good, "query", "left").withColumn("ortho", F.col("step") <= F.coalesce("last_good", F.lit(0))).drop("last_good")
 
 
-def member_pairs(groups: DataFrame, member: str, *keep: str) -> DataFrame:
-    """Pairs a, b of each query's members, a before b as strings, with ``a_``/``b_`` of the kept columns."""
-    x = groups.select("query", F.col(member).alias("a"), *(F.col(c).alias(f"a_{c}") for c in keep))
-    y = groups.select("query", F.col(member).alias("b"), *(F.col(c).alias(f"b_{c}") for c in keep))
-    return x.join(y, "query").where(string_less(F.col("a"), F.col("b")))
+#: Members of a list that stand in one block, on average.
+BLOCK = 1000
+
+
+def member_blocks(groups: DataFrame, keys: list[str], member: str, keep: list[str], block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The two sides (keys, i, j, member, keep) of a join that meets each two members of a list once.
+
+    A list of more than ``block`` members is dealt into blocks by a hash of the
+    member, and each pair of blocks i <= j has a key of its own: a member of block h
+    stands left for all j >= h and right for all i <= h.  So no key has more than
+    two blocks of rows, whatever the list, and a list of n members is sent
+    n / ``block`` + 1 times, less than the pairs it makes.  Lists are counted on
+    the map side first; the table of the long ones has a row for each ``block`` rows at most.
+    """
+    long = groups.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > block)
+    long = long.select(*keys, F.ceil(F.col("__n") / block).alias("__k"))
+    dealt = groups.select(*keys, F.col(member).alias("m"), *keep).join(long, keys, "left")
+    k = F.coalesce("__k", F.lit(1)).cast("long")
+    h = F.pmod(F.xxhash64("m"), k).cast("int")
+    rows = dealt.select(*keys, "m", *keep, h.alias("h"), (k - 1).cast("int").alias("last"))
+    left = rows.select(*keys, F.col("h").alias("i"), F.explode(F.sequence("h", "last")).alias("j"), F.col("m").alias("u"), *(F.col(c).alias(f"u_{c}") for c in keep))
+    right = rows.select(*keys, F.explode(F.sequence(F.lit(0), F.col("h"))).alias("i"), F.col("h").alias("j"), F.col("m").alias("v"), *(F.col(c).alias(f"v_{c}") for c in keep))
+    return left, right
+
+
+def key_pairs(groups: DataFrame, keys: list[str], member: str, keep: list[str], block: int = BLOCK) -> DataFrame:
+    """(keys, a, b, a_keep, b_keep): pairs of each list's members, a before b as strings."""
+    left, right = member_blocks(groups, keys, member, keep, block)
+    ahead = string_less(F.col("u"), F.col("v"))
+    # within a block both orders of two members meet, between blocks one
+    met = left.join(right, [*keys, "i", "j"]).where(ahead | (F.col("i") < F.col("j")) & (F.col("u") != F.col("v")))
+    turned = lambda x, y: F.when(ahead, F.col(x)).otherwise(F.col(y))
+    return met.select(
+        *keys, turned("u", "v").alias("a"), turned("v", "u").alias("b"),
+        *(turned(f"u_{c}", f"v_{c}").alias(f"a_{c}") for c in keep), *(turned(f"v_{c}", f"u_{c}").alias(f"b_{c}") for c in keep),
+    )
+
+
+def member_pairs(groups: DataFrame, member: str, *keep: str, block: int = BLOCK) -> DataFrame:
+    """Pairs a, b of each query's members, a before b as strings, with ``a_``/``b_`` of the kept columns.
+
+    ``groups`` is read three times, so it should be a table.
+    """
+    return key_pairs(groups, ["query"], member, list(keep), block)
 
 
 def pair_counts(labelled: DataFrame, no_tree: DataFrame, min_ortho: int = 2) -> DataFrame:
@@ -57,6 +97,8 @@ def pair_counts(labelled: DataFrame, no_tree: DataFrame, min_ortho: int = 2) ->
     Within a tree two leaves on the query's side are orthologous, and two of which
     one is are paralogous; members of a group without a tree are orthologous.
     """
+    labelled = materialize(labelled.select("query", "leaf", "ortho"), "labelled")
+    no_tree = materialize(no_tree.select("query", "member"), "no-tree")
     trees = member_pairs(labelled, "leaf", "ortho").where("a_ortho OR b_ortho").select(
         "a", "b", (F.col("a_ortho") & F.col("b_ortho")).cast("long").alias("o"), (F.col("a_ortho") != F.col("b_ortho")).cast("long").alias("p")
     )
@@ -91,20 +133,16 @@ def _in_group(ladder: DataFrame, og: DataFrame) -> DataFrame:
 def group_pair_counts(ladder: DataFrame, no_tree: DataFrame, og: DataFrame) -> DataFrame:
     """(og_name, a, b, n_ortho, n_para): events of each pair over the trees and groups of an OG's members."""
     events = group_events(ladder, og)
-    own = _in_group(ladder, og)
-    x = own.select("og_name", "query", F.col("leaf").alias("a"), F.col("step").alias("sa"))
-    y = own.select("og_name", "query", F.col("leaf").alias("b"), F.col("step").alias("sb"))
-    pairs = x.join(y, ["og_name", "query"]).where(string_less(F.col("b"), F.col("a")) & (F.col("sa") != F.col("sb")))
-    told = pairs.withColumn("step", F.greatest("sa", "sb")).join(events, ["og_name", "query", "step"]).select(
-        "og_name", "a", "b", F.col("ortho").cast("long").alias("o"), (~F.col("ortho")).cast("long").alias("p")
+    own = materialize(_in_group(ladder, og).select("og_name", "query", "leaf", "step"), "own-leaves")
+    pairs = key_pairs(own, ["og_name", "query"], "leaf", ["step"]).where(F.col("a_step") != F.col("b_step"))
+    told = pairs.withColumn("step", F.greatest("a_step", "b_step")).join(events, ["og_name", "query", "step"]).select(
+        "og_name", F.col("b").alias("a"), F.col("a").alias("b"), F.col("ortho").cast("long").alias("o"), (~F.col("ortho")).cast("long").alias("p")
     )
     q = og.select("og_name", F.col("protein_id").alias("query"))
     m = og.select("og_name", F.col("protein_id").alias("member"))
-    groups = no_tree.join(q, "query").join(m, ["og_name", "member"])
-    u = groups.select("og_name", "query", F.col("member").alias("a"))
-    v = groups.select("og_name", "query", F.col("member").alias("b"))
-    plain = u.join(v, ["og_name", "query"]).where(string_less(F.col("b"), F.col("a"))).select(
-        "og_name", "a", "b", F.lit(1).cast("long").alias("o"), F.lit(0).cast("long").alias("p")
+    groups = materialize(no_tree.join(q, "query").join(m, ["og_name", "member"]).select("og_name", "query", "member"), "own-members")
+    plain = key_pairs(groups, ["og_name", "query"], "member", []).select(
+        "og_name", F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1).cast("long").alias("o"), F.lit(0).cast("long").alias("p")
     )
     return told.unionByName(plain).groupBy("og_name", "a", "b").agg(F.sum("o").alias("n_ortho"), F.sum("p").alias("n_para"))
 

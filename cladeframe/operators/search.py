@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeframe.functions.storage import shuffle_partitions
-from cladeframe.functions.strings import kmers
+from cladeframe.functions.storage import materialize, shuffle_partitions
+from cladeframe.functions.strings import valid_kmer
+from cladeframe.operators.events import member_blocks
 
 #: Classes of amino acids that replace each other often: the scoring's rule.
 CLASSES = ("AST", "C", "DE", "NQ", "G", "H", "ILMV", "FWY", "KR", "P")
@@ -145,15 +146,68 @@ def local_alignment(query: str, target: str, matrix: np.ndarray) -> tuple[int, i
 _SWAP = str.maketrans("ID", "DI")
 
 
-def candidates(protein: DataFrame, seed: int = 5, min_seeds: int = 2) -> DataFrame:
-    """(query, target), query <= target: sequences that share ``min_seeds`` distinct seeds, and each with itself."""
-    posts = protein.select("protein_id", F.explode(F.array_distinct(kmers(F.col("seq"), seed))).alias("seed"))
-    x, y = posts.toDF("query", "seed"), posts.toDF("target", "seed")
-    pairs = x.join(y, "seed").where("query < target").groupBy("query", "target").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds)
-    return pairs.select("query", "target").unionByName(protein.select(F.col("protein_id").alias("query"), F.col("protein_id").alias("target")))
+#: Occurrences beyond which a seed is replaced by the longer ones that start with it.
+HOT = 500
+#: Diagonals of a band; bands overlap by half.
+BAND = 16
 
 
-def search(protein: DataFrame, e_value: float = 0.001, nb_hits: int = 6, seed: int = 5, min_seeds: int = 2) -> DataFrame:
+def seed_postings(protein: DataFrame, seed: int = 5, hot: int = HOT, min_distinct: int = 3) -> DataFrame:
+    """(key, size, protein_id, pos): where the seeds of each sequence stand, an inverted index by the seed's hash.
+
+    Seeds of few distinct letters or with an unknown one are masked.  A seed with
+    more than ``hot`` occurrences is longer wherever it occurs: twice its size, then
+    four, then eight times, or as far as the sequence goes.  So a motif that
+    every sequence holds is told apart by what follows it, and lists of rows that
+    go together by chance stay short.
+    """
+    seqs = protein.select("protein_id", F.upper("seq").alias("seq"))
+
+    def of_size(k: int) -> DataFrame:
+        starts = F.sequence(F.lit(1), F.length("seq") - seed + 1)
+        words = seqs.where(F.length("seq") >= seed).select("protein_id", F.posexplode(F.transform(starts, lambda i: F.substring("seq", i, F.lit(k)))).alias("pos", "word"))
+        words = words.where(valid_kmer(F.substring("word", 1, seed), min_distinct))
+        return words.select(F.xxhash64("word").alias("key"), F.length("word").alias("size"), "protein_id", "pos", F.xxhash64(F.substring("word", 1, k // 2)).alias("half"))
+
+    out, common, k = None, None, seed
+    while k <= 8 * seed:
+        level = of_size(k)
+        if common is not None:
+            level = level.join(common.withColumnRenamed("key", "half"), "half", "left_semi")
+        if k < 8 * seed:
+            # written: a row for each ``hot`` occurrences at most
+            common = materialize(level.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"), "hot-seeds")
+            level = level.join(common, "key", "left_anti")
+        level = level.select("key", "size", "protein_id", "pos")
+        out = level if out is None else out.unionByName(level)
+        k *= 2
+    return out
+
+
+def candidates(protein: DataFrame, seed: int = 5, hot: int = HOT, band: int = BAND) -> DataFrame:
+    """(query, target), query <= target: sequences with two seeds on one band of diagonals, and each with itself.
+
+    Seeds meet by their hash, pairs are counted by (query, target, band) on the map
+    side, and no sequence is fetched before.  A longer seed counts for two.  Lists of
+    seeds that are common even so are dealt into pairs of blocks.
+    """
+    posts = materialize(seed_postings(protein, seed, hot), "postings")
+    sides = member_blocks(posts.withColumn("at", F.struct("protein_id", "pos")), ["key", "size"], "at", [])
+    left, right = (df.select("key", "size", "i", "j", F.col(f"{c}.protein_id").alias(c + "p"), F.col(f"{c}.pos").alias(c + "x")) for df, c in zip(sides, "uv"))
+    met = left.join(right, ["key", "size", "i", "j"]).where((F.col("up") < F.col("vp")) | (F.col("i") < F.col("j")) & (F.col("up") != F.col("vp")))
+    first = F.col("up") < F.col("vp")
+    met = met.select(
+        F.least("up", "vp").alias("query"), F.greatest("up", "vp").alias("target"), "size",
+        F.when(first, F.col("ux")).otherwise(F.col("vx")).alias("x"), (F.when(first, F.lit(1)).otherwise(-1) * (F.col("ux") - F.col("vx"))).alias("diagonal"),
+    )
+    half = F.floor(F.col("diagonal") / (band // 2))
+    near = met.select("query", "target", F.explode(F.array(half - 1, half)).alias("band"), "x", "size")
+    two = near.groupBy("query", "target", "band").agg(F.min("x").alias("least"), F.max("x").alias("most"), F.max("size").alias("size"))
+    pairs = two.where((F.col("least") < F.col("most")) | (F.col("size") > seed)).select("query", "target").distinct()
+    return pairs.unionByName(protein.select(F.col("protein_id").alias("query"), F.col("protein_id").alias("target")))
+
+
+def search(protein: DataFrame, e_value: float = 0.001, nb_hits: int = 6, seed: int = 5) -> DataFrame:
     """(query, target, qstart, qend, sstart, cigar, ord): the best targets of each query in each species.
 
     The query itself takes a place in its own species.  Ranked by score, ties by
@@ -162,7 +216,7 @@ def search(protein: DataFrame, e_value: float = 0.001, nb_hits: int = 6, seed: i
     sizes = protein.groupBy("species_id").agg(F.sum(F.length("seq")).alias("db"))
     known = protein.select("protein_id", "seq", "species_id").join(sizes, "species_id")
     full = (
-        candidates(protein, seed, min_seeds)
+        candidates(protein, seed)
         .join(known.toDF("qsp", "query", "qseq", "qdb"), "query")
         .join(known.toDF("tsp", "target", "tseq", "tdb"), "target")
         .select("query", "target", "qsp", "tsp", "qseq", "tseq", "qdb", "tdb")

@@ -165,8 +165,25 @@ def cigar_expand(spark, d):
 
 @query
 def gap_columns(spark, d):
+    """Gaps of each column of alignments in which blanks and e's of the parts of a brand are gaps."""
     rows = _table(spark, d, "part").select(F.col("p_brand").alias("query"), F.translate(F.rpad("p_name", 16, "-"), " e", "--").alias("row"))
-    return align.column_gaps(rows)
+    cells = rows.select("query", F.posexplode(F.split("row", "")).alias("c", "x")).where("x <> '-'").select("query", (F.col("c") + 1).alias("c"), (F.col("c") + 2).alias("e"))
+    spans = align.gap_intervals(cells, rows.groupBy("query").agg(F.count("*").alias("rows"), F.lit(16).alias("width")))
+    return spans.select("query", F.explode(F.sequence(F.col("begin") - 1, F.col("stop") - 2)).alias("position"), "gaps", "rows", "good")
+
+
+def _part_segments(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(segments, proteins): names of parts as sequences of 64, two segments with gaps for each hit that overlap in most."""
+    seqs = _table(spark, d, "part").select(F.col("p_partkey").alias("protein_id"), F.rpad("p_name", 64, ".").alias("seq"))
+    hits = _best(spark, d).select("query", "target")
+    first = hits.select("query", "target", (1 + F.col("target") % 9).cast("int").alias("qstart"), F.lit(22).alias("size"), (1 + F.col("query") % 5).cast("int").alias("sstart"), F.lit("12M3I4D7M").alias("cigar"), F.lit(1).alias("ord"))
+    last = hits.select("query", "target", (15 + F.col("query") % 31).cast("int").alias("qstart"), F.lit(18).alias("size"), (1 + F.col("target") % 40).cast("int").alias("sstart"), F.lit("5M2I11M").alias("cigar"), F.lit(2).alias("ord"))
+    return first.unionByName(last).select("query", "target", "qstart", (F.col("qstart") + F.col("size") - 1).alias("qend"), "sstart", "cigar", "ord"), seqs
+
+
+@query
+def alignment_rows(spark, d):
+    return align.alignments(*_part_segments(spark, d))
 
 
 @query
@@ -272,12 +289,22 @@ def components(spark, d):
     return connected_components(edges)
 
 
-@query
-def label_propagation(spark, d):
+def _communities(spark, d, in_task: int) -> DataFrame:
     edges = materialize(network.strong_edges(network.edge_weights(network.network_edges(_counts(spark, d)))), "edges")
     ids = network.network_nodes(edges)
-    nodes = network.clustering(ids, edges, 25).join(_brands(spark, d), "id")
-    return communities.communities(nodes, edges, communities.components_of(ids, edges))
+    nodes = materialize(network.clustering(ids, edges, 25).join(_brands(spark, d), "id"), "nodes")
+    return communities.communities(nodes, edges, communities.components_of(ids, edges), in_task)
+
+
+@query
+def label_propagation(spark, d):
+    return _communities(spark, d, communities.IN_TASK)
+
+
+@query
+def label_propagation_steps(spark, d):
+    """As ``label_propagation``, no component in one task."""
+    return _communities(spark, d, 0)
 
 
 @query

@@ -50,6 +50,26 @@ gn AS (SELECT og, row_number() OVER (ORDER BY min(id), count(*), og) AS number F
 og AS (SELECT 'OG_' || number AS og_name, id AS protein_id FROM gr JOIN gn USING (og)),
 fu AS (SELECT og_name, og.protein_id AS rep_id, p.protein_id, species_id, name FROM og JOIN cl ON rep = og.protein_id JOIN pr p ON p.protein_id = cl.id)"""
 
+_PROPAGATION = _EDGES.replace("0.7", "0.1") + """, dg AS (SELECT src, count(*) AS degree FROM se GROUP BY src),
+nr AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS k FROM se),
+ok AS (SELECT nr.src, nr.dst FROM nr JOIN dg USING (src) WHERE k <= 50 AND degree >= 4),
+cl AS (SELECT x.src, count(*) AS found FROM ok x JOIN ok y ON x.src = y.src AND x.dst < y.dst JOIN se e ON e.src = x.dst AND e.dst = y.dst GROUP BY x.src),
+lc AS (SELECT dg.src AS id, CASE WHEN degree >= 4 THEN round_even(2.0::DOUBLE * coalesce(found, 0) / CASE WHEN degree > 50 THEN 2450 ELSE degree * (degree - 1) END, 5) ELSE 0 END AS lcc FROM dg LEFT JOIN cl USING (src)),
+reach AS (SELECT src AS node, src AS r FROM dg UNION SELECT se.dst, r FROM reach JOIN se ON se.src = node WHERE r < se.dst),
+mb AS (SELECT node AS id, min(r) AS component FROM reach GROUP BY node),
+kd AS (SELECT component, count(*) < 4 OR count(DISTINCT p_brand) = 1 AS plain FROM mb JOIN part ON p_partkey = id GROUP BY component),
+nd AS (SELECT id, row_number() OVER (ORDER BY lcc DESC, id) AS i FROM lc JOIN mb USING (id) JOIN kd USING (component) WHERE NOT plain),
+nb AS (SELECT x.i, list({'w': round_even(weight * 1099511627776, 0)::BIGINT, 'd': -dst, 'i': y.i}) AS near FROM se JOIN nd x ON x.id = src JOIN nd y ON y.id = dst GROUP BY x.i),
+lp AS (
+  SELECT 0::BIGINT AS step, list(id ORDER BY i) AS state, 0::BIGINT AS quiet FROM nd
+  UNION ALL
+  SELECT step + 1, list_concat(state[1:i - 1], [best], state[i + 1:]), CASE WHEN best = state[i] THEN quiet + 1 ELSE 0 END
+  FROM (SELECT lp.*, i, list_max(list_transform(near, lambda x: {'s': list_sum(list_transform(list_filter(near, lambda y: state[y.i] = state[x.i]), lambda y: y.w)), 'w': x.w, 'd': x.d, 'l': state[x.i]})).l AS best
+        FROM lp JOIN nb ON nb.i = step % len(state) + 1 WHERE quiet < len(state))),
+og AS (SELECT id, component, component AS og FROM mb JOIN kd USING (component) WHERE plain
+  UNION ALL SELECT id, component, (SELECT arg_max(state, step) FROM lp)[i] FROM nd JOIN mb USING (id))
+SELECT id, component, og, count(DISTINCT og) OVER (PARTITION BY component) > 1 AS split FROM og"""
+
 SQL = {
     "fasta_parse": r"""
 SELECT doc_id, 'd' || doc_id || ' ' || lang AS header, 'd' || doc_id AS name, regexp_replace(text, '\s*\n|\s+$', '', 'g') AS seq FROM documents""",
@@ -70,6 +90,15 @@ WITH a AS (SELECT p_brand AS query, translate(rpad(p_name, 16, '-'), ' e', '--')
 c AS (SELECT query, unnest(range(16))::INT AS position, r FROM a)
 SELECT query, position, count(*) FILTER (substr(r, position + 1, 1) = '-') AS gaps, count(*) AS "rows", count(*) FILTER (substr(r, position + 1, 1) = '-') / count(*) < 0.7::DOUBLE AS good
 FROM c GROUP BY query, position""",
+    "alignment_rows": f"""WITH {_BEST}, sq AS (SELECT p_partkey AS id, rpad(p_name, 64, '.') AS seq FROM part),
+ht AS (SELECT query, target, 1 + target % 9 AS c1, 1 + query % 5 AS t1, 15 + query % 31 AS c2, 1 + target % 40 AS t2 FROM best),
+ce AS (SELECT query, target, c, CASE
+    WHEN c BETWEEN c2 AND c2 + 17 THEN CASE WHEN c - c2 < 5 THEN substr(seq, t2 + c - c2, 1) WHEN c - c2 < 7 THEN '-' ELSE substr(seq, t2 + c - c2 - 2, 1) END
+    WHEN c BETWEEN c1 AND c1 + 21 THEN CASE WHEN c - c1 < 12 THEN substr(seq, t1 + c - c1, 1) WHEN c - c1 < 15 THEN '-' ELSE substr(seq, t1 + c - c1 + 1, 1) END
+    ELSE '-' END AS x FROM ht JOIN sq ON id = target, (SELECT unnest(range(1, 65)) AS c)
+  UNION ALL SELECT id, id, c, substr(seq, c, 1) FROM sq, (SELECT unnest(range(1, 65)) AS c) WHERE id IN (SELECT query FROM best)),
+gd AS (SELECT query, c FROM ce GROUP BY query, c HAVING count(*) FILTER (x = '-') / count(*) < 0.7::DOUBLE)
+SELECT query, target, string_agg(x, '' ORDER BY c) AS "row" FROM ce JOIN gd USING (query, c) GROUP BY query, target""",
     "hit_hull": f"WITH {_SPANS} SELECT * FROM sp",
     "edge_hits": f"WITH {_HIT_EDGES} SELECT * FROM he",
     "other_hits": f"WITH {_HIT_EDGES} SELECT * FROM oh",
@@ -97,6 +126,8 @@ nr AS (SELECT r.src, r.dst FROM r JOIN dg USING (src) WHERE k <= 50 AND degree >
 f AS (SELECT x.src, count(*) AS found FROM nr x JOIN nr y ON x.src = y.src AND x.dst < y.dst JOIN e ON e.src = x.dst AND e.dst = y.dst GROUP BY x.src)
 SELECT dg.src AS id, degree, CASE WHEN degree >= 4 THEN round_even(2.0::DOUBLE * coalesce(found, 0) / CASE WHEN degree > 50 THEN 2450 ELSE degree * (degree - 1) END, 5) ELSE 0 END AS lcc
 FROM dg LEFT JOIN f USING (src)""",
+    "label_propagation": f"WITH RECURSIVE {_PROPAGATION}",
+    "label_propagation_steps": f"WITH RECURSIVE {_PROPAGATION}",
     "components": f"""WITH RECURSIVE {_COUNTS}, e AS (SELECT a AS u, b AS v FROM pc UNION SELECT b, a FROM pc),
 reach AS (SELECT u AS node, u AS r FROM e UNION SELECT e.v, r FROM reach JOIN e ON e.u = node WHERE r < e.v)
 SELECT node, min(r) AS component FROM reach GROUP BY node""",

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladeframe.functions.indexing import with_index
+from cladeframe.functions.medians import exact_medians
 from cladeframe.functions.strings import expand_hsp, kmers, valid_kmer
 from cladeframe.operators import align, census, chimera, communities, events, network, reports, search, trees
 from cladeframe.operators.components import connected_components
@@ -147,11 +148,62 @@ def test_top_per_group_breaks_ties(spark):
 # ---- alignments and trees
 
 
-def test_trim_is_strict():
-    col = lambda gaps: ["-" if i < gaps else "A" for i in range(10)]
-    assert align.trim(["".join(x) for x in zip(col(7), col(6), col(10))], 0.7) == ["-"] * 6 + ["A"] * 4
-    assert align.trim(["---", "---"], 0.7) == ["", ""]
-    assert len(align.trim(["A" * 6000], 0.7)[0]) == 4988
+def splice(length, segments):
+    """A target's row: gaps, overwritten by each segment (first column from 1, characters) in turn."""
+    row = ["-"] * length
+    for start, piece in segments:
+        row[start - 1 : start - 1 + len(piece)] = piece
+    return "".join(row[:length])
+
+
+def brute_alignments(hits, seqs, max_gap, most):
+    import re
+
+    own = {}
+    for q, t, qs, qe, ss, cigar, _ in sorted(hits, key=lambda h: h[6]):
+        at, piece = ss - 1, ""
+        for n, op in re.findall(r"(\d+)([MID])", cigar):
+            piece += seqs[t][at : at + int(n)] if op == "M" else "-" * int(n) if op == "I" else ""
+            at += int(n) if op in "MD" else 0
+        own.setdefault(q, {}).setdefault(t, []).append((qs, piece))
+    out = []
+    for q, targets in own.items():
+        made = {t: splice(len(seqs[q]), s) for t, s in targets.items()}
+        made.setdefault(q, seqs[q])
+        good = [i for i in range(len(seqs[q])) if sum(r[i] == "-" for r in made.values()) / len(made) < max_gap][:most]
+        out += [(q, t, "".join(r[i] for i in good)) for t, r in made.items() if good]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed,max_gap,most", [(1, 0.7, 4988), (2, 0.3, 4988), (3, 0.7, 9)])
+def test_alignments_against_brute_force(spark, seed, max_gap, most):
+    rng = random.Random(seed)
+    seqs = {i: "".join(rng.choice("ACDEFGHIKL") for _ in range(rng.randrange(8, 60))) for i in range(12)}
+    hits = []
+    for q in range(8):
+        for t in rng.sample(range(12), rng.randrange(1, 7)):
+            for n in range(rng.choice([1, 1, 2, 4])):
+                qs, ss = rng.randrange(1, len(seqs[q]) - 5), rng.randrange(1, len(seqs[t]) - 5)
+                parts, c, at = "", 0, 0
+                while len(seqs[q]) - qs - c > 3 and len(seqs[t]) - ss - at > 3 and rng.random() < 0.8:
+                    op = rng.choice("MMMID")
+                    k = rng.randrange(1, 4)
+                    parts += f"{k}{op}"
+                    c, at = c + k * (op in "MI"), at + k * (op in "MD")
+                if c:
+                    hits.append((q, t, qs, qs + c - 1, ss, parts, n + 1))
+    df = spark.createDataFrame(hits, "query long, target long, qstart int, qend int, sstart int, cigar string, ord int").repartition(3)
+    protein = spark.createDataFrame([(i, 0, "p", s) for i, s in seqs.items()], "protein_id long, species_id int, name string, seq string")
+    assert rows(align.alignments(df, protein, max_gap, most)) == brute_alignments(hits, seqs, max_gap, most)
+
+
+def test_columns_are_cut_at_the_limit_and_the_share_of_gaps_is_strict(spark):
+    sizes = spark.createDataFrame([(1, 6000, 10), (2, 3, 10), (3, 5, 1)], "query long, width int, rows long")
+    filled = [(1, 1, 6001)] * 10 + [(2, 1, 2)] * 3 + [(2, 2, 3)] * 4
+    spans = align.gap_intervals(spark.createDataFrame(filled, "query long, c int, e int"), sizes)
+    got = {(r.query, r.begin): (r.stop, r.gaps, r.good) for r in spans.collect()}
+    assert got == {(1, 1): (6001, 0, True), (2, 1): (2, 7, False), (2, 2): (3, 6, True), (2, 3): (4, 10, False), (3, 1): (6, 1, False)}
+    assert {r.query: [tuple(g) for g in r.good] for r in align.first_columns(spans).collect()} == {1: [(1, 4988)], 2: [(2, 1)]}
 
 
 def test_alignments(spark):
@@ -294,6 +346,63 @@ def score_of(a, b, m, qs, ss, cigar, qe):
     return s
 
 
+def mutated(rng, seq, share):
+    letters = "ACDEFGHIKLMNPQRSTVWY"
+    out = []
+    for c in seq:
+        x = rng.random()
+        if x < share * 0.9:
+            out.append(rng.choice(letters))
+        elif x < share * 0.95:
+            continue
+        elif x < share:
+            out.append(c + rng.choice(letters))
+        else:
+            out.append(c)
+    return "".join(out)
+
+
+def test_recall_of_seeds_against_dynamic_programming(spark):
+    """Of the pairs that full dynamic programming finds significant, at least nine in ten share two seeds on a band."""
+    rng = random.Random(12)
+    letters = "ACDEFGHIKLMNPQRSTVWY"
+    seqs = []
+    for _ in range(12):
+        parent = "".join(rng.choice(letters) for _ in range(rng.randrange(120, 260)))
+        seqs += [mutated(rng, parent, share) for share in (0.0, 0.2, 0.3, 0.4)]
+    m = search.scores()
+    pairs = list(itertools.combinations(range(len(seqs)), 2))
+    made = search.align_all([(seqs[a], seqs[b]) for a, b in pairs], m)
+    space = lambda a, b: len(seqs[a]) * sum(map(len, seqs))
+    true = {p for p, x in zip(pairs, made) if x and search.K * space(*p) * np.exp(-search.LAMBDA * x[0]) <= 0.001}
+    protein = spark.createDataFrame([(i, 0, str(i), s) for i, s in enumerate(seqs)], "protein_id long, species_id int, name string, seq string")
+    found = {(r.query, r.target) for r in search.candidates(protein).collect()}
+    assert len(true) > 50 and len(true & found) >= 0.9 * len(true)
+    assert {(i, i) for i in range(len(seqs))} <= found
+
+
+def test_a_seed_in_every_row_costs_linear_work(spark):
+    """A motif in all rows is told apart by what follows it: lists stay short and no chance pairs are made."""
+    rng = random.Random(5)
+    letters = "ACDEFGHIKLMNPQRSTVWY"
+    say = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    n = 1500
+    seqs = [say(30) + "MKTAYWQ" + say(40) for _ in range(n)]
+    protein = spark.createDataFrame([(i, 0, "p", s) for i, s in enumerate(seqs)], "protein_id long, species_id int, name string, seq string")
+    posts = search.seed_postings(protein, hot=50)
+    assert posts.groupBy("key").count().agg(F.max("count")).first()[0] <= 50
+    per = posts.groupBy("protein_id", "pos").count().agg(F.max("count"), F.count("*")).first()
+    seen = sum(len(set(x[i : i + 5])) >= 3 for x in seqs for i in range(len(x) - 4))
+    assert per[0] == 1 and per[1] == seen  # every place that isn't masked, once
+    assert search.candidates(protein, hot=50).count() < 3 * n
+
+
+def test_masked_seeds_and_long_ones_at_a_sequence_end(spark):
+    protein = spark.createDataFrame([(i, 0, "p", s) for i, s in enumerate(["AAAAAAAAAAACDEFG", "AAAAAAAAAAACDEFG", "KLMNPCDEFGHX", None, "ACD"])], "protein_id long, species_id int, name string, seq string")
+    got = rows(search.candidates(protein, hot=1))
+    assert got == [(i, i) for i in range(5)][:1] + [(0, 1)] + [(i, i) for i in range(1, 5)]
+
+
 # ---- events
 
 
@@ -347,6 +456,32 @@ def test_last_good_against_a_walk(spark):
         assert got[q] == walk_last_good([x[1:] for x in own], 0.5)
 
 
+def test_long_lists_are_met_block_by_block(spark):
+    groups = spark.range(1300).selectExpr("id % 2 AS query", "id AS m", "id % 5 AS k").unionByName(spark.range(50).selectExpr("7 AS query", "id AS m", "id AS k"))
+    lists = {0: range(0, 1300, 2), 1: range(1, 1300, 2), 7: range(50)}
+    got = events.member_pairs(groups, "m", "k", block=100).collect()
+    assert sorted((r.query, r.a, r.b) for r in got) == sorted((q, a, b) for q, ms in lists.items() for a in ms for b in ms if str(a) < str(b))
+    assert all((r.a_k, r.b_k) == ((r.a, r.b) if r.query == 7 else (r.a % 5, r.b % 5)) for r in got)
+
+
+def test_no_key_has_more_than_a_pair_of_blocks(spark):
+    """A list of 20,000: 210 keys of some 1,000 rows a side, and every pair has one of them."""
+    left, right = events.member_blocks(spark.range(20000).selectExpr("1 AS query", "id AS m"), ["query"], "m", [])
+    a, b = ({(r.i, r.j): r["count"] for r in df.groupBy("i", "j").count().collect()} for df in (left, right))
+    assert len(a) == len(b) == 210 and max(*a.values(), *b.values()) < 1.2 * events.BLOCK
+    within = sum(a[k] * (a[k] - 1) // 2 if k[0] == k[1] else a[k] * b[k] for k in a)
+    assert within == 20000 * 19999 // 2
+    # dealt to as many tasks, none has more than its share of block pairs
+    tasks = left.repartition(64, "query", "i", "j").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in tasks) < 12 * events.BLOCK
+
+
+def test_repeated_members_and_null_ones(spark):
+    groups = spark.createDataFrame([(1, 5), (1, 5), (1, 6), (1, None), (None, 5), (None, 6)], "query long, m long")
+    for block in (1, 1000):
+        assert rows(events.member_pairs(groups, "m", block=block)) == [(1, 5, 6), (1, 5, 6)]
+
+
 def test_pair_counts(spark):
     lab = spark.createDataFrame([(1, 9, True), (1, 10, True), (1, 3, False), (2, 9, True), (2, 10, True), (3, 9, True), (3, 3, True), (4, 3, True), (4, 9, True)], "query long, leaf long, ortho boolean")
     none = spark.createDataFrame([(7, 3), (7, 4), (8, 3), (8, 4), (9, 4)], "query long, member long")
@@ -442,11 +577,69 @@ def test_two_cliques_and_small_components(spark):
     assert got[0][1] and got[12][1] and not got[20][1] and not got[30][1]
 
 
+def random_network(rng, n, m):
+    edges = {}
+    while len(edges) < 2 * m:
+        a, b = rng.sample(range(n), 2)
+        for x, y in ((a, b), (b, a)):
+            edges[x, y] = rng.choice([1.0, 0.5, 1 / 3, 2 / 3, 0.25, 0.1])
+    near = {}
+    for (x, y), w in edges.items():
+        near.setdefault(x, []).append((y, w))
+    return [(x, y, w) for (x, y), w in edges.items()], near
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_labels_set_together_are_those_of_the_walk(spark, seed):
+    rng = random.Random(seed)
+    edges, near = random_network(rng, 40, 90)
+    nodes = [(i, rng.choice([0.0, 0.0, 0.5, 0.3])) for i in range(42)]
+    got = communities.propagate_together(spark.createDataFrame(nodes, "id long, lcc double"), spark.createDataFrame(edges, "src long, dst long, weight double"))
+    assert {r.id: r.label for r in got.collect()} == communities.propagate(nodes, near)
+
+
+def test_labels_along_a_chain_and_around_a_hub(spark):
+    chain = [(i, i + 1, 1.0 + i % 3) for i in range(12)]
+    hub = [(100, i, 0.5) for i in range(101, 160)]
+    edges = [e for a, b, w in chain + hub for e in ((a, b, w), (b, a, w))]
+    near = {}
+    for a, b, w in edges:
+        near.setdefault(a, []).append((b, w))
+    nodes = [(i, 0.0) for i in near]
+    got = communities.propagate_together(spark.createDataFrame(nodes, "id long, lcc double"), spark.createDataFrame(edges, "src long, dst long, weight double"))
+    assert {r.id: r.label for r in got.collect()} == communities.propagate(nodes, near)
+
+
+def test_components_in_tasks_and_across_them_are_alike(spark):
+    edges, _ = random_network(random.Random(7), 60, 70)
+    df = spark.createDataFrame(edges, "src long, dst long, weight double")
+    ids = network.network_nodes(df)
+    nodes = network.clustering(ids, df, 5).withColumn("species", F.col("id") % 5)
+    members = communities.components_of(ids, df)
+    assert rows(communities.communities(nodes, df, members)) == rows(communities.communities(nodes, df, members, in_task=0))
+
+
 def test_ties_take_the_first_label_by_weight_then_id():
     near = {1: [(2, 0.5), (3, 1.0)], 2: [(1, 1.0)], 3: [(1, 1.0)]}
     assert communities.propagate([(1, 0.0), (2, 0.0), (3, 0.0)], near) == {1: 3, 2: 3, 3: 3}
 
 
+def test_exact_medians(spark):
+    import statistics
+
+    rng = random.Random(1)
+    data = [(k, rng.choice([None, 1, 5, -3, 2000, rng.randrange(-5000, 5000)]), rng.randrange(3)) for k in range(30) for _ in range(rng.randrange(1, 30))] + [(99, None, 4)]
+    got = {r.k: (r.a, r.b) for r in exact_medians(spark.createDataFrame(data, "k int, a int, b int"), ["k"], ["a", "b"], width=16).collect()}
+    for k in {r[0] for r in data}:
+        a, b = [r[1] for r in data if r[0] == k and r[1] is not None], [r[2] for r in data if r[0] == k]
+        assert got[k] == (statistics.median(a) if a else None, statistics.median(b))
+
+
+def test_the_median_of_a_million_values_of_one_key(spark):
+    rows_ = spark.range(1_000_000).selectExpr("1 AS k", "(id * 7919) % 1000003 AS v")
+    assert exact_medians(rows_, ["k"], ["v"]).first().v == rows_.selectExpr("percentile(v, 0.5) AS p").first().p
+
+
 @pytest.mark.parametrize("start,fused", [(101, True), (100, True), (99, False)])
 def test_chimera_by_overlap(spark, start, fused):
     found = [(0, 0, 1, True)] + [(i, 0, 1, True) for i in (1, 2, 3)] + [(i, 0, 2, True) for i in (4, 5, 6)]
