@@ -30,6 +30,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ from cladeframe.llm.words import as_bytes, bound_batches
 
 #: A chunk ends with the text that brings it to so many places, distinct segments or bytes of them.
 PLACES, SEGMENTS, BYTES = 1 << 23, 1 << 20, 1 << 25
+#: Id pairs that are sent to all tasks, some tens of megabytes; beyond, they are joined by an exchange.
+BROADCAST = 1_000_000
 #: Segments of a row of a chunk's list.
 ROW = 1 << 15
 #: Before a space after a character that no version of Unicode counts as white space.
@@ -188,26 +191,26 @@ def _names(word: Column) -> list[Column]:
 
 
 def tokenized(segments: DataFrame, known_a, known_b) -> DataFrame:
-    """``segments`` with ``tokens``: array of (side, place, id, size), side 0 and 1 for the two tokenizers."""
-    token = "array<struct<side:int,place:int,id:int,size:int>>"
+    """``segments`` with ``tokens``: the (id, size) of the first tokenizer's tokens, ``n_first`` of them, then of the second's."""
+    kind = "struct<n_first:int,tokens:array<struct<id:int,size:int>>>"
 
-    @F.arrow_udf(token)
-    def tokens(words: pa.Array) -> pa.Array:
+    @F.arrow_udf(kind)
+    def both(words: pa.Array) -> pa.Array:
         words = words.to_pylist()
         sides = [(m.encode(words), m.sizes) for m in (_load(ByteLevel, known_a), _load(Pieces, known_b))]
         n = [np.fromiter(map(len, ids), np.int64, len(words)) for ids, _ in sides]
-        ends = np.cumsum(n[0] + n[1])
-        out = {k: np.empty(int(ends[-1]) if len(words) else 0, np.int32) for k in ("side", "place", "id", "size")}
-        for k, (ids, sizes) in enumerate(sides):
-            flat = np.fromiter((i for x in ids for i in x), np.int32, int(n[k].sum()))
-            inside = np.arange(len(flat)) - np.repeat(np.cumsum(n[k]) - n[k], n[k])
-            at = inside + np.repeat(ends - (n[1] if k else n[0] + n[1]), n[k])
-            for name, v in (("side", k), ("place", inside), ("id", flat), ("size", sizes[flat])):
-                out[name][at] = v
-        rows = pa.StructArray.from_arrays([pa.array(out[k]) for k in out], names=list(out))
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), rows)
+        ends = np.concatenate([[0], np.cumsum(n[0] + n[1])])
+        ids, sizes = np.empty(int(ends[-1]), np.int32), np.empty(int(ends[-1]), np.int32)
+        for k, (found, size) in enumerate(sides):
+            flat = np.fromiter(chain.from_iterable(found), np.int32, int(n[k].sum()))
+            first = ends[:-1] + (n[0] if k else 0)
+            at = np.arange(len(flat)) + np.repeat(first - (np.cumsum(n[k]) - n[k]), n[k])
+            ids[at], sizes[at] = flat, size[flat]
+        tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(ids), pa.array(sizes)], names=["id", "size"]))
+        return pa.StructArray.from_arrays([pa.array(n[0].astype(np.int32)), tokens], names=["n_first", "tokens"])
 
-    return segments.withColumn("tokens", tokens("word"))
+    # told to be nondeterministic, so that it runs once, and not before repeats are put together
+    return segments.withColumn("t", both.asNondeterministic()("word")).select(*(c for c in segments.columns if c != "word"), "t.n_first", "t.tokens")
 
 
 def links(tokens: DataFrame, key: list[str], keep: list[str]) -> DataFrame:
@@ -262,8 +265,10 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
 
     lists = chunks.where("words IS NOT NULL").select("chunk", "base", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "x"))
     lists = lists.select(*_names(F.col("x.words")), "chunk", (F.col("base") + F.col("i")).alias("place"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    segments = lists.repartition(*NAMES).groupBy(*NAMES, "word").agg(F.sum("n").alias("n"))
-    tokens = tokenized(segments, known_a, known_b).select(*NAMES, "n", F.explode("tokens").alias("t")).select(*NAMES, "n", "t.*")
+    segments = lists.groupBy(*NAMES, "word").agg(F.sum("n").alias("n"))
+    # dealt by segment once, as lists of tokens: what follows needs no other exchange
+    tokens = tokenized(segments, known_a, known_b).repartition(*NAMES).select(*NAMES, "n", "n_first", F.posexplode("tokens").alias("place", "t"))
+    tokens = tokens.select(*NAMES, "n", (F.col("place") >= F.col("n_first")).cast("int").alias("side"), "place", "t.id", "t.size")
     per = links(tokens, NAMES, ["n"]).groupBy(*NAMES, "n").agg(
         F.count("own_a").alias("n_a"), F.count("own_b").alias("n_b"), F.max("grp").alias("n_groups"), F.count("*").alias("n_links"),
         F.array_sort(F.collect_list(F.struct("end", "own_a", "own_b", F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long")).alias("pair")))).alias("rows"),
@@ -275,6 +280,8 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     b_id = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("b")
     most = pairs.groupBy(b_id).agg(F.max("count").alias("most"))
     rated = pairs.withColumn("b", b_id).join(most, "b").select("pair", "count", (F.col("count") == F.col("most")).cast("int").alias("best"))
+    if pairs.count() <= BROADCAST:
+        rated = F.broadcast(rated)
     sums = per.select(*NAMES, F.explode("pairs").alias("pair")).join(rated, "pair").groupBy(*NAMES).agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
 
     told = lists.select(*NAMES, "chunk", "place").join(per.drop("n", "pairs"), NAMES).join(sums, NAMES).select(F.col("chunk").alias("of"), "place", *FIGURES, "groups")
