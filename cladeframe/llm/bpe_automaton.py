@@ -202,7 +202,7 @@ class Words(dict):
     """Ids of words; remembers the latest ones and those still in use, within a fixed bound."""
 
     #: Words of each of two generations, and the bytes of the longest that is kept.
-    LIMIT, LONGEST = 1 << 18, 32
+    LIMIT, LONGEST = 1 << 16, 32
 
     def __init__(self, find):
         super().__init__()
@@ -339,12 +339,19 @@ class Encoder:
 
     def learn(self, pieces: Iterable[str]) -> None:
         """Finds the words that aren't known yet, all at once."""
-        known, before = self.known, self.known.before
-        new = [w for w in set(pieces) if w not in known and w not in before]
+        known = self.known
+        some = [w for w in set(pieces) if w not in known]
+        new = []
+        for w in some:
+            ids = known.before.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                known.keep(w, ids)
         codes = [(w, w.encode("utf-8", "surrogateescape")) for w in new]
         codes = [x for x in codes if len(x[1]) <= Words.LONGEST]
-        for at in range(0, len(codes), 20_000):
-            part = codes[at : at + 20_000]
+        for at in range(0, len(codes), 8_000):
+            part = codes[at : at + 8_000]
             for (w, _), ids in zip(part, self.words([c for _, c in part])):
                 known.keep(w, ids)
 
@@ -462,7 +469,7 @@ def bpe_encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", vo
         encoder = _encoder(known)
         for b in batches:
             texts = as_bytes(b.column(b.schema.get_field_index(text_col)))
-            found = [x for a, z in slices(texts, 1 << 22) for x in encoder.encode_all([t.decode("utf-8", "replace") if t else "" for t in texts[a:z]])]
+            found = [x for a, z in slices(texts, 1 << 20) for x in encoder.encode_all([t.decode("utf-8", "replace") if t else "" for t in texts[a:z]])]
             ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, ids_col])

@@ -58,7 +58,8 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float =
         for i in over:
             out[i] = cap * sizes[i]
         left -= sum(out[i] for i in over)
-        open_ = [i for i in open_ if i not in set(over)]
+        full = set(over)
+        open_ = [i for i in open_ if i not in full]
     return out
 
 

@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -108,10 +109,16 @@ _loaded: dict[tuple, object] = {}
 def _load(kind: type, known):
     key = kind, hash(known.value)
     if key not in _loaded:
-        _loaded[key] = kind(known.value)
+        _loaded[key] = _checked(kind(known.value))
     return _loaded[key]
 
 
+def _checked(model):
+    if model.sizes.max(initial=0) > 255:
+        raise ValueError("a token of more than 255 bytes")
+    return model
+
+
 class _Numbers(dict):
     """Numbers of distinct keys by their first place."""
 
@@ -123,13 +130,13 @@ class _Numbers(dict):
 def _chunks(docs: DataFrame, known_b, id_type: T.DataType, most: int) -> DataFrame:
     """Rows of texts (chunk, id, places) and of segments (chunk, base, words, counts), in one table.
 
-    places are the numbers of a text's segments in the chunk's list, null without tokens.
+    places are the numbers of a text's segments in the chunk's list, compressed, null without tokens.
     """
     schema = T.StructType(
         [
             T.StructField("chunk", T.LongType()),
             T.StructField("id", id_type),
-            T.StructField("places", T.ArrayType(T.IntegerType())),
+            T.StructField("places", T.BinaryType()),
             T.StructField("base", T.IntegerType()),
             T.StructField("words", T.ArrayType(T.StringType())),
             T.StructField("counts", T.ArrayType(T.IntegerType())),
@@ -144,7 +151,7 @@ def _chunks(docs: DataFrame, known_b, id_type: T.DataType, most: int) -> DataFra
         def rows(ids, places) -> pa.RecordBatch:
             n = len(ids)
             none = [pa.nulls(n, t) for t in (pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()))]
-            return pa.RecordBatch.from_arrays([pa.array([part << 32 | turn] * n, pa.int64()), ids, pa.array(places, pa.list_(pa.int32())), *none], names=schema.names)
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | turn] * n, pa.int64()), ids, pa.array(places, pa.binary()), *none], names=schema.names)
 
         def listed(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
             words = list(numbers)
@@ -152,7 +159,7 @@ def _chunks(docs: DataFrame, known_b, id_type: T.DataType, most: int) -> DataFra
             for at in range(0, len(words), ROW):
                 w = [x.encode("utf-8", "replace").decode() for x in words[at : at + ROW]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part << 32 | turn], pa.int64()), pa.nulls(1, kind), pa.nulls(1, pa.list_(pa.int32())), pa.array([at], pa.int32()), pa.array([w], pa.list_(pa.string())), pa.array([times[at : at + ROW]], pa.list_(pa.int32()))],
+                    [pa.array([part << 32 | turn], pa.int64()), pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([at], pa.int32()), pa.array([w], pa.list_(pa.string())), pa.array([times[at : at + ROW]], pa.list_(pa.int32()))],
                     names=schema.names,
                 )
 
@@ -168,7 +175,7 @@ def _chunks(docs: DataFrame, known_b, id_type: T.DataType, most: int) -> DataFra
                 before = len(numbers)
                 own = list(map(numbers.__getitem__, CUT.split(" " + text)))
                 own = np.array(own, np.int32)
-                places.append(own)
+                places.append(zlib.compress(own.tobytes(), 1))
                 counts.append(own)
                 total += len(own)
                 n_bytes += len(t) if len(numbers) > before else 0
@@ -191,22 +198,21 @@ def _names(word: Column) -> list[Column]:
 
 
 def tokenized(segments: DataFrame, known_a, known_b) -> DataFrame:
-    """``segments`` with ``tokens``: the (id, size) of the first tokenizer's tokens, ``n_first`` of them, then of the second's."""
-    kind = "struct<n_first:int,tokens:array<struct<id:int,size:int>>>"
+    """``segments`` without ``word``, with ``tokens``: id * 256 + size of the first tokenizer's tokens, ``n_first`` of them, then of the second's."""
 
-    @F.arrow_udf(kind)
+    @F.arrow_udf("struct<n_first:int,tokens:array<int>>")
     def both(words: pa.Array) -> pa.Array:
         words = words.to_pylist()
-        sides = [(m.encode(words), m.sizes) for m in (_load(ByteLevel, known_a), _load(Pieces, known_b))]
-        n = [np.fromiter(map(len, ids), np.int64, len(words)) for ids, _ in sides]
+        models = [_load(ByteLevel, known_a), _load(Pieces, known_b)]
+        sides = [m.encode(words) for m in models]
+        n = [np.fromiter(map(len, ids), np.int64, len(words)) for ids in sides]
         ends = np.concatenate([[0], np.cumsum(n[0] + n[1])])
-        ids, sizes = np.empty(int(ends[-1]), np.int32), np.empty(int(ends[-1]), np.int32)
-        for k, (found, size) in enumerate(sides):
+        packed = np.empty(int(ends[-1]), np.int32)
+        for k, (m, found) in enumerate(zip(models, sides)):
             flat = np.fromiter(chain.from_iterable(found), np.int32, int(n[k].sum()))
             first = ends[:-1] + (n[0] if k else 0)
-            at = np.arange(len(flat)) + np.repeat(first - (np.cumsum(n[k]) - n[k]), n[k])
-            ids[at], sizes[at] = flat, size[flat]
-        tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(ids), pa.array(sizes)], names=["id", "size"]))
+            packed[np.arange(len(flat)) + np.repeat(first - (np.cumsum(n[k]) - n[k]), n[k])] = flat << 8 | m.sizes[flat]
+        tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(packed))
         return pa.StructArray.from_arrays([pa.array(n[0].astype(np.int32)), tokens], names=["n_first", "tokens"])
 
     # told to be nondeterministic, so that it runs once, and not before repeats are put together
@@ -265,10 +271,10 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
 
     lists = chunks.where("words IS NOT NULL").select("chunk", "base", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "x"))
     lists = lists.select(*_names(F.col("x.words")), "chunk", (F.col("base") + F.col("i")).alias("place"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    segments = lists.groupBy(*NAMES, "word").agg(F.sum("n").alias("n"))
+    segments = lists.groupBy("word").agg(F.sum("n").alias("n")).select("word", *_names(F.col("word")), "n")
     # dealt by segment once, as lists of tokens: what follows needs no other exchange
     tokens = tokenized(segments, known_a, known_b).repartition(*NAMES).select(*NAMES, "n", "n_first", F.posexplode("tokens").alias("place", "t"))
-    tokens = tokens.select(*NAMES, "n", (F.col("place") >= F.col("n_first")).cast("int").alias("side"), "place", "t.id", "t.size")
+    tokens = tokens.select(*NAMES, "n", (F.col("place") >= F.col("n_first")).cast("int").alias("side"), "place", F.shiftright("t", 8).alias("id"), F.col("t").bitwiseAND(F.lit(255)).alias("size"))
     per = links(tokens, NAMES, ["n"]).groupBy(*NAMES, "n").agg(
         F.count("own_a").alias("n_a"), F.count("own_b").alias("n_b"), F.max("grp").alias("n_groups"), F.count("*").alias("n_links"),
         F.array_sort(F.collect_list(F.struct("end", "own_a", "own_b", F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long")).alias("pair")))).alias("rows"),
@@ -297,7 +303,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
         hashes = [""] * len(ids)
         for i, p in enumerate(places):
             if p.is_valid:
-                own = p.values.to_numpy()
+                own = np.frombuffer(zlib.decompress(p.as_py()), np.int32)
                 found[:, i] = figures[:, own].sum(axis=1)
                 hashes[i] = hashlib.sha256(";".join(map(groups.__getitem__, own.tolist())).encode()).hexdigest()
         return pa.table([ids, *map(pa.array, found), pa.array(hashes, pa.string())], names=out_type.names)
