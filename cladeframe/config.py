@@ -60,6 +60,9 @@ def parse_args(argv: list[str] | None = None) -> OrthologyConfig:
         kind = type(f.default) if f.default is not None else str
         parser.add_argument(f"-{f.name}", type=kind, default=f.default, help=f"default: {f.default}")
     for name in ("path_diamond", "path_fasttree"):
-        parser.add_argument(f"-{name}", help="accepted and not used: search and trees are built in, or read by -hits and -trees")
+        parser.add_argument(f"-{name}", help="refused: no other program is started; give its output by -hits or -trees")
     given = vars(parser.parse_args(argv))
+    for name, instead in (("path_diamond", "hits"), ("path_fasttree", "trees")):
+        if given[name] is not None:
+            raise ValueError(f"-{name}: no other program is started; run it and give its output by -{instead}")
     return OrthologyConfig(**{f.name: given[f.name] for f in fields(OrthologyConfig)}).validate()

@@ -14,19 +14,29 @@ from cladeframe.functions.storage import materialize
 from cladeframe.functions.strings import string_less
 
 
+def _steps(ladder: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, step, sister, overlap, browsed) of ladders with a species number, sets of species as words of 64 bits.
+
+    Ladders are dealt by their keys once; a step's species are one row for each
+    64 of them, the union of earlier steps runs along, and sizes are bit counts.
+    """
+    species = F.col("species").cast("long")
+    bit = F.expr("shiftleft(1L, CAST(pmod(CAST(species AS bigint), 64) AS int))")
+    words = ladder.repartition(*keys).groupBy(*keys, "step", F.floor(species / 64).alias("word")).agg(F.bit_or(bit).alias("here"))
+    earlier = Window.partitionBy(*keys, "word").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    seen = words.withColumn("known", F.col("here").bitwiseAND(F.coalesce(F.bit_or("here").over(earlier), F.lit(0))))
+    per = seen.groupBy(*keys, "step").agg(F.sum(F.bit_count("here")).alias("sister"), F.sum(F.bit_count("known")).alias("overlap"))
+    before = Window.partitionBy(*keys).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    return per.withColumn("browsed", F.coalesce(F.sum(F.col("sister") - F.col("overlap")).over(before), F.lit(0)))
+
+
 def step_species(ladder: DataFrame) -> DataFrame:
     """(query, step, sister, overlap, browsed) for each step above 0 that has leaves.
 
-    ``ladder`` has a column species.  sister: species at the step; overlap: those
-    of them also at an earlier step; browsed: species at earlier steps.
+    ``ladder`` has a column species, whole numbers from 0.  sister: species at the
+    step; overlap: those of them also at an earlier step; browsed: species at earlier steps.
     """
-    seen = ladder.groupBy("query", "species", "step").agg(F.count("*").alias("n"))
-    first = seen.withColumn("first", F.min("step").over(Window.partitionBy("query", "species")))
-    per = first.groupBy("query", "step").agg(
-        F.count("*").alias("sister"), F.count_if(F.col("first") < F.col("step")).alias("overlap")
-    )
-    before = Window.partitionBy("query").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    return per.withColumn("browsed", F.coalesce(F.sum(F.col("sister") - F.col("overlap")).over(before), F.lit(0))).where("step > 0")
+    return _steps(ladder, ["query"]).where("step > 0")
 
 
 def last_good(ladder: DataFrame, sp_overlap: float = 0.5) -> DataFrame:
@@ -113,15 +123,13 @@ def group_events(ladder: DataFrame, og: DataFrame) -> DataFrame:
 
     ``og`` is (og_name, protein_id); the query must be in the group.
     """
-    own = _in_group(ladder, og)
-    seen = own.groupBy("og_name", "query", "species", "step").agg(F.count("*").alias("n"))
-    first = seen.withColumn("first", F.min("step").over(Window.partitionBy("og_name", "query", "species")))
-    per = first.groupBy("og_name", "query", "step").agg(F.count("*").alias("sister"), F.count_if(F.col("first") < F.col("step")).alias("overlap"))
-    before = Window.partitionBy("og_name", "query").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    steps = per.withColumn("browsed", F.coalesce(F.sum(F.col("sister") - F.col("overlap")).over(before), F.lit(0))).where("step > 0")
+    return _events_of(_in_group(ladder, og))
+
+
+def _events_of(own: DataFrame) -> DataFrame:
     o, s, b = F.col("overlap"), F.col("sister"), F.col("browsed")
     ortho = (b + s - o == 1) | (o == 0) | ((o == 1) & (s - o >= 2) & (b - o >= 2))
-    return steps.select("og_name", "query", "step", ortho.alias("ortho"))
+    return _steps(own, ["og_name", "query"]).where("step > 0").select("og_name", "query", "step", ortho.alias("ortho"))
 
 
 def _in_group(ladder: DataFrame, og: DataFrame) -> DataFrame:
@@ -132,8 +140,8 @@ def _in_group(ladder: DataFrame, og: DataFrame) -> DataFrame:
 
 def group_pair_counts(ladder: DataFrame, no_tree: DataFrame, og: DataFrame) -> DataFrame:
     """(og_name, a, b, n_ortho, n_para): events of each pair over the trees and groups of an OG's members."""
-    events = group_events(ladder, og)
-    own = materialize(_in_group(ladder, og).select("og_name", "query", "leaf", "step"), "own-leaves")
+    own = materialize(_in_group(ladder, og).select("og_name", "query", "leaf", "step", "species"), "own-leaves")
+    events = _events_of(own)
     pairs = key_pairs(own, ["og_name", "query"], "leaf", ["step"]).where(F.col("a_step") != F.col("b_step"))
     told = pairs.withColumn("step", F.greatest("a_step", "b_step")).join(events, ["og_name", "query", "step"]).select(
         "og_name", F.col("b").alias("a"), F.col("a").alias("b"), F.col("ortho").cast("long").alias("o"), (~F.col("ortho")).cast("long").alias("p")

@@ -188,6 +188,18 @@ def kmer_meetings(seqs: DataFrame, k: int = 100, min_distinct: int = 15, id_col:
     return packed.groupBy("grp", "bucket").applyInArrow(_meet, schema)
 
 
+def valid_kmers(seqs: DataFrame, k: int = 100, min_distinct: int = 15, id_col: str = "protein_id", seq_col: str = "seq", forbidden: str = "X*") -> DataFrame:
+    """(id, n_valid): the distinct k-mers of each sequence that count, as the clusters see them."""
+    rows = seqs.select(F.col(id_col).alias("id"), F.col(seq_col).cast("string").alias("seq"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [len(rolling_kmers(s or "", k, min_distinct, forbidden)[0]) for s in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["id", "n_valid"])
+
+    return spread(rows).mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("n_valid", T.LongType())]))
+
+
 def kmer_links(seqs: DataFrame, k: int = 100, min_distinct: int = 15, id_col: str = "protein_id", group_col: str = "species_id", seq_col: str = "seq") -> DataFrame:
     """(grp, src, dst): stars over the sequences that share a k-mer."""
     return kmer_meetings(seqs, k, min_distinct, id_col, group_col, seq_col).where("src IS NOT NULL").select("grp", "src", "dst")

@@ -6,18 +6,19 @@ for trees.  Each query runs its operator over the whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from cladeframe.functions.storage import materialize
-from cladeframe.functions.strings import expand_hsp, kmers, valid_kmer
+from cladeframe.functions.storage import materialize, shared_dir
+from cladeframe.functions.strings import expand_hsp
 from cladeframe.operators import align, census, chimera, communities, events, network, reports
 from cladeframe.operators.components import connected_components
-from cladeframe.operators.kmers import kmer_clusters, shared_kmers
-from cladeframe.sources import fasta
+from cladeframe.operators.kmers import kmer_clusters, shared_kmers, valid_kmers
+from cladeframe.sources import fasta, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -109,13 +110,77 @@ def duplicate_names(spark, d):
     return fasta.duplicate_names(rows, order=("p_partkey",))
 
 
+def _folder(spark, name: str) -> str:
+    """A new folder for files that a query writes and reads."""
+    return f"{shared_dir(spark)}/cladeframe/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def hit_file(spark, d):
+    """Hits written as another program's tab-separated output and read from it."""
+    path = _folder(spark, "hit-file")
+    hits = _best(spark, d).select("query", "target", F.lit(1).alias("qstart"), (9 + F.col("target") % 20).cast("int").alias("qend"), F.lit(1).alias("sstart"), F.concat((9 + F.col("target") % 20).cast("string"), F.lit("M")).alias("cigar"))
+    hits.write.csv(path, sep="\t", compression="gzip")
+    return tables.read_hits(spark, path)
+
+
+@query
+def tree_file(spark, d):
+    """Trees written as lines beside notes, a line without a tree among them, and read from it."""
+    path = _folder(spark, "tree-file")
+    lines = _table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("leaves"))
+    tree = F.concat(F.col("o_custkey").cast("string"), F.lit("\t("), F.array_join(F.col("leaves").cast("array<string>"), ","), F.lit(");"))
+    notes = spark.createDataFrame([("Ignored unknown character X",), ("WARNING: few columns",), ("7\tno tree",)], "value string")
+    lines.select(tree.alias("value")).unionByName(notes).write.text(path)
+    return tables.read_trees(spark, path)
+
+
+@query
+def stage_table(spark, d):
+    """A step's table saved twice and read from the pointer to the later version."""
+    base = _folder(spark, "stage-table")
+    pairs = _counts(spark, d)
+    tables.save(pairs.limit(0), base, 3, "pair_count")
+    tables.save(pairs, base, 3, "pair_count")
+    return tables.load(spark, base, 3, "pair_count", "a bigint, b bigint, n_ortho bigint, n_para bigint")
+
+
+@query
+def proteome_files(spark, d):
+    """Names of parts written as FASTA, a folder of files a brand's number, and read from all of them."""
+    path = _folder(spark, "fasta")
+    part = _table(spark, d, "part")
+    fasta.write_fasta(part.select(F.col("p_partkey").alias("protein_id"), F.substring("p_brand", 7, 2).cast("int").alias("species_id"), F.col("p_name").alias("seq")), path)
+    return fasta.read_fasta(spark, f"{path}/*", ".txt").select("name", "seq")
+
+
 # ---- k-mers
 
 
+#: For names of parts, which are short: k and the least number of distinct characters.
+_SHORT = {"k": 12, "min_distinct": 6, "id_col": "p_partkey", "seq_col": "p_name"}
+
+
 @query
 def kmer_valid(spark, d):
-    k = _table(spark, d, "benchmark").select("item_id", F.explode(kmers(F.col("text"), 100)).alias("kmer"))
-    return k.where(valid_kmer(F.col("kmer"), 15)).groupBy("item_id").agg(F.count("*").alias("n_valid"), F.countDistinct("kmer").alias("n_distinct"))
+    return valid_kmers(_table(spark, d, "part"), **_SHORT)
+
+
+@query
+def kmer_shared_parts(spark, d):
+    return shared_kmers(_table(spark, d, "part"), group_col="p_brand", **_SHORT)
+
+
+@query
+def kmer_cluster_parts(spark, d):
+    return kmer_clusters(_table(spark, d, "part"), group_col="p_brand", **_SHORT)
+
+
+@query
+def cluster_log_parts(spark, d):
+    part = _table(spark, d, "part")
+    species = part.select("p_brand").distinct().select(F.col("p_brand").alias("species_id"), F.col("p_brand").alias("file_name"))
+    return reports.cluster_log(kmer_clusters(part, group_col="p_brand", **_SHORT), species)
 
 
 @query

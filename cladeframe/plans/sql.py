@@ -70,16 +70,32 @@ og AS (SELECT id, component, component AS og FROM mb JOIN kd USING (component) W
   UNION ALL SELECT id, component, (SELECT arg_max(state, step) FROM lp)[i] FROM nd JOIN mb USING (id))
 SELECT id, component, og, count(DISTINCT og) OVER (PARTITION BY component) > 1 AS split FROM og"""
 
+_PART_KMERS = """km AS (SELECT DISTINCT id, grp, k FROM (SELECT p_partkey AS id, p_brand AS grp, substr(p_name, i, 12) AS k FROM (
+  SELECT *, unnest(range(1, length(p_name) - 10)) AS i FROM part WHERE length(p_name) >= 12))
+  WHERE len(list_distinct(string_split(k, ''))) >= 6 AND NOT contains(k, 'X') AND NOT contains(k, '*'))"""
+_PART_CLUSTERS = (
+    _PART_KMERS
+    + """, st AS (SELECT DISTINCT min(id) OVER (PARTITION BY grp, k) AS u, id AS v FROM km), e AS (SELECT u, v FROM st WHERE u <> v UNION SELECT v, u FROM st WHERE u <> v),
+reach AS (SELECT u AS node, u AS r FROM e UNION SELECT e.v, r FROM reach JOIN e ON e.u = node WHERE r < e.v),
+cm AS (SELECT p_partkey AS id, p_brand AS grp, length(p_name) AS size, coalesce(c, p_partkey) AS c FROM part LEFT JOIN (SELECT node, min(r) AS c FROM reach GROUP BY node) ON node = p_partkey),
+cl AS (SELECT first_value(id) OVER (PARTITION BY c ORDER BY size DESC, id) AS rep_id, id AS member_id, grp FROM cm)"""
+)
+
 SQL = {
     "fasta_parse": r"""
 SELECT doc_id, 'd' || doc_id || ' ' || lang AS header, 'd' || doc_id AS name, regexp_replace(text, '\s*\n|\s+$', '', 'g') AS seq FROM documents""",
     "duplicate_names": """
 SELECT p_name AS protein_name, file1, p_brand AS file2 FROM (
   SELECT *, row_number() OVER w AS rn, first(p_brand) OVER w AS file1 FROM part WINDOW w AS (PARTITION BY p_name ORDER BY p_partkey)) WHERE rn > 1""",
-    "kmer_valid": """
-WITH k AS (SELECT item_id, substr(text, i, 100) AS kmer FROM (SELECT item_id, text, unnest(range(1, length(text) - 98)) AS i FROM benchmark WHERE length(text) >= 100))
-SELECT item_id, count(*) AS n_valid, count(DISTINCT kmer) AS n_distinct FROM k
-WHERE len(list_distinct(string_split(kmer, ''))) >= 15 AND NOT contains(kmer, 'X') AND NOT contains(kmer, '*') GROUP BY item_id""",
+    "hit_file": f"""WITH {_BEST} SELECT query, target, 1 AS qstart, (9 + target % 20)::INT AS qend, 1 AS sstart, (9 + target % 20) || 'M' AS cigar, 1 AS ord FROM best""",
+    "tree_file": """SELECT o_custkey AS query, '(' || string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) || ');' AS newick FROM orders GROUP BY o_custkey""",
+    "stage_table": f"WITH {_COUNTS} SELECT * FROM pc",
+    "proteome_files": "SELECT p_partkey::VARCHAR AS name, p_name AS seq FROM part",
+    "kmer_valid": f"WITH {_PART_KMERS} SELECT p_partkey AS id, coalesce(n, 0) AS n_valid FROM part LEFT JOIN (SELECT id, count(*) AS n FROM km GROUP BY id) ON id = p_partkey",
+    "kmer_shared_parts": f"""WITH {_PART_KMERS}, c AS (SELECT grp, k, count(*) AS n FROM km GROUP BY grp, k)
+SELECT grp, count(*) FILTER (n > 1) AS n_shared, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS n_postings FROM c GROUP BY grp""",
+    "kmer_cluster_parts": f"WITH RECURSIVE {_PART_CLUSTERS} SELECT rep_id, member_id, grp FROM cl",
+    "cluster_log_parts": f"""WITH RECURSIVE {_PART_CLUSTERS} SELECT grp AS "index", grp AS file_name, count(*) AS nb_initial, count(DISTINCT rep_id) AS nb_final FROM cl GROUP BY grp""",
     "topk_per_group": f"WITH {_BEST} SELECT * FROM best",
     "hit_census": f"WITH {_BEST}, hits AS (SELECT * FROM best), {_MEMBERS} SELECT *, n_present > 1 AND n_dupli > 0 AS has_tree FROM cs",
     "route_no_tree": f"WITH {_BEST}, hits AS (SELECT * FROM best WHERE n > 1), {_MEMBERS} SELECT query, member FROM mb JOIN cs USING (query) WHERE NOT (n_present > 1 AND n_dupli > 0)",

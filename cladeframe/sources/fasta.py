@@ -47,14 +47,16 @@ def parse_records(texts: DataFrame, text_col: str = "value") -> DataFrame:
     )
 
 
-def read_fasta(spark: SparkSession, directory: str, ext: str = ".fasta") -> DataFrame:
+def read_fasta(spark: SparkSession, directory: str, ext: str = ".fasta", only: list[str] | None = None) -> DataFrame:
     """(file_name, pos, header, name, seq): the records of all files, numbered from 0 within a file.
 
     Files are split like any text; a record's place is counted within its
     split and shifted by the records of earlier splits, so no file is numbered in
-    one task.
+    one task.  With ``only``, names of files, no other file is opened.
     """
     raw = spark.read.option("lineSep", "\n>").option("pathGlobFilter", f"*{ext}").text(directory)
+    if only is not None:
+        raw = raw.where(F.col("_metadata.file_name").isin(only))
     chunks = raw.select(
         "value",
         F.col("_metadata.file_name").alias("file_name"),

@@ -5,6 +5,7 @@ import pytest
 
 from cladeframe.config import OrthologyConfig
 from cladeframe.plans import pipeline
+from cladeframe.sources import tables
 
 
 @pytest.fixture(scope="module")
@@ -24,8 +25,8 @@ def lines(base, name):
 
 def test_near_duplicate_is_collapsed(result, spark):
     base, _ = result
-    names = {r.protein_id: r.name for r in spark.read.parquet(f"{base}/dir_step1/protein").collect()}
-    got = [(names[r.rep_id], names[r.member_id]) for r in spark.read.parquet(f"{base}/dir_step1/cluster").collect() if r.rep_id != r.member_id]
+    names = {r.protein_id: r.name for r in tables.load(spark, base, 1, "protein").collect()}
+    got = [(names[r.rep_id], names[r.member_id]) for r in tables.load(spark, base, 1, "cluster").collect() if r.rep_id != r.member_id]
     assert ("s0f1", "s0f1dup") in got
     assert all(a.split("f")[1][:1] == b.split("f")[1][:1] for a, b in got)
 
@@ -64,10 +65,10 @@ def test_every_report_is_there(result):
 
 def test_ingested_hits_give_the_same_groups(result, spark, tmp_path):
     base, _ = result
-    hits = spark.read.parquet(f"{base}/dir_step2/hsp").drop("ord")
+    hits = tables.load(spark, base, 2, "hsp").drop("ord")
     hits.write.csv(str(tmp_path / "hits"), sep="\t", compression="gzip")
     for name in ("protein", "reduced_protein", "species", "cluster"):
-        spark.read.parquet(f"{base}/dir_step1/{name}").write.parquet(str(tmp_path / "dir_step1" / name))
+        tables.load(spark, base, 1, name).write.parquet(str(tmp_path / "dir_step1" / name))
     pipeline.run(spark, OrthologyConfig(steps="2,3", out=str(tmp_path), hits=str(tmp_path / "hits")))
     same = lambda b: sorted(tuple(x) for x in lines(b, "dir_step3/orthologous_groups.txt"))
     assert same(base) == same(str(tmp_path))

@@ -1,6 +1,7 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
 from cladeframe.config import OrthologyConfig, parse_args
 from cladeframe.sources import fasta, tables
@@ -92,10 +93,50 @@ def test_load_needs_a_complete_step(spark, tmp_path):
     assert tables.load(spark, str(tmp_path), 1, "x").count() == 2
 
 
+def test_a_failed_write_leaves_the_earlier_table_whole(spark, tmp_path):
+    tables.save(spark.range(3), str(tmp_path), 1, "x")
+    before = tables.load(spark, str(tmp_path), 1, "x")
+    broken = spark.range(1000).repartition(8).selectExpr("CASE WHEN id = 900 THEN raise_error('lost') ELSE id END AS id")
+    with pytest.raises(Exception, match="lost"):
+        tables.save(broken, str(tmp_path), 1, "x")
+    assert before.count() == tables.load(spark, str(tmp_path), 1, "x").count() == 3
+
+
+def test_readers_keep_their_version_and_old_ones_go(spark, tmp_path):
+    tables.save(spark.range(3), str(tmp_path), 1, "x")
+    pinned = tables.load(spark, str(tmp_path), 1, "x")
+    tables.save(spark.range(5), str(tmp_path), 1, "x")
+    assert pinned.count() == 3 and tables.load(spark, str(tmp_path), 1, "x").count() == 5
+    tables.save(spark.range(7), str(tmp_path), 1, "x")
+    assert tables.load(spark, str(tmp_path), 1, "x").count() == 7
+    assert len([p for p in (tmp_path / "dir_step1" / "x").iterdir() if p.is_dir()]) == 2
+
+
+def test_tables_of_other_programs_and_reports(spark, tmp_path):
+    spark.range(4).write.parquet(str(tmp_path / "dir_step2" / "y"))
+    assert tables.load(spark, str(tmp_path), 2, "y").count() == 4
+    for n in (2, 6):
+        tables.save_text(spark.range(n), str(tmp_path), 2, "r.txt", header=False)
+        assert spark.read.text(str(tmp_path / "dir_step2" / "r.txt")).count() == n
+    assert [p.name for p in (tmp_path / "dir_step2").iterdir() if p.name.startswith(".r")] == []
+
+
+def test_files_that_are_not_asked_for_are_not_opened(spark, folder):
+    df = fasta.read_fasta(spark, folder, only=["a.fasta"])
+    assert sorted(r["name"] for r in df.collect()) == ["A1", "A2", "A3"]
+    scan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "a.fasta" in scan
+    raw = spark.read.text(folder).where(F.col("_metadata.file_name").isin(["a.fasta"]))
+    assert raw.rdd.getNumPartitions() == 1 < spark.read.text(folder).where("value <> ''").rdd.getNumPartitions()
+
+
 def test_config():
     c = parse_args(["-dir", "x", "-kmer_size", "50", "-steps", "1,2", "-not_same_sp"])
     assert (c.dir, c.kmer_size, c.step_list(), c.not_same_sp) == ("x", 50, [1, 2], True)
-    assert parse_args(["-dir", "x", "-path_diamond", "/bin/x", "-threads", "4"]).threads == 4
+    assert parse_args(["-dir", "x", "-threads", "4"]).threads == 4
+    for name, instead in (("path_diamond", "-hits"), ("path_fasttree", "-trees")):
+        with pytest.raises(ValueError, match=instead):
+            parse_args(["-dir", "x", f"-{name}", "/bin/x"])
     assert OrthologyConfig().kmer_min_aa == 15 and OrthologyConfig().max_gap == 0.7
     for bad in ({"steps": "1,3"}, {"steps": "0,1"}, {"steps": "a"}, {}, {"dir": "x", "phylogenies": "ml"}):
         with pytest.raises(ValueError):
