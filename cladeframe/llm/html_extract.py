@@ -10,7 +10,8 @@ quotation or figure and the last one that the container's parent (or its next an
 hangs on the paragraph before it.  The minimum cut between the terminals, found by maximum flow, is the
 labelling of least total cost: a block that the classifier gets wrong (a word
 alone in a paragraph, a line of links in the text) goes with its surroundings
-unless the evidence against it outweighs its edges.
+unless the evidence against it outweighs its edges.  The edges of a block that is surely content cost it together
+less than its evidence, so short lines join an article or are left, but never drag it out.
 
 Each page is labelled alone, in a narrow pass.
 
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
 
@@ -71,7 +72,7 @@ BAD_TAGS = frozenset("nav footer aside form menu dialog search fieldset".split()
 
 #: Log-odds of content, in nats.  Derivation: text that is an article's runs to hundreds of characters in
 #: sentences, so a block without marks breaks even at about 100 characters with a full stop, each doubling
-#: of the length counts as much as four to one, and a text of links as twenty to one against.  An element that
+#: of the length counts as much as four to one, and a text of links as fifteen to one against.  An element that
 #: HTML defines as no main content (nav, aside, footer, form, dialog), or a name of such words only, counts
 #: 10: more than the longest block can weigh up.  ``article`` and ``main`` count 3, twenty to one, and where a
 #: page has them, being outside counts 8.  A name that holds such a word among others says little.
@@ -80,13 +81,14 @@ WEIGHTS = {
     "length": 1.3,  # a doubling of 1 + n / 25, of four at most
     "stop": 0.5,
     "comma": 0.3,  # each, of four at most
-    "links": -3.0,
+    "links": -2.7,
     "main": 3.0,
     "outside": -8.0,
     "bad": -10.0,
     "maybe bad": -0.5,
     "good": 0.5,
     "hidden": -20.0,
+    "short": -0.8,  # the least that the length of a block without links and without marks against it can say
 }
 #: Smoothness: neighbours in one container; it falls with the square of the steps between two containers.
 NEAR, NEXT_BUT_ONE, HANGS = 2.0, 1.0, 0.75
@@ -173,6 +175,15 @@ def blocks(html: str) -> list[Block]:
     piece: list[str] = []
     links = in_link = 0
     low: str | None = None
+    opened: Counter[str] = Counter()  # elements from the root to here, by kind
+
+    def up_to(top: Element) -> Element:
+        """Ends all elements from here up to below ``top``."""
+        e = here
+        while e is not top:
+            opened[e.tag] -= 1
+            e = e.up
+        return top
 
     def close() -> None:
         nonlocal links
@@ -230,6 +241,8 @@ def blocks(html: str) -> list[Block]:
         if tag == "a":
             in_link = 0 if ends else 1
         if ends:
+            if not opened[tag]:
+                continue  # the end of nothing
             top = here
             while top.up and top.tag != tag:
                 if tag in ("p", "li", "a", "span", "dd", "dt") and top.tag not in ("p", "li", "a", "span", "dd", "dt"):
@@ -238,19 +251,20 @@ def blocks(html: str) -> list[Block]:
                     break
                 top = top.up
             if top.up and top.tag == tag:
-                here = top.up
+                here = up_to(top.up)
         elif not (tag in SILENT and attrs.endswith("/")):  # one that ends itself is complete
             if tag in BLOCKS:  # an open paragraph ends where a block begins
                 while here.tag in ("p", "a", "span"):
-                    here = here.up
+                    here = up_to(here.up)
                 if tag in ("li", "dd", "dt", "td", "th", "tr"):
                     top = here
                     while top.tag in ENDS:
                         if tag in ENDS[top.tag]:
-                            here = top.up
+                            here = up_to(top.up)
                             break
                         top = top.up
             here = _element(tag, attrs, here)
+            opened[tag] += 1
     close()
     return out
 
@@ -262,13 +276,18 @@ def log_odds(b: Block, has_main: bool) -> float:
     out += w["links"] * min(1.0, b.links / n) + b.mark
     if b.text[-1] in ".!?:;…\"”)":
         out += w["stop"]
+    if b.mark >= 0 and b.links * 4 < n:
+        out = max(out, w["short"])
     if has_main and not b.main:
         out += w["outside"]
     return out
 
 
-def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Which nodes are on the source's side of a minimum cut (Dinic's algorithm)."""
+def minimum_cut(source: list[float], sink: list[float], edges: list[tuple]) -> list[bool]:
+    """Which nodes are on the source's side of a minimum cut (Dinic's algorithm).
+
+    An edge (u, v, cost, back) costs ``cost`` with u alone on the source's side and ``back`` with v alone; without ``back`` both are alike.
+    """
     n = len(source)
     s, t = n, n + 1
     to: list[int] = []
@@ -288,8 +307,8 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
             link(s, i, source[i] - sink[i], 0.0)
         elif sink[i] > source[i]:
             link(i, t, sink[i] - source[i], 0.0)
-    for u, v, c in edges:
-        link(u, v, c, c)
+    for u, v, c, *back in edges:
+        link(u, v, c, back[0] if back else c)
     while True:
         level = [-1] * (n + 2)
         level[s] = 0
@@ -364,6 +383,37 @@ def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
     return edges
 
 
+#: From this evidence on a block keeps this share of it above its edges; what an edge to a weak neighbour keeps beyond the evidence against that.
+SURE, SHARE, SLACK = 1.0, 0.95, 0.5
+
+
+def weighed(edges: list[tuple[int, int, float]], score: list[float]) -> list[tuple[int, int, float, float]]:
+    """Edges with a cost for each direction: what it costs to part a block from those around it, in favour of either.
+
+    The edges from a block that is surely content to those that aren't cost it
+    together less than its own evidence: edges to weak neighbours are cut down first,
+    to what takes such a neighbour in, then all alike.  So short lines can join an
+    article, but none of them, and no number of them, can drag it out.
+    """
+    sure = [s >= SURE for s in score]
+    near: dict[int, list[list]] = {}  # of each sure block: [cost, other block, edge]
+    for k, (u, v, c) in enumerate(edges):
+        if sure[u] != sure[v]:
+            u, v = (u, v) if sure[u] else (v, u)
+            near.setdefault(u, []).append([c, v, k])
+    both = [[c, c] for _, _, c in edges]
+    for u, own in near.items():
+        excess = sum(c for c, _, _ in own) - SHARE * score[u]
+        for e in sorted(own, key=lambda e: -score[e[1]]):
+            less = min(max(excess, 0.0), max(0.0, e[0] - SLACK - max(-score[e[1]], 0.0)))
+            e[0] -= less
+            excess -= less
+        part = min(1.0, SHARE * score[u] / max(sum(c for c, _, _ in own), 1e-9))
+        for c, _, k in own:
+            both[k][0 if edges[k][0] == u else 1] = c * part
+    return [(u, v, *both[k]) for k, (u, v, _) in enumerate(edges)]
+
+
 def label(html: str | None) -> list[tuple[str, bool, bool]]:
     """(text, whether the classifier alone calls it content, whether the cut does) of each block of a page."""
     found = blocks(html) if html else []
@@ -371,7 +421,7 @@ def label(html: str | None) -> list[tuple[str, bool, bool]]:
         return []
     has_main = any(b.main and b.mark > WEIGHTS["bad"] / 2 for b in found)
     score = [log_odds(b, has_main) for b in found]
-    side = minimum_cut([max(x, 0.0) for x in score], [max(-x, 0.0) for x in score], smoothness(found))
+    side = minimum_cut([max(x, 0.0) for x in score], [max(-x, 0.0) for x in score], weighed(smoothness(found), score))
     return [(b.text, x > 0, on) for b, x, on in zip(found, score, side)]
 
 
