@@ -35,7 +35,6 @@ import unicodedata
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +45,7 @@ from tokenizers import Regex, Tokenizer, normalizers
 
 from cladeframe.functions.storage import spread
 from cladeframe.llm.vocabularies import read_vocabulary, vocabulary_path
-from cladeframe.llm.words import as_bytes, bound_batches, slices
+from cladeframe.llm.words import as_bytes, bound_batches
 
 
 class Automaton:
@@ -162,74 +161,31 @@ def _frozen(tree: dict) -> dict:
     return {x: (_frozen(below), inner, end) for x, (below, inner, end) in tree.items()}
 
 
-class Table:
-    """The automaton as arrays: a row of the vocabulary's tree for each prefix of a token, a number for each absent interval's bound."""
-
-    def __init__(self, automaton: Automaton, tree: dict):
-        rows: list[dict] = [tree]
-        inner, last = [-1], [-1]
-        at = 0
-        while at < len(rows):
-            for x, (below, i, e) in rows[at].items():
-                rows[at][x] = len(rows)
-                rows.append(dict(below))
-                inner.append(-1 if i is None else i)
-                last.append(-1 if e is None else e)
-            at += 1
-        full = [k for k, r in enumerate(rows) if r]
-        dense = np.full((len(full) + 1, 256), -1, np.int32)
-        for d, k in enumerate(full):
-            dense[d, list(rows[k])] = list(rows[k].values())
-        self.below = _Rows(dense, np.full(len(rows), len(full), np.int32))
-        self.below.row[full] = np.arange(len(full))
-        self.inner, self.last = np.array(inner, np.int32), np.array(last, np.int32)
-        self.number, self.target = np.array(automaton.number, np.int64), np.array(automaton.target, np.int64)
-        self.offsets = np.array(automaton.offsets, np.int64)
-        self.keys = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets)) << 32 | np.array(automaton.bounds, np.int64)
-
-
-class _Rows:
-    """The children of nodes; nodes without any share a row."""
-
-    def __init__(self, dense: np.ndarray, row: np.ndarray):
-        self.dense, self.row = dense, row
-
-    def __getitem__(self, at: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        return self.dense[self.row[at[0]], at[1]]
-
-
 class Words(dict):
-    """Ids of words; remembers the latest ones and those still in use, within a fixed bound."""
+    """Ids of words, as bytes of 32-bit numbers; remembers words within a fixed bound."""
 
-    #: Words of each of two generations, and the bytes of the longest that is kept.
-    LIMIT, LONGEST = 1 << 16, 32
+    #: Words that are kept, and the bytes of the longest of them.
+    LIMIT, LONGEST = 1 << 19, 32
 
     def __init__(self, find):
         super().__init__()
-        self.find, self.before = find, {}
-
-    def __missing__(self, word: str) -> list[int]:
-        found = self.before.get(word)
-        if found is None:
-            found = self.find(word.encode("utf-8", "surrogateescape"))
-            if len(word.encode("utf-8", "surrogateescape")) > self.LONGEST:
-                return found
-        self.keep(word, found)
+        self.find = find
+
+    def __missing__(self, word: str) -> bytes:
+        code = word.encode("utf-8", "surrogateescape")
+        found = array("i", self.find(code)).tobytes()
+        if len(code) <= self.LONGEST:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = found
         return found
 
-    def keep(self, word: str, ids: list[int]) -> None:
-        if len(self) >= self.LIMIT:
-            self.before = dict(self)
-            self.clear()
-        self[word] = ids
-
 
 class Encoder:
     """Words and texts to ids and back, by a compiled automaton."""
 
     def __init__(self, automaton: Automaton, description: str, apart: str):
         self.automaton, self.tree = automaton, automaton.letters()
-        self.table = Table(automaton, dict(self.tree))
         self.text = Tokenizer.from_str(description)
         added = sorted(((t["content"], t["id"]) for t in json.loads(description)["added_tokens"]), key=lambda x: -len(x[0]))
         self.added = dict(added)
@@ -282,52 +238,6 @@ class Encoder:
                 j, state, last = back.pop()
         return path
 
-    def words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of many words of up to ``Words.LONGEST`` bytes at once.
-
-        Each prefix of a word has one path, so one state: from place to place the
-        letters of all words are followed in the vocabulary's tree, and where a token
-        ends that the state has an arc for, the state beyond it is set.
-        """
-        if not words:
-            return []
-        t = self.table
-        order = sorted(range(len(words)), key=lambda i: -len(words[i]))
-        n = np.array([len(words[i]) for i in order], np.int64)
-        width = int(n[0])
-        letters = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in order), np.uint8).reshape(len(words), width)
-        state = np.full((len(words), width + 1), -1, np.int64)
-        token, start = np.zeros((len(words), width + 1), np.int32), np.zeros((len(words), width + 1), np.int32)
-        state[:, 0] = 0
-        longer = [int(np.searchsorted(-n, -k)) for k in range(width + 1)]  # words of more than k bytes come first
-        for j in range(width):
-            who = np.arange(longer[j])
-            node = np.zeros(len(who), np.int64)
-            for k in range(j, width):
-                m = np.searchsorted(who, longer[k])
-                who, node = who[:m], node[:m]
-                node = t.below[node, letters[who, k]]
-                who, node = who[node >= 0], node[node >= 0]
-                if not len(who):
-                    break
-                found = np.where(who < longer[k + 1], t.inner[node], t.last[node]) if k + 1 < width else t.last[node]
-                some = (found >= 0) & (state[who, k + 1] < 0)
-                w, found = who[some], found[some]
-                now = state[w, j]
-                ok = (np.searchsorted(t.keys, now << 32 | t.number[found], "right") - t.offsets[now]) & 1 == 0
-                w, found = w[ok], found[ok]
-                state[w, k + 1], token[w, k + 1], start[w, k + 1] = t.target[found], found, j
-        if (state[np.arange(len(words)), n] < 0).any():
-            raise ValueError("a word has a symbol that the vocabulary lacks")
-        out: list = [None] * len(words)
-        for i, size, ids, begins in zip(order, n.tolist(), token.tolist(), start.tolist()):
-            path = []
-            while size:
-                path.append(ids[size])
-                size = begins[size]
-            out[i] = path[::-1]
-        return out
-
     def pieces(self, text: str) -> list[str]:
         """Words of a text without added tokens."""
         if self.apart is not None and (text.isascii() or not self.apart.search(text)):
@@ -337,45 +247,18 @@ class Encoder:
         split = self.text.pre_tokenizer.pre_tokenize_str(self.text.normalizer.normalize_str(text))
         return [bytes(map(back.__getitem__, w)).decode("utf-8", "surrogateescape") for w, _ in split]
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Finds the words that aren't known yet, all at once."""
-        known = self.known
-        some = [w for w in set(pieces) if w not in known]
-        new = []
-        for w in some:
-            ids = known.before.get(w)
-            if ids is None:
-                new.append(w)
-            else:
-                known.keep(w, ids)
-        codes = [(w, w.encode("utf-8", "surrogateescape")) for w in new]
-        codes = [x for x in codes if len(x[1]) <= Words.LONGEST]
-        for at in range(0, len(codes), 8_000):
-            part = codes[at : at + 8_000]
-            for (w, _), ids in zip(part, self.words([c for _, c in part])):
-                known.keep(w, ids)
-
-    def parts(self, text: str) -> list[list[str] | int]:
-        """A text as lists of words and ids of added tokens."""
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text, added tokens in it told first."""
+        find = self.known.__getitem__
         if self.cut is None:
-            return [self.pieces(text)]
-        out: list[list[str] | int] = []
-        at = 0
+            return np.frombuffer(b"".join(map(find, self.pieces(text))), np.int32)
+        out, at = [], 0
         for m in self.cut.finditer(text):
-            out += [self.pieces(text[at : m.start()]), self.added[m[0]]]
+            out += map(find, self.pieces(text[at : m.start()]))
+            out.append(array("i", [self.added[m[0]]]).tobytes())
             at = m.end()
-        out.append(self.pieces(text[at:] if at else text))
-        return out
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts, added tokens in them told first."""
-        parts = [self.parts(t) for t in texts]
-        self.learn(w for p in parts for x in p if isinstance(x, list) for w in x)
-        find = self.known.__getitem__
-        return [np.fromiter(chain.from_iterable(chain.from_iterable(map(find, x)) if isinstance(x, list) else (x,) for x in p), np.int32) for p in parts]
-
-    def encode(self, text: str) -> np.ndarray:
-        return self.encode_all([text])[0]
+        out += map(find, self.pieces(text[at:] if at else text))
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
         """Labels of the arcs, joined as the library joins tokens of a file without a decoder."""
@@ -469,7 +352,7 @@ def bpe_encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", vo
         encoder = _encoder(known)
         for b in batches:
             texts = as_bytes(b.column(b.schema.get_field_index(text_col)))
-            found = [x for a, z in slices(texts, 1 << 20) for x in encoder.encode_all([t.decode("utf-8", "replace") if t else "" for t in texts[a:z]])]
+            found = [encoder.encode(t.decode("utf-8", "replace")) if t else np.empty(0, np.int32) for t in texts]
             ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, ids_col])
