@@ -9,20 +9,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cladeframe.functions.storage import materialize
 from cladeframe.functions.strings import string_less
 
 
 def _steps(ladder: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, step, sister, overlap, browsed) of ladders with a species number, sets of species as words of 64 bits.
+    """(keys, step, sister, overlap, browsed) of ladders, sets of species as words of 64 bits.
 
     Ladders are dealt by their keys once; a step's species are one row for each
     64 of them, the union of earlier steps runs along, and sizes are bit counts.
+    Species that aren't whole numbers are numbered within their ladder.
     """
+    dealt = ladder.repartition(*keys)
+    if not isinstance(ladder.schema["species"].dataType, T.IntegralType):
+        dealt = dealt.withColumn("species", F.dense_rank().over(Window.partitionBy(*keys).orderBy("species")))
     species = F.col("species").cast("long")
     bit = F.expr("shiftleft(1L, CAST(pmod(CAST(species AS bigint), 64) AS int))")
-    words = ladder.repartition(*keys).groupBy(*keys, "step", F.floor(species / 64).alias("word")).agg(F.bit_or(bit).alias("here"))
+    words = dealt.groupBy(*keys, "step", F.floor(species / 64).alias("word")).agg(F.bit_or(bit).alias("here"))
     earlier = Window.partitionBy(*keys, "word").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     seen = words.withColumn("known", F.col("here").bitwiseAND(F.coalesce(F.bit_or("here").over(earlier), F.lit(0))))
     per = seen.groupBy(*keys, "step").agg(F.sum(F.bit_count("here")).alias("sister"), F.sum(F.bit_count("known")).alias("overlap"))
@@ -33,7 +38,7 @@ def _steps(ladder: DataFrame, keys: list[str]) -> DataFrame:
 def step_species(ladder: DataFrame) -> DataFrame:
     """(query, step, sister, overlap, browsed) for each step above 0 that has leaves.
 
-    ``ladder`` has a column species, whole numbers from 0.  sister: species at the
+    ``ladder`` has a column species.  sister: species at the
     step; overlap: those of them also at an earlier step; browsed: species at earlier steps.
     """
     return _steps(ladder, ["query"]).where("step > 0")

@@ -362,6 +362,24 @@ def mutated(rng, seq, share):
     return "".join(out)
 
 
+# Usual shares of amino acids, in thousandths.
+COMPOSITION = {"A": 78, "R": 51, "N": 45, "D": 54, "C": 19, "Q": 43, "E": 63, "G": 74, "H": 22, "I": 51, "L": 90, "K": 57, "M": 22, "F": 39, "P": 52, "S": 71, "T": 58, "W": 13, "Y": 32, "V": 64}
+
+
+def test_constants_of_the_e_value_belong_to_the_matrix():
+    rng = np.random.default_rng(3)
+    p = np.array(list(COMPOSITION.values())) / sum(COMPOSITION.values())
+    n, pairs = 150, 1500
+    seqs = ["".join(rng.choice(list(COMPOSITION), n, p=p)) for _ in range(2 * pairs)]
+    best = np.array([x[0] for x in search.align_all(list(zip(seqs[::2], seqs[1::2])), search.scores())], float)
+    rate = np.pi / np.sqrt(6 * best.var())
+    assert abs(rate - search.LAMBDA) < 0.05
+    # as many unrelated pairs as the e-value says reach a score
+    for score in (24, 27):
+        want = 1 - np.exp(-search.K * n * n * np.exp(-search.LAMBDA * score))
+        assert abs((best >= score).mean() - want) < 0.35 * want + 0.01
+
+
 def test_recall_of_seeds_against_dynamic_programming(spark):
     """Of the pairs that full dynamic programming finds significant, at least nine in ten share two seeds on a band."""
     rng = random.Random(12)
@@ -456,6 +474,24 @@ def test_last_good_against_a_walk(spark):
         assert got[q] == walk_last_good([x[1:] for x in own], 0.5)
 
 
+def test_steps_of_ladders_are_dealt_once(spark):
+    """One exchange, by query, for sets, running unions and sizes; species beyond a word of 64 bits too."""
+    rng = random.Random(2)
+    ladder = [(q, i, rng.randrange(6), rng.choice([0, 1, 5, 63, 64, 65, 200])) for q in range(9) for i in range(25)]
+    df = spark.createDataFrame(ladder, "query long, leaf long, step int, species int")
+    steps = events.step_species(df)
+    want = {}
+    for q in range(9):
+        seen = set()
+        for s in range(6):
+            here = {x[3] for x in ladder if x[0] == q and x[2] == s}
+            if here and s:
+                want[q, s] = (len(here), len(here & seen), len(seen))
+            seen |= here
+    assert {(r.query, r.step): (r.sister, r.overlap, r.browsed) for r in steps.collect()} == want
+    assert steps._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+
+
 def test_long_lists_are_met_block_by_block(spark):
     groups = spark.range(1300).selectExpr("id % 2 AS query", "id AS m", "id % 5 AS k").unionByName(spark.range(50).selectExpr("7 AS query", "id AS m", "id AS k"))
     lists = {0: range(0, 1300, 2), 1: range(1, 1300, 2), 7: range(50)}
