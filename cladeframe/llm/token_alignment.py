@@ -114,8 +114,8 @@ def _load(kind: type, known):
 
 
 def _checked(model):
-    if model.sizes.max(initial=0) > 255:
-        raise ValueError("a token of more than 255 bytes")
+    if model.sizes.max(initial=0) > 255 or len(model.sizes) > 65534:
+        raise ValueError("a token of more than 255 bytes, or more than 65,534 tokens")
     return model
 
 
@@ -193,8 +193,8 @@ def _chunks(docs: DataFrame, known_b, id_type: T.DataType, most: int) -> DataFra
 
 
 def _names(word: Column) -> list[Column]:
-    """Two hashes of a segment, 128 bits together, so that no two segments of any corpus meet."""
-    return [F.xxhash64(word).alias("k1"), F.xxhash64(F.lit("second"), word).alias("k2")]
+    """Two hashes of a segment, 96 bits together: of 10^10 segments two meet with a chance below 10^-9."""
+    return [F.xxhash64(word).alias("k1"), F.shiftright(F.xxhash64(F.lit("second"), word), 32).cast("int").alias("k2")]
 
 
 def tokenized(segments: DataFrame, known_a, known_b) -> DataFrame:
@@ -237,20 +237,19 @@ def links(tokens: DataFrame, key: list[str], keep: list[str]) -> DataFrame:
     )
 
 
-def _groups(rows: Column) -> Column:
-    """`a1,a2|b1;a3|b2,b3` of an array of (end, own_a, own_b) in order."""
-    comma = lambda acc, x: F.when(x.isNull(), acc).when(acc == "", x.cast("string")).otherwise(F.concat(acc, F.lit(","), x.cast("string")))
-
-    def step(acc, x):
-        a, b = comma(acc["a"], x["own_a"]), comma(acc["b"], x["own_b"])
-        cut = x["own_a"].isNotNull() & x["own_b"].isNotNull()
-        whole = F.concat(a, F.lit("|"), b)
-        return F.struct(
-            F.when(cut, "").otherwise(a).alias("a"), F.when(cut, "").otherwise(b).alias("b"), F.when(cut, F.concat(acc["out"], F.array(whole))).otherwise(acc["out"]).alias("out")
-        )
-
-    start = F.struct(F.lit("").alias("a"), F.lit("").alias("b"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(rows, start, step, lambda acc: F.array_join(acc["out"], ";"))
+def group_text(codes: list[int]) -> str:
+    """`a1,a2|b1;a3|b2,b3` of the ends of a segment: (id that ends on the first side + 1) * 65536 + (that on the second + 1), 0 for none."""
+    out, a, b = [], [], []
+    for code in codes:
+        x, y = code >> 16, code & 65535
+        if x:
+            a.append(str(x - 1))
+        if y:
+            b.append(str(y - 1))
+        if x and y:
+            out.append(",".join(a) + "|" + ",".join(b))
+            a, b = [], []
+    return ";".join(out)
 
 
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_a: str | None = None, vocabulary_b: str | None = None, places: int = PLACES) -> DataFrame:
@@ -275,11 +274,11 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     # dealt by segment once, as lists of tokens: what follows needs no other exchange
     tokens = tokenized(segments, known_a, known_b).repartition(*NAMES).select(*NAMES, "n", "n_first", F.posexplode("tokens").alias("place", "t"))
     tokens = tokens.select(*NAMES, "n", (F.col("place") >= F.col("n_first")).cast("int").alias("side"), "place", F.shiftright("t", 8).alias("id"), F.col("t").bitwiseAND(F.lit(255)).alias("size"))
-    per = links(tokens, NAMES, ["n"]).groupBy(*NAMES, "n").agg(
-        F.count("own_a").alias("n_a"), F.count("own_b").alias("n_b"), F.max("grp").alias("n_groups"), F.count("*").alias("n_links"),
-        F.array_sort(F.collect_list(F.struct("end", "own_a", "own_b", F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long")).alias("pair")))).alias("rows"),
-    )
-    per = materialize(per.select(*NAMES, *FIGURES[:4], "n", _groups(F.col("rows")).alias("groups"), F.col("rows.pair").alias("pairs")), "alignment-segments")
+    code = F.shiftleft(F.coalesce(F.col("own_a") + 1, F.lit(0)), 16).bitwiseOR(F.coalesce(F.col("own_b") + 1, F.lit(0)))
+    pair = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
+    ends = F.array_sort(F.collect_list(F.struct("end", code.alias("code"), pair.alias("pair"))))
+    per = links(tokens, NAMES, ["n"]).groupBy(*NAMES, "n").agg(F.max("grp").alias("n_groups"), ends.alias("ends"))
+    per = materialize(per.select(*NAMES, "n", "n_groups", F.col("ends.code").alias("codes"), F.col("ends.pair").alias("pairs")), "alignment-segments")
 
     pairs = per.select("n", F.explode("pairs").alias("pair")).groupBy("pair").agg(F.sum("n").alias("count"))
     pairs = materialize(pairs, "alignment-pairs")
@@ -290,14 +289,20 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
         rated = F.broadcast(rated)
     sums = per.select(*NAMES, F.explode("pairs").alias("pair")).join(rated, "pair").groupBy(*NAMES).agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
 
-    told = lists.select(*NAMES, "chunk", "place").join(per.drop("n", "pairs"), NAMES).join(sums, NAMES).select(F.col("chunk").alias("of"), "place", *FIGURES, "groups")
+    told = lists.select(*NAMES, "chunk", "place").join(per.select(*NAMES, "n_groups", "codes"), NAMES).join(sums, NAMES).select(F.col("chunk").alias("of"), "place", "codes", "n_groups", "n_best", "count_sum")
     texts = chunks.where("words IS NULL").select("chunk", "id", "places")
     out_type = T.StructType([T.StructField("id", id_type), *(T.StructField(n, T.LongType()) for n in FIGURES), T.StructField("groups_sha256", T.StringType())])
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right["place"].to_numpy())
-        figures = np.stack([right[n].to_numpy()[order] for n in FIGURES])
-        groups = right["groups"].take(pa.array(order)).to_pylist()
+        codes = right["codes"].combine_chunks().take(pa.array(order))
+        ends, starts = codes.flatten().to_numpy().view(np.uint32), codes.offsets.to_numpy()[:-1]
+        n = np.diff(codes.offsets.to_numpy())
+        per = [np.add.reduceat((x != 0).astype(np.int64), starts) if len(starts) else np.empty(0, np.int64) for x in (ends >> 16, ends & 65535)]
+        groups, best, count = (right[c].to_numpy()[order] for c in ("n_groups", "n_best", "count_sum"))
+        figures = np.stack([*per, groups, n, best, count])
+        text, stops = ends.tolist(), np.cumsum(n).tolist()
+        groups = [group_text(text[z - k : z]) for z, k in zip(stops, n.tolist())]
         ids, places = left["id"].combine_chunks(), left["places"].combine_chunks()
         found = np.zeros((len(FIGURES), len(ids)), np.int64)
         hashes = [""] * len(ids)
