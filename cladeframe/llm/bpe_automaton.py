@@ -3,7 +3,8 @@
 Without merges the automaton has one state, in which every base symbol may
 follow.  Merges are compiled in turn by a gadget: for the merge (x, y) the state
 that x leads to is copied without its arc y, the arcs x are led to the copy, and
-wherever x may follow, an arc xy is added that leads where x and then y led.  All
+wherever x may follow, an arc xy is added that leads where x and then y led; a
+merge whose y never comes after x adds nothing.  All
 arcs of a label lead to one state, so a state is a copy of an earlier one less one
 arc, plus arcs that come later.  An arc xy comes where x is an arc, so what a copy
 lacks, besides y, are the tokens that grow out of y from the left after it was
@@ -60,6 +61,7 @@ class Automaton:
         born, left = [-1] * n, [-1] * n
         grows: list[list[int]] = [[] for _ in range(n)]  # tokens made of this one and another, by age
         self.target = [0] * n
+        self.dead: set[int] = set()
         origin, lacks, since = [0], [-1], [-1]
         for k, (x, y) in enumerate(merges):
             made = x.removesuffix(suffix) + y if suffix else x + y
@@ -68,9 +70,13 @@ class Automaton:
             a, b, c = vocabulary[x], vocabulary[y], vocabulary[made]
             if born[c] >= 0 or max(born[a], born[b]) >= k or not grows[c] == []:
                 raise ValueError(f"merge {k} makes a token a second time, or after its use")
-            born[c], left[c] = k, a
-            grows[a].append(c)
             before = self.target[a]
+            born[c] = k
+            if a in self.dead or b in self.dead or not self._has(before, b, left, born, origin, lacks, since):
+                self.dead.add(c)  # y never comes after x, so the merge does nothing
+                continue
+            left[c] = a
+            grows[a].append(c)
             origin.append(before)
             lacks.append(b)
             since.append(k)
@@ -79,6 +85,19 @@ class Automaton:
         self._number(born, left, grows)
         self._tables(born, grows, origin, lacks, since)
 
+    @staticmethod
+    def _has(state: int, token: int, left: list[int], born: list[int], origin: list[int], lacks: list[int], since: list[int]) -> bool:
+        """Whether a state has an arc while the gadgets are being made: none of the tokens that it grew out of was cut off before it grew."""
+        grew = {token: len(born)}
+        while left[token] >= 0:
+            grew[left[token]] = born[token]
+            token = left[token]
+        while state:
+            if since[state] <= grew.get(lacks[state], -1):
+                return False
+            state = origin[state]
+        return True
+
     def _number(self, born: list[int], left: list[int], grows: list[list[int]]) -> None:
         """Numbers tokens so that each is followed by its growths, the latest first."""
         n = len(born)
@@ -134,6 +153,8 @@ class Automaton:
 
     def allows(self, state: int, token: int) -> bool:
         """Whether the state has an arc of that label."""
+        if token in self.dead:
+            return False
         lo = self.offsets[state]
         return not (bisect_right(self.bounds, self.number[token], lo, self.offsets[state + 1]) - lo) & 1
 
@@ -142,6 +163,8 @@ class Automaton:
         value = _byte_names()[1]
         root: dict = {}
         for i, label in enumerate(self.labels):
+            if i in self.dead:
+                continue
             last = bool(self.suffix) and label.endswith(self.suffix)
             path = [value[ch] for ch in (label.removesuffix(self.suffix) if last else label)]
             if not path:
