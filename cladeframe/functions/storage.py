@@ -43,7 +43,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
-def materialize(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, stays: bool = False, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     The result survives the loss of any executor, has no lineage, and its size
@@ -54,7 +54,7 @@ def materialize(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/cladeframe/{name}-{uuid.uuid4().hex}"
     if _scratch and not stays:
         _scratch[-1].append(path)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cladeframe_path = path
     return out
