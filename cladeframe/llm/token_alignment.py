@@ -189,7 +189,7 @@ def _chunks(docs: DataFrame, known_b, id_type: T.DataType, most: int) -> DataFra
         if numbers:
             yield from listed(kind)
 
-    return materialize(spread(docs).mapInArrow(run, schema), "alignment-chunks")
+    return materialize(spread(docs).mapInArrow(run, schema), "alignment-chunks", codec="zstd")
 
 
 def _names(word: Column) -> list[Column]:
@@ -278,7 +278,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     pair = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
     ends = F.array_sort(F.collect_list(F.struct("end", code.alias("code"), pair.alias("pair"))))
     per = links(tokens, NAMES, ["n"]).groupBy(*NAMES, "n").agg(F.max("grp").alias("n_groups"), ends.alias("ends"))
-    per = materialize(per.select(*NAMES, "n", "n_groups", F.col("ends.code").alias("codes"), F.col("ends.pair").alias("pairs")), "alignment-segments")
+    per = materialize(per.select(*NAMES, "n", "n_groups", F.col("ends.code").alias("codes"), F.col("ends.pair").alias("pairs")), "alignment-segments", codec="zstd")
 
     pairs = per.select("n", F.explode("pairs").alias("pair")).groupBy("pair").agg(F.sum("n").alias("count"))
     pairs = materialize(pairs, "alignment-pairs")
@@ -287,9 +287,10 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     rated = pairs.withColumn("b", b_id).join(most, "b").select("pair", "count", (F.col("count") == F.col("most")).cast("int").alias("best"))
     if pairs.count() <= BROADCAST:
         rated = F.broadcast(rated)
-    sums = per.select(*NAMES, F.explode("pairs").alias("pair")).join(rated, "pair").groupBy(*NAMES).agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-
-    told = lists.select(*NAMES, "chunk", "place").join(per.select(*NAMES, "n_groups", "codes"), NAMES).join(sums, NAMES).select(F.col("chunk").alias("of"), "place", "codes", "n_groups", "n_best", "count_sum")
+    # a segment's row is put together again where it was taken apart, then sent once with its sums
+    rated = per.select(*NAMES, "n_groups", "codes", F.explode("pairs").alias("pair")).join(rated, "pair")
+    rated = rated.groupBy(*NAMES).agg(F.first("n_groups").alias("n_groups"), F.first("codes").alias("codes"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    told = lists.select(*NAMES, "chunk", "place").join(rated, NAMES).select(F.col("chunk").alias("of"), "place", "codes", "n_groups", "n_best", "count_sum")
     texts = chunks.where("words IS NULL").select("chunk", "id", "places")
     out_type = T.StructType([T.StructField("id", id_type), *(T.StructField(n, T.LongType()) for n in FIGURES), T.StructField("groups_sha256", T.StringType())])
 
