@@ -113,6 +113,15 @@ def _load(kind: type, known):
     return _loaded[key]
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers compressed, their first bytes together, then their second ones, and so on."""
+    return zlib.compress(numbers.view(np.uint8).reshape(-1, 4).T.tobytes(), 4)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
+
+
 def _checked(model):
     if model.sizes.max(initial=0) > 255 or len(model.sizes) > 65534:
         raise ValueError("a token of more than 255 bytes, or more than 65,534 tokens")
@@ -175,7 +184,7 @@ def _chunks(docs: DataFrame, known_b, id_type: T.DataType, most: int) -> DataFra
                 before = len(numbers)
                 own = list(map(numbers.__getitem__, CUT.split(" " + text)))
                 own = np.array(own, np.int32)
-                places.append(zlib.compress(own.tobytes(), 1))
+                places.append(_packed(own))
                 counts.append(own)
                 total += len(own)
                 n_bytes += len(t) if len(numbers) > before else 0
@@ -309,7 +318,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
         hashes = [""] * len(ids)
         for i, p in enumerate(places):
             if p.is_valid:
-                own = np.frombuffer(zlib.decompress(p.as_py()), np.int32)
+                own = _unpacked(p.as_py())
                 found[:, i] = figures[:, own].sum(axis=1)
                 hashes[i] = hashlib.sha256(";".join(map(groups.__getitem__, own.tolist())).encode()).hexdigest()
         return pa.table([ids, *map(pa.array, found), pa.array(hashes, pa.string())], names=out_type.names)
