@@ -6,63 +6,118 @@ one target overlap the last one holds.  How many rows have a letter in a column
 a running sum over the ends of intervals, so a query's columns fall into few
 intervals of equal gaps; those with few enough gaps, up to the first 4,988 columns,
 cut the rows.  Rows of a query are never gathered: a row is made from its own
-letters and the query's good intervals.
+letters and the query's good intervals, a batch of rows at a time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cladeframe.functions.storage import materialize
-from cladeframe.functions.strings import cigar_parts
 
 MOST_COLUMNS = 4988
 PAIR = ["query", "target"]
 
 
-def runs(qstart: Column, sstart: Column, cigar: Column) -> Column:
-    """array<struct<c,e,t>>: the query columns [c, e) of a segment's matches, and where in the target they begin, all from 1."""
-    start = F.struct(qstart.cast("int").alias("c"), sstart.cast("int").alias("t"), F.array().cast("array<struct<c:int,e:int,t:int>>").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        n, op = p["n"], p["op"]
-        found = F.array(F.struct(acc["c"].alias("c"), (acc["c"] + n).alias("e"), acc["t"].alias("t")))
-        return F.struct(
-            F.when(op.isin("M", "I"), acc["c"] + n).otherwise(acc["c"]).alias("c"),
-            F.when(op.isin("M", "D"), acc["t"] + n).otherwise(acc["t"]).alias("t"),
-            F.when(op == "M", F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"),
-        )
-
-    return F.aggregate(cigar_parts(cigar), start, step, lambda acc: acc["out"])
-
-
-def visible(hits: DataFrame) -> DataFrame:
-    """``hits`` with [begin, stop): the columns of each segment that no later one of its target covers, a row for each piece.
-
-    Only pairs of several segments are cut: at all their ends, and each piece is
-    the last segment's that covers it.
-    """
-    hits = hits.select(*PAIR, F.col("qstart").alias("begin"), (F.col("qend") + 1).alias("stop"), "qstart", "sstart", "cigar", "ord")
-    many = hits.groupBy(*PAIR).agg(F.count("*").alias("n")).where("n > 1").select(*PAIR)
-    alone = hits.join(many, PAIR, "left_anti")
-    several = hits.join(many, PAIR, "left_semi")
-    ends = several.select(*PAIR, F.explode(F.array("begin", "stop")).alias("at")).distinct()
-    pieces = ends.withColumn("to", F.lead("at").over(Window.partitionBy(*PAIR).orderBy("at"))).where("to IS NOT NULL")
-    over = pieces.join(several, PAIR).where((F.col("begin") <= F.col("at")) & (F.col("stop") >= F.col("to")))
-    last = over.groupBy(*PAIR, "at", "to").agg(F.max_by(F.struct("qstart", "sstart", "cigar", "ord"), "ord").alias("s"))
-    return alone.unionByName(last.select(*PAIR, F.col("at").alias("begin"), F.col("to").alias("stop"), "s.*"))
+PARTS = "parts array<struct<c:int,e:int,t:int>>"
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For items repeated ``counts`` times: which item each copy is of, and its number among them."""
+    item = np.repeat(np.arange(len(counts)), counts)
+    return item, np.arange(len(item)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def cigar_runs(cigar: str | None) -> list[tuple[int, int, int]]:
+    """(c, t, n) of a path's matches: columns and letters from its start, and how many."""
+    c = t = 0
+    out = []
+    for n, op in re.findall(r"(\d+)([A-Z])", cigar or ""):
+        n = int(n)
+        if op == "M":
+            out.append((c, t, n))
+        c += n if op in "MI" else 0
+        t += n if op in "MD" else 0
+    return out
+
+
+def _letters(t: pa.Table) -> pa.RecordBatch:
+    """(query, target, parts) of whole pairs, whose segments stand together in order: what no later segment covers."""
+    query, target = (np.asarray(t.column(c)) for c in PAIR)
+    first = np.flatnonzero(np.r_[True, (query[1:] != query[:-1]) | (target[1:] != target[:-1])])
+    pair = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(query)]))
+    told = np.ones(len(query), bool)
+    for c in ("qstart", "qend", "sstart", "cigar"):
+        told &= np.asarray(t.column(c).combine_chunks().is_valid())
+    kept = np.flatnonzero(told)
+    pair = pair[kept]
+    qstart, stop, sstart = (np.asarray(t.column(c).fill_null(0)).astype(np.int64)[kept] for c in ("qstart", "qend", "sstart"))
+    stop = stop + 1
+    codes = t.column("cigar").combine_chunks().dictionary_encode()
+    paths = [np.array(cigar_runs(x), np.int64).reshape(-1, 3) for x in codes.dictionary.to_pylist()]
+    sizes = np.array([len(x) for x in paths], np.int64)
+    runs = np.concatenate([*paths, np.empty((0, 3), np.int64)])
+    code = np.asarray(codes.indices.fill_null(0))[kept]
+    # All ends of a pair's segments cut its columns into pieces; a piece is the last segment's that covers it.
+    at, of = np.r_[qstart, stop], np.r_[pair, pair]
+    by = np.lexsort((at, of))
+    at, of = at[by], of[by]
+    piece = np.flatnonzero((of[1:] == of[:-1]) & (at[1:] > at[:-1]))
+    begin, end, of = at[piece], at[piece + 1], of[piece]
+    count = np.bincount(pair, minlength=len(first))
+    i, k = _spread(count[of])
+    seg = (np.cumsum(count) - count)[of][i] + k
+    over = (qstart[seg] <= begin[i]) & (stop[seg] >= end[i])
+    last = np.full(len(piece), -1)
+    last[i[over]] = seg[over]  # of equal places the last one stays
+    seen = np.flatnonzero(last >= 0)
+    begin, end, of, seg = begin[seen], end[seen], of[seen], last[seen]
+    i, k = _spread(sizes[code[seg]])
+    r = runs[(np.cumsum(sizes) - sizes)[code[seg]][i] + k]
+    from_ = qstart[seg][i] + r[:, 0]
+    c, e = np.maximum(from_, begin[i]), np.minimum(from_ + r[:, 2], end[i])
+    some = (c < e) & (c > 0)
+    c, e, of, letter = c[some], e[some], of[i][some], (sstart[seg][i] + r[:, 1] + c - from_)[some]
+    offsets = pa.array(np.r_[0, np.cumsum(np.bincount(of, minlength=len(first)))].astype(np.int32))
+    parts = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (c, e, letter)], names=["c", "e", "t"])
+    own = t.select(PAIR).take(pa.array(first)).combine_chunks()
+    return pa.RecordBatch.from_arrays([own.column(0).chunk(0), own.column(1).chunk(0), pa.ListArray.from_arrays(offsets, parts)], names=[*PAIR, "parts"])
 
 
 def letters(hits: DataFrame) -> DataFrame:
-    """(query, target, c, e, t): columns [c, e) of the query in which the target's row has letters, the first of them at t.
+    """(query, target, parts) for each pair: columns [c, e) of the query in which the target's row has letters, the first at t.
 
     ``hits`` are segments (query, target, qstart, qend, sstart, cigar, ord); what a
-    path has beyond its segment's end isn't seen.
+    path has beyond its segment's end isn't seen.  A pair's segments stand together
+    after one exchange; the last pair of a batch waits for the next batch.
     """
-    found = visible(hits).select(*PAIR, "begin", "stop", F.explode(runs(F.col("qstart"), F.col("sstart"), F.col("cigar"))).alias("r"))
-    c, e = F.greatest("r.c", "begin"), F.least("r.e", "stop")
-    return found.select(*PAIR, c.alias("c"), e.alias("e"), (F.col("r.t") + c - F.col("r.c")).alias("t")).where("c < e")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            if not len(t):
+                continue
+            query, target = (np.asarray(t.column(c)) for c in PAIR)
+            own = np.flatnonzero((query != query[-1]) | (target != target[-1]))
+            cut = own[-1] + 1 if len(own) else 0
+            if cut:
+                yield _letters(t.slice(0, cut))
+            rest = t.slice(cut)
+        if rest is not None and len(rest):
+            yield _letters(rest)
+
+    own = hits.where("query IS NOT NULL AND target IS NOT NULL").select(*(F.col(c).cast("long") for c in PAIR), *(F.col(c).cast("int") for c in ("qstart", "qend", "sstart")), "cigar", "ord")
+    dealt = own.repartition(*PAIR).sortWithinPartitions(*PAIR, "ord").drop("ord")
+    return dealt.mapInArrow(run, "query long, target long, " + PARTS)
 
 
 def gap_intervals(intervals: DataFrame, sizes: DataFrame, max_gap: float = 0.7) -> DataFrame:
@@ -89,15 +144,33 @@ def first_columns(spans: DataFrame, most: int = MOST_COLUMNS) -> DataFrame:
     return kept.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("begin", "size"))).alias("good"))
 
 
-def row_text(seq: Column, parts: Column, width: Column) -> Column:
-    """A row as text: the target's letters in their columns, gaps elsewhere; ``parts`` are (c, e, t) in order."""
-    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        piece = F.rpad(F.substring(seq, p["t"], p["e"] - p["c"]), p["e"] - p["c"], F.lit("-"))
-        return F.struct(p["e"].alias("at"), F.concat(acc["out"], F.repeat(F.lit("-"), p["c"] - acc["at"]), piece).alias("out"))
-
-    return F.aggregate(parts, start, step, lambda acc: F.rpad(acc["out"], width, F.lit("-")))
+def _rows(b: pa.RecordBatch) -> pa.RecordBatch:
+    """(query, target, row): each target's letters in the good columns of its query, gaps elsewhere."""
+    names = b.schema.names
+    flat = lambda c: (b.column(names.index(c)).flatten(), np.diff(np.asarray(b.column(names.index(c)).offsets)))
+    seqs = b.column(names.index("seq")).to_pylist()
+    width = np.asarray(b.column(names.index("width"))).astype(np.int64)
+    text = "".join(seqs)
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    size = np.array([len(x) for x in seqs], np.int64)
+    begin, place = np.cumsum(size) - size, np.cumsum(width) - width
+    cells = np.full(int(width.sum()), ord("-"), np.uint32)
+    parts, count = flat("parts")
+    row, _ = _spread(count)
+    c, e, t = (np.asarray(parts.field(k)).astype(np.int64) for k in range(3))
+    i, k = _spread(np.maximum(np.minimum(e, width[row] + 1) - c, 0))
+    letter = t[i] - 1 + k
+    some = letter < size[row[i]]
+    i, k, letter = i[some], k[some], letter[some]
+    cells[place[row[i]] + c[i] - 1 + k] = code[begin[row[i]] + letter]
+    good, count = flat("good")
+    row, _ = _spread(count)
+    first, n = (np.asarray(good.field(k)).astype(np.int64) for k in range(2))
+    i, k = _spread(n)
+    kept = cells[place[row[i]] + first[i] - 1 + k]
+    ends = np.r_[0, np.cumsum(np.bincount(row[i], minlength=len(seqs)))].tolist()
+    whole = kept.tobytes().decode("utf-32-le")
+    return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([whole[x:y] for x, y in zip(ends, ends[1:])], pa.string())], names=[*PAIR, "row"])
 
 
 def alignments(hits: DataFrame, protein: DataFrame, max_gap: float = 0.7, most: int = MOST_COLUMNS) -> DataFrame:
@@ -106,22 +179,24 @@ def alignments(hits: DataFrame, protein: DataFrame, max_gap: float = 0.7, most:
     ``hits`` are segments (query, target, qstart, qend, sstart, cigar, ord).  A
     query without a hit on itself stands with its whole sequence; a hit without a
     letter is a row of gaps; queries and targets that aren't in ``protein`` go.
+    Columns are counted from pairs that are dealt by query, so that a query's ends
+    are summed before they are sent.
     """
-    seqs = protein.select("protein_id", "seq")
-    width = protein.select(F.col("protein_id").alias("query"), F.length("seq").cast("int").alias("width"))
-    known = hits.join(seqs.select(F.col("protein_id").alias("target")), "target", "left_semi").join(width.select("query"), "query", "left_semi")
-    known = materialize(known.select(*PAIR, "qstart", "qend", "sstart", "cigar", "ord"), "segments")
-    queries = known.select("query").distinct().join(width, "query")
-    whole = queries.join(known.where("query = target").select("query").distinct(), "query", "left_anti")
-    whole = whole.select("query", F.col("query").alias("target"), F.lit(1).alias("c"), (F.col("width") + 1).alias("e"), F.lit(1).alias("t")).where("c < e")
-    found = letters(known).join(width, "query").select(*PAIR, "c", F.least("e", F.col("width") + 1).alias("e"), "t").where("c < e AND c > 0")
-    filled = materialize(found.unionByName(whole), "letters")
-
-    pairs = known.select(*PAIR).union(queries.select("query", "query")).distinct()
-    sizes = pairs.groupBy("query").agg(F.count("*").alias("rows")).join(width, "query")
-    good = first_columns(gap_intervals(filled, sizes, max_gap), most).join(width, "query")
-    parts = filled.groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct("c", "e", "t"))).alias("parts"))
-    rows = pairs.join(parts, PAIR, "left").join(seqs.toDF("target", "seq"), "target").join(good, "query")
-    none = F.array().cast("array<struct<c:int,e:int,t:int>>")
-    text = rows.select(*PAIR, "good", row_text(F.col("seq"), F.coalesce("parts", none), F.col("width")).alias("text"))
-    return text.select(*PAIR, F.array_join(F.transform("good", lambda g: F.substring(F.col("text"), g["begin"], g["size"])), "").alias("row"))
+    seqs = protein.select(F.col("protein_id").cast("long").alias("target"), "seq")
+    width = protein.select(F.col("protein_id").cast("long").alias("query"), F.length("seq").cast("int").alias("width"))
+    pairs = materialize(letters(hits).join(seqs.where("seq IS NOT NULL"), "target").select(*PAIR, "parts", "seq"), "letters")
+    told = pairs.groupBy("query").agg(F.count("*").alias("rows"), F.max(F.col("query") == F.col("target")).alias("own")).join(width, "query")
+    told = materialize(told, "aligned-queries")
+    whole = told.where(~F.col("own")).select("query", "width", F.array(F.struct(F.lit(1).alias("c"), (F.col("width") + 1).alias("e"), F.lit(1).alias("t"))).alias("parts"))
+    sizes = told.select("query", "width", (F.col("rows") + F.when(F.col("own"), 0).otherwise(1)).alias("rows"))
+    near = pairs.select("query", "parts").repartition("query").unionByName(whole.select("query", "parts"))
+    good = first_columns(gap_intervals(near.select("query", F.inline("parts")), sizes, max_gap), most).join(width, "query")
+    alone = whole.join(seqs, F.col("query") == F.col("target")).select(*PAIR, "parts", "seq")
+    rows = pairs.unionByName(alone).join(good, "query").select(*PAIR, "parts", "seq", "width", "good")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield _rows(b)
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema[:2], T.StructField("row", T.StringType())]))
