@@ -76,6 +76,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def dealt_into(spark: SparkSession, n: int) -> Iterator[None]:
+    """Exchanges of tables that are written inside have ``n`` partitions, or the session's number if that is more.
+
+    So what one task holds doesn't grow with the input; small partitions are put together as they are read.
+    """
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(int(own), n)))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", own)
+
+
 #: Plan nodes that neither shuffle nor compute much.
 _NARROW = frozenset(("Project", "Filter", "Relation", "LocalRelation"))
 

@@ -7,11 +7,13 @@ All rules on trees here need only which leaves are attached at each step.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cladeframe.functions.storage import materialize
+from cladeframe.functions.storage import dealt_into, materialize, shuffle_partitions
 from cladeframe.functions.strings import string_less
 
 
@@ -62,6 +64,8 @@ def label_leaves(ladder: DataFrame, sp_overlap: float = 0.5) -> DataFrame:
 
 #: Members of a list that stand in one block, on average.
 BLOCK = 1000
+#: Leaves and members whose pairs one task counts, on average.
+ROWS = 100_000
 
 
 def member_blocks(groups: DataFrame, keys: list[str], member: str, keep: list[str], block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -86,8 +90,13 @@ def member_blocks(groups: DataFrame, keys: list[str], member: str, keep: list[st
 
 
 def key_pairs(groups: DataFrame, keys: list[str], member: str, keep: list[str], block: int = BLOCK) -> DataFrame:
-    """(keys, a, b, a_keep, b_keep): pairs of each list's members, a before b as strings."""
-    left, right = member_blocks(groups, keys, member, keep, block)
+    """(keys, a, b, a_keep, b_keep): pairs of each list's members, a before b as strings.
+
+    A row makes many pairs, so both sides are dealt by the number of rows, ``ROWS``
+    of them in a partition: by their bytes alone too many would stand together.
+    """
+    n = max(shuffle_partitions(groups.sparkSession), -(-groups.count() // ROWS))
+    left, right = (side.repartition(n, *keys, "i", "j") for side in member_blocks(groups, keys, member, keep, block))
     ahead = string_less(F.col("u"), F.col("v"))
     # within a block both orders of two members meet, between blocks one
     met = left.join(right, [*keys, "i", "j"]).where(ahead | (F.col("i") < F.col("j")) & (F.col("u") != F.col("v")))
@@ -101,7 +110,7 @@ def key_pairs(groups: DataFrame, keys: list[str], member: str, keep: list[str],
 def member_pairs(groups: DataFrame, member: str, *keep: str, block: int = BLOCK) -> DataFrame:
     """Pairs a, b of each query's members, a before b as strings, with ``a_``/``b_`` of the kept columns.
 
-    ``groups`` is read three times, so it should be a table.
+    ``groups`` is read four times, so it should be a table.
     """
     return key_pairs(groups, ["query"], member, list(keep), block)
 
@@ -112,15 +121,19 @@ def pair_counts(labelled: DataFrame, no_tree: DataFrame, min_ortho: int = 2) ->
     Within a tree two leaves on the query's side are orthologous, and two of which
     one is are paralogous; members of a group without a tree are orthologous.
     """
+    spark = labelled.sparkSession
     labelled = materialize(labelled.select("query", "leaf", "ortho"), "labelled")
     no_tree = materialize(no_tree.select("query", "member"), "no-tree")
-    trees = member_pairs(labelled, "leaf", "ortho").where("a_ortho OR b_ortho").select(
-        "a", "b", (F.col("a_ortho") & F.col("b_ortho")).cast("long").alias("o"), (F.col("a_ortho") != F.col("b_ortho")).cast("long").alias("p")
-    )
-    plain = member_pairs(no_tree, "member").select("a", "b", F.lit(1).cast("long").alias("o"), F.lit(0).cast("long").alias("p"))
-    return (
-        trees.unionByName(plain).groupBy("a", "b").agg(F.sum("o").alias("n_ortho"), F.sum("p").alias("n_para")).where(F.col("n_ortho") >= min_ortho)
-    )
+    sides = []
+    if not labelled.isEmpty():
+        trees = member_pairs(labelled, "leaf", "ortho").where("a_ortho OR b_ortho")
+        sides.append(trees.select("a", "b", (F.col("a_ortho") & F.col("b_ortho")).cast("long").alias("o"), (F.col("a_ortho") != F.col("b_ortho")).cast("long").alias("p")))
+    if not no_tree.isEmpty() or not sides:
+        sides.append(member_pairs(no_tree, "member").select("a", "b", F.lit(1).cast("long").alias("o"), F.lit(0).cast("long").alias("p")))
+    met = reduce(DataFrame.unionByName, sides)
+    counts = met.groupBy("a", "b").agg(F.sum("o").alias("n_ortho"), F.sum("p").alias("n_para")).where(F.col("n_ortho") >= min_ortho)
+    with dealt_into(spark, (labelled.count() + no_tree.count()) // ROWS):
+        return materialize(counts, "pair-counts")
 
 
 def group_events(ladder: DataFrame, og: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from cladeframe.operators import align
+from cladeframe.operators import align, events
 from cladeframe.plans import queries as q
 
 D = "/root/testdata/sf0.001"
@@ -49,3 +49,16 @@ def test_pairs_across_batches(spark, batch):
         if a is not None and b >= a:
             cells |= {c: s + c - a for c in range(a, b + 1)}
     assert got == want
+
+
+def test_pairs_are_dealt_by_rows(spark, monkeypatch):
+    """The partitions in which pairs are made follow the rows, not their bytes, and the counts stay."""
+    groups = spark.createDataFrame([(i % 50, i // 50) for i in range(500)], "query long, member long")
+    want = sorted(map(tuple, events.member_pairs(groups, "member").collect()))
+    monkeypatch.setattr(events, "ROWS", 10)
+    got = events.member_pairs(groups, "member")
+    assert got.rdd.getNumPartitions() >= 50
+    assert sorted(map(tuple, got.collect())) == want
+    none = spark.createDataFrame([], "query long, leaf long, ortho boolean")
+    assert {r.n_ortho for r in events.pair_counts(none, groups).collect()} == {50}
+    assert events.pair_counts(none, groups.limit(0)).count() == 0
