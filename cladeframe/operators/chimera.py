@@ -24,9 +24,12 @@ def chimeras(found: DataFrame, edges: DataFrame, species: DataFrame, min_species
     near = part.select(F.col("id").alias("dst"), "og", F.col("component").alias("c2"))
     links = edges.where(F.col("qend").isNotNull()).join(own, "src").join(near, "dst").where("c1 = c2").join(species.toDF("dst", "species"), "dst")
     links = materialize(links.select("src", "own", "og", "species", "qstart", "qend"), "community-links")
-    per = links.groupBy("src", "own", "og").agg(F.countDistinct("species").alias("n_species"), F.count("*").alias("n"))
-    able = per.join(size, "og").where((F.col("n_species") >= min_species) & (F.col("n") >= F.col("size") * F.lit(float(min_share)))).select("src", "own", "og")
-    able = exact_medians(links.join(able, ["src", "own", "og"], "left_semi"), ["src", "own", "og"], ["qstart", "qend"])
+    # Most communities of a sequence are too little linked, which counts tell; they are written, so that their size is known and links stay where they are.
+    keys = ["src", "own", "og"]
+    large = links.groupBy(*keys).agg(F.count("*").alias("n")).join(size, "og").where(F.col("n") >= F.col("size") * F.lit(float(min_share))).select(*keys)
+    large = links.join(materialize(large, "communities-linked"), keys, "left_semi")
+    able = materialize(large.groupBy(*keys).agg(F.countDistinct("species").alias("n_species")).where(F.col("n_species") >= min_species).select(*keys), "communities-able")
+    able = exact_medians(links.join(able, keys, "left_semi"), keys, ["qstart", "qend"])
     able = materialize(able.withColumnsRenamed({"qstart": "start", "qend": "end"}), "community-intervals")
     ref = able.where("own = og").select("src", F.col("start").alias("rs"), F.col("end").alias("re"))
     gap = F.when(F.col("start") > F.col("rs"), F.col("re") - F.col("start")).otherwise(F.col("end") - F.col("rs"))
@@ -45,10 +48,10 @@ def supported(members: DataFrame, edges: DataFrame, others: DataFrame, min_hits:
     """
     size = members.groupBy("og").agg(F.count("*").alias("size"))
     direct = edges.where(F.col("qend").isNotNull()).select(F.col("src").alias("id"), F.col("dst").alias("k"))
-    hits = direct.unionByName(others.select(F.col("query").alias("id"), F.col("target").alias("k"))).distinct()
-    inside = (
-        members.join(hits, "id").join(members.select(F.col("id").alias("k"), "og").distinct(), ["k", "og"]).groupBy("id", "og").agg(F.count("*").alias("hits"))
-    )
+    hits = direct.unionByName(others.select(F.col("query").alias("id"), F.col("target").alias("k")))
+    # Hits between communities go before repeated ones do, so that few are sent.
+    within = hits.join(members.distinct(), "id").join(members.select(F.col("id").alias("k"), "og").distinct(), ["k", "og"])
+    inside = within.select("id", "og", "k").distinct().groupBy("id", "og").agg(F.count("*").alias("hits"))
     return (
         members.join(size, "og").join(inside, ["id", "og"], "left").where((F.col("size") <= min_hits + 1) | (F.coalesce("hits", F.lit(0)) >= min_hits)).select("id", "og")
     )
