@@ -1,6 +1,6 @@
 """Near-duplicates within a group by shared k-mers.
 
-Sequences are hashed where they are read (two 64-bit rolling hashes a k-mer).
+Sequences are hashed where they are read (two 64-bit rolling hashes a k-mer, of which 88 bits are sent).
 A task reduces its k-mers to one entry each, with the least sequence that has
 it and the number of sequences, and links its own repeats as stars.  Entries
 travel as packed arrays to buckets by hash range, where the least sequences of
@@ -107,31 +107,58 @@ def _stars(ids: np.ndarray, order: np.ndarray, begin: np.ndarray) -> tuple[np.nd
 
 
 PACKED = ("h1", "h2", "least", "n", "src", "dst")
+#: Bits of each hash that are sent, 88 in all: of 10**10 k-mers two are taken for one with a chance of 2e-7.
+SENT = (40, 48)
+
+
+def _gaps(h: np.ndarray) -> bytes:
+    """Sorted numbers as the first of them and differences."""
+    return h[:1].tobytes() + _narrow(np.diff(h))
+
+
+def _from_gaps(b: pa.Buffer, n: int) -> np.ndarray:
+    return np.cumsum(np.r_[np.frombuffer(b, np.uint64, 1), _wide(b, n - 1, 8)], dtype=np.uint64)
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """64-bit numbers in as many bytes each as the largest needs; a negative one needs all."""
+    width = max(1, (int(x.view(np.uint64).max(initial=0)).bit_length() + 7) // 8)
+    return x.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _wide(b: pa.Buffer, n: int, begin: int = 0) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        narrow = np.frombuffer(b, np.uint8, offset=begin).reshape(n, -1)
+        out[:, : narrow.shape[1]] = narrow
+    return out.view(np.uint64).ravel()
 
 
 def _reduced(seqs: DataFrame, k: int, min_distinct: int, forbidden: str, buckets: int) -> DataFrame:
     """(grp, bucket, packed arrays) for each task, group and bucket."""
     kind = seqs.schema["grp"]
-    schema = T.StructType([kind, T.StructField("bucket", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in PACKED)])
-    edges = np.array([(j << 64) // buckets for j in range(1, buckets)], dtype=np.uint64)
+    schema = T.StructType([kind, T.StructField("bucket", T.IntegerType()), T.StructField("size", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in PACKED)])
+    edges = np.array([-(-(j << SENT[0]) // buckets) for j in range(1, buckets)], dtype=np.uint64)
 
     def flush(groups: dict, arrow: pa.DataType) -> Iterator[pa.RecordBatch]:
         for g, held in groups.items():
             h1, h2, ids = (np.concatenate(x) for x in zip(*held))
+            h1, h2 = h1 >> np.uint64(64 - SENT[0]), h2 >> np.uint64(64 - SENT[1])
             order, begin = _runs(h1, h2)
             least, size, src, dst = _stars(ids, order, begin)
             h1, h2 = h1[order[begin]], h2[order[begin]]
             cuts = [0, *np.searchsorted(h1, edges), len(h1)]
-            rows: list[list] = [[] for _ in range(7)]
+            rows: list[list] = [[] for _ in range(8)]
             for j in range(buckets):
                 a, b = cuts[j], cuts[j + 1]
                 if a < b:
                     links = (src, dst) if not rows[0] else (src[:0], dst[:0])  # links go with the first row
-                    for r, v in zip(rows, (j, h1[a:b], h2[a:b], least[a:b], size[a:b], *links)):
-                        r.append(v if isinstance(v, int) else v.tobytes())
+                    packed = (_gaps(h1[a:b]), *(_narrow(x[a:b]) for x in (h2, least, size)), *(x.tobytes() for x in links))
+                    for r, v in zip(rows, (j, int(b - a), *packed)):
+                        r.append(v)
             if rows[0]:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([g] * len(rows[0]), arrow), pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["grp", "bucket", *PACKED]
+                    [pa.array([g] * len(rows[0]), arrow), *(pa.array(r, pa.int32()) for r in rows[:2]), *(pa.array(r, pa.binary()) for r in rows[2:])], names=["grp", "bucket", "size", *PACKED]
                 )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +183,10 @@ def _reduced(seqs: DataFrame, k: int, min_distinct: int, forbidden: str, buckets
 def _meet(t: pa.Table) -> pa.Table:
     """Links between the least sequences of one bucket's k-mers, those made before, and its counts."""
     flat = lambda c, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t.column(c)])
-    h1, h2, ids, n = flat("h1", np.uint64), flat("h2", np.uint64), flat("least", np.int64), flat("n", np.int64)
+    sizes = t.column("size").to_pylist()
+    h1 = np.concatenate([_from_gaps(x.as_buffer(), k) for x, k in zip(t.column("h1"), sizes)])
+    h2, ids, n = (np.concatenate([_wide(x.as_buffer(), k) for x, k in zip(t.column(c), sizes)]) for c in ("h2", "least", "n"))
+    ids, n = ids.view(np.int64), n.view(np.int64)
     order, begin = _runs(h1, h2)
     _, size, src, dst = _stars(ids, order, begin)
     total = np.add.reduceat(n[order], begin)

@@ -3,10 +3,12 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from cladeframe.functions import storage
-from cladeframe.operators import align, chimera, events
+from cladeframe.operators import align, chimera, events, kmers
 from cladeframe.plans import queries as q
 
 D = "/root/testdata/sf0.001"
@@ -90,3 +92,17 @@ def test_communities_are_chosen_before_their_links_move(spark, monkeypatch):
     assert sorted(map(tuple, chimera.chimeras(found, edges, species, 1, 0.5).collect())) == [(0, 8), (5, 7)]
     assert chimera.chimeras(found, edges, species, 2, 0.5).count() == 0
     assert "communities-able" in written
+
+
+def test_kmers_are_sent_in_few_bytes():
+    """Packed numbers come back as they were, and an entry of 2 million takes 13 bytes at most (32 before)."""
+    rng = np.random.default_rng(1)
+    for x in ([0], [5], [-3, 7], [2**62, 1, 0], rng.integers(-(2**63), 2**63 - 1, 50)):
+        x = np.array(x, np.int64)
+        assert kmers._wide(pa.py_buffer(kmers._narrow(x)), len(x)).view(np.int64).tolist() == x.tolist()
+    h = np.unique(rng.integers(0, 2 ** kmers.SENT[0], kmers.HELD, np.uint64))
+    packed = kmers._gaps(h)
+    assert (kmers._from_gaps(pa.py_buffer(packed), len(h)) == h).all()
+    assert (kmers._from_gaps(pa.py_buffer(kmers._gaps(h[:1])), 1) == h[:1]).all()
+    rest = [rng.integers(0, 2 ** kmers.SENT[1], len(h), np.int64), rng.integers(0, 6_000_000, len(h), np.int64), np.ones(len(h), np.int64)]
+    assert len(packed) + sum(len(kmers._narrow(x)) for x in rest) <= 13 * len(h) + 8
