@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cladeframe.functions.storage import materialize
+from cladeframe.operators.neighbours import pairs_with_edge
+
 
 def network_edges(counts: DataFrame) -> DataFrame:
     """(src, dst, n): two rows for each pair with more orthologous than paralogous events."""
@@ -46,33 +49,27 @@ def lcc_limits(n_species: int) -> tuple[int, int]:
     return (10, 90) if most < 10 else (most, most * (most - 1))
 
 
-def clustering(nodes: DataFrame, edges: DataFrame, n_species: int) -> DataFrame:
-    """(id, degree, lcc): local clustering coefficient, 0 below degree 4.
+def clustering(nodes: DataFrame | None, edges: DataFrame, n_species: int) -> DataFrame:
+    """(id, degree, lcc): local clustering coefficient, 0 below degree 4; without ``nodes``, of those with an edge.
 
     Above the limit only the smallest neighbours count, with a fixed denominator:
-    the limit is part of the definition, and bounds the pairs of a node.
+    the limit is part of the definition, and bounds the pairs of a node.  Edges
+    may be repeated; if they are dealt by src, they are not dealt again.
     """
     most, top = lcc_limits(n_species)
     w = Window.partitionBy("src").orderBy("dst")
-    ranked = edges.select("src", "dst").withColumn("rank", F.row_number().over(w))
-    degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    near = ranked.where(F.col("rank") <= most).join(degree.where("degree >= 4").select("src"), "src", "left_semi")
-    x = near.select(F.col("src").alias("node"), F.col("dst").alias("u"))
-    y = near.select(F.col("src").alias("node"), F.col("dst").alias("v"))
-    pairs = x.join(y, "node").where("u < v")
-    found = pairs.join(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), ["u", "v"], "left_semi")
-    counts = found.groupBy(F.col("node").alias("id")).agg(F.count("*").alias("found"))
+    ranked = edges.select("src", "dst", F.dense_rank().over(w).alias("rank"), F.lag("dst").over(w).alias("before"))
+    ranked = materialize(ranked.where("before IS NULL OR before <> dst").drop("before"), "ranked-edges")
+    degree = ranked.groupBy(F.col("src").alias("id")).agg(F.max("rank").cast("long").alias("degree"))
+    near = ranked.where(F.col("rank") <= most).groupBy(F.col("src").alias("id")).agg(F.collect_list("dst").alias("near"), F.max("rank").alias("last"))
+    counts = pairs_with_edge(near.where("last >= 4 AND id IS NOT NULL"), ranked.where("src < dst"), ranked.count() // 2)
     d = F.col("degree")
     nb = F.when(d > most, F.lit(top)).otherwise(d * (d - 1))
-    return (
-        nodes.select("id")
-        .join(degree.withColumnRenamed("src", "id"), "id", "left")
-        .join(counts, "id", "left")
-        .select(
-            "id",
-            F.coalesce("degree", F.lit(0)).alias("degree"),
-            F.when(d >= 4, F.bround(2.0 * F.coalesce("found", F.lit(0)) / nb, 5)).otherwise(0.0).alias("lcc"),
-        )
+    of = degree if nodes is None else nodes.select("id").join(degree, "id", "left")
+    return of.join(counts, "id", "left").select(
+        "id",
+        F.coalesce("degree", F.lit(0)).alias("degree"),
+        F.when(d >= 4, F.bround(2.0 * F.coalesce("found", F.lit(0)) / nb, 5)).otherwise(0.0).alias("lcc"),
     )
 
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from cladeframe.functions import storage
-from cladeframe.operators import align, chimera, events, kmers
+from cladeframe.operators import align, chimera, events, kmers, neighbours, network
 from cladeframe.plans import queries as q
 
 D = "/root/testdata/sf0.001"
@@ -106,3 +106,26 @@ def test_kmers_are_sent_in_few_bytes():
     assert (kmers._from_gaps(pa.py_buffer(kmers._gaps(h[:1])), 1) == h[:1]).all()
     rest = [rng.integers(0, 2 ** kmers.SENT[1], len(h), np.int64), rng.integers(0, 6_000_000, len(h), np.int64), np.ones(len(h), np.int64)]
     assert len(packed) + sum(len(kmers._narrow(x)) for x in rest) <= 13 * len(h) + 8
+
+
+@pytest.mark.parametrize("cell", [1 << 21, 8])
+def test_pairs_of_neighbours_are_not_sent(spark, monkeypatch, cell):
+    """Pairs of neighbours meet the edges in cells; repeated edges, hubs, negative and large ids."""
+    monkeypatch.setattr(neighbours, "CELL", cell)
+    monkeypatch.setattr(neighbours, "LISTS", 7)
+    rng = random.Random(cell)
+    names = [rng.randrange(-(2**63), 2**63) for _ in range(60)]
+    und = {tuple(sorted(rng.sample(names, 2))) for _ in range(400)} | {tuple(sorted((names[0], x))) for x in names[1:]}
+    edges = sorted(und) + [(b, a) for a, b in und]
+    df = spark.createDataFrame(edges + edges[:50], "src long, dst long")
+    out = network.clustering(None, df, 6)
+    assert "LeftSemi" not in plan(out)
+    got, have = {r.id: (r.degree, r.lcc) for r in out.collect()}, set(edges)
+    assert set(got) == {a for a, _ in edges}
+    most, top = network.lcc_limits(6)
+    for v, (degree, lcc) in got.items():
+        near = sorted(b for a, b in edges if a == v)
+        nb = top if len(near) > most else len(near) * (len(near) - 1)
+        found = sum((x, y) in have for i, x in enumerate(near[:most]) for y in near[i + 1 : most])
+        assert degree == len(near) and abs(lcc - (2 * found / nb if degree >= 4 else 0)) < 1e-5
+    assert network.clustering(None, df.limit(0), 6).count() == 0
