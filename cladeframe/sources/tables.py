@@ -14,9 +14,13 @@ from cladeframe import schemas
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated hits (query, target, qstart, qend, sstart, cigar), plain or gzip, with their order."""
     raw = spark.read.csv(path, sep="\t", schema="query bigint, target bigint, qstart int, qend int, sstart int, cigar string")
-    row = raw.withColumn("file", F.col("_metadata.file_path")).withColumn("row", F.monotonically_increasing_id())
+    # hits are sent with their file's number by name, not the name
+    name = F.col("_metadata.file_path").alias("path")
+    names = sorted(r.path for r in spark.read.format("binaryFile").load(path).select(name).collect())
+    files = spark.createDataFrame(list(enumerate(names)), "file int, path string")
+    row = raw.select("*", name, F.monotonically_increasing_id().alias("row"))
     w = Window.partitionBy("query", "target").orderBy("file", "row")
-    return row.withColumn("ord", F.row_number().over(w)).drop("file", "row")
+    return row.join(F.broadcast(files), "path", "left").drop("path").withColumn("ord", F.row_number().over(w)).drop("file", "row")
 
 
 def read_trees(spark: SparkSession, path: str, max_problems: int = 100) -> DataFrame:

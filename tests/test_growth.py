@@ -137,6 +137,14 @@ def test_census_against_brute_force(spark, told):
     counts = {k: [sum(of[m] == s for m in v) for s in {of[m] for m in v}] for k, v in want.items() if v}
     assert got == {k: (sum(c), len(c), sum(n > 1 for n in c)) for k, c in counts.items()}
 
+def test_hits_are_sent_without_the_names_of_files(spark, tmp_path):
+    """Their order follows the files' names, odd ones too."""
+    for k, name in enumerate(["b 1%.tsv", "a+ü.tsv", "c.tsv"]):
+        (tmp_path / name).write_text("".join(f"1\t2\t{10 * k + i}\t99\t1\t7M\n" for i in range(3)))
+    hits = tables.read_hits(spark, str(tmp_path))
+    assert "BroadcastHashJoin" in plan(hits)
+    assert [r.qstart for r in sorted(hits.collect(), key=lambda r: r.ord)] == [10, 11, 12, 0, 1, 2, 20, 21, 22]
+
 @pytest.mark.parametrize("cell", [1 << 21, 8])
 def test_pairs_of_neighbours_are_not_sent(spark, monkeypatch, cell):
     """Pairs of neighbours meet the edges in cells; repeated edges, hubs, negative and large ids."""
