@@ -1,7 +1,9 @@
 """Near-duplicate documents by the Jaccard similarity of their word shingles, exact.
 
-Two sets at similarity 0.8 differ in some ten of 64 SimHash bits, more than a
-grid over fingerprints can carry, so pairs are found on the shingles.
+The grid over SimHash fingerprints (``simhash.near_links``) comes first: sets
+whose fingerprints are within ``DISTANCE`` bits are candidates, and the exact
+similarity decides.  Two sets at similarity 0.8 differ in some ten of 64 bits,
+more than a grid can carry, so what it doesn't reach is found on the shingles.
 
 1. Frequencies.  Rows are dealt once to chunks by a hash.  A chunk reduces its
    shingles to one entry each, which travel packed to buckets by hash range; a
@@ -15,9 +17,12 @@ grid over fingerprints can carry, so pairs are found on the shingles.
    in both prefixes.  Those that occur once are not posted, so a document
    most of whose shingles are its own posts nothing at all.  Rows with equal sets
    are one node.
-3. Links.  In each list a node meets the one that has the list's shingle first in
+3. SimHash.  Each posting node has a fingerprint of its shingles.  Nodes of one
+   fingerprint meet the least of them, and those meet along the grid's links;
+   all are verified.
+4. Links.  In each list a node meets the one that has the list's shingle first in
    its order, which has the fewest shingles of its own and so of variants of one
-   text is near to most, for the ``LEADERS`` shortest lists it is in.  What the links found so far join needs no further
+   text is near to most, for the ``LEADERS`` shortest lists it is in, unless they are joined already.  What the links found so far join needs no further
    test.  In lists that still hold several components, nodes outside the largest
    meet one member of it that is drawn anew in each of ``ROUNDS`` rounds.  In what
    is left, every pair across components whose sizes, places in the order and
@@ -50,6 +55,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from cladeframe.functions.storage import materialize, shuffle_partitions
+from cladeframe.llm import simhash
 from cladeframe.llm.rows import keep_rows, row_names
 from cladeframe.llm.substring_dedup import MOST_TASKS, RANGE, _pack, _unpack, chunk_count
 from cladeframe.llm.words import WordHashes, as_bytes, rolling
@@ -58,13 +64,17 @@ from cladeframe.operators.components import connected_components
 WIDTH = 5
 SIMILARITY = 0.8
 LEADERS, ROUNDS = 2, 2
+#: Bits in which fingerprints of candidates differ at most.
+DISTANCE = 2
 TINY = 1e-9
 #: Slots of a sketch, and its columns of 64 each.
 BITS = 2048
 SKETCH = [f"s{i}" for i in range(BITS // 64)]
+#: Columns of a sketch folded to a quarter, which postings carry.
+FOLDED = [f"f{i}" for i in range(BITS // 256)]
 #: Bits of a shingle's hash that frequencies leave out.
 DROPPED = np.uint64(16)
-NODES = "doc_id long, row long, row2 long, chunk int, node long, n int, keys binary, places binary, grams binary, " + ", ".join(f"{c} long" for c in SKETCH)
+NODES = "doc_id long, row long, row2 long, chunk int, node long, n int, keys binary, places binary, grams binary, fp long, " + ", ".join(f"{c} long" for c in SKETCH)
 
 
 def shingle_set(text: bytes | None, width: int, hashes: WordHashes) -> np.ndarray:
@@ -83,6 +93,12 @@ def sketch(grams: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(slots, minlength=BITS) & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def fingerprint(grams: np.ndarray) -> int:
+    """SimHash of the shingles: each bit as in most of their hashes."""
+    bits = np.unpackbits(grams.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(grams), bitorder="little").view(np.int64)[0])
+
+
 def posted(n: int, t: float) -> int:
     return n - ceil(t * n - TINY) + 1 if n else 0
 
@@ -157,7 +173,7 @@ def _post_chunk(width: int, t: float) -> Callable[[pa.Table, pa.Table], pa.Table
         order = np.argsort(known)
         known, often = known[order], often[order]
         hashes, seen = WordHashes(), set()
-        out: list[list] = [[] for _ in range(5)]
+        out: list[list] = [[] for _ in range(6)]
         none, bits = np.zeros(len(SKETCH), np.int64), []
         for text in as_bytes(docs.column("text")):
             s = shingle_set(text, width, hashes)
@@ -172,20 +188,20 @@ def _post_chunk(width: int, t: float) -> Callable[[pa.Table, pa.Table], pa.Table
                 place = np.flatnonzero(f[first]).astype(np.int32)
                 if len(place):
                     keys, places, grams = s[first[place]].tobytes(), place.tobytes(), s.tobytes()
-            for o, v in zip(out, (node, len(s), keys, places, grams)):
+            for o, v in zip(out, (node, len(s), keys, places, grams, None if keys is None else fingerprint(s))):
                 o.append(v)
             bits.append(none if keys is None else sketch(s))
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
         posts = pa.array([k is not None for k in out[2]], pa.bool_())
         made = [docs.column(c) for c in ("doc_id", "row", "row2", "chunk")] + [pa.array(o, k) for o, k in zip(out, kinds)]
         made += [pc.if_else(posts, pa.array(np.ascontiguousarray(c)), None) for c in np.array(bits).T]
-        return pa.table(made, names=["doc_id", "row", "row2", "chunk", "node", "n", "keys", "places", "grams", *SKETCH])
+        return pa.table(made, names=["doc_id", "row", "row2", "chunk", "node", "n", "keys", "places", "grams", "fp", *SKETCH])
 
     return run
 
 
 def _nodes(docs: DataFrame, width: int, t: float, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, row, row2, chunk, node, n, keys, places, grams, sketch) of each row; from keys on null unless it posts."""
+    """(doc_id, row, row2, chunk, node, n, keys, places, grams, fp, sketch) of each row; from keys on null unless it posts."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *row_names(id_col, text_col))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -240,10 +256,16 @@ def _fits(t: float) -> str:
     return f"least(a.n, b.n) >= {t} * greatest(a.n, b.n) - {TINY} and least(a.place, b.place) + least(a.n - a.place, b.n - b.place) >= {need}"
 
 
-def _sketches_fit(t: float) -> Column:
+def _folded() -> list[Column]:
+    """A sketch of a quarter of the slots, each the parity of four."""
+    n = len(FOLDED)
+    return [F.expr(" ^ ".join(SKETCH[i::n])).alias(c) for i, c in enumerate(FOLDED)]
+
+
+def _sketches_fit(t: float, columns: list[str] = SKETCH) -> Column:
     """Whether the sketches of a and b differ in no more bits than near sets may in shingles."""
     apart = F.lit(0)
-    for c in SKETCH:
+    for c in columns:
         apart = apart + F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")))
     return apart <= (1 - t) / (1 + t) * (F.col("a.n") + F.col("b.n")) + TINY
 
@@ -277,6 +299,22 @@ def _shortest(pairs: DataFrame, leaders: int) -> DataFrame:
     return pairs.withColumn("turn", turn).where(F.col("turn") <= leaders).select("src", "dst").distinct()
 
 
+def _simhash_pairs(sets: DataFrame) -> DataFrame:
+    """(src, dst): nodes of one fingerprint and the least of them, and those least ones along the links of the grid."""
+    named = materialize(sets.groupBy("fp").agg(F.min("node").alias("least")), "near-fingerprints")
+    same = sets.join(named, "fp").where("node <> least").select(F.col("least").alias("src"), F.col("node").alias("dst"))
+    end = lambda c: named.select(F.col("fp").alias(f"{c}_fp"), F.col("least").alias(c))
+    links = simhash.near_links(named.select("fp"), DISTANCE).toDF("src_fp", "dst_fp")
+    return same.unionByName(links.join(end("src"), "src_fp").join(end("dst"), "dst_fp").select("src", "dst"))
+
+
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (src, dst) of nodes that ``parts`` don't join."""
+    of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part"))
+    placed = pairs.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    return placed.where("src_part IS NULL OR dst_part IS NULL OR src_part <> dst_part").select("src", "dst")
+
+
 def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component) after ``links`` (src, dst) between nodes; a node that is not in ``parts`` is its own."""
     old = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part"))
@@ -295,7 +333,7 @@ def near_nodes(docs: DataFrame, width: int = WIDTH, t: float = SIMILARITY, leade
     # Of the rows of a node one posts; which, is told by a table without shingles, that is broadcast if it is small.
     place = ["row", "row2", "chunk"]
     first = materialize(posting.groupBy("node").agg(F.min(F.struct(*place)).alias("first")).select("first.*"), "near-first")
-    sets = posting.join(first, place, "left_semi").select("node", "n", "keys", "places", "grams", *SKETCH)
+    sets = posting.join(first, place, "left_semi").select("node", "n", "keys", "places", "grams", "fp", *SKETCH)
     posts = _postings(sets)
     sizes = posts.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("place", "node")).alias("first")).where("size > 1")
     lists = materialize(posts.join(sizes.select("key", "size", F.col("first.node").alias("lead")), "key"), "near-lists")
@@ -304,7 +342,8 @@ def near_nodes(docs: DataFrame, width: int = WIDTH, t: float = SIMILARITY, leade
         return materialize(_verified(materialize(pairs, "near-met"), sets, t), "near-links")
 
     met = lists.where("node <> lead").select(F.col("lead").alias("src"), F.col("node").alias("dst"), "size", "key")
-    parts = connected_components(verified(_shortest(met, leaders)))
+    parts = materialize(connected_components(verified(_simhash_pairs(sets.select("node", "fp")))), "near-parts")
+    parts = _joined(parts, verified(_apart(_shortest(met, leaders), parts)))
     mixed = _placed(lists, parts)
     for r in range(rounds):
         drawn = mixed.where("component = main").groupBy("key").agg(F.min_by(F.struct("node", "n", "place"), F.xxhash64("node", "key", F.lit(r))).alias("drawn"))
@@ -315,11 +354,11 @@ def near_nodes(docs: DataFrame, width: int = WIDTH, t: float = SIMILARITY, leade
             break
         parts = _joined(parts, links)
         mixed = _placed(mixed.drop("component", "main"), parts)
-    drawn = materialize(sets.select("node", *SKETCH).join(mixed.select("node").distinct(), "node", "left_semi"), "near-sketches")
-    mixed = mixed.join(drawn, "node")
+    drawn = materialize(sets.select("node", *_folded()).join(mixed.select("node").distinct(), "node", "left_semi"), "near-sketches")
+    mixed = mixed.join(drawn, "node").repartition("key")  # sent once for both sides
     a, b = mixed.where("component <> main").alias("a"), mixed.alias("b")
     pairs = a.join(b, F.col("a.key") == F.col("b.key")).where("a.component <> b.component and (b.component = b.main or a.node < b.node)")
-    pairs = pairs.where(_fits(t)).where(_sketches_fit(t))
+    pairs = pairs.where(_fits(t)).where(_sketches_fit(t, FOLDED))
     across = _possible(pairs.select(*_ends(), F.col("a.n").alias("n1"), F.col("b.n").alias("n2")), t)
     return nodes.select("doc_id", "row", "row2", "node"), _joined(parts, verified(across))
 

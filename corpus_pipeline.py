@@ -35,6 +35,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (5-word shingles, Jaccard 0.8 or more) the document of least id stays.
 
+    Candidates come from the grid over SimHash fingerprints, an exact test
+    follows, and an exact search finds the near pairs that differ in more bits.
     Wordless texts, null ones among them, are one group; a null id is the
     largest; of repeated rows one stays; an empty table stays empty.
     """

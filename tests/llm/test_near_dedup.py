@@ -127,3 +127,31 @@ def test_sketches_are_a_lower_bound():
         y = np.union1d(x[rng.random(len(x)) < rng.random()], rng.integers(0, 2**64, rng.integers(0, 500), np.uint64))
         apart = sum(int(v).bit_count() for v in (nd.sketch(x) ^ nd.sketch(y)).view(np.uint64))
         assert apart <= len(np.setxor1d(x, y))
+
+
+def test_simhash_finds_candidates_first(spark, monkeypatch):
+    """The grid links copies with small edits; what it links falsely is dropped by the exact test."""
+    met, pairs_of = [], nd._simhash_pairs
+    monkeypatch.setattr(nd, "_simhash_pairs", lambda sets: met.append((sets, pairs_of(sets))) or met[-1][1])
+    docs = near_documents()
+    rng = random.Random(2)
+    say = " ".join(f"q{rng.randrange(10**6)}" for _ in range(4000))
+    docs += [(3000 + i, edited(say, rng, 1), "en", "s", 1) for i in range(12)]
+    kept = keep_one(frame(spark, docs))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == want(docs)
+    sets, pairs = met[0]
+    fps = {r.node: r.fp & (2**64 - 1) for r in sets.collect()}
+    found = [(r.src, r.dst) for r in pairs.collect()]
+    assert found and all((fps[a] ^ fps[b]).bit_count() <= 2 for a, b in found)
+    assert len(met) == 1
+    monkeypatch.setattr(nd, "_simhash_pairs", lambda sets: sets.alias("a").crossJoin(sets.alias("b")).where("a.node < b.node").select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).limit(500))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in keep_one(frame(spark, docs)).collect()) == want(docs)
+
+
+def test_folded_sketches_are_a_lower_bound(spark):
+    rng = np.random.default_rng(5)
+    x = [np.unique(rng.integers(0, 2**64, 300, np.uint64)) for _ in range(2)]
+    both = spark.createDataFrame([nd.sketch(s).tolist() for s in x], nd.SKETCH).select(*nd._folded()).collect()
+    for s, got in zip(x, both):
+        slots = ((s >> np.uint64(24)) & np.uint64(511)).astype(np.int64)
+        assert np.array(list(got), np.int64).tolist() == np.packbits((np.bincount(slots, minlength=512) & 1).astype(np.uint8), bitorder="little").view(np.int64).tolist()
