@@ -11,12 +11,14 @@ more than a grid can carry, so what it doesn't reach is found on the shingles.
    often.  The entries are the first 48 bits of the hashes, so of 10**13 shingles
    one in thirty is taken for more frequent than it is; what occurs once by
    that count does occur once.  Any order by a function of the shingle is exact;
-   frequencies decide the cost only.
+   frequencies decide the cost only.  The names of a chunk's sets go with their least
+   shingles, and a bucket tells a chunk those that a chunk before it has too.
 2. Postings.  Of a set's shingles in order of frequency, then of hash, the first
    n - ceil(t n) + 1 are its prefix.  Two sets of similarity t or more share one
    in both prefixes.  Those that occur once are not posted, so a document
    most of whose shingles are its own posts nothing at all.  Rows with equal sets
-   are one node.
+   are one node, which the first chunk that has it posts, once: no table of shingles
+   is sent to find copies.
 3. SimHash.  Each posting node has a fingerprint of its shingles.  Nodes of one
    fingerprint meet the least of them, and those meet along the grid's links;
    all are verified.
@@ -74,7 +76,9 @@ SKETCH = [f"s{i}" for i in range(BITS // 64)]
 FOLDED = [f"f{i}" for i in range(BITS // 256)]
 #: Bits of a shingle's hash that frequencies leave out.
 DROPPED = np.uint64(16)
-NODES = "doc_id long, row long, row2 long, chunk int, node long, n int, keys binary, places binary, grams binary, fp long, " + ", ".join(f"{c} long" for c in SKETCH)
+#: Nodes that are sent to all tasks, some tens of megabytes; beyond, they are joined by an exchange.
+BROADCAST = 1_000_000
+NODES = "doc_id long, row long, row2 long, node long, n int, keys binary, places binary, grams binary, fp long, " + ", ".join(f"{c} long" for c in SKETCH)
 
 
 def shingle_set(text: bytes | None, width: int, hashes: WordHashes) -> np.ndarray:
@@ -113,24 +117,35 @@ def _count_chunk(width: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
         hashes = WordHashes()
         sets = {s.tobytes(): s for s in (shingle_set(x, width, hashes) for x in as_bytes(t.column("text")))}
         h, n = np.unique(np.concatenate([*sets.values(), np.empty(0, np.uint64)]) >> DROPPED, return_counts=True)
+        named = [(x[0] >> DROPPED, set_name(x)) for x in sets.values() if len(x)]
         del sets
+        least, names = np.array([x for x, _ in named], np.uint64), np.array([x for _, x in named], np.int64)
         chunk = t.column("chunk")[0].as_py()
-        rows: dict[str, list] = {"bucket": [], "chunk": [], "n": [], "hashes": [], "counts": []}
+        rows: dict[str, list] = {"bucket": [], "chunk": [], "n": [], "hashes": [], "counts": [], "names": []}
         edges = np.array([-(-(k << 48) // buckets) for k in range(1, buckets)], dtype=np.uint64)
         cuts = [0, *np.searchsorted(h, edges), len(h)]
+        of = np.searchsorted(edges, least, side="right")  # a set's least shingle is in h, so its bucket has a row
+        by = np.argsort(of, kind="stable")
+        own = np.split(names[by], np.searchsorted(of[by], np.arange(1, buckets)))
         for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
             if a < b:
-                for column, v in zip(rows.values(), (k, chunk, int(b - a), _pack(h[a:b]), np.minimum(n[a:b], 255).astype(np.uint8).tobytes())):
+                for column, v in zip(rows.values(), (k, chunk, int(b - a), _pack(h[a:b]), np.minimum(n[a:b], 255).astype(np.uint8).tobytes(), own[k].tobytes())):
                     column.append(v)
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array(v, k) for v, k in zip(rows.values(), kinds)], names=list(rows))
 
     return run
 
 
 def _tell_bucket(t: pa.Table) -> pa.Table:
-    """For each chunk, those of its shingles that occur more than once, and how often."""
-    sizes = t.column("n").to_pylist()
+    """For each chunk, those of its shingles that occur more than once, and how often; and its sets that a chunk before it has too."""
+    sizes, chunks = t.column("n").to_pylist(), t.column("chunk").to_pylist()
+    names = [np.frombuffer(x.as_buffer(), np.int64) for x in t.column("names")]
+    of = np.repeat(np.array(chunks), [len(x) for x in names])
+    names = np.concatenate(names)
+    order = np.lexsort((of, names))
+    later = order[1:][names[order[1:]] == names[order[:-1]]]
+    of, names = of[later], names[later]
     hashes = [_unpack(x.as_buffer(), n) for x, n in zip(t.column("hashes"), sizes)]
     counts = [np.frombuffer(x.as_buffer(), np.uint8) for x in t.column("counts")]
     low, high = min(int(h[0]) for h in hashes), max(int(h[-1]) for h in hashes)
@@ -155,13 +170,13 @@ def _tell_bucket(t: pa.Table) -> pa.Table:
         for i in np.unique(row):
             own = by[ends[i] : ends[i + 1]]
             told[i].append((h[own], rarity(total[own])))
-    rows: dict[str, list] = {"chunk": [], "n": [], "hashes": [], "rarities": []}
-    for c, parts_of in zip(t.column("chunk").to_pylist(), told):
-        if parts_of:
+    rows: dict[str, list] = {"chunk": [], "n": [], "hashes": [], "rarities": [], "copies": []}
+    for c, parts_of in zip(chunks, told):
+        if parts_of:  # as it has if it has copies, whose least shingles occur in two chunks
             h, f = (np.concatenate(x) for x in zip(*parts_of))
-            for column, v in zip(rows.values(), (c, len(h), _pack(h), f.tobytes())):
+            for column, v in zip(rows.values(), (c, len(h), _pack(h), f.tobytes(), names[of == c].tobytes())):
                 column.append(v)
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     return pa.table([pa.array(v, k) for v, k in zip(rows.values(), kinds)], names=list(rows))
 
 
@@ -172,13 +187,13 @@ def _post_chunk(width: int, t: float) -> Callable[[pa.Table, pa.Table], pa.Table
         known, often = (np.concatenate([*x, np.empty(0, k)]) for x, k in ((known, np.uint64), (often, np.uint8)))
         order = np.argsort(known)
         known, often = known[order], often[order]
-        hashes, seen = WordHashes(), set()
+        hashes, seen = WordHashes(), set(np.frombuffer(b"".join(told.column("copies").to_pylist()), np.int64).tolist())
         out: list[list] = [[] for _ in range(6)]
         none, bits = np.zeros(len(SKETCH), np.int64), []
         for text in as_bytes(docs.column("text")):
             s = shingle_set(text, width, hashes)
             node, keys, places, grams = set_name(s), None, None, None
-            if len(s) and len(known) and node not in seen:  # a chunk posts a set once
+            if len(s) and len(known) and node not in seen:  # a set is posted once, by the first chunk that has it
                 seen.add(node)
                 short = s >> DROPPED
                 at = np.minimum(np.searchsorted(known, short), len(known) - 1)
@@ -193,23 +208,23 @@ def _post_chunk(width: int, t: float) -> Callable[[pa.Table, pa.Table], pa.Table
             bits.append(none if keys is None else sketch(s))
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
         posts = pa.array([k is not None for k in out[2]], pa.bool_())
-        made = [docs.column(c) for c in ("doc_id", "row", "row2", "chunk")] + [pa.array(o, k) for o, k in zip(out, kinds)]
+        made = [docs.column(c) for c in ("doc_id", "row", "row2")] + [pa.array(o, k) for o, k in zip(out, kinds)]
         made += [pc.if_else(posts, pa.array(np.ascontiguousarray(c)), None) for c in np.array(bits).T]
-        return pa.table(made, names=["doc_id", "row", "row2", "chunk", "node", "n", "keys", "places", "grams", "fp", *SKETCH])
+        return pa.table(made, names=["doc_id", "row", "row2", "node", "n", "keys", "places", "grams", "fp", *SKETCH])
 
     return run
 
 
 def _nodes(docs: DataFrame, width: int, t: float, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, row, row2, chunk, node, n, keys, places, grams, fp, sketch) of each row; from keys on null unless it posts."""
+    """(doc_id, row, row2, node, n, keys, places, grams, fp, sketch) of each row; from keys on null unless it posts, as one row of a node at most does."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *row_names(id_col, text_col))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = chunk_count(total, shuffle_partitions(spark))
     tasks = min(n, MOST_TASKS)
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("row", F.spark_partition_id()), F.lit(n)).cast("int")).repartition(tasks, "chunk")
-    parts = dealt.groupBy("chunk").applyInArrow(_count_chunk(width, n), "bucket int, chunk int, n int, hashes binary, counts binary")
-    told = parts.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_tell_bucket, "chunk int, n int, hashes binary, rarities binary")
+    parts = dealt.groupBy("chunk").applyInArrow(_count_chunk(width, n), "bucket int, chunk int, n int, hashes binary, counts binary, names binary")
+    told = parts.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_tell_bucket, "chunk int, n int, hashes binary, rarities binary, copies binary")
     return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_post_chunk(width, t), NODES)
 
 
@@ -244,7 +259,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     near = materialize(near.select("src", "dst"), "near-pairs")
     # Only the sets of those pairs move.
     ends = near.select(F.col("src").alias("node")).unionByName(near.select(F.col("dst").alias("node"))).distinct()
-    own = materialize(sets.select("node", "grams").join(materialize(ends, "near-ends"), "node", "left_semi"), "near-grams")
+    ends = materialize(ends, "near-ends")
+    if ends.count() <= BROADCAST:  # the sets are read where they are
+        ends = F.broadcast(ends)
+    own = materialize(sets.select("node", "grams").join(ends, "node", "left_semi"), "near-grams")
     a, b = (own.select(F.col("node").alias(end), F.col("grams").alias(f"{end}_grams")) for end in ("src", "dst"))
     both = near.join(a, "src").join(b, "dst").select("src", "dst", "src_grams", "dst_grams")
     return both.mapInArrow(run, "src long, dst long")
@@ -329,11 +347,7 @@ def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
 def near_nodes(docs: DataFrame, width: int = WIDTH, t: float = SIMILARITY, leaders: int = LEADERS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id, row, row2, node) of each row, and (node, component) of the nodes that have a near one."""
     nodes = materialize(_nodes(docs, width, t, id_col, text_col), "near-nodes")
-    posting = nodes.where("keys is not null")
-    # Of the rows of a node one posts; which, is told by a table without shingles, that is broadcast if it is small.
-    place = ["row", "row2", "chunk"]
-    first = materialize(posting.groupBy("node").agg(F.min(F.struct(*place)).alias("first")).select("first.*"), "near-first")
-    sets = posting.join(first, place, "left_semi").select("node", "n", "keys", "places", "grams", "fp", *SKETCH)
+    sets = nodes.where("keys is not null").select("node", "n", "keys", "places", "grams", "fp", *SKETCH)
     posts = _postings(sets)
     sizes = posts.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("place", "node")).alias("first")).where("size > 1")
     lists = materialize(posts.join(sizes.select("key", "size", F.col("first.node").alias("lead")), "key"), "near-lists")

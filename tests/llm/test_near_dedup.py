@@ -155,3 +155,15 @@ def test_folded_sketches_are_a_lower_bound(spark):
     for s, got in zip(x, both):
         slots = ((s >> np.uint64(24)) & np.uint64(511)).astype(np.int64)
         assert np.array(list(got), np.int64).tolist() == np.packbits((np.bincount(slots, minlength=512) & 1).astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
+def test_of_copies_in_many_chunks_one_posts(spark):
+    """No row of a set but one carries shingles, so the table of sets needs no join to find copies."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(20)]
+    docs = [(i, texts[i % 20] if i % 3 else texts[0], "en", "s", 1) for i in range(600)]
+    docs += [(1000 + i, edited(t, rng, 1), "en", "s", 1) for i, t in enumerate(texts)]
+    rows = nd._nodes(frame(spark, docs, partitions=7), 5, 0.8, "doc_id", "text").collect()
+    assert len(rows) == 620
+    posts = [r.node for r in rows if r.keys is not None]
+    assert len(posts) == len(set(posts)) == len({r.node for r in rows}) == 40
