@@ -35,6 +35,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -246,6 +247,26 @@ def links(tokens: DataFrame, key: list[str], keep: list[str]) -> DataFrame:
     )
 
 
+def _big_endian(number: Column, digits: int) -> Column:
+    """The lowest ``digits`` hexadecimal digits of a number, which no higher ones follow."""
+    return F.lpad(F.hex(number), digits, "0")
+
+
+def _told(packed: pa.Array) -> tuple[np.ndarray, ...]:
+    """n_groups, n_best and count_sum of each segment, its codes laid end to end, and their number.
+
+    A segment's row is 32-bit big-endian words: n_groups, the codes, n_best, both halves of count_sum.
+    """
+    at = np.concatenate([[0], np.cumsum(pc.binary_length(packed).to_numpy(zero_copy_only=False), dtype=np.int64)]) // 4
+    words = np.frombuffer(b"".join(packed.to_pylist()), ">u4").astype(np.uint32)
+    first, last = at[:-1], at[1:] - 1
+    inner = np.ones(len(words), bool)
+    for k in (first, last, last - 1, last - 2):
+        inner[k] = False
+    wide = words.astype(np.int64)
+    return wide[first], wide[last - 2], wide[last - 1] << 32 | wide[last], words[inner], np.diff(at) - 4
+
+
 def group_text(codes: list[int]) -> str:
     """`a1,a2|b1;a3|b2,b3` of the ends of a segment: (id that ends on the first side + 1) * 65536 + (that on the second + 1), 0 for none."""
     out, a, b = [], [], []
@@ -287,7 +308,10 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     pair = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
     ends = F.array_sort(F.collect_list(F.struct("end", code.alias("code"), pair.alias("pair"))))
     per = links(tokens, NAMES, ["n"]).groupBy(*NAMES, "n").agg(F.max("grp").alias("n_groups"), ends.alias("ends"))
-    per = materialize(per.select(*NAMES, "n", "n_groups", F.col("ends.code").alias("codes"), F.col("ends.pair").alias("pairs")), "alignment-segments", codec="zstd")
+    # packed, as it is sent to each chunk that holds the segment: lists and numbers of eight bytes take a third more
+    codes = F.transform("ends.code", lambda c: _big_endian(c.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)), 8))
+    codes = F.unhex(F.concat(_big_endian(F.col("n_groups"), 8), F.array_join(codes, "")))
+    per = materialize(per.select(*NAMES, "n", codes.alias("codes"), F.col("ends.pair").alias("pairs")), "alignment-segments", codec="zstd")
 
     pairs = per.select("n", F.explode("pairs").alias("pair")).groupBy("pair").agg(F.sum("n").alias("count"))
     pairs = materialize(pairs, "alignment-pairs")
@@ -297,19 +321,18 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     if pairs.count() <= BROADCAST:
         rated = F.broadcast(rated)
     # a segment's row is put together again where it was taken apart, then sent once with its sums
-    rated = per.select(*NAMES, "n_groups", "codes", F.explode("pairs").alias("pair")).join(rated, "pair")
-    rated = rated.groupBy(*NAMES).agg(F.first("n_groups").alias("n_groups"), F.first("codes").alias("codes"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    told = lists.select(*NAMES, "chunk", "place").join(rated, NAMES).select(F.col("chunk").alias("of"), "place", "codes", "n_groups", "n_best", "count_sum")
+    rated = per.select(*NAMES, "codes", F.explode("pairs").alias("pair")).join(rated, "pair")
+    rated = rated.groupBy(*NAMES).agg(F.first("codes").alias("codes"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    rated = rated.select(*NAMES, F.concat("codes", F.unhex(F.concat(_big_endian(F.col("n_best"), 8), _big_endian(F.col("count_sum"), 16)))).alias("packed"))
+    told = lists.select(*NAMES, "chunk", "place").join(rated, NAMES).select(F.col("chunk").alias("of"), "place", "packed")
     texts = chunks.where("words IS NULL").select("chunk", "id", "places")
     out_type = T.StructType([T.StructField("id", id_type), *(T.StructField(n, T.LongType()) for n in FIGURES), T.StructField("groups_sha256", T.StringType())])
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right["place"].to_numpy())
-        codes = right["codes"].combine_chunks().take(pa.array(order))
-        ends, starts = codes.flatten().to_numpy().view(np.uint32), codes.offsets.to_numpy()[:-1]
-        n = np.diff(codes.offsets.to_numpy())
+        groups, best, count, ends, n = _told(right["packed"].cast(pa.binary()).combine_chunks().take(pa.array(order)))
+        starts = np.cumsum(n) - n
         per = [np.add.reduceat((x != 0).astype(np.int64), starts) if len(starts) else np.empty(0, np.int64) for x in (ends >> 16, ends & 65535)]
-        groups, best, count = (right[c].to_numpy()[order] for c in ("n_groups", "n_best", "count_sum"))
         figures = np.stack([*per, groups, n, best, count])
         text, stops = ends.tolist(), np.cumsum(n).tolist()
         groups = [group_text(text[z - k : z]) for z, k in zip(stops, n.tolist())]

@@ -3,10 +3,13 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from fixtures import documents, frame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cladeframe.llm import token_alignment
@@ -122,6 +125,19 @@ def test_links_are_all_overlaps(spark):
     assert sorted((r.k, r.a, r.b) for r in got.collect()) == sorted(want)
 
 
+def test_what_is_told_of_a_segment_is_packed(spark):
+    """Words of 32 bits, beyond the signed range too; no list and no number of eight bytes is sent."""
+    want = [(2, [1, 65535 << 16 | 65534, 0x10001], 3, 5 << 40 | 7), (0, [], 0, 0), (1, [1 << 31], 1, 2**62)]
+    rows = spark.createDataFrame([(i, g, [c - (c >> 31 << 32) for c in codes], b, n) for i, (g, codes, b, n) in enumerate(want)], "i int, g long, codes array<int>, b long, n long")
+    code = F.transform("codes", lambda c: token_alignment._big_endian(c.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)), 8))
+    one = F.unhex(F.concat(*(token_alignment._big_endian(x, k) if k else x for x, k in ((F.col("g"), 8), (F.array_join(code, ""), 0), (F.col("b"), 8), (F.col("n"), 16)))))
+    packed = pa.array([bytes(r.one) for r in rows.select("i", one.alias("one")).orderBy("i").collect()], pa.binary())
+    groups, best, count, codes, n = token_alignment._told(packed.take(pa.array([2, 0, 1])))
+    got = np.split(codes, np.cumsum(n)[:-1])
+    assert [(g, c.tolist(), b, k) for g, c, b, k in zip(groups.tolist(), got, best.tolist(), count.tolist())] == [want[i] for i in (2, 0, 1)]
+    assert all(len(x) == 0 for x in token_alignment._told(pa.array([], pa.binary())))
+
+
 def test_an_empty_table(spark):
     assert run(spark.createDataFrame([], "doc_id long, text string")) == []
 
