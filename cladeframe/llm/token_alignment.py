@@ -123,6 +123,26 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
 
 
+def _places_packed(own: np.ndarray, known: int) -> bytes:
+    """Numbers of a text's segments, of which the list had ``known`` before; new ones, which follow in order, as zeros."""
+    return _packed(np.concatenate([[known], _again(own, known)]).astype(np.int32))
+
+
+def _again(own: np.ndarray, known: int) -> np.ndarray:
+    """0 for a new number's first place, for later ones the number and one."""
+    most = np.maximum.accumulate(own)
+    first = own > np.concatenate([[known - 1], np.maximum(most[:-1], known - 1)])
+    return np.where(first, 0, own + 1)
+
+
+def _places_unpacked(data: bytes) -> np.ndarray:
+    told = _unpacked(data)
+    own = told[1:] - 1
+    new = own < 0
+    own[new] = told[0] + np.arange(np.count_nonzero(new), dtype=np.int32)
+    return own
+
+
 def _checked(model):
     if model.sizes.max(initial=0) > 255 or len(model.sizes) > 65534:
         raise ValueError("a token of more than 255 bytes, or more than 65,534 tokens")
@@ -185,7 +205,7 @@ def _chunks(docs: DataFrame, known_b, id_type: T.DataType, most: int) -> DataFra
                 before = len(numbers)
                 own = list(map(numbers.__getitem__, CUT.split(" " + text)))
                 own = np.array(own, np.int32)
-                places.append(_packed(own))
+                places.append(_places_packed(own, before))
                 counts.append(own)
                 total += len(own)
                 n_bytes += len(t) if len(numbers) > before else 0
@@ -252,19 +272,25 @@ def _big_endian(number: Column, digits: int) -> Column:
     return F.lpad(F.hex(number), digits, "0")
 
 
+def _sums(n_best: Column, count_sum: Column) -> Column:
+    """What stands before the codes; words that are small for most segments stand together, so that they compress."""
+    count = _big_endian(count_sum, 16)
+    return F.unhex(F.concat(F.substring(count, 9, 8), F.substring(count, 1, 8), _big_endian(n_best, 8)))
+
+
 def _told(packed: pa.Array) -> tuple[np.ndarray, ...]:
     """n_groups, n_best and count_sum of each segment, its codes laid end to end, and their number.
 
-    A segment's row is 32-bit big-endian words: n_groups, the codes, n_best, both halves of count_sum.
+    A segment's row is 32-bit big-endian words: the low half of count_sum, the high one, n_best, n_groups, the codes.
     """
     at = np.concatenate([[0], np.cumsum(pc.binary_length(packed).to_numpy(zero_copy_only=False), dtype=np.int64)]) // 4
     words = np.frombuffer(b"".join(packed.to_pylist()), ">u4").astype(np.uint32)
-    first, last = at[:-1], at[1:] - 1
+    first = at[:-1]
     inner = np.ones(len(words), bool)
-    for k in (first, last, last - 1, last - 2):
-        inner[k] = False
+    for k in range(4):
+        inner[first + k] = False
     wide = words.astype(np.int64)
-    return wide[first], wide[last - 2], wide[last - 1] << 32 | wide[last], words[inner], np.diff(at) - 4
+    return wide[first + 3], wide[first + 2], wide[first + 1] << 32 | wide[first], words[inner], np.diff(at) - 4
 
 
 def group_text(codes: list[int]) -> str:
@@ -323,7 +349,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     # a segment's row is put together again where it was taken apart, then sent once with its sums
     rated = per.select(*NAMES, "codes", F.explode("pairs").alias("pair")).join(rated, "pair")
     rated = rated.groupBy(*NAMES).agg(F.first("codes").alias("codes"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    rated = rated.select(*NAMES, F.concat("codes", F.unhex(F.concat(_big_endian(F.col("n_best"), 8), _big_endian(F.col("count_sum"), 16)))).alias("packed"))
+    rated = rated.select(*NAMES, F.concat(_sums(F.col("n_best"), F.col("count_sum")), "codes").alias("packed"))
     told = lists.select(*NAMES, "chunk", "place").join(rated, NAMES).select(F.col("chunk").alias("of"), "place", "packed")
     texts = chunks.where("words IS NULL").select("chunk", "id", "places")
     out_type = T.StructType([T.StructField("id", id_type), *(T.StructField(n, T.LongType()) for n in FIGURES), T.StructField("groups_sha256", T.StringType())])
@@ -341,7 +367,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
         hashes = [""] * len(ids)
         for i, p in enumerate(places):
             if p.is_valid:
-                own = _unpacked(p.as_py())
+                own = _places_unpacked(p.as_py())
                 found[:, i] = figures[:, own].sum(axis=1)
                 hashes[i] = hashlib.sha256(";".join(map(groups.__getitem__, own.tolist())).encode()).hexdigest()
         return pa.table([ids, *map(pa.array, found), pa.array(hashes, pa.string())], names=out_type.names)

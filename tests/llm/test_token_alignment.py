@@ -130,7 +130,7 @@ def test_what_is_told_of_a_segment_is_packed(spark):
     want = [(2, [1, 65535 << 16 | 65534, 0x10001], 3, 5 << 40 | 7), (0, [], 0, 0), (1, [1 << 31], 1, 2**62)]
     rows = spark.createDataFrame([(i, g, [c - (c >> 31 << 32) for c in codes], b, n) for i, (g, codes, b, n) in enumerate(want)], "i int, g long, codes array<int>, b long, n long")
     code = F.transform("codes", lambda c: token_alignment._big_endian(c.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)), 8))
-    one = F.unhex(F.concat(*(token_alignment._big_endian(x, k) if k else x for x, k in ((F.col("g"), 8), (F.array_join(code, ""), 0), (F.col("b"), 8), (F.col("n"), 16)))))
+    one = F.concat(token_alignment._sums(F.col("b"), F.col("n")), F.unhex(F.concat(token_alignment._big_endian(F.col("g"), 8), F.array_join(code, ""))))
     packed = pa.array([bytes(r.one) for r in rows.select("i", one.alias("one")).orderBy("i").collect()], pa.binary())
     groups, best, count, codes, n = token_alignment._told(packed.take(pa.array([2, 0, 1])))
     got = np.split(codes, np.cumsum(n)[:-1])
@@ -138,6 +138,18 @@ def test_what_is_told_of_a_segment_is_packed(spark):
     assert all(len(x) == 0 for x in token_alignment._told(pa.array([], pa.binary())))
 
 
+def test_new_places_are_zeros():
+    rng = random.Random(6)
+    for _ in range(300):
+        numbers = token_alignment._Numbers()
+        for _ in range(4):
+            before, size = len(numbers), rng.randrange(0, 40)
+            own = np.array([numbers[str(rng.randrange(30))] for _ in range(size)], np.int32)
+            packed = token_alignment._places_packed(own, before)
+            assert token_alignment._places_unpacked(packed).tolist() == own.tolist()
+            assert np.count_nonzero(token_alignment._unpacked(packed)[1:] == 0) == len(numbers) - before
+
+
 def test_an_empty_table(spark):
     assert run(spark.createDataFrame([], "doc_id long, text string")) == []
 
