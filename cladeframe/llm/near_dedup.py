@@ -28,8 +28,10 @@ more than a grid can carry, so what it doesn't reach is found on the shingles.
    test.  In lists that still hold several components, nodes outside the largest
    meet one member of it that is drawn anew in each of ``ROUNDS`` rounds.  In what
    is left, every pair across components whose sizes, places in the order and
-   sketches can fit is a candidate, and is verified if the posted shingles that
-   the two share can reach the bound.  That loses no link that would join
+   sketches can fit is a candidate, and is verified.  The places are judged as
+   those of the first shingle that the two share, so a pair fits there or
+   nowhere; where one of the ``BEFORE`` postings before is shared too, the pair
+   has met already and makes no row again.  That loses no link that would join
    components.  A sketch has a bit for each of ``BITS`` slots: whether an odd number of the set's
    shingles fall in it.  Two sketches differ in no more bits than the sets in
    shingles, so like a grid's bound it rules pairs out before the exact test.
@@ -66,6 +68,8 @@ from cladeframe.operators.components import connected_components
 WIDTH = 5
 SIMILARITY = 0.8
 LEADERS, ROUNDS = 2, 2
+#: Postings of a node before the one in a list that are told there.
+BEFORE = 4
 #: Bits in which fingerprints of candidates differ at most.
 DISTANCE = 2
 TINY = 1e-9
@@ -269,9 +273,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
 
 
 def _fits(t: float) -> str:
-    """Whether two sets that share a shingle at these places of their orders can be similar enough."""
+    """Whether two sets whose first shared shingle has these places in their orders can be similar enough."""
     need = f"ceil({t / (1 + t)} * (a.n + b.n) - {TINY})"
-    return f"least(a.n, b.n) >= {t} * greatest(a.n, b.n) - {TINY} and least(a.place, b.place) + least(a.n - a.place, b.n - b.place) >= {need}"
+    return f"least(a.n, b.n) >= {t} * greatest(a.n, b.n) - {TINY} and least(a.n - a.place, b.n - b.place) >= {need}"
 
 
 def _folded() -> list[Column]:
@@ -292,17 +296,6 @@ def _ends() -> list:
     return [F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")]
 
 
-def _possible(pairs: DataFrame, t: float) -> DataFrame:
-    """(src, dst) of (src, dst, n1, n2), a row a shared posting: those that can reach the bound.
-
-    Of the set whose prefix ends first, only what is not in it can be shared beyond the postings.
-    """
-    rest = F.greatest(*(F.ceil(t * F.col(n) - TINY) - 1 for n in ("n1", "n2")))
-    need = F.ceil(t / (1 + t) * (F.col("n1") + F.col("n2")) - TINY)
-    got = pairs.groupBy("src", "dst").agg(F.count("*").alias("c"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
-    return got.where(F.col("c") + rest >= need).select("src", "dst")
-
-
 def _placed(lists: DataFrame, parts: DataFrame) -> DataFrame:
     """Lists of several components, with the component of each node and the largest of the list."""
     placed = lists.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -317,6 +310,17 @@ def _shortest(pairs: DataFrame, leaders: int) -> DataFrame:
     return pairs.withColumn("turn", turn).where(F.col("turn") <= leaders).select("src", "dst").distinct()
 
 
+def _met(mixed: DataFrame, sketches: DataFrame, t: float) -> DataFrame:
+    """(src, dst) across the components of each list, those that can be near; few of them more than once."""
+    before = Window.partitionBy("node").orderBy("place").rowsBetween(-BEFORE, -1)
+    told = mixed.withColumn("before", F.collect_list("key").over(before)).join(sketches, "node").repartition("key")  # sent once for both sides
+    a, b = told.where("component <> main").alias("a"), told.alias("b")
+    pairs = a.join(b, F.col("a.key") == F.col("b.key")).where("a.component <> b.component and (b.component = b.main or a.node < b.node)")
+    pairs = pairs.where(_fits(t)).where(_sketches_fit(t, FOLDED))
+    # A list before that holds both has their components too, so they meet there if they can be near.
+    return pairs.where(~F.arrays_overlap("a.before", "b.before")).select(*_ends())
+
+
 def _simhash_pairs(sets: DataFrame) -> DataFrame:
     """(src, dst): nodes of one fingerprint and the least of them, and those least ones along the links of the grid."""
     named = materialize(sets.groupBy("fp").agg(F.min("node").alias("least")), "near-fingerprints")
@@ -369,11 +373,7 @@ def near_nodes(docs: DataFrame, width: int = WIDTH, t: float = SIMILARITY, leade
         parts = _joined(parts, links)
         mixed = _placed(mixed.drop("component", "main"), parts)
     drawn = materialize(sets.select("node", *_folded()).join(mixed.select("node").distinct(), "node", "left_semi"), "near-sketches")
-    mixed = mixed.join(drawn, "node").repartition("key")  # sent once for both sides
-    a, b = mixed.where("component <> main").alias("a"), mixed.alias("b")
-    pairs = a.join(b, F.col("a.key") == F.col("b.key")).where("a.component <> b.component and (b.component = b.main or a.node < b.node)")
-    pairs = pairs.where(_fits(t)).where(_sketches_fit(t, FOLDED))
-    across = _possible(pairs.select(*_ends(), F.col("a.n").alias("n1"), F.col("b.n").alias("n2")), t)
+    across = _met(mixed, drawn, t).distinct()
     return nodes.select("doc_id", "row", "row2", "node"), _joined(parts, verified(across))
 
 

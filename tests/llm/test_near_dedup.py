@@ -167,3 +167,32 @@ def test_of_copies_in_many_chunks_one_posts(spark):
     assert len(rows) == 620
     posts = [r.node for r in rows if r.keys is not None]
     assert len(posts) == len(set(posts)) == len({r.node for r in rows}) == 40
+
+
+def test_pairs_below_the_bound_meet_about_once(spark, monkeypatch):
+    """Texts of a family just below the bound share dozens of posted shingles, and make a row a pair all the same."""
+    rng = random.Random(4)
+    rows, joined = [], nd._met
+    monkeypatch.setattr(nd, "_met", lambda *x: rows.append(joined(*x)) or rows[-1])
+    docs = []
+    for f in range(3):
+        say = " ".join(f"q{f}w{i}" for i in range(300))
+        docs += [(100 * f + i, edited(say, rng, rng.choice((4, 9))), "en", "s", 1) for i in range(40)]
+    part, _ = classes([d[1] for d in docs])
+    kept = sorted(r.doc_id for r in keep_one(frame(spark, docs), leaders=0).collect())
+    assert kept == sorted({min(d[0] for d, q in zip(docs, part) if q == p) for p in set(part)})
+    pairs = rows[0].count()
+    assert rows[0].distinct().count() <= pairs <= 2 * len(docs) ** 2 / 6
+
+
+def test_near_pairs_meet_in_the_first_shared_list(spark):
+    """Pairs at the bound, of which one has its own shingles first and the other is shorter."""
+    rng = random.Random(6)
+    docs = []
+    for f in range(40):
+        say = [f"r{f}w{i}" for i in range(rng.randrange(30, 200))]
+        cut = rng.randrange(len(say) // 5)
+        docs += [(3 * f + k, " ".join(x), "en", "s", 1) for k, x in enumerate((say, say[: len(say) - cut], say[cut // 2 :] + [f"n{f}x{i}" for i in range(cut // 2)]))]
+    part, near = classes([d[1] for d in docs])
+    assert near > 50
+    assert sorted(r.doc_id for r in keep_one(frame(spark, docs), leaders=0, rounds=0).collect()) == sorted({min(d[0] for d, q in zip(docs, part) if q == p) for p in set(part)})
