@@ -293,6 +293,54 @@ def _told(packed: pa.Array) -> tuple[np.ndarray, ...]:
     return wide[first + 3], wide[first + 2], wide[first + 1] << 32 | wide[first], words[inner], np.diff(at) - 4
 
 
+def _rows_packed(places: np.ndarray, packed: pa.Array) -> bytes:
+    """Segments' rows and their places in a chunk's list, compressed column by column."""
+    order = np.argsort(places)
+    packed = packed.take(pa.array(order))
+    sizes = pc.binary_length(packed).to_numpy(zero_copy_only=False) // 4
+    words = np.frombuffer(b"".join(packed.to_pylist()), ">u4").astype(np.uint32).view(np.int32)
+    heads = (np.cumsum(sizes) - sizes)[None, :] + np.arange(4)[:, None]
+    codes = np.delete(words, heads.ravel())
+    return _packed(np.concatenate([[len(order)], np.diff(places[order], prepend=0), sizes, words[heads].ravel(), codes]).astype(np.int32))
+
+
+def _rows_unpacked(data: bytes) -> tuple[np.ndarray, pa.Array]:
+    told = _unpacked(data)
+    m = int(told[0])
+    sizes = told[m + 1 : 2 * m + 1]
+    ends = np.cumsum(sizes, dtype=np.int64)
+    heads = (ends - sizes)[None, :] + np.arange(4)[:, None]
+    words, inner = np.empty(int(ends[-1]), ">u4"), np.ones(int(ends[-1]), bool)
+    inner[heads] = False
+    words[heads] = told[2 * m + 1 : 6 * m + 1].view(np.uint32).reshape(4, m)
+    words[inner] = told[6 * m + 1 :].view(np.uint32)
+    offsets = np.concatenate([[0], 4 * ends]).astype(np.int32)
+    return np.cumsum(told[1 : m + 1]), pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(offsets), pa.py_buffer(words)])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(of, rows): runs of rows (of, place, packed) of one chunk, up to ``ROW`` of them in one."""
+    held, of, total = [], None, 0
+
+    def row() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        data = _rows_packed(t["place"].to_numpy(), t["packed"].cast(pa.binary()).combine_chunks())
+        return pa.RecordBatch.from_arrays([pa.array([of], pa.int64()), pa.array([data], pa.binary())], names=["of", "rows"])
+
+    for b in batches:
+        chunk = b.column(0).to_numpy()
+        cuts = np.flatnonzero(np.diff(chunk)) + 1
+        for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(chunk)]):
+            if held and (of != chunk[x] or total >= ROW):
+                yield row()
+                held, total = [], 0
+            if x < y:
+                of, total = int(chunk[x]), total + y - x
+                held.append(b.slice(x, y - x))
+    if held:
+        yield row()
+
+
 def group_text(codes: list[int]) -> str:
     """`a1,a2|b1;a3|b2,b3` of the ends of a segment: (id that ends on the first side + 1) * 65536 + (that on the second + 1), 0 for none."""
     out, a, b = [], [], []
@@ -351,12 +399,15 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     rated = rated.groupBy(*NAMES).agg(F.first("codes").alias("codes"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
     rated = rated.select(*NAMES, F.concat(_sums(F.col("n_best"), F.col("count_sum")), "codes").alias("packed"))
     told = lists.select(*NAMES, "chunk", "place").join(rated, NAMES).select(F.col("chunk").alias("of"), "place", "packed")
+    # what a task has for a chunk travels as columns, in a third of the bytes of single rows
+    told = told.sortWithinPartitions("of").mapInArrow(_gathered, "of long, rows binary")
     texts = chunks.where("words IS NULL").select("chunk", "id", "places")
     out_type = T.StructType([T.StructField("id", id_type), *(T.StructField(n, T.LongType()) for n in FIGURES), T.StructField("groups_sha256", T.StringType())])
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right["place"].to_numpy())
-        groups, best, count, ends, n = _told(right["packed"].cast(pa.binary()).combine_chunks().take(pa.array(order)))
+        parts = [_rows_unpacked(x) for x in right["rows"].to_pylist()]
+        order = np.argsort(np.concatenate([x for x, _ in parts] or [np.empty(0, np.int32)]))
+        groups, best, count, ends, n = _told(pa.concat_arrays([x for _, x in parts] or [pa.array([], pa.binary())]).take(pa.array(order)))
         starts = np.cumsum(n) - n
         per = [np.add.reduceat((x != 0).astype(np.int64), starts) if len(starts) else np.empty(0, np.int64) for x in (ends >> 16, ends & 65535)]
         figures = np.stack([*per, groups, n, best, count])

@@ -166,3 +166,20 @@ def test_a_model_whose_pieces_go_on_over_a_space_is_refused(monkeypatch):
     monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Model)
     with pytest.raises(ValueError, match="over a space"):
         token_alignment.Pieces(b"")
+
+
+def test_rows_of_a_chunk_travel_packed():
+    """What segments tell comes back as it was, in less than half the bytes of single rows."""
+    rng = np.random.default_rng(1)
+    rows = [(rng.integers(0, 4), int(rng.zipf(1.3)) % 10**6, rng.integers(0, 60000, rng.integers(1, 5))) for _ in range(20000)]
+    told = pa.array([np.array([c, 0, b, len(k), *k], ">u4").tobytes() for b, c, k in rows], pa.binary())
+    places = rng.permutation(40000)[:20000].astype(np.int32)
+    of = np.sort(rng.integers(0, 3, 20000))
+    table = pa.table({"of": of, "place": places, "packed": told})
+    back = [(x["of"].as_py(), token_alignment._rows_unpacked(x["rows"].as_py())) for b in token_alignment._gathered(iter(table.to_batches(1000))) for x in [dict(zip(("of", "rows"), (b.column(0)[0], b.column(1)[0])))]]
+    got = sorted((c, p, w) for c, (at, words) in back for p, w in zip(at.tolist(), words.to_pylist()))
+    assert [c for c, _ in back] == [0, 1, 2]
+    assert got == sorted(zip(of.tolist(), places.tolist(), told.to_pylist()))
+    sent = sum(b.nbytes for b in token_alignment._gathered(iter(table.to_batches(1000))))
+    assert 2 * sent < told.nbytes + 16 * len(told)
+    assert list(token_alignment._gathered(iter(table.slice(0, 0).to_batches()))) == []
