@@ -80,6 +80,8 @@ SKETCH = [f"s{i}" for i in range(BITS // 64)]
 FOLDED = [f"f{i}" for i in range(BITS // 256)]
 #: Bits of a shingle's hash that frequencies leave out.
 DROPPED = np.uint64(16)
+#: Rows of a batch of nodes.
+BATCH = 256
 #: Nodes that are sent to all tasks, some tens of megabytes; beyond, they are joined by an exchange.
 BROADCAST = 1_000_000
 NODES = "doc_id long, row long, row2 long, node long, n int, keys binary, places binary, grams binary, fp long, " + ", ".join(f"{c} long" for c in SKETCH)
@@ -214,7 +216,9 @@ def _post_chunk(width: int, t: float) -> Callable[[pa.Table, pa.Table], pa.Table
         posts = pa.array([k is not None for k in out[2]], pa.bool_())
         made = [docs.column(c) for c in ("doc_id", "row", "row2")] + [pa.array(o, k) for o, k in zip(out, kinds)]
         made += [pc.if_else(posts, pa.array(np.ascontiguousarray(c)), None) for c in np.array(bits).T]
-        return pa.table(made, names=["doc_id", "row", "row2", "node", "n", "keys", "places", "grams", "fp", *SKETCH])
+        # sent in small batches, as the executor holds their buffers beside its heap
+        table = pa.table(made, names=["doc_id", "row", "row2", "node", "n", "keys", "places", "grams", "fp", *SKETCH])
+        return pa.Table.from_batches(table.to_batches(BATCH), table.schema)
 
     return run
 
