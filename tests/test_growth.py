@@ -1,11 +1,14 @@
 """How often rows are sent, and how finely they are dealt: what decides whether a query keeps pace with its input."""
 
+import collections
+import itertools
 import random
 import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cladeframe.functions import storage
 from cladeframe.operators import align, census, chimera, events, kmers, neighbours, network
@@ -108,6 +111,49 @@ def test_kmers_are_sent_in_few_bytes():
     assert len(packed) + sum(len(kmers._narrow(x)) for x in rest) <= 13 * len(h) + 8
 
 
+def texts_of_pieces(rng, n, letters="ACDEFGHIKLMNOPQRSTUVWXY*é"):
+    """Pieces that texts share at both ends or inside, some twice in a text or periodic, and whole copies."""
+    base = ["".join(rng.choice(letters) for _ in range(90)) for _ in range(4)] + ["ACDEFGHIKL" * 9]
+    piece = lambda: base[rng.randrange(5)][rng.randrange(40) : rng.randrange(45, 91)]
+    made = ["".join(piece() for _ in range(rng.randrange(4))) for _ in range(n)]
+    return made + made[:10] + [base[0], base[0], "AC", ""]
+
+
+@pytest.mark.parametrize("seed", [1, 4, 40])
+def test_kmers_by_parts_against_brute_force(spark, monkeypatch, seed):
+    """Shared k-mers, how many texts have them and the clusters, whether few, many or all parts of a name differ."""
+    monkeypatch.setattr(kmers, "SEED", seed)
+    rng, k, distinct = random.Random(seed), 14, 6
+    seqs = [(i, rng.choice([0, 1, None]), s) for i, s in enumerate(texts_of_pieces(rng, 50))]
+    want, sets = {}, {}
+    for i, g, s in seqs:
+        sets[i] = {s[j : j + k] for j in range(len(s) - k + 1)}
+        sets[i] = {x for x in sets[i] if len(set(x)) >= distinct and not set(x) & set("X*")}
+        want.setdefault(g, collections.Counter()).update(sets[i])
+    df = spark.createDataFrame(seqs, "protein_id long, species_id int, seq string").repartition(5)
+    got = {r.grp: (r.n_shared, r.n_postings) for r in kmers.shared_kmers(df, k, distinct).collect()}
+    assert got == {g: (sum(v > 1 for v in c.values()), sum(v for v in c.values() if v > 1)) for g, c in want.items() if c}
+    comp = {i: i for i in sets}
+    for _ in seqs:
+        for (a, g, _), (b, h, _) in itertools.combinations(seqs, 2):
+            if g == h and sets[a] & sets[b]:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+    rep = {c: max((x for x in comp if comp[x] == c), key=lambda x: (len(seqs[x][2]), -x)) for c in comp.values()}
+    assert {(r.rep_id, r.member_id) for r in kmers.kmer_clusters(df, k, distinct).collect()} == {(rep[c], x) for x, c in comp.items()}
+
+
+def test_kmers_of_a_text_travel_as_parts(spark, monkeypatch):
+    """A text's own k-mers, and those of texts that are copies, cost less than a byte each (some ten before)."""
+    rng = random.Random(7)
+    own = ["".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(4000)) for _ in range(40)]
+    sent, met = [], kmers._met
+    monkeypatch.setattr(kmers, "_met", lambda packed, parts: (sent.append(packed), met(packed, parts))[1])
+    df = spark.createDataFrame(list(enumerate(own + own[:20])), "protein_id long, seq string").withColumn("species_id", F.lit(1))
+    assert [tuple(r) for r in kmers.shared_kmers(df.coalesce(1)).collect()] == [(1, 20 * 3901, 40 * 3901)]
+    assert len(sent) == 1  # no name has several parts
+    assert sent[0].select(F.sum(sum(F.length(c) for c in kmers.PACKED))).first()[0] < 60 * 3901
+
+
 def test_lines_of_orders_are_dealt_by_rows(spark):
     """What one task holds of the lines of orders doesn't grow with them."""
     assert re.search(r"hashpartitioning\(l_orderkey#\d+L?, \d+\), REPARTITION_BY_NUM", plan(q._best(spark, D)))
