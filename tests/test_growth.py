@@ -58,6 +58,79 @@ def test_pairs_across_batches(spark, batch):
     assert got == want
 
 
+def test_alignments_leave_hits_where_they_are(spark):
+    """Hits that are dealt by query are cut there; a short row of each is sent, to the targets' sequences."""
+    made = plan(q.alignment_rows(spark, D))
+    assert len(re.findall(r"hashpartitioning\(query#\d+L?, \d+\), REPARTITION_BY_NUM", made)) == 1
+    assert made.count("hashpartitioning(query") == 2 and made.count("hashpartitioning(target") == 2  # the others are widths and sequences
+    assert "cladeframe/" not in made  # nothing is written
+
+
+def rows_of_queries(rng, n):
+    """(query, target, parts, width) in order: queries of one row and of many, some with a row of their own."""
+    out = []
+    for x in range(n):
+        width = rng.randrange(12)
+        for target in sorted(rng.sample(range(90), rng.choice([1, 2, 3, 40]))):
+            cuts = sorted(rng.sample(range(1, 16), 2 * rng.randrange(4)))
+            out.append((x, target, [{"c": c, "e": e, "t": rng.choice([1, 300, 70_000]) + c} for c, e in zip(cuts[::2], cuts[1::2])], width))
+    return out
+
+
+@pytest.mark.parametrize("held,batch", [(1, 1), (1, 7), (5, 3), (30, 11), (1 << 15, 13)])
+def test_queries_of_any_number_of_rows_are_cut(spark, monkeypatch, held, batch):
+    """Queries that are held and those that wait in a file, in batches of any size, against cells and against the tables' good columns."""
+    monkeypatch.setattr(align, "HELD", held)
+    given, most = rows_of_queries(random.Random(9), 30), 5
+    kind = pa.schema([("query", pa.int64()), ("target", pa.int64()), ("parts", pa.list_(pa.struct([(c, pa.int32()) for c in "cet"]))), ("width", pa.int32())])
+    table = pa.Table.from_pylist([dict(zip(kind.names, r)) for r in given], kind)
+    got = {}
+    for b in align._queries(iter(table.to_batches(batch)), 0.7, most):
+        row, cut = align._unpack(b.column(3), 3)
+        for i, (query, target, size) in enumerate(zip(*(b.column(k).to_pylist() for k in range(3)))):
+            cells = [None] * size
+            for at, n, t in cut[row == i].tolist():
+                cells[at : at + n] = range(t, t + n)
+            assert (query, target) not in got
+            got[query, target] = cells
+    want, good = {}, {}
+    for query in {r[0] for r in given}:
+        rows = {t: {c: p["t"] + c - p["c"] for p in parts for c in range(p["c"], p["e"])} for x, t, parts, _ in given if x == query}
+        width = next(r[3] for r in given if r[0] == query)
+        rows.setdefault(query, {c: c for c in range(1, width + 1)})
+        good[query] = [c for c in range(1, width + 1) if sum(c not in r for r in rows.values()) / len(rows) < 0.7][:most]
+        want |= {(query, t): [r.get(c) for c in good[query]] for t, r in rows.items() if good[query]}
+    assert got == want
+    spans = [(x, p["c"], p["e"]) for x, _, parts, _ in given for p in parts] + [(x, 1, w + 1) for x, w in {(r[0], r[3]) for r in given if not any(t == r[0] for y, t, _, _ in given if y == r[0])}]
+    sizes = spark.createDataFrame([(x, next(r[3] for r in given if r[0] == x), len({t for y, t, _, _ in given if y == x} | {x})) for x in good], "query long, width int, rows long")
+    told = align.first_columns(align.gap_intervals(spark.createDataFrame(spans, "query long, c int, e int"), sizes), most).collect()
+    assert {r.query: [c for g in r.good for c in range(g.begin, g.begin + g.size)] for r in told} == {x: c for x, c in good.items() if c}
+
+
+def test_packed_rows_come_back(spark):
+    rng = np.random.default_rng(2)
+    for n, high in ((0, 1), (3, 200), (50, 300), (50, 70_000), (50, 2**32 - 1)):
+        row = np.sort(rng.integers(0, max(n, 1), 3 * n))
+        numbers = rng.integers(0, high, (3 * n, 3)) >> rng.integers(0, 30, (3 * n, 1))
+        packed = align._pack(row, numbers, n)
+        got = align._unpack(packed, 3)
+        assert (got[0] == row).all() and (got[1] == numbers).all()
+        if n:
+            got = align._unpack(packed.slice(1), 3)
+            assert (got[0] == row[row > 0] - 1).all() and (got[1] == numbers[row > 0]).all()
+
+
+def test_alignments_with_names_that_proteins_lack(spark):
+    """They go before gaps are counted, as do those without a sequence; null names go too."""
+    hits = [(1, 2, 1, 3, 1, "3M", 1), (1, 7, 1, 3, 1, "3M", 1), (1, 3, 1, 3, 1, "3M", 1), (1, 4, 2, 3, 1, "2M", 1), (7, 1, 1, 3, 1, "3M", 1), (3, 1, 1, 3, 1, "3M", 1), (2, 7, 1, 1, 1, "1M", 1), (None, 1, 1, 3, 1, "3M", 1), (1, None, 1, 3, 1, "3M", 1), (4, 2, None, None, None, None, 1)]
+    df = spark.createDataFrame(hits, "query long, target long, qstart int, qend int, sstart int, cigar string, ord int")
+    protein = spark.createDataFrame([(1, "ABC"), (2, "DEF"), (3, None), (4, "GH"), (5, "")], "protein_id long, seq string")
+    want = {(1, 1, "ABC"), (1, 2, "DEF"), (1, 4, "-GH"), (4, 4, "GH"), (4, 2, "--")}
+    assert {tuple(r) for r in align.alignments(df, protein).collect()} == want
+    told = df.where("coalesce(target, 0) NOT IN (3, 7)")
+    assert {tuple(r) for r in align.alignments(told, protein, known=True).collect()} == want
+
+
 def test_pairs_are_dealt_by_rows(spark, monkeypatch):
     """The partitions in which pairs are made follow the rows, not their bytes, and the counts stay."""
     groups = spark.createDataFrame([(i % 50, i // 50) for i in range(500)], "query long, member long")
