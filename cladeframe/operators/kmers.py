@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cladeframe.functions.storage import materialize, shuffle_partitions, spread
+from cladeframe.functions.storage import dealt_into, materialize, shuffle_partitions, spread
 from cladeframe.operators.components import connected_components
 
 BASES = ((1, 0xD6E8FEB86659FD93), (2, 0xA0761D6478BD642F))
 #: Entries that a task holds before it reduces them.
 HELD = 2_000_000
+#: Entries, some 16 bytes each as they are sent, in a partition; of texts 32 characters an entry.
+DEALT = 1 << 21
 #: Characters of the words that name k-mers.  Longer ones make more parts, shorter ones more names that have several.
 SEED = 40
 _powers: dict[int, np.ndarray] = {}
@@ -301,7 +303,9 @@ def kmer_meetings(seqs: DataFrame, k: int = 100, min_distinct: int = 15, id_col:
         h1, h2 = (h[kept] >> np.uint64(64 - bits) for h, bits in zip((h1, h2), SENT))
         return h1, h2, np.asarray(of.values.field("n"))[by][at[kept]], np.ones(len(h1), np.int64)
 
-    met = materialize(_met(_reduced(spread(rows), parts, buckets(2 * total // (k - seed + 2))), True), "kmer-parts")
+    own = 2 * total // (k - seed + 2)
+    with dealt_into(seqs.sparkSession, own // DEALT):
+        met = materialize(_met(_reduced(spread(rows), parts, buckets(own)), True), "kmer-parts")
     several = met.where("name IS NOT NULL")
     counted = ["grp", *MET[:4]]
     out = met.where("name IS NULL").select(counted)
@@ -310,7 +314,8 @@ def kmer_meetings(seqs: DataFrame, k: int = 100, min_distinct: int = 15, id_col:
         return out
     of = several.groupBy(F.col("src").alias("id")).agg(F.collect_list(F.struct("name", "n")).alias("of"))
     again = rows.join(of.hint("shuffle_hash"), "id").select("grp", "id", "seq", "of")
-    return out.unionByName(_met(_reduced(again, kmers, buckets(left)), False).select(counted))
+    with dealt_into(seqs.sparkSession, max(left // DEALT, total // (32 * DEALT))):
+        return out.unionByName(materialize(_met(_reduced(again, kmers, buckets(left)), False).select(counted), "kmers"))
 
 
 def valid_kmers(seqs: DataFrame, k: int = 100, min_distinct: int = 15, id_col: str = "protein_id", seq_col: str = "seq", forbidden: str = "X*") -> DataFrame:

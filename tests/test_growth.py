@@ -228,6 +228,17 @@ def test_kmers_of_a_text_travel_as_parts(spark, monkeypatch):
     assert sent[0].select(F.sum(sum(F.length(c) for c in kmers.PACKED))).first()[0] < 60 * 3901
 
 
+def test_parts_are_dealt_by_their_number(spark, monkeypatch):
+    """What one task reads of parts, k-mers and texts doesn't grow with the input."""
+    asked, dealt = [], kmers.dealt_into
+    monkeypatch.setattr(kmers, "dealt_into", lambda spark, n: (asked.append(n), dealt(spark, n))[1])
+    monkeypatch.setattr(kmers, "DEALT", 8)
+    text = "".join(random.Random(3).choices("ACDEFGHIKLMNPQRSTVWY", k=1000))
+    df = spark.createDataFrame([(1, 0, text), (2, 0, text[130:] + "AC"), (3, 0, text)], "protein_id long, species_id int, seq string")
+    assert [tuple(r) for r in kmers.shared_kmers(df).collect()] == [(0, 901, 2 * 901 + 771)]
+    assert len(asked) == 2 and asked[0] >= 2900 // 31 // 8 - 1 and asked[1] >= 10
+
+
 def test_lines_of_orders_are_dealt_by_rows(spark):
     """What one task holds of the lines of orders doesn't grow with them."""
     assert re.search(r"hashpartitioning\(l_orderkey#\d+L?, \d+\), REPARTITION_BY_NUM", plan(q._best(spark, D)))
